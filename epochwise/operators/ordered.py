@@ -34,6 +34,7 @@ def scan(
     totals: Exprs | None = None,
     firsts: Exprs | None = None,
     lasts: Exprs | None = None,
+    attach: DataFrame | None = None,
 ) -> DataFrame:
     """Add order-dependent columns over each group, chunk by chunk.
 
@@ -43,6 +44,8 @@ def scan(
     lag    value on the previous row              lead    value on the next row
     ffill  last non-null up to and with the row   bfill   next non-null from the row on
     firsts first non-null of the group            lasts   last non-null of the group
+    attach one row per group whose columns are added to every row (joined to the small chunk
+           summary, so that the rows themselves never meet on the group key)
     """
     sums, lag, lead = sums or {}, lag or {}, lead or {}
     ffill, bfill, totals = ffill or {}, bfill or {}, totals or {}
@@ -72,6 +75,10 @@ def scan(
     carry += [F.first(f"_first_{n}", ignorenulls=True).over(whole).alias(f"_first_{n}") for n in firsts]
     carry += [F.last(f"_last_{n}", ignorenulls=True).over(whole).alias(f"_last_{n}") for n in lasts]
     context = df.groupBy(*by, chunk).agg(*aggs).select(*by, chunk, *carry)
+    extra = []
+    if attach is not None:
+        context = context.join(attach, by, "left")
+        extra = [c for c in attach.columns if c not in by]
 
     joined = df.join(context, [*by, chunk])
     local = W.partitionBy(*by, chunk).orderBy(*[F.col(c) for c in order])
@@ -80,7 +87,7 @@ def scan(
     # A chunk border is recognised by the missing neighbour inside the chunk.
     first_row = F.lag(F.lit(True)).over(local).isNull() if lag else None
     last_row = F.lead(F.lit(True)).over(local).isNull() if lead else None
-    out = [F.col(c) for c in df.columns]
+    out = [F.col(c) for c in [*df.columns, *extra]]
     out += [(F.col(f"_sum_{n}") + F.sum(e).over(run)).alias(n) for n, e in sums.items()]
     out += [F.col(f"_tot_{n}").alias(n) for n in totals]
     out += [F.when(first_row, F.col(f"_lag_{n}").v).otherwise(F.lag(e).over(local)).alias(n) for n, e in lag.items()]
