@@ -80,7 +80,9 @@ def scan(
         context = context.join(attach, by, "left")
         extra = [c for c in attach.columns if c not in by]
 
-    joined = df.join(context, [*by, chunk])
+    # Shuffled hash join: rows and summaries are exchanged on (group, chunk), which is also what the
+    # row-level windows need, and only the one-row-per-chunk side is hashed.
+    joined = df.join(context.hint("shuffle_hash"), [*by, chunk])
     local = W.partitionBy(*by, chunk).orderBy(*[F.col(c) for c in order])
     local_down = W.partitionBy(*by, chunk).orderBy(*[F.col(c).desc() for c in order])
     run, run_down = local.rowsBetween(UP, 0), local_down.rowsBetween(UP, 0)
@@ -112,29 +114,50 @@ def value_chunks(df: DataFrame, by: Sequence[str], value: str, buckets: int, nam
     return join_small(df, splits, by).withColumn(name, F.coalesce(chunk, F.lit(0))).drop("_splits")
 
 
-def cumulative(df: DataFrame, by: Sequence[str], value: str, measures: Exprs, buckets: int = 32) -> DataFrame:
+# Chunks per doubling of the value, and a shift that keeps all positive doubles above zero.
+_PER_OCTAVE, _SHIFT = 4096, 4096 * 1100
+
+
+def magnitude_chunk(value: Column) -> Column:
+    """Order-preserving bucket of a number from its magnitude alone, without looking at the data.
+
+    4096 buckets per doubling: a bucket spans 0.017 % of its value, so a group's distinct values
+    spread over as many buckets as they spread in relative size.
+    """
+    v = value.cast("double")
+    size = F.floor(F.log2(F.abs(v)) * _PER_OCTAVE) + _SHIFT
+    return F.when(v > 0, size + 1).when(v < 0, -(size + 1)).otherwise(F.lit(0).cast("long"))
+
+
+def cumulative(df: DataFrame, by: Sequence[str], value: str, measures: Exprs, balanced: int | None = None) -> DataFrame:
     """One row per distinct ``(by, value)``: each measure, what lies strictly below it, and its total.
 
     Equal values are counted together before the exchange, so a value that holds a third of all
     rows costs one row. Output columns per measure ``m``: ``m``, ``m_below``, ``m_total``.
+
+    ``balanced``: number of quantile ranges to use in place of magnitude buckets, for values that
+    all lie within a hair of each other; costs one more pass.
     """
     by = list(by)
     grouped = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*[e.alias(n) for n, e in measures.items()])
-    chunked = value_chunks(grouped, by, value, buckets)
+    if balanced:
+        chunked = value_chunks(grouped, by, value, balanced)
+    else:
+        chunked = grouped.withColumn("_chunk", magnitude_chunk(F.col(value)))
     out = scan(
         chunked, by, "_chunk", [value],
         sums={f"{n}_below": F.col(n) for n in measures},
         totals={f"{n}_total": F.col(n) for n in measures},
     )
-    for n in measures:
-        out = out.withColumn(f"{n}_below", F.col(f"{n}_below") - F.col(n))
-    return out.drop("_chunk")
+    keep = [F.col(c) for c in (*by, value, *measures)]
+    below = [(F.col(f"{n}_below") - F.col(n)).alias(f"{n}_below") for n in measures]
+    return out.select(*keep, *below, *[F.col(f"{n}_total") for n in measures])
 
 
-def percentiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float], buckets: int = 32) -> DataFrame:
+def percentiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated percentiles per group, without holding a group's values in one buffer."""
     by = list(by)
-    c = cumulative(df, by, value, {"n": F.count(F.lit(1))}, buckets)
+    c = cumulative(df, by, value, {"n": F.count(F.lit(1))})
     aggs = []
     for name, share in shares.items():
         pos = F.lit(float(share)) * (F.col("n_total") - 1)
@@ -148,10 +171,10 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[str,
     return c.groupBy(*by).agg(*aggs)
 
 
-def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str = "rank", buckets: int = 32) -> DataFrame:
+def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str = "rank") -> DataFrame:
     """Attach the tie-averaged rank (1-based) of ``value`` within each group."""
     by = list(by)
-    c = cumulative(df, by, value, {"n": F.count(F.lit(1))}, buckets)
+    c = cumulative(df, by, value, {"n": F.count(F.lit(1))})
     ranks = c.select(*by, value, (F.col("n_below") + (F.col("n") + 1) / 2).alias(name))
     return df.join(ranks, [*by, value], "left")
 
