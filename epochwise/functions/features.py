@@ -87,7 +87,10 @@ def band_power(psd: Column, bands: Mapping[str, tuple[float, float]] = BANDS, no
         whole = area(F.filter(psd, any_band))
     else:
         raise ValueError("normalize_to must be either 'total' or 'bands'")
-    parts = [area(F.filter(psd, lambda x, lo=lo, hi=hi: inside(x, lo, hi))).alias(name) for name, (lo, hi) in bands.items()]
+    def part(lo: float, hi: float) -> Column:
+        return area(F.filter(psd, lambda x: inside(x, lo, hi)))
+
+    parts = [part(lo, hi).alias(name) for name, (lo, hi) in bands.items()]
 
     def shares(s: Column) -> Column:
         return F.struct(*[F.when(s["_whole"] > 0, s[n] / s["_whole"]).otherwise(0.0).alias(n) for n in bands])

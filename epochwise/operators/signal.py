@@ -66,7 +66,7 @@ def with_halo(blocks: DataFrame, block_len: int, before: int, after: int, channe
     )
     return gathered.filter("own_len > 0").select(
         "case_id", F.col("_t").alias("block"), "fs",
-        *[F.flatten(F.transform("_p", lambda p, c=c: p[c])).alias(c) for c in channels],
+        *[F.flatten(F.col(f"_p.{c}")).alias(c) for c in channels],
         "own_offset", "own_len", (F.col("_t") * block_len <= before).alias("at_start"),
         ((F.col("_last") - F.col("_t")) * block_len <= after).alias("at_end"),
     )
@@ -108,7 +108,10 @@ def filter_waveform(
 
 
 def _map_channels(df: DataFrame, fn) -> DataFrame:
-    return df.select("case_id", "block", "fs", *[F.transform(c, lambda x, c=c: fn(x, c)).alias(c) for c in ("ch1", "ch2")])
+    def mapped(c: str) -> Column:
+        return F.transform(c, lambda x: fn(x, c)).alias(c)
+
+    return df.select("case_id", "block", "fs", mapped("ch1"), mapped("ch2"))
 
 
 def centre_waveform(blocks: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from epochwise.functions.pvalues import fisher_p, normal_p, student_p
 from epochwise.operators.ordered import cumulative, percentiles, take_random, value_chunks
+from epochwise.session import spread
 
 
 def mean_spectrum(spectra: DataFrame, by: Sequence[str] = ("set",), metric: str = "std") -> DataFrame:
@@ -125,7 +126,7 @@ def auroc_bootstrap(
         out = dict(zip(by, key))
         return pd.DataFrame([{**out, "auroc": auc[0] if np.isfinite(auc[0]) else None, "ci_low": lo, "ci_high": hi}])
 
-    parts = chunked.groupBy(*by, "_chunk").applyInPandas(one_range, part_schema)
+    parts = spread(chunked, *by, "_chunk").groupBy(*by, "_chunk").applyInPandas(one_range, part_schema)
     res = parts.groupBy(*by).applyInPandas(chain, f"{schema}, auroc double, ci_low double, ci_high double")
     strong = (F.col("auroc") >= 0.7) | (F.col("auroc") <= 0.3)
     sided = (F.col("ci_low") > 0.5) | (F.col("ci_high") < 0.5)

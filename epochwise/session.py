@@ -65,3 +65,12 @@ def materialize(df: DataFrame, name: str = "stage", partition_by: list[str] | No
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition rows before a CPU-heavy Python stage.
+
+    Adaptive execution merges partitions by their bytes; rows that are small but costly would end up
+    in one task. An explicit number of partitions, the session's own, is left as it is.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
