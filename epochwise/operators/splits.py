@@ -20,6 +20,11 @@ KEYS = ["case_id", "start", "end"]
 
 
 def case_counts(df: DataFrame) -> DataFrame:
+    """Rows per case, stored: the searches below read this small table many times."""
+    return materialize(_case_counts(df), "case_counts")
+
+
+def _case_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -78,7 +83,7 @@ def find_case_split(
     """
     free = counts if used is None else exclude_cases(counts, used)
     total = counts.agg(F.sum("n")).first()[0] or 0
-    available = free.agg(F.sum("n")).first()[0] or 0
+    available = total if used is None else free.agg(F.sum("n")).first()[0] or 0
     target = int(test_size * total)
     if target < 1 or available < target:
         raise ValueError(f"Not enough remaining samples to satisfy test_size. Required: {target}, available: {available}")
