@@ -46,7 +46,7 @@ def stored_model(s, d):
 def grid(s, d):
     t = materialize(table(s, d).join(S.case_folds(S.case_counts(table(s, d)), 2), "case_id"), "grid")
     res = M.grid_search(t, NAMES, "fold", 2, {"C": (0.1, 1.0), "gamma": (0.1, 1.0), "kernel": ("linear", "rbf")}, n_components=16, max_iter=5)
-    return s.createDataFrame([(r["kernel"], r["C"], r["gamma"], r["score"]) for r in res], "kernel string, C double, gamma double, score double")
+    return s.createDataFrame([(r["kernel"], r["C"], r["gamma"], float(r["score"])) for r in res], "kernel string, C double, gamma double, score double")
 
 
 def combos(s, d):
