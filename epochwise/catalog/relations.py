@@ -74,6 +74,10 @@ def key_sets(s, d):
     return K.outlier_sets(f.filter("label = 1"), f.filter("label = 0"), outliers(s, d))
 
 
+SIDES = FE + f""", a AS (SELECT {KEYS_SQL} FROM feats WHERE start % 5 <> 1), b AS (SELECT {KEYS_SQL} FROM feats WHERE l_quantity > 3),
+  not_b AS (FROM a EXCEPT FROM b), not_a AS (FROM b EXCEPT FROM a)"""
+
+
 def incremental(s, d):
     f = I.features(s, d)
     return K.still_to_do(f.select("case_id", "start", "end"), f.filter("l_linestatus = 'F'"))
@@ -163,11 +167,11 @@ QUERIES = {
         md5(label || ':' || a.case_id || ':' || a.start || ':' || a."end") AS orig_index FROM labelled a ANTI JOIN outl b ON {ON} WHERE a.case_id NOT IN {CASES}"""),
     "h2_key_comparison": (
         lambda s, d: K.compare_keys(I.features(s, d).filter("start % 5 <> 1"), I.features(s, d).filter("l_quantity > 3")),
-        f"""WITH {FE} SELECT count(*) FILTER (start % 5 <> 1 AND NOT l_quantity > 3) = 0 AS a_in_b, count(*) FILTER (NOT start % 5 <> 1 AND l_quantity > 3) = 0 AS b_in_a,
-        count(*) FILTER (NOT start % 5 <> 1 AND l_quantity > 3) AS missing_from_a, count(*) FILTER (start % 5 <> 1 AND NOT l_quantity > 3) AS missing_from_b FROM feats"""),
+        f"""WITH {SIDES} SELECT (SELECT count(*) FROM not_b) = 0 AS a_in_b, (SELECT count(*) FROM not_a) = 0 AS b_in_a,
+        (SELECT count(*) FROM not_a) AS missing_from_a, (SELECT count(*) FROM not_b) AS missing_from_b"""),
     "h2_missing_keys": (
         lambda s, d: K.missing_keys(I.features(s, d).filter("start % 5 <> 1"), I.features(s, d).filter("l_quantity > 3")),
-        f"""WITH {FE} SELECT {KEYS_SQL}, CASE WHEN l_quantity > 3 THEN 'a' ELSE 'b' END AS missing_from FROM feats WHERE (start % 5 <> 1) <> (l_quantity > 3)"""),
+        f"WITH {SIDES} SELECT *, 'a' AS missing_from FROM not_a UNION ALL SELECT *, 'b' FROM not_b"),
     "h3_incremental_epochs": (incremental, f"WITH {FE} SELECT {KEYS_SQL} FROM feats WHERE l_linestatus <> 'F'"),
     "h4_distinct_epochs": (
         lambda s, d: K.distinct_epochs(folds(s, d)).select(*K.KEYS, "label"), f"WITH {FOLDS} SELECT DISTINCT {KEYS_SQL}, label FROM folds"),

@@ -105,9 +105,9 @@ def cohort_csv(s, d):
 def spectra_files(s, d):
     path = new_path(s, "spectra_csv")
     name = F.concat_ws("_", F.lit("PSD"), "start", "end", "case_id").alias("_f")
-    sp = G.long_spectra(SG.spectra(s, d)).select(F.col("freq_hz").alias("Frequency_Hz"), F.round("psd", 8).alias("PSD_V2_per_Hz"), name)
+    sp = G.long_spectra(SG.spectra(s, d)).select(F.col("freq_hz").alias("Frequency_Hz"), F.col("psd").alias("PSD_V2_per_Hz"), name)
     sp.write.partitionBy("_f").csv(path, header=True)
-    return _r(A.read_spectra(s, path), "psd")
+    return _r(A.read_spectra(s, path), "psd", n=8)
 
 
 def predictions_path(s, d):
@@ -265,7 +265,7 @@ QUERIES = {
         epoch_table, f"""WITH {MI.EPISODES}, {MI._windows_sql("episodes")} SELECT {K} FROM windows WHERE bis_threshold = 20 AND mac_threshold = 0.1 AND min_episode_length = 3
         AND refractory_time = 5 AND fixed_window = 10 AND overlap_frac = 0"""),
     "a6_cohort_scan": (cohort_csv, "SELECT c_custkey AS case_id, c_acctbal AS anestart, c_mktsegment AS sex FROM customer"),
-    "a7_spectrum_scan": (spectra_files, f"""WITH {SG.WELCH} SELECT {K}, f::DOUBLE AS freq_hz, round(round(p, 8), 6) AS psd FROM welch"""),
+    "a7_spectrum_scan": (spectra_files, f"""WITH {SG.WELCH} SELECT {K}, f::DOUBLE AS freq_hz, round(p, 8) AS psd FROM welch"""),
     "a8_b7_fold_results": (fold_results, _LAB + f"SELECT {K}, label, prediction, fold, error FROM labelled"),
     "a9_b4_feature_pair": (feature_pair, _LAB + f"SELECT {K}, l_quantity, CASE label WHEN 1 THEN 'awake' ELSE 'faw' END AS class FROM labelled"),
     "a10_case_listing": (case_list, f"WITH {I.TRACKS} SELECT DISTINCT case_id FROM tracks"),

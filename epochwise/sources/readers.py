@@ -21,7 +21,8 @@ COHORT_SCHEMA = (
 
 
 def _case_id(pattern: str) -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).cast("long")
+    """Case id from the file path; null for files that are not named after a case."""
+    return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).try_cast("long")
 
 
 def read_tracks(spark: SparkSession, path: str, pattern: str = CASE_FILE, schema: str = TRACK_SCHEMA, chunk_seconds: float = HOUR) -> DataFrame:
@@ -30,7 +31,7 @@ def read_tracks(spark: SparkSession, path: str, pattern: str = CASE_FILE, schema
     raw = spark.read.csv(path, schema=schema, header=True, enforceSchema=False).select(
         _case_id(pattern).alias("case_id"), *[F.col(c).alias(n) for c, n in zip(names, ("time", "bis", "bis_sr", "mac"))]
     )
-    clean = with_time_chunk(nan_to_null(raw, "bis", "bis_sr", "mac"), chunk_seconds)
+    clean = with_time_chunk(nan_to_null(raw.filter("case_id is not null"), "bis", "bis_sr", "mac"), chunk_seconds)
     return number_rows(clean, ["time"]).select("case_id", "row_idx", "time", "bis", "bis_sr", "mac", "chunk")
 
 
@@ -59,7 +60,7 @@ def read_waveform_csv(
     raw = spark.read.csv(path, schema=schema, header=True, enforceSchema=False).select(
         _case_id(pattern).alias("case_id"), F.col(f"`{columns[0]}`").alias("ch1"), F.col(f"`{columns[1]}`").alias("ch2"), *_position()
     )
-    numbered = _number_lines(nan_to_null(raw, "ch1", "ch2"))
+    numbered = _number_lines(nan_to_null(raw.filter("case_id is not null"), "ch1", "ch2"))
     filled = interpolate_hold_ends(numbered, ["ch1", "ch2"], "case_id", "idx", "_split")
     return filled.select("case_id", "idx", "ch1", "ch2", F.lit(fs).alias("fs"))
 
@@ -69,7 +70,7 @@ def read_filtered_csv(spark: SparkSession, path: str, pattern: str = CASE_FILE)
 
     A case without a well-formed sampling-rate line is an error.
     """
-    lines = spark.read.text(path).select(_case_id(pattern).alias("case_id"), "value", *_position())
+    lines = spark.read.text(path).select(_case_id(pattern).alias("case_id"), "value", *_position()).filter("case_id is not null")
     rate = F.expr(r"try_cast(regexp_extract(value, '^# fs = (\\d+)\\s*$', 1) AS int)")
     fs = lines.filter(F.col("value").startswith("#")).groupBy("case_id").agg(F.max(rate).alias("fs"))
     parts = F.split("value", ",")
