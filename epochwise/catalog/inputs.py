@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from epochwise.operators.tracks import number_rows, with_time_chunk
 from epochwise.session import load, materialize
 
-DAY = 24.0
+CHUNK_HOURS = 240.0  # a few dozen rows per chunk in these tables
 FS = 32  # samples per second of the embedding signals
 BLOCK = 128  # samples per waveform block
 
@@ -24,7 +24,7 @@ def numbered_tracks(spark: SparkSession, sf: str) -> DataFrame:
         k.alias("bis_sr"),
         F.when(F.col("event_id") % 7 != 0, k / 100).alias("mac"),
     )
-    return number_rows(with_time_chunk(raw, DAY), ["time", "event_id"]).select(
+    return number_rows(with_time_chunk(raw, CHUNK_HOURS), ["time", "event_id"]).select(
         "case_id", "row_idx", "time", "bis", "bis_sr", "mac", "chunk"
     )
 

@@ -43,7 +43,7 @@ def stored_tracks(s, d):
 
 
 def tracks_scan(s, d):
-    return _r(A.read_tracks(s, stored_tracks(s, d), FOLDER, chunk_seconds=I.DAY).drop("chunk"), "time")
+    return _r(A.read_tracks(s, stored_tracks(s, d), FOLDER, chunk_seconds=I.CHUNK_HOURS).drop("chunk"), "time")
 
 
 def waveform_csv(s, d):

@@ -32,15 +32,15 @@ def threshold_runs(tracks: DataFrame, thresholds: Sequence[tuple[float, float]],
         sums={"island": (~F.col("_above")).cast("long"), "stretch": (~F.col("_good")).cast("long")},
         totals={"n_rows": F.lit(1)},
     )
-    here = F.when(F.col("_good"), F.struct(F.col("row_idx").alias("row"), F.col("time").alias("time")))
+    # Time grows with the row number, so both can be taken apart: plain buffers, hash aggregate.
     return (
         numbered.filter("_above")
         .groupBy(*by, "island", "stretch")
         .agg(
             F.count_if("_good").alias("n_good"),
-            F.min(here).alias("first"),
-            F.max(F.struct(F.col("row_idx").alias("row"), F.col("time").alias("time"))).alias("last"),
-            F.max("n_rows").alias("n_rows"),
+            F.min(F.when(F.col("_good"), F.col("row_idx"))).alias("first_row"),
+            F.min(F.when(F.col("_good"), F.col("time"))).alias("first_time"),
+            F.max("row_idx").alias("last_row"), F.max("time").alias("last_time"), F.max("n_rows").alias("n_rows"),
         )
     )
 
@@ -53,13 +53,16 @@ def episodes_from_runs(runs: DataFrame, lengths: Sequence[int]) -> DataFrame:
     """
     r = runs.withColumn("min_episode_length", F.explode(F.array(*[F.lit(int(m)) for m in lengths])))
     limit = F.col("n_rows") - F.col("min_episode_length")
-    opens = F.when((F.col("n_good") >= F.col("min_episode_length")) & (F.col("first.row") < limit), F.col("first"))
+    opens = (F.col("n_good") >= F.col("min_episode_length")) & (F.col("first_row") < limit)
     keys = ["bis_threshold", "mac_threshold", "min_episode_length", "case_id"]
     return (
         r.groupBy(*keys, "island")
-        .agg(F.min(opens).alias("first"), F.max("last").alias("last"), F.max("n_rows").alias("n_rows"))
-        .filter(F.col("first").isNotNull() & (F.col("last.row") + 1 < limit))
-        .select(*keys, F.col("first.time").alias("start"), F.col("last.time").alias("end"))
+        .agg(
+            F.min(F.when(opens, F.col("first_time"))).alias("start"), F.max("last_time").alias("end"),
+            F.max("last_row").alias("last_row"), F.max("n_rows").alias("n_rows"),
+        )
+        .filter(F.col("start").isNotNull() & (F.col("last_row") + 1 < limit))
+        .select(*keys, "start", "end")
     )
 
 
@@ -93,8 +96,8 @@ def merge_flagged(episodes: DataFrame, by: Sequence[str] | None = None, chunk_se
     """join consecutive flagged episodes of a case whose pause is below the refractory time."""
     by = list(by or [*PARAM_COLS, "case_id"])
     e = episodes.withColumn("_c", F.floor(F.col("start") / F.lit(float(chunk_seconds))))
-    s = scan(e, by, "_c", ["start"], lag={"_prev": F.struct("end", "flagged")})
-    joins = F.col("flagged") & F.col("_prev.flagged") & (F.col("start") - F.col("_prev.end") < F.col("refractory_time"))
+    s = scan(e, by, "_c", ["start"], lag={"_prev_end": F.col("end"), "_prev_flag": F.col("flagged")})
+    joins = F.col("flagged") & F.col("_prev_flag") & (F.col("start") - F.col("_prev_end") < F.col("refractory_time"))
     s = s.withColumn("_break", (~F.coalesce(joins, F.lit(False))).cast("long"))
     s = scan(s, by, "_c", ["start"], sums={"_grp": F.col("_break")})
     return (

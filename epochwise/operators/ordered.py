@@ -51,12 +51,13 @@ def scan(
     ffill, bfill, totals = ffill or {}, bfill or {}, totals or {}
     firsts, lasts = firsts or {}, lasts or {}
     by = list(by)
-    key = F.struct(*[F.col(c) for c in order])
+    # Plain columns keep the chunk summary a hash aggregate; struct buffers would make it sort.
+    key = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
 
     aggs = [F.sum(e).alias(f"_sum_{n}") for n, e in sums.items()]
     aggs += [F.sum(e).alias(f"_tot_{n}") for n, e in totals.items()]
-    aggs += [F.max_by(F.struct(e.alias("v")), key).alias(f"_lag_{n}") for n, e in lag.items()]
-    aggs += [F.min_by(F.struct(e.alias("v")), key).alias(f"_lead_{n}") for n, e in lead.items()]
+    aggs += [F.max_by(e, key).alias(f"_lag_{n}") for n, e in lag.items()]
+    aggs += [F.min_by(e, key).alias(f"_lead_{n}") for n, e in lead.items()]
     for n, e in {**{f"_ff_{n}": e for n, e in ffill.items()}, **{f"_last_{n}": e for n, e in lasts.items()}}.items():
         aggs.append(F.max_by(e, F.when(e.isNotNull(), key)).alias(n))
     for n, e in {**{f"_bf_{n}": e for n, e in bfill.items()}, **{f"_first_{n}": e for n, e in firsts.items()}}.items():
@@ -92,8 +93,8 @@ def scan(
     out = [F.col(c) for c in [*df.columns, *extra]]
     out += [(F.col(f"_sum_{n}") + F.sum(e).over(run)).alias(n) for n, e in sums.items()]
     out += [F.col(f"_tot_{n}").alias(n) for n in totals]
-    out += [F.when(first_row, F.col(f"_lag_{n}").v).otherwise(F.lag(e).over(local)).alias(n) for n, e in lag.items()]
-    out += [F.when(last_row, F.col(f"_lead_{n}").v).otherwise(F.lead(e).over(local)).alias(n) for n, e in lead.items()]
+    out += [F.when(first_row, F.col(f"_lag_{n}")).otherwise(F.lag(e).over(local)).alias(n) for n, e in lag.items()]
+    out += [F.when(last_row, F.col(f"_lead_{n}")).otherwise(F.lead(e).over(local)).alias(n) for n, e in lead.items()]
     out += [F.coalesce(F.last(e, ignorenulls=True).over(run), F.col(f"_ff_{n}")).alias(n) for n, e in ffill.items()]
     out += [F.coalesce(F.last(e, ignorenulls=True).over(run_down), F.col(f"_bf_{n}")).alias(n) for n, e in bfill.items()]
     out += [F.col(f"_first_{n}").alias(n) for n in firsts]

@@ -88,9 +88,10 @@ def merge_by_row(base: DataFrame, other: DataFrame, columns: list[str]) -> tuple
     return merged.join(good, "case_id", "left_semi"), unequal
 
 
-def _line(t: Column, a: Column, b: Column) -> Column:
-    """Value at ``t`` of the line through the points ``a`` and ``b``."""
-    return a.v + (b.v - a.v) * F.try_divide(t - a.t, b.t - a.t)
+def _line(t: Column, a: str, b: str) -> Column:
+    """Value at ``t`` of the line through two points given as column pairs ``<name>_t, <name>_v``."""
+    at, av, bt, bv = (F.col(c) for c in (f"{a}_t", f"{a}_v", f"{b}_t", f"{b}_v"))
+    return av + (bv - av) * F.try_divide(t - at, bt - at)
 
 
 def interpolate_extrapolate(
@@ -103,26 +104,32 @@ def interpolate_extrapolate(
     with their number of known points and do not appear in ``filled``.
     """
     order = order or ["row_idx"]
-    point = F.when(F.col(value).isNotNull(), F.struct(F.col(time).alias("t"), F.col(value).alias("v")))
-    known = tracks.filter(F.col(value).isNotNull()).select(case, *order, point.alias("_pt"))
+    has = F.col(value).isNotNull()
+    kt = F.when(has, F.col(time))
+    known = tracks.filter(has).select(case, *order, F.col(time).alias("_t"), F.col(value).cast("double").alias("_v"))
 
     def nearest_two(name: str, *direction: Column) -> DataFrame:
         # Spark keeps two rows per case in each task before the exchange (window group limit).
         ranked = known.withColumn("_rn", F.row_number().over(W.partitionBy(case).orderBy(*direction))).filter("_rn <= 2")
-        pair = F.struct(F.min("_pt").alias("a"), F.max("_pt").alias("b"), F.count(F.lit(1)).alias("n"))
-        return ranked.groupBy(case).agg(pair.alias(name))
-
-    head = nearest_two("_head", *[F.col(c).asc() for c in order])
-    tail = nearest_two("_tail", *[F.col(c).desc() for c in order])
-    third = scan(tracks, [case], chunk, order, ffill={"_p": point}, bfill={"_n": point}, attach=head.join(tail, case))
+        return ranked.groupBy(case).agg(
+            F.min("_t").alias(f"{name}a_t"), F.min_by("_v", "_t").alias(f"{name}a_v"),
+            F.max("_t").alias(f"{name}b_t"), F.max_by("_v", "_t").alias(f"{name}b_v"), F.count(F.lit(1)).alias(f"{name}n"),
+        )
+
+    head = nearest_two("_h", *[F.col(c).asc() for c in order])
+    tail = nearest_two("_e", *[F.col(c).desc() for c in order])
+    near = scan(
+        tracks, [case], chunk, order, ffill={"_p_t": kt, "_p_v": F.col(value)}, bfill={"_n_t": kt, "_n_v": F.col(value)},
+        attach=head.join(tail, case),
+    )
     t = F.col(time)
     filled = (
-        F.when(F.col(value).isNotNull(), F.col(value))
-        .when(F.col("_p").isNull(), _line(t, F.col("_head.a"), F.col("_head.b")))
-        .when(F.col("_n").isNull(), _line(t, F.col("_tail.a"), F.col("_tail.b")))
-        .otherwise(_line(t, F.col("_p"), F.col("_n")))
+        F.when(has, F.col(value))
+        .when(F.col("_p_t").isNull(), _line(t, "_ha", "_hb"))
+        .when(F.col("_n_t").isNull(), _line(t, "_ea", "_eb"))
+        .otherwise(_line(t, "_p", "_n"))
     )
-    done = third.filter("_head.n = 2").withColumn(value, filled)
+    done = near.filter("_hn = 2").withColumn(value, filled)
     failed = tracks.groupBy(case).agg(F.count(value).alias("n_known")).filter("n_known < 2")
     return done.select(*tracks.columns), failed
 
@@ -132,22 +139,20 @@ def interpolate_hold_ends(
 ) -> DataFrame:
     """fill gaps linearly by row index; leading and trailing gaps take the nearest known value."""
 
-    def point(v: str) -> Column:
-        return F.when(F.col(v).isNotNull(), F.struct(F.col(idx).cast("double").alias("t"), F.col(v).alias("v")))
+    def known_at(v: str) -> Column:
+        return F.when(F.col(v).isNotNull(), F.col(idx).cast("double"))
 
     out = scan(
         samples, [case], chunk, [idx],
-        ffill={f"_p_{v}": point(v) for v in values}, bfill={f"_n_{v}": point(v) for v in values},
+        ffill={**{f"_p{v}_t": known_at(v) for v in values}, **{f"_p{v}_v": F.col(v) for v in values}},
+        bfill={**{f"_n{v}_t": known_at(v) for v in values}, **{f"_n{v}_v": F.col(v) for v in values}},
     )
-    cols = []
-    for c in samples.columns:
-        if c in values:
-            p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")
-            inner = _line(F.col(idx), p, n)
-            cols.append(F.coalesce(F.col(c), inner, p.v, n.v).alias(c))
-        else:
-            cols.append(F.col(c))
-    return out.select(*cols)
+
+    def filled(v: str) -> Column:
+        inner = _line(F.col(idx), f"_p{v}", f"_n{v}")
+        return F.coalesce(F.col(v), inner, F.col(f"_p{v}_v"), F.col(f"_n{v}_v")).alias(v)
+
+    return out.select(*[filled(c) if c in values else F.col(c) for c in samples.columns])
 
 
 def step_fill(samples: DataFrame, value: str, case: str = "case_id", idx: str = "row_idx", chunk: str = "chunk") -> DataFrame:
