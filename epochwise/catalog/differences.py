@@ -76,11 +76,11 @@ QUERIES = {
         SELECT set, freq_hz, round(md, 6) AS median, round(ad, 6) AS mad, round(CASE WHEN md > 0 THEN 10 * log10(md) END, 6) AS median_db,
           round(CASE WHEN md + ad > 0 THEN 10 * log10(md + ad) END, 6) AS upper_db, round(CASE WHEN md - ad > 0 THEN 10 * log10(md - ad) END, 6) AS lower_db FROM a"""),
     "e25_auroc": (
-        lambda s, d: _r(S.auroc_bootstrap(equal_pairs(s, d), ["pair", "freq_hz"], "psd", 200, buckets=4).select("pair", "freq_hz", "auroc", "strong"), "auroc"),
+        lambda s, d: _r(S.auroc_bootstrap(equal_pairs(s, d), ["pair", "freq_hz"], "psd", 200, rows_per_chunk=200).select("pair", "freq_hz", "auroc", "strong"), "auroc"),
         f"""WITH {PAIRS}, au AS (SELECT pair, freq_hz, (w - n1 * (n1 + 1) / 2) / (n1 * n0) AS a FROM ws)
         SELECT pair, freq_hz, round(a, 6) AS auroc, a >= 0.7 OR a <= 0.3 AS strong FROM au"""),
     "e25_auroc_bootstrap": (
-        lambda s, d: S.auroc_bootstrap(equal_pairs(s, d), ["pair", "freq_hz"], "psd", 200, buckets=4), None),
+        lambda s, d: S.auroc_bootstrap(equal_pairs(s, d), ["pair", "freq_hz"], "psd", 200, rows_per_chunk=200), None),
     "e26_rank_sum": (
         lambda s, d: _r(S.rank_sum(equal_pairs(s, d), ["pair", "freq_hz"], "psd").drop("p_value"), "z"),
         f"""WITH {PAIRS} SELECT pair, freq_hz, n1, n0, w AS rank_sum,

@@ -186,13 +186,14 @@ def unequal_rows(spark, sf):
 def trim(spark, sf):
     z = I.samples(spark, sf).withColumn("ch1", F.round("ch1", 1)).withColumn("ch2", F.when(F.col("idx") % 64 >= 5, F.round("ch2", 1)).otherwise(0.0))
     z = z.withColumn("ch1", F.when(F.col("idx") >= 7, F.col("ch1")).otherwise(0.0)).withColumn("ch2", F.when(F.col("idx") >= 7, F.col("ch2")).otherwise(0.0))
-    return T.trim_zero_rows(z, ["ch1", "ch2"])
+    t = T.trim_zero_rows(z, ["ch1", "ch2"])
+    return t.withColumns({c: F.col(c) + F.lit(0.0) for c in ("ch1", "ch2")})  # minus zero as zero
 
 
 TRIM = I.SAMPLES + """, z AS (SELECT case_id, idx, CASE WHEN idx >= 7 THEN round(ch1, 1) ELSE 0.0 END AS ch1,
    CASE WHEN idx >= 7 AND idx % 64 >= 5 THEN round(ch2, 1) ELSE 0.0 END AS ch2 FROM samples),
  b AS (SELECT case_id, min(idx) AS a, max(idx) AS b FROM z WHERE ch1 <> 0 OR ch2 <> 0 GROUP BY case_id)
-SELECT z.case_id, idx - a AS idx, ch1, ch2 FROM z JOIN b ON z.case_id = b.case_id WHERE idx BETWEEN a AND b"""
+SELECT z.case_id, idx - a AS idx, ch1 + 0.0 AS ch1, ch2 + 0.0 AS ch2 FROM z JOIN b ON z.case_id = b.case_id WHERE idx BETWEEN a AND b"""
 
 
 def monitor_stats(spark, sf):

@@ -30,6 +30,11 @@ def _r(df, *cols, n=6):
     return df
 
 
+def _plus_zero(df):
+    """Minus zero as zero: the two engines round tiny negative numbers to different zeros."""
+    return df.withColumns({c: F.col(c) + F.lit(0.0) for c in ("ch1", "ch2")})
+
+
 def _by_case(df, order):
     """Files in case and row order; a long case spreads over several files."""
     return df.repartitionByRange(PARTS, "case_id", order).sortWithinPartitions("case_id", order)
@@ -60,7 +65,7 @@ def filtered_csv(s, d):
     heads = data.select("case_id").distinct().select("case_id", F.explode(F.array(
         F.struct(F.lit(-2).cast("long").alias("idx"), F.lit(f"# fs = {FS}").alias("value")), F.struct(F.lit(-1).cast("long").alias("idx"), F.lit("1,2").alias("value")))).alias("h")).select("case_id", "h.*")
     _by_case(data.unionByName(heads), "idx").drop("idx").write.partitionBy("case_id").text(path)
-    return A.read_filtered_csv(s, path, FOLDER)
+    return _plus_zero(A.read_filtered_csv(s, path, FOLDER))
 
 
 def stages(s, d):
@@ -72,14 +77,15 @@ def stages(s, d):
 
 
 def raw_stage(s, d):
-    return G.to_samples(A.read_waveform(s, stages(s, d), "raw"), BLOCK)
+    return _plus_zero(G.to_samples(A.read_waveform(s, stages(s, d), "raw"), BLOCK))
 
 
 def filtered_stage(s, d):
     path = new_path(s, "waveform32")
     B.write_waveform(A.read_waveform(s, stages(s, d), "filtered"), path, "filtered", float32=True)
     f = A.read_waveform(s, path, "filtered")
-    return _r(G.to_samples(f, BLOCK).select("case_id", "idx", F.col("ch1").cast("double").alias("ch1"), F.col("ch2").cast("double").alias("ch2")), "ch1", "ch2", n=4)
+    wide = G.to_samples(f, BLOCK).select("case_id", "idx", F.col("ch1").cast("double").alias("ch1"), F.col("ch2").cast("double").alias("ch2"))
+    return _plus_zero(_r(wide, "ch1", "ch2", n=4))
 
 
 def epoch_table(s, d):
@@ -257,10 +263,10 @@ _LAB = f"WITH {I.LABELLED} "
 QUERIES = {
     "a1_track_scan": (tracks_scan, f"WITH {I.TRACKS} SELECT case_id, row_idx, round(time, 6) AS time, bis, bis_sr, mac FROM tracks"),
     "a2_waveform_scan": (waveform_csv, f"WITH {_INTER}"),
-    "a3_filtered_waveform_scan": (filtered_csv, f"WITH {I.SAMPLES} SELECT case_id, idx, round(ch1, 4) AS ch1, round(ch2, 4) AS ch2, 32 AS fs FROM samples"),
-    "a4_b1_raw_stage": (raw_stage, f"WITH {I.SAMPLES} SELECT case_id, idx, round(ch1, 4) AS ch1, round(ch2, 4) AS ch2 FROM samples"),
+    "a3_filtered_waveform_scan": (filtered_csv, f"WITH {I.SAMPLES} SELECT case_id, idx, round(ch1, 4) + 0.0 AS ch1, round(ch2, 4) + 0.0 AS ch2, 32 AS fs FROM samples"),
+    "a4_b1_raw_stage": (raw_stage, f"WITH {I.SAMPLES} SELECT case_id, idx, round(ch1, 4) + 0.0 AS ch1, round(ch2, 4) + 0.0 AS ch2 FROM samples"),
     "a4_b1_filtered_stage_float": (
-        filtered_stage, f"WITH {I.SAMPLES} SELECT case_id, idx, round(ch1 - avg(ch1) OVER w, 4) AS ch1, round(ch2 - avg(ch2) OVER w, 4) AS ch2 FROM samples WINDOW w AS (PARTITION BY case_id)"),
+        filtered_stage, f"WITH {I.SAMPLES} SELECT case_id, idx, round(ch1 - avg(ch1) OVER w, 4) + 0.0 AS ch1, round(ch2 - avg(ch2) OVER w, 4) + 0.0 AS ch2 FROM samples WINDOW w AS (PARTITION BY case_id)"),
     "a5_epoch_table_by_parameters": (
         epoch_table, f"""WITH {MI.EPISODES}, {MI._windows_sql("episodes")} SELECT {K} FROM windows WHERE bis_threshold = 20 AND mac_threshold = 0.1 AND min_episode_length = 3
         AND refractory_time = 5 AND fixed_window = 10 AND overlap_frac = 0"""),

@@ -43,11 +43,10 @@ def sample_anesthesia_epochs(
     queue = scan(room, [], "_hc", ["_h", "case_id"], sums={"_cum": F.col("_take")})
     quota = F.least(F.col("_take"), F.lit(n) - (F.col("_cum") - F.col("_take")))
     chosen = queue.withColumn("_quota", quota).filter("_quota > 0")
-    # A case's second numbers are cut into hour chunks, so that no task receives a whole long case.
     starts = chosen.select(
         "case_id", "_quota", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - length)).alias("start")
     )
-    picked = hash_order(starts, ["case_id"], seed, ["case_id", "start"], "_pick").filter("_pick <= _quota")
+    picked = hash_order(starts, ["case_id"], seed, ["case_id", "start"], "_pick", digits=1).filter("_pick <= _quota")
     return picked.select("case_id", F.col("start").cast("double").alias("start"), (F.col("start") + length).cast("double").alias("end"))
 
 

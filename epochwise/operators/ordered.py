@@ -115,6 +115,23 @@ def value_chunks(df: DataFrame, by: Sequence[str], value: str, buckets: int, nam
     return join_small(df, splits, by).withColumn(name, F.coalesce(chunk, F.lit(0))).drop("_splits")
 
 
+def bounded_chunks(df: DataFrame, by: Sequence[str], value: str, rows_per_chunk: int, fan_out: int = 256) -> tuple[DataFrame, list[str]]:
+    """Nested value ranges ``_c0, _c1, ...`` with about ``rows_per_chunk`` rows in the innermost one.
+
+    The number of levels follows from the largest group, so no range grows with the data.
+    """
+    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    need, levels = -(-largest // rows_per_chunk), []
+    while True:
+        parts = min(max(need, 1), fan_out)
+        name = f"_c{len(levels)}"
+        df = value_chunks(df, [*by, *levels], value, parts, name) if parts > 1 else df.withColumn(name, F.lit(0))
+        levels.append(name)
+        need = -(-need // parts)
+        if need <= 1:
+            return df, levels
+
+
 # Chunks per doubling of the value, and a shift that keeps all positive doubles above zero.
 _PER_OCTAVE, _SHIFT = 4096, 4096 * 1100
 
@@ -185,9 +202,15 @@ def stable_hash(seed: int | str, *keys: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
-def hash_order(df: DataFrame, by: Sequence[str], seed: int | str, keys: Sequence[str], name: str = "pick") -> DataFrame:
-    """1-based position of each row in the seeded random order of its group."""
-    h = df.withColumn("_h", stable_hash(seed, *keys)).withColumn("_hc", F.substring("_h", 1, 3))
+def hash_order(
+    df: DataFrame, by: Sequence[str], seed: int | str, keys: Sequence[str], name: str = "pick", digits: int = 4
+) -> DataFrame:
+    """1-based position of each row in the seeded random order of its group.
+
+    A group is cut into ``16 ** digits`` chunks of equal expected size: 65,536 for few large groups
+    (folds, roles, classes), fewer for many small ones.
+    """
+    h = df.withColumn("_h", stable_hash(seed, *keys)).withColumn("_hc", F.substring("_h", 1, digits))
     return scan(h, by, "_hc", ["_h", *keys], sums={name: F.lit(1)}).drop("_h", "_hc")
 
 

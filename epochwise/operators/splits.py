@@ -17,6 +17,7 @@ from epochwise.operators.ordered import hash_order, scan, stable_hash, take_rand
 from epochwise.session import materialize
 
 KEYS = ["case_id", "start", "end"]
+GROUP_LIMIT = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
 
 
 def case_counts(df: DataFrame) -> DataFrame:
@@ -197,11 +198,18 @@ def stratified_samples(rows: DataFrame, sizes: Sequence[int], iterations: int, k
     """For each size and iteration half of the size from each class, without replacement.
 
     An iteration has one random order per class and a size takes its beginning, so rows are repeated
-    per iteration only. Tasks keep the first ``max(sizes) / 2`` rows per class before the exchange.
+    per iteration only. Up to Spark's window group limit, tasks keep the first ``max(sizes) / 2`` rows
+    per class before the exchange; beyond it the order is worked out in hash chunks.
     """
     each = rows.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    h = F.md5(F.concat_ws(":", "iteration", *[F.col(k).cast("string") for k in keys]))
-    order = W.partitionBy("iteration", "label").orderBy(h, *keys)
-    first = each.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= max(sizes) // 2)
+    each = each.withColumn("_h", F.md5(F.concat_ws(":", "iteration", *[F.col(k).cast("string") for k in keys])))
+    bound = max(sizes) // 2
+    if bound <= GROUP_LIMIT:
+        order = W.partitionBy("iteration", "label").orderBy("_h", *keys)
+        ranked = each.withColumn("_rn", F.row_number().over(order))
+    else:
+        chunked = each.withColumn("_hc", F.substring("_h", 1, 4))
+        ranked = scan(chunked, ["iteration", "label"], "_hc", ["_h", *keys], sums={"_rn": F.lit(1)}).drop("_hc")
+    first = ranked.filter(F.col("_rn") <= bound)
     sized = first.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes])))
-    return sized.filter(F.col("_rn") <= F.floor(F.col("size") / 2)).drop("_rn")
+    return sized.filter(F.col("_rn") <= F.floor(F.col("size") / 2)).drop("_rn", "_h")

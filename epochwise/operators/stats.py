@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochwise.functions.pvalues import fisher_p, normal_p, student_p
-from epochwise.operators.ordered import cumulative, percentiles, take_random, value_chunks
-from epochwise.session import spread
+from epochwise.operators.ordered import bounded_chunks, cumulative, percentiles, take_random
+from epochwise.session import materialize, spread
 
 
 def mean_spectrum(spectra: DataFrame, by: Sequence[str] = ("set",), metric: str = "std") -> DataFrame:
@@ -81,22 +81,25 @@ def poisson_weights(seeds: np.ndarray, counts: np.ndarray, replicates: int, salt
 
 
 def auroc_bootstrap(
-    rows: DataFrame, by: Sequence[str], value: str = "psd", replicates: int = 10_000, seed: int = 42, buckets: int = 16
+    rows: DataFrame, by: Sequence[str], value: str = "psd", replicates: int = 10_000, seed: int = 42, rows_per_chunk: int = 20_000
 ) -> DataFrame:
     """AUROC (first set above second, ties half) per group with a percentile bootstrap interval.
 
     A bootstrap draws each row a Poisson(1) number of times; ``n`` equal values of a set together are
-    drawn Poisson(n) times, so equal values are counted before any exchange. Each value range is
-    worked off on its own for all replicates at once, and the ranges of a group, at most ``buckets``,
-    are chained afterwards.
+    drawn Poisson(n) times, so equal values are counted before any exchange. Value ranges of bounded
+    size are worked off on their own, for all replicates at once. Neighbouring ranges are then chained,
+    level by level with a bounded number of ranges per step.
     """
     by = list(by)
     counted = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(
         F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0")
     )
-    chunked = value_chunks(counted, by, "v", buckets).withColumn("_seed", F.xxhash64(F.lit(seed), *by, "v"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunked.schema.fields if f.name in by)
-    part_schema = f"{schema}, _chunk int, p array<double>, n array<double>, u array<double>"
+    chunked, levels = bounded_chunks(materialize(counted, "values"), by, "v", rows_per_chunk)
+    chunked = chunked.withColumn("_seed", F.xxhash64(F.lit(seed), *by, "v"))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chunked.schema.fields if f.name in by)
+
+    def part_schema(inner: list[str]) -> str:
+        return schema + "".join(f"{c} int, " for c in inner) + "p array<double>, n array<double>, u array<double>"
 
     def one_range(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         # Column 0 holds the data as observed, the others the replicates.
@@ -113,21 +116,34 @@ def auroc_bootstrap(
             u += (w1 * (below + 0.5 * w0)).sum(axis=0)
             p += w1.sum(axis=0)
             n += w0.sum(axis=0)
-        return pd.DataFrame([{**dict(zip(by, key)), "_chunk": key[-1], "p": p, "n": n, "u": u}])
+        return pd.DataFrame([{**dict(zip([*by, *levels], key)), "p": p, "n": n, "u": u}])
 
-    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_chunk")
+    def chained(pdf: pd.DataFrame, level: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Totals of consecutive ranges: rows of the first set also win against everything below their range."""
+        pdf = pdf.sort_values(level)
         p, n, u = (np.stack(pdf[c].to_numpy()) for c in ("p", "n", "u"))
-        below = np.cumsum(n, axis=0) - n
+        return p.sum(axis=0), n.sum(axis=0), (u + p * (np.cumsum(n, axis=0) - n)).sum(axis=0)
+
+    def chain(level: str, outer: list[str]):
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            p, n, u = chained(pdf, level)
+            return pd.DataFrame([{**dict(zip([*by, *outer], key)), "p": p, "n": n, "u": u}])
+
+        return run
+
+    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        p, n, u = chained(pdf, levels[0])
         with np.errstate(invalid="ignore", divide="ignore"):
-            auc = (u + p * below).sum(axis=0) / (p.sum(axis=0) * n.sum(axis=0))
+            auc = u / (p * n)
         draws = auc[1:][np.isfinite(auc[1:])]
         lo, hi = np.percentile(draws, [2.5, 97.5]) if len(draws) else (None, None)
-        out = dict(zip(by, key))
-        return pd.DataFrame([{**out, "auroc": auc[0] if np.isfinite(auc[0]) else None, "ci_low": lo, "ci_high": hi}])
+        return pd.DataFrame([{**dict(zip(by, key)), "auroc": auc[0] if np.isfinite(auc[0]) else None, "ci_low": lo, "ci_high": hi}])
 
-    parts = spread(chunked, *by, "_chunk").groupBy(*by, "_chunk").applyInPandas(one_range, part_schema)
-    res = parts.groupBy(*by).applyInPandas(chain, f"{schema}, auroc double, ci_low double, ci_high double")
+    parts = spread(chunked, *by, *levels).groupBy(*by, *levels).applyInPandas(one_range, part_schema(levels))
+    for i in range(len(levels) - 1, 0, -1):
+        outer = levels[:i]
+        parts = parts.groupBy(*by, *outer).applyInPandas(chain(levels[i], outer), part_schema(outer))
+    res = parts.groupBy(*by).applyInPandas(finish, f"{schema}auroc double, ci_low double, ci_high double")
     strong = (F.col("auroc") >= 0.7) | (F.col("auroc") <= 0.3)
     sided = (F.col("ci_low") > 0.5) | (F.col("ci_high") < 0.5)
     return res.withColumn("strong", strong).withColumn("significant", sided)
@@ -162,12 +178,17 @@ def _welch(m1: Column, v1: Column, n1: Column, m0: Column, v0: Column, n0: Colum
     return t, dof
 
 
-def _two_groups(long: DataFrame, name: str) -> DataFrame:
-    aggs = []
-    for g in (1, 0):
-        x = F.when(F.col("label") == g, F.col("value"))
-        aggs += [F.avg(x).alias(f"m{g}"), F.var_samp(x).alias(f"v{g}"), F.count(x).cast("double").alias(f"n{g}")]
-    return long.groupBy(name).agg(*aggs)
+def _two_groups(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+    """Mean, sample variance and count per variable and group, from one pass without repeating rows."""
+    packed = []
+    for c in columns:
+        x = F.col(c).cast("double")
+        fields = [F.lit(c).alias(name)]
+        for g in (1, 0):
+            mine = F.when((F.col("label") == g) & ~F.isnan(x), x)
+            fields += [F.avg(mine).alias(f"m{g}"), F.var_samp(mine).alias(f"v{g}"), F.count(mine).cast("double").alias(f"n{g}")]
+        packed.append(F.struct(*fields))
+    return df.agg(F.array(*packed).alias("_a")).select(F.explode("_a").alias("_g")).select("_g.*")
 
 
 def feature_differences(df: DataFrame, columns: Sequence[str], test: str = "t-test") -> DataFrame:
@@ -177,8 +198,7 @@ def feature_differences(df: DataFrame, columns: Sequence[str], test: str = "t-te
     """
     if test not in ("t-test", "mannwhitney"):
         raise ValueError("test must be 't-test' or 'mannwhitney'")
-    long = _long(df, ["label"], columns, "feature")
-    g = _two_groups(long, "feature")
+    g = _two_groups(df, columns, "feature")
     c = {n: F.col(n) for n in ("m1", "v1", "n1", "m0", "v0", "n0")}
     t, dof = _welch(**{k: c[k] for k in ("m1", "v1", "n1", "m0", "v0", "n0")})
     pooled = F.sqrt(F.try_divide((c["n1"] - 1) * c["v1"] + (c["n0"] - 1) * c["v0"], c["n1"] + c["n0"] - 2))
@@ -189,7 +209,7 @@ def feature_differences(df: DataFrame, columns: Sequence[str], test: str = "t-te
     if test == "t-test":
         out = out.withColumn("statistic", F.col("_t")).withColumn("p_value", student_p("_t", "_dof"))
     else:
-        r = rank_sum(long, ["feature"], "value").select("feature", F.col("rank_sum").alias("statistic"), "p_value")
+        r = rank_sum(_long(df, ["label"], columns, "feature"), ["feature"], "value").select("feature", F.col("rank_sum").alias("statistic"), "p_value")
         out = out.join(r, "feature").withColumn("cohen_d", F.lit(None).cast("double"))
     cols = ["feature", "mean_1", "mean_0", "mean_diff", "statistic", "p_value", "cohen_d"]
     return out.select(*cols).orderBy(F.col("p_value").asc_nulls_last(), "feature")
@@ -205,7 +225,7 @@ def _with_group(metadata: DataFrame, cases: DataFrame, case: str) -> DataFrame:
 
 def outlier_means(metadata: DataFrame, cases: DataFrame, columns: Sequence[str], binary: Sequence[str], case: str = "case_id") -> DataFrame:
     """Mean per variable among the outlier cases and among all cases."""
-    g = _two_groups(_long(_with_group(metadata, cases, case), ["label"], columns, "variable"), "variable")
+    g = _two_groups(_with_group(metadata, cases, case), columns, "variable")
     kind = F.when(F.col("variable").isin(*binary), "binary").otherwise("numeric") if binary else F.lit("numeric")
     return g.select("variable", kind.alias("type"), F.col("m1").alias("outlier_mean"), F.col("m0").alias("full_mean"),
                     (F.col("m1") - F.col("m0")).alias("difference"))
@@ -213,12 +233,13 @@ def outlier_means(metadata: DataFrame, cases: DataFrame, columns: Sequence[str],
 
 def outlier_tests(metadata: DataFrame, cases: DataFrame, columns: Sequence[str], case: str = "case_id") -> DataFrame:
     """Fisher's exact test for 0/1 variables, Welch's t-test for others; rounded to 4 decimals."""
-    long = _long(_with_group(metadata, cases, case), ["label"], columns, "variable")
+    grouped = _with_group(metadata, cases, case)
+    long = _long(grouped, ["label"], columns, "variable")
     ones = [F.count_if((F.col("label") == g) & (F.col("value") == x)).alias(f"c{g}{x}") for g in (1, 0) for x in (0, 1)]
     full = F.col("label") == 0
     binary = F.bool_and(F.when(full, F.col("value").isin(0.0, 1.0))) & (F.countDistinct(F.when(full & F.col("value").isin(0.0, 1.0), F.col("value"))) == 2)
     counts = long.groupBy("variable").agg(*ones, binary.alias("binary"))
-    g = _two_groups(long, "variable").join(counts, "variable")
+    g = _two_groups(grouped, columns, "variable").join(counts, "variable")
     t, dof = _welch(F.col("m1"), F.col("v1"), F.col("n1"), F.col("m0"), F.col("v0"), F.col("n0"))
     g = g.withColumn("_t", t).withColumn("_dof", dof)
     p = F.when(F.col("binary"), fisher_p("c11", "c10", "c01", "c00")).otherwise(student_p("_t", "_dof"))

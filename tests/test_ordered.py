@@ -86,3 +86,14 @@ def test_take_random_is_the_hash_order(spark):
         want |= {(g, k) for k in keys[:5]}
     assert got == want
     assert got == {(r["g"], r["k"]) for r in O.take_random(df.repartition(7), ["g"], 7, ["k"], F.lit(5)).collect()}
+
+
+def test_nested_chunks_are_bounded_and_ordered(spark):
+    df = spark.createDataFrame([(i // 900, float(i * i % 1009) + i / 1e6) for i in range(1000)], "g int, v double")
+    out, levels = O.bounded_chunks(df, ["g"], "v", 20, fan_out=8)
+    pdf = out.toPandas().sort_values(["g", "v"])
+    assert len(levels) == 2
+    assert pdf.groupby(["g", *levels]).size().max() <= 45
+    for _, part in pdf.groupby("g"):
+        keys = list(zip(*[part[c] for c in levels]))
+        assert keys == sorted(keys)

@@ -122,8 +122,8 @@ def test_bootstrap_interval(spark):
     rows = [("a", 1, float(v)) for v in rng.normal(0.8, 1, 150)] + [("a", 0, float(v)) for v in rng.normal(0, 1, 150)]
     rows += [("tied", i % 2, 1.0) for i in range(500)]
     df = spark.createDataFrame(rows, "freq_hz string, label int, psd double")
-    one = {r["freq_hz"]: r for r in ST.auroc_bootstrap(df, ["freq_hz"], "psd", 500, buckets=4).collect()}
-    two = {r["freq_hz"]: r for r in ST.auroc_bootstrap(df.repartition(5), ["freq_hz"], "psd", 500, buckets=1).collect()}
+    one = {r["freq_hz"]: r for r in ST.auroc_bootstrap(df, ["freq_hz"], "psd", 500, rows_per_chunk=40).collect()}
+    two = {r["freq_hz"]: r for r in ST.auroc_bootstrap(df.repartition(5), ["freq_hz"], "psd", 500).collect()}
     pos, neg = [r[2] for r in rows if r[:2] == ("a", 1)], [r[2] for r in rows if r[:2] == ("a", 0)]
     auc = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / len(pos) / len(neg)
     assert one["a"]["auroc"] == pytest.approx(auc) and one["tied"]["auroc"] == 0.5
