@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epochwise.operators.ordered import cumulative, percentiles, scan
+from epochwise.operators.ordered import cumulative, join_small, percentiles, scan
 from epochwise.session import materialize
 
 PARAM_COLS = ["bis_threshold", "mac_threshold", "min_episode_length", "refractory_time"]
@@ -171,12 +171,12 @@ def duration_histogram(episodes: DataFrame, by: Sequence[str] = ()) -> DataFrame
     d = episodes.withColumn("duration", F.col("end") - F.col("start"))
     q = percentiles(d, by, "duration", {"q1": 0.25, "q3": 0.75})
     span = d.groupBy(*by).agg(F.min("duration").alias("lo"), F.count(F.lit(1)).alias("n"))
-    stats = q.join(span, by) if by else q.crossJoin(span)
+    stats = join_small(q, span, by)
     width = 2 * (F.col("q3") - F.col("q1")) * F.pow(F.col("n").cast("double"), F.lit(-1 / 3))
     stats = stats.select(*by, "lo", F.when(width > 0, width).otherwise(F.lit(1.0)).alias("bin_width"))
     # Counting equal durations first leaves one row per distinct value for the join.
     grouped = d.groupBy(*by, "duration").agg(F.count(F.lit(1)).alias("n"))
-    binned = (grouped.join(stats, by) if by else grouped.crossJoin(stats)).withColumn(
+    binned = join_small(grouped, stats, by).withColumn(
         "bin", F.floor((F.col("duration") - F.col("lo")) / F.col("bin_width"))
     )
     return binned.groupBy(*by, "bin", "bin_width", (F.col("lo") + F.col("bin") * F.col("bin_width")).alias("bin_start")).agg(

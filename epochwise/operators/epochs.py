@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epochwise.operators.ordered import hash_order, scan, stable_hash
+from epochwise.operators.ordered import hash_order, join_small, scan, stable_hash
 
 KEYS = ["case_id", "start", "end"]
 
@@ -104,7 +104,7 @@ def equal_width_histogram(df: DataFrame, value: str, bins: int = 30) -> DataFram
     width = (F.col("_hi") - F.col("_lo")) / bins
     number = F.least(F.floor(F.try_divide(F.col(value) - F.col("_lo"), width)), F.lit(bins - 1))
     return (
-        df.crossJoin(span).withColumn("bin", F.coalesce(number, F.lit(0)))
+        join_small(df, span, []).withColumn("bin", F.coalesce(number, F.lit(0)))
         .groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     )
 

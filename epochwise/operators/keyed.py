@@ -130,7 +130,7 @@ def spectra_of(epochs: DataFrame, spectra: DataFrame, strict: bool = False, keys
     axes = hit.agg(F.min("_n").alias("_n0"), F.max("_n").alias("_n1"), F.min("_axis").alias("_x0"), F.max("_axis").alias("_x1"))
     same = (F.col("_n0") == F.col("_n1")) & (F.col("_x0") == F.col("_x1"))
     axes = axes.select(F.when(same, F.lit(True)).otherwise(F.raise_error(F.lit("frequency axes differ"))).alias("_same"))
-    return hit.select(*epochs.columns).join(spectra, list(keys)).crossJoin(axes).filter("_same").drop("_same")
+    return hit.select(*epochs.columns).join(spectra, list(keys)).filter(axes.scalar())
 
 
 def imbalance_vs_metric(shares: DataFrame, metrics: DataFrame, metric: str) -> DataFrame:

@@ -103,8 +103,11 @@ def scan(
 
 
 def join_small(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Join on ``on``; with no keys ``right`` is a single row of totals and is attached as such."""
-    return left.join(right, list(on)) if on else left.crossJoin(right)
+    """Join on ``on``; with no keys ``right`` is a single row of totals and becomes a scalar subquery."""
+    if on:
+        return left.join(right, list(on))
+    one = right.select(F.struct(*[F.col(c) for c in right.columns])).scalar()
+    return left.withColumn("_one", one).select(*left.columns, *[F.col(f"_one.{c}").alias(c) for c in right.columns])
 
 
 def value_chunks(df: DataFrame, by: Sequence[str], value: str, buckets: int, name: str = "_chunk") -> DataFrame:

@@ -178,7 +178,7 @@ def outlier_groups(
 ) -> DataFrame:
     """Groups with many errors and an error rate at or above the threshold."""
     if threshold == "iqr":
-        marked = errors.crossJoin(tukey_threshold(errors, k, rate))
+        marked = join_small(errors, tukey_threshold(errors, k, rate), [])
     elif isinstance(threshold, float):
         marked = errors.withColumn("error_threshold", F.lit(threshold))
     else:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from epochwise.operators.keyed import exclude_cases, labelled_union
-from epochwise.operators.ordered import hash_order, scan, stable_hash, take_random
+from epochwise.operators.ordered import hash_order, join_small, scan, stable_hash, take_random
 from epochwise.session import materialize
 
 KEYS = ["case_id", "start", "end"]
@@ -112,7 +112,7 @@ def find_case_split(
 
 def _attach_few(df: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
     """Join a table of one row per fold or role: its size is bounded by their number, so it is broadcast."""
-    return df.join(F.broadcast(table), list(by)) if by else df.crossJoin(F.broadcast(table))
+    return df.join(F.broadcast(table), list(by)) if by else join_small(df, table, [])
 
 
 def balance_classes(df: DataFrame, seed: int = 42, by: Sequence[str] = (), keys: Sequence[str] = KEYS) -> DataFrame:
@@ -155,7 +155,7 @@ def case_folds(counts: DataFrame, k: int, seed: int = 42) -> DataFrame:
     r, base, extra = F.col("_r") - 1, F.floor(F.col("_n") / k), F.col("_n") % k
     cut = extra * (base + 1)
     fold = F.when(r < cut, F.floor(r / (base + 1))).otherwise(extra + F.floor(F.try_divide(r - cut, base)))
-    return ranked.crossJoin(F.broadcast(n)).select("case_id", fold.cast("int").alias("fold"))
+    return join_small(ranked, n, []).select("case_id", fold.cast("int").alias("fold"))
 
 
 def cross_validation_splits(rows: DataFrame, k: int = 5, test_size: float | None = 0.2, seed: int = 42) -> DataFrame:

@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from epochwise.operators.ordered import join_small
 from epochwise.params import EPOCH_TYPES
 
 RUN_SCHEMA = "run_name string, created string, epoch_types array<string>, model string, params string, metrics string, param_hash string"
@@ -79,7 +80,7 @@ def register_run(
     )
     # One row per fold: few, so the metrics fit into one JSON field of the record.
     summary = metrics.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*metrics.columns)))).alias("metrics"))
-    record.crossJoin(summary).select("run_name", "created", "epoch_types", "model", "params", "metrics", "param_hash").write.mode("append").parquet(f"{path}/runs")
+    join_small(record, summary, []).select("run_name", "created", "epoch_types", "model", "params", "metrics", "param_hash").write.mode("append").parquet(f"{path}/runs")
     splits.select(F.lit(name).alias("run"), "fold", "role", "case_id", "start", "end").write.mode("append").partitionBy("run").parquet(f"{path}/split_keys")
     return name
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from epochwise.operators.ordered import join_small
 from epochwise.operators.reports import with_error
 from epochwise.params import EpisodeParams
 from epochwise.session import materialize
@@ -55,7 +56,7 @@ def write_splits(splits: DataFrame, path: str) -> None:
     if "fold" not in splits.columns:
         splits = splits.withColumn("fold", F.lit(0))
     folds = splits.agg(F.countDistinct("fold").alias("n_folds"))
-    _replace(splits.crossJoin(folds), path, "fold", "role")
+    _replace(join_small(splits, folds, []), path, "fold", "role")
 
 
 def write_predictions(predictions: DataFrame, path: str, run: str) -> None:
