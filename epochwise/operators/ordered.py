@@ -206,11 +206,11 @@ def stable_hash(seed: int | str, *keys: str) -> Column:
 
 
 def hash_order(
-    df: DataFrame, by: Sequence[str], seed: int | str, keys: Sequence[str], name: str = "pick", digits: int = 4
+    df: DataFrame, by: Sequence[str], seed: int | str, keys: Sequence[str], name: str = "pick", digits: int = 3
 ) -> DataFrame:
     """1-based position of each row in the seeded random order of its group.
 
-    A group is cut into ``16 ** digits`` chunks of equal expected size: 65,536 for few large groups
+    A group is cut into ``16 ** digits`` chunks of equal expected size: 4,096 for few large groups
     (folds, roles, classes), fewer for many small ones.
     """
     h = df.withColumn("_h", stable_hash(seed, *keys)).withColumn("_hc", F.substring("_h", 1, digits))
@@ -218,5 +218,21 @@ def hash_order(
 
 
 def take_random(df: DataFrame, by: Sequence[str], seed: int | str, keys: Sequence[str], n: Column) -> DataFrame:
-    """The first ``n`` rows of each group in seeded random order (sampling without replacement)."""
-    return hash_order(df, by, seed, keys, "_pick").filter(F.col("_pick") <= n).drop("_pick")
+    """The first ``n`` rows of each group in seeded random order (sampling without replacement).
+
+    For few groups (folds, roles, classes): the counts per group and hash chunk, at most 4,096 rows per
+    group, are broadcast. A chunk that lies wholly below ``n`` is taken and one wholly above it is left
+    without moving its rows; only the one chunk per group that ``n`` cuts through is exchanged and
+    ordered. With many groups filter :func:`hash_order` instead.
+    """
+    by = list(by)
+    h = df.withColumn("_h", stable_hash(seed, *keys)).withColumn("_hc", F.substring("_h", 1, 3))
+    before = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("_hc").rowsBetween(UP, -1)
+    counts = h.groupBy(*by, "_hc").agg(F.count(F.lit(1)).alias("_in"))
+    counts = counts.withColumn("_below", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    placed = h.join(F.broadcast(counts), [*by, "_hc"])
+    whole = placed.filter(F.col("_below") + F.col("_in") <= n)
+    cut = placed.filter((F.col("_below") < n) & (F.col("_below") + F.col("_in") > n))
+    order = W.partitionBy(*by, "_hc").orderBy("_h", *keys)
+    part = cut.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= n - F.col("_below")).drop("_rn")
+    return whole.unionByName(part).select(*df.columns)

@@ -208,7 +208,7 @@ def stratified_samples(rows: DataFrame, sizes: Sequence[int], iterations: int, k
         order = W.partitionBy("iteration", "label").orderBy("_h", *keys)
         ranked = each.withColumn("_rn", F.row_number().over(order))
     else:
-        chunked = each.withColumn("_hc", F.substring("_h", 1, 4))
+        chunked = each.withColumn("_hc", F.substring("_h", 1, 3))
         ranked = scan(chunked, ["iteration", "label"], "_hc", ["_h", *keys], sums={"_rn": F.lit(1)}).drop("_hc")
     first = ranked.filter(F.col("_rn") <= bound)
     sized = first.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes])))
