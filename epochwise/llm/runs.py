@@ -11,12 +11,14 @@ Everything here works on arrays of 64-bit unit hashes, inside a task, in slices
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -247,6 +249,14 @@ class HashSet:
     rows: list[np.ndarray]
     bits: int
 
+    def packed(self) -> tuple:
+        """Plain values to broadcast; workers need not know this class to read them."""
+        return [zlib.compress(r, 1) for r in self.rows], self.bits
+
+    @staticmethod
+    def unpacked(data: tuple) -> HashSet:
+        return HashSet([np.frombuffer(zlib.decompress(r), np.uint8) for r in data[0]], data[1])
+
     def has(self, hashes: np.ndarray) -> np.ndarray:
         out = None
         for row, cells in zip(self.rows, cells_of(hashes, len(self.rows), self.bits)):
@@ -344,19 +354,22 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
 
 def count_grams(rows: DataFrame, plan: Plan, level: int, open_sets: Sequence, sketch_rows: int, bits: int, hot: int) -> tuple[HashSet, HashSet]:
     """Sketch of the anchors of one pass: the sets counted twice or more, and ``hot`` times or more."""
-    sent = rows.sparkSession.sparkContext.broadcast(tuple(open_sets))
+    sent = rows.sparkSession.sparkContext.broadcast([x.packed() for x in open_sets])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
+        above = [HashSet.unpacked(x) for x in sent.value]
 
         def grams() -> Iterator[np.ndarray]:
             for batch in small_batches(batches, "text"):
-                for found in find_runs(plan, *texts(batch.column("text")), level, sent.value, keys=False):
+                for found in find_runs(plan, *texts(batch.column("text")), level, above, keys=False):
                     yield found.gram
 
         yield from sketch_batches(grams(), sketch_rows, bits)
 
-    return merge_sketches(rows.select("text").mapInArrow(task, SKETCH), sketch_rows, bits, hot)
+    sets = merge_sketches(rows.select("text").mapInArrow(task, SKETCH), sketch_rows, bits, hot)
+    sent.destroy()
+    return sets
 
 
 def _settle(held: list[tuple[np.ndarray, ...]], earlier: bool) -> pa.RecordBatch:
@@ -391,18 +404,18 @@ def _settle(held: list[tuple[np.ndarray, ...]], earlier: bool) -> pa.RecordBatch
     return pa.record_batch([pa.array(np.concatenate(x).astype(k)) for x, k in zip(parts, kinds)], ["gram", "key", "id", "tag", "start", "n", "many", "done"])
 
 
-def group_runs(rows: DataFrame, plan: Plan, level: int, open_sets: Sequence, twice: HashSet, hot: HashSet, earlier: bool) -> DataFrame:
+def group_runs(rows: DataFrame, plan: Plan, level: int, sets: Broadcast, earlier: bool) -> DataFrame:
     """One pass of exact grouping: ``(id, tag, start, n, removed, gram)``.
 
+    ``sets``: the open sets of the passes before, the anchors counted twice or more, and the hot ones.
     Runs of anchors that the sketch counts once have no equal and stay out. ``removed``: the windows of the
     row fall. ``gram`` is set where runs with the same anchor differ, so that their windows must be compared
     in the next pass. An anchor that the sketch counts as hot is dealt out by content and always goes on.
     """
-    sent = rows.sparkSession.sparkContext.broadcast((tuple(open_sets), twice))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        above, counted = sent.value
+        *above, counted, _ = map(HashSet.unpacked, sets.value)
         held: list[tuple[np.ndarray, ...]] = []
         n = 0
         for batch in small_batches(batches, "text"):
@@ -420,14 +433,13 @@ def group_runs(rows: DataFrame, plan: Plan, level: int, open_sets: Sequence, twi
             yield _settle(held, earlier)
 
     last = level == len(plan.grams) - 1
-    hot_sent = rows.sparkSession.sparkContext.broadcast(hot)
 
     def is_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        np.seterr(over="ignore")
+        hot = HashSet.unpacked(sets.value[-1])
         for batch in batches:
             gram = batch.column("gram").to_numpy().view(U)
             place = batch.column("key").to_numpy().view(U) & U(255)
-            salt = np.where(hot_sent.value.has(gram), place.astype(np.int32) + 1, 0).astype(np.int32)
+            salt = np.where(hot.has(gram), place.astype(np.int32) + 1, 0).astype(np.int32)
             yield pa.record_batch([*batch.columns, pa.array(salt)], [*batch.schema.names, "salt"])
 
     found = rows.mapInArrow(lambda batches: is_hot(task(batches)), FOUND + ", salt int").repartition("gram", "salt")
@@ -461,22 +473,32 @@ def as_set(grams: DataFrame, bits: int) -> HashSet:
     return merge_sketches(grams.mapInArrow(task, SKETCH), 1, bits)[0]
 
 
-def repeated_spans(rows: DataFrame, plan: Plan, earlier: bool, sketch_rows: int, bits: int, hot: int = 4096) -> DataFrame:
+def sketch_bits(n: float, most: int) -> int:
+    """Cells of a sketch row as a power of two: four for each of ``n`` entries, between 2^16 and 2^most."""
+    return int(min(most, max(16, np.ceil(np.log2(4 * max(n, 1))))))
+
+
+def repeated_spans(rows: DataFrame, plan: Plan, earlier: bool, sketch_rows: int, most_bits: int, hot: int = 4096) -> DataFrame:
     """Windows that repeat, as ``(id, tag, start, n)``: ``n`` consecutive window starts from unit ``start``.
 
     Pass by pass the anchors get longer, up to the whole window. Each pass counts anchors in a sketch,
     groups the runs of those counted twice or more exactly, and leaves to the next only the windows of
     anchors whose runs differ. The result of each pass is a table in the shared folder.
     """
+    context = rows.sparkSession.sparkContext
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    units = size if plan.unit == "byte" else size / 5
+    bits = sketch_bits(units * 2 / (plan.size - plan.grams[0] + 2), most_bits)
     open_sets: list[HashSet] = []
     out: DataFrame | None = None
     for level in range(len(plan.grams)):
-        twice, hot_set = count_grams(rows, plan, level, open_sets, sketch_rows, bits, hot)
-        found = materialize(group_runs(rows, plan, level, open_sets, twice, hot_set, earlier), f"runs-{level}")
+        sets = context.broadcast([x.packed() for x in (*open_sets, *count_grams(rows, plan, level, open_sets, sketch_rows, bits, hot))])
+        found = materialize(group_runs(rows, plan, level, sets, earlier), f"runs-{level}")
+        sets.destroy()
         spans = found.filter("removed").select("id", "tag", "start", "n")
         out = spans if out is None else out.unionByName(spans)
         if level + 1 < len(plan.grams):
-            open_sets.append(as_set(found.filter("gram IS NOT NULL").select("gram"), 26))
+            open_sets.append(as_set(found.filter("gram IS NOT NULL").select("gram"), min(26, bits)))
     return out
 
 

@@ -16,18 +16,18 @@ RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_
 
 
 def drop_repeated_windows(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, anchor: int = 8, sketch_rows: int = 2, sketch_bits: int = 26
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, anchor: int = 8, sketch_rows: int = 2, most_bits: int = 26
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept_text`` (the words that stay, joined by one space).
 
     A word falls if a window of ``window`` consecutive words covers it whose words also start anywhere
     else, in the same text or another. Words are runs of bytes other than 0x20 and 0x09-0x0D.
 
-    Every partition counts the anchors of its windows in ``sketch_rows`` hashed rows of ``2 ** sketch_bits``
+    Every partition counts the anchors of its windows in ``sketch_rows`` hashed rows of up to ``2 ** most_bits``
     cells; the sketches are summed. A window occurs at most as often as its anchor, and the least of the
     anchor's cells is no less than that, so the sketch never underestimates a window. Only windows
     estimated twice or more go on: their runs are grouped by two 64-bit hashes, then the windows of
-    anchors whose runs differ one by one. The sketch is fixed in size: with far more text it lets more
+    anchors whose runs differ one by one. The sketch follows the size of the text up to that bound: with far more text it lets more
     windows through, and none is lost.
 
     Null text: no words. Texts shorter than a window keep all. Null ids are allowed. Rows with the same id
@@ -36,7 +36,7 @@ def drop_repeated_windows(
     """
     plan = runs.Plan("word", window, (anchor, window))
     rows = docs.select(*runs.identified(docs, id_col, text_col))
-    spans = runs.per_text(runs.repeated_spans(rows, plan, earlier=False, sketch_rows=sketch_rows, bits=sketch_bits))
+    spans = runs.per_text(runs.repeated_spans(rows, plan, earlier=False, sketch_rows=sketch_rows, most_bits=most_bits))
 
     @F.arrow_udf(RESULT)
     def rebuild(text: pa.Array, found: pa.Array) -> pa.Array:

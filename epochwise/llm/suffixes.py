@@ -16,7 +16,7 @@ RESULT = T.StructType([
 
 
 def drop_earlier_strings(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, digits: tuple[int, ...] = (20, 40, 50), digit_bits: int = 29
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, digits: tuple[int, ...] = (20, 40, 50), most_bits: int = 29
 ) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed stretches) and ``kept_bytes``.
 
@@ -25,7 +25,7 @@ def drop_earlier_strings(
 
     Suffixes are ordered only as deep as ``length`` bytes, by passes over digits of growing significance.
     The first pass deals them out by the first digit, the ``digits[0]`` bytes at the anchor of each string; a
-    histogram of ``2 ** digit_bits`` buckets, summed over partitions, closes the buckets with one entry.
+    histogram of up to ``2 ** most_bits`` buckets, summed over partitions, closes the buckets with one entry.
     What stays is grouped by content: groups whose members agree as a whole are settled; the others
     go to the next pass with a longer digit. The last digit is the string itself, where equal groups are
     exactly the repeated strings. Suffixes travel as runs that share their anchor, not one by one.
@@ -37,7 +37,7 @@ def drop_earlier_strings(
         raise ValueError("the last digit has to be as long as the string")
     plan = runs.Plan("byte", length, tuple(digits))
     rows = docs.select(*runs.identified(docs, id_col, text_col))
-    spans = runs.per_text(runs.repeated_spans(rows, plan, earlier=True, sketch_rows=1, bits=digit_bits))
+    spans = runs.per_text(runs.repeated_spans(rows, plan, earlier=True, sketch_rows=1, most_bits=most_bits))
 
     @F.arrow_udf(RESULT)
     def rebuild(text: pa.Array, found: pa.Array) -> pa.Array:
