@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochwise.llm import substrings, suffixes
-from epochwise.session import load
+from epochwise.llm import packing, simhash, substrings, suffixes, tokenfiles
+from epochwise.session import load, new_path
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -45,7 +45,29 @@ OP8_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, oct
     sha256(unhex(coalesce(s || substr(h, CAST(2 * last + 1 AS BIGINT)), h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
 
+def op2_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(load(spark, sf, "documents"))
+
+
+def op6_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(load(spark, sf, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    files = tokenfiles.write_tokens(load(spark, sf, "documents"), new_path(spark, "tokens"), tokenizer_path())
+    return tokenfiles.read_documents(spark, files)
+
+
 QUERIES = {
+    "op2_best_fit_packing": (op2_best_fit_packing, None),
     "op4_substring_dedup": (op4_substring_dedup, OP4_SQL),
+    "op6_simhash_near_dedup": (op6_simhash_near_dedup, None),
     "op8_suffix_array_dedup": (op8_suffix_array_dedup, OP8_SQL),
+    "op9_token_files": (op9_token_files, None),
 }
