@@ -55,7 +55,7 @@ def gram_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     return every.select("gram", (share["target"] - share["raw"]).alias("weight"))
 
 
-def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = -0.25) -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = -0.12) -> DataFrame:
     """Base counts, likelihood ratio and verdict per document.
 
     Columns: ``id_col``, ``n_words``, ``word_chars`` (code points in words), ``n_symbols`` (``#*$%&|<>``), ``n_dup_lines`` (lines with a

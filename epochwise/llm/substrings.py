@@ -35,7 +35,8 @@ def drop_repeated_windows(
     Input columns named like the new ones are replaced.
     """
     plan = runs.Plan("word", window, (anchor, window))
-    rows = docs.select(*runs.identified(docs, id_col, text_col))
+    key = runs.keyed(docs, id_col, text_col)
+    rows = docs.select(*key)
     spans = runs.per_text(runs.repeated_spans(rows, plan, earlier=False, sketch_rows=sketch_rows, most_bits=most_bits))
 
     @F.arrow_udf(RESULT)
@@ -49,4 +50,4 @@ def drop_repeated_windows(
             kept.append(b" ".join(compress(words, ~mask) if lost[-1] else words).decode())
         return pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())], ["n_words", "n_removed", "kept_text"])
 
-    return runs.rebuilt(docs, id_col, text_col, spans, rebuild)
+    return runs.rebuilt(docs, key, spans, rebuild)

@@ -36,7 +36,8 @@ def drop_earlier_strings(
     if digits[-1] != length:
         raise ValueError("the last digit has to be as long as the string")
     plan = runs.Plan("byte", length, tuple(digits))
-    rows = docs.select(*runs.identified(docs, id_col, text_col))
+    key = runs.keyed(docs, id_col, text_col)
+    rows = docs.select(*key)
     spans = runs.per_text(runs.repeated_spans(rows, plan, earlier=True, sketch_rows=1, most_bits=most_bits))
 
     @F.arrow_udf(RESULT)
@@ -56,4 +57,4 @@ def drop_earlier_strings(
             kept.append(data)
         return pa.StructArray.from_arrays([*(pa.array(x, pa.int64()) for x in (total, lost, stretches)), pa.array(kept, pa.binary())], RESULT.names)
 
-    return runs.rebuilt(docs, id_col, text_col, spans, rebuild)
+    return runs.rebuilt(docs, key, spans, rebuild)

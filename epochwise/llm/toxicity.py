@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from epochwise.llm.runs import worker_slot
+
 FEATURES = T.StructType([T.StructField("bucket", T.ArrayType(T.IntegerType())), T.StructField("share", T.ArrayType(T.FloatType()))])
 
 
@@ -20,16 +23,18 @@ class Settings:
     """Sizes and training. ``per_class`` and ``most_chars`` bound the sample that is fitted."""
 
     buckets: int = 1 << 17
-    width: int = 8
+    width: int = 4
     shortest: int = 3
     longest: int = 5
     per_class: int = 4096
     most_chars: int = 100_000
-    epochs: int = 12
-    batch: int = 128
+    least_docs: int = 5  # subwords of fewer documents of the sample are not learnt
+    chosen: int = 256  # subwords that the second round keeps
+    epochs: tuple[int, int] = (4, 15)
+    decay: tuple[float, float] = (1e-4, 1e-5)
+    batch: int = 64
     rate: float = 0.02
     gain: float = 100.0  # the mean over a whole text is small; its scale is fixed, not learnt
-    decay: float = 1e-5
     seed: int = 7
 
 
@@ -53,22 +58,21 @@ def features(text: str | None, s: Settings) -> tuple[list[int], list[float]]:
     return list(out), list(out.values())
 
 
-def fit(rows: list[tuple[list[int], list[float]]], labels: np.ndarray, weights: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
+def _fit_once(sparse: list[tuple[np.ndarray, np.ndarray]], buckets: int, labels: np.ndarray, weights: np.ndarray, epochs: int, decay: float, s: Settings) -> tuple[np.ndarray, float]:
     """Embeddings and softmax trained together by Adam on weighted cross-entropy.
 
-    Returns what scoring needs: the difference of the two classes' logits for each bucket, and the bias.
+    Returns the difference of the two classes' logits for each bucket, and the bias.
     """
     rng = np.random.default_rng(s.seed)
-    embed = rng.normal(0, 0.1, (s.buckets, s.width)).astype(np.float32)
+    embed = rng.normal(0, 0.1, (buckets, s.width)).astype(np.float32)
     soft = rng.normal(0, 0.1, (s.width, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     params = [embed, soft, bias]
     first, second = ([np.zeros_like(p) for p in params] for _ in range(2))
     step = 0
-    sparse = [(np.array(b, np.int64), np.array(w, np.float32)) for b, w in rows]
-    for _ in range(s.epochs):
-        order = rng.permutation(len(rows))
-        for a in range(0, len(rows), s.batch):
+    for _ in range(epochs):
+        order = rng.permutation(len(sparse))
+        for a in range(0, len(sparse), s.batch):
             part = order[a : a + s.batch]
             n = np.array([len(sparse[i][0]) for i in part])
             index = np.concatenate([sparse[i][0] for i in part])
@@ -76,14 +80,13 @@ def fit(rows: list[tuple[list[int], list[float]]], labels: np.ndarray, weights:
             doc = np.repeat(np.arange(len(part)), n)
             mean = np.stack([np.bincount(doc, share * embed[index, d], len(part)) for d in range(s.width)], 1).astype(np.float32)
             logits = mean @ soft + bias
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            g = p
+            g = np.exp(logits - logits.max(1, keepdims=True))
+            g /= g.sum(1, keepdims=True)
             g[np.arange(len(part)), labels[part]] -= 1
             g *= (weights[part] / weights[part].sum())[:, None].astype(np.float32)
             back = g @ soft.T
-            rows_of = np.stack([np.bincount(index, share * back[doc, d], s.buckets) for d in range(s.width)], 1).astype(np.float32)
-            grads = [rows_of + s.decay * embed, mean.T @ g, g.sum(0)]
+            pulled = np.stack([np.bincount(index, share * back[doc, d], buckets) for d in range(s.width)], 1).astype(np.float32)
+            grads = [pulled + np.float32(decay) * embed, mean.T @ g, g.sum(0)]
             step += 1
             for q, m, v, d in zip(params, first, second, grads):
                 m += 0.1 * (d - m)
@@ -93,6 +96,26 @@ def fit(rows: list[tuple[list[int], list[float]]], labels: np.ndarray, weights:
     return slope.astype(np.float32), float(bias[1] - bias[0])
 
 
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
+    """Two joint rounds: over all subwords of enough documents, then over those that speak most for label 1.
+
+    The first round alone learns by heart what happens to stand in few toxic texts; the second starts anew
+    on the ``chosen`` subwords. Returns a slope for each bucket (zero if it takes no part), and the bias.
+    """
+    slope = np.zeros(s.buckets, np.float32)
+    docs = np.bincount(np.concatenate([b for b, _ in rows]), minlength=s.buckets)
+    taking, bias = np.flatnonzero(docs >= s.least_docs), 0.0
+    for epochs, decay in zip(s.epochs, s.decay):
+        place = np.full(s.buckets, -1)
+        place[taking] = np.arange(len(taking))
+        sparse = [(place[b][place[b] >= 0], w[place[b] >= 0]) for b, w in rows]
+        found, bias = _fit_once(sparse, max(1, len(taking)), labels, weights, epochs, decay, s)
+        slope[:] = 0
+        slope[taking] = found[: len(taking)]
+        taking = np.sort(taking[np.argsort(-found[: len(taking)], kind="stable")[: s.chosen]])
+    return slope, bias
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", settings: Settings | None = None) -> tuple[np.ndarray, float]:
     """Fit on a bounded sample of the labelled documents: ``per_class`` of each class, by a hash of the id.
 
@@ -121,7 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(np.unique(y)) < 2:
         return np.zeros(s.buckets, np.float32), float(np.log(counts[1] / counts[0]))
     weights = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
-    return fit(list(zip((b.as_py() for b in got["bucket"]), (w.as_py() for w in got["share"]))), y, weights, s)
+    rows = [(b.values.to_numpy().astype(np.int64), w.values.to_numpy()) for b, w in zip(got["bucket"], got["share"])]
+    return fit(rows, y, weights, s)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", settings: Settings | None = None) -> Column:
@@ -140,13 +164,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
             out = self[word] = float(sent.value[0][subwords(word, s)].mean())
             return out
 
-    held: list = []
+    run = uuid.uuid4().hex
 
     @F.arrow_udf("double")
     def of_text(text: pa.Array) -> pa.Array:
-        if not held:
-            held.append(Slopes())
-        slopes, bias, out = held[0], sent.value[1], []
+        slopes, bias, out = worker_slot("slopes", run, Slopes), sent.value[1], []
         for t in text:
             words = (t.as_py() or "").encode().split()
             logit = bias + (sum(map(slopes.__getitem__, words)) / len(words) if words else 0.0)
