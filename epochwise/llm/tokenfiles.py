@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,21 +20,59 @@ from epochwise.session import materialize
 BATCH = 256  # sequences of a record batch; all but the last of a file are full
 
 
+# How a tokenizer of lower-case words splits text, and the letters and marks for which that is
+# plain: lower case is one character each, nothing is composed, and runs of letters and of marks are apart.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ.,]+")
+PLAIN_PARTS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,]+")
+
+
+class Parts(dict):
+    """Ids of runs of plain letters or marks, by the tokenizer's model alone."""
+
+    def __init__(self, tokenizer, dtype: np.dtype, most: int) -> None:
+        super().__init__()
+        self.encode, self.dtype, self.most = tokenizer.model.tokenize, dtype, most
+        # Bytes as characters, as byte-level models write them: visible ones as they are, the others from 256 on.
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in visible]
+        self.letters = {b: b for b in visible} | {b: 256 + k for k, b in enumerate(hidden)}
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        out = self[part] = np.array([t.id for t in self.encode(part.encode().decode("latin-1").translate(self.letters))], self.dtype).tobytes()
+        return out
+
+
 class Pieces(dict):
     """Ids of white-space separated pieces, as bytes of ``dtype``; looked up, or encoded when missing.
 
-    Emptied when it holds ``most`` pieces, so its memory is bounded.
+    Emptied when it holds ``most`` pieces, so its memory is bounded. Pieces of plain letters and marks skip the
+    tokenizer's slow general splitting where its configuration is the one of ``WORD_SPLIT``.
     """
 
-    def __init__(self, tokenizer, dtype: np.dtype, most: int = 1_000_000) -> None:
+    def __init__(self, model: str, dtype: np.dtype, most: int = 600_000) -> None:
+        from tokenizers import Tokenizer
+
         super().__init__()
-        self.tokenizer, self.dtype, self.most = tokenizer, dtype, most
+        self.tokenizer, self.dtype, self.most = Tokenizer.from_str(model), dtype, most
+        setting = json.loads(model)
+        split = (setting.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        plain = [n.get("type") for n in (setting.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        plain = plain and [x.get("type") for x in split] == ["Split", "ByteLevel"] and split[0]["pattern"] == {"Regex": WORD_SPLIT}
+        plain = plain and not split[1]["add_prefix_space"] and not split[1]["use_regex"]
+        self.parts = Parts(self.tokenizer, dtype, most) if plain else None
 
     def __missing__(self, piece: bytes) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        ids = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
-        out = self[piece] = np.array(ids, self.dtype).tobytes()
+        text = piece.decode()
+        if self.parts is not None and PLAIN.fullmatch(text):
+            out = b"".join(map(self.parts.__getitem__, PLAIN_PARTS.findall(text.lower())))
+        else:
+            out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        self[piece] = out
         return out
 
 
@@ -140,8 +180,7 @@ def write_tokens(
     system.create_dir(base, recursive=True)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer.from_str(sent.value)
-        pieces = Pieces(tokenizer, dtype)
+        pieces = runs.worker_slot("pieces", (zlib.crc32(sent.value.encode()), str(dtype)), lambda: Pieces(sent.value, dtype))
         end = np.array([end_id], dtype).tobytes()
         ids, starts, sizes, at = [], [], [], 0
         name = f"part-{TaskContext.get().partitionId():06d}"
@@ -154,7 +193,7 @@ def write_tokens(
                     if by_piece:
                         data = b"".join(map(pieces.__getitem__, text.encode().split())) + end
                     else:
-                        data = np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype).tobytes() + end
+                        data = np.array(pieces.tokenizer.encode(text, add_special_tokens=False).ids, dtype).tobytes() + end
                     n = len(data) // dtype.itemsize
                     ids.append(i)
                     starts.append(at)
