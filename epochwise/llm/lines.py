@@ -47,7 +47,8 @@ def drop_repeated_line_windows(docs: DataFrame, id_col: str = "doc_id", text_col
     gone = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.array(*(p + k for k in range(window))))))
     joined = rows.join(covered.hint("shuffle_hash"), ["id", "tag"], "left").select("row", "lines", F.coalesce(gone, F.array().cast("array<int>")).alias("gone"))
     stay = F.array_except(positions(F.size("lines")), F.col("gone"))
-    return joined.select("row", "lines", stay.alias("stay")).select(
-        "row.*", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("stay")).cast("long").alias("n_removed_lines"),
+    new = F.struct(
+        F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("stay")).cast("long").alias("n_removed_lines"),
         F.array_join(F.transform("stay", lambda p: F.col("lines")[p]), "\n").alias("kept_text"),
     )
+    return joined.select("row", "lines", stay.alias("stay")).select("row", new.alias("new")).select("row.*", "new.*")
