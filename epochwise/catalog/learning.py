@@ -45,15 +45,15 @@ def stored_model(s, d):
 
 def grid(s, d):
     t = materialize(table(s, d).join(S.case_folds(S.case_counts(table(s, d)), 2), "case_id"), "grid")
-    res = M.grid_search(t, NAMES, "fold", 2, {"C": (0.1, 1.0), "gamma": (0.1, 1.0), "kernel": ("linear", "rbf")}, n_components=16, max_iter=5)
+    res = M.grid_search(t, NAMES, "fold", 2, M.GRID, max_iter=5)
     return s.createDataFrame([(r["kernel"], r["C"], r["gamma"], float(r["score"])) for r in res], "kernel string, C double, gamma double, score double")
 
 
 def combos(s, d):
-    """Sweep over two features, one of them with two bands: seven runs."""
+    """Sweep over two features, one of them with two bands: seven runs over all folds."""
     f = folds(s, d).withColumnsRenamed({"x0": "Alpha", "x1": "Beta", "x2": "spectral_skewness"})
     runs = M.feature_combinations(("bandpower", "spectral_skewness"), ("Alpha", "Beta"))
-    return M.sweep(f.filter("fold < 1"), runs, kernel="linear", max_iter=5)
+    return M.sweep(f, runs, kernel="linear", max_iter=5)
 
 
 def experiment(s, d):

@@ -53,7 +53,7 @@ def bounded(x: Column, normalize: bool, method: str, low: float, high: float) ->
         return scaled_tanh(x, out_min=low, out_max=high)
     if method == "clip":
         return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high))))
-    raise ValueError(f"Normalization method '{method}' not supported")
+    raise ValueError(f"{method!r} is no way to normalise a feature")
 
 
 def area(points: Column) -> Column:
@@ -86,7 +86,7 @@ def band_power(psd: Column, bands: Mapping[str, tuple[float, float]] = BANDS, no
 
         whole = area(F.filter(psd, any_band))
     else:
-        raise ValueError("normalize_to must be either 'total' or 'bands'")
+        raise ValueError("normalize_to is total or bands")
     def part(lo: float, hi: float) -> Column:
         return area(F.filter(psd, lambda x: inside(x, lo, hi)))
 

@@ -24,7 +24,7 @@ def threshold_runs(tracks: DataFrame, thresholds: Sequence[tuple[float, float]],
                       for b, m in thresholds])
     t = tracks.select("*", F.explode(pairs).alias("_p")).select("*", "_p.*").drop("_p")
     above = F.coalesce((F.col("bis") > F.col("bis_threshold")) & ~F.isnan("bis"), F.lit(False))
-    good = above & F.coalesce(F.col("mac") > F.col("mac_threshold"), F.lit(False))
+    good = above & F.coalesce((F.col("mac") > F.col("mac_threshold")) & ~F.isnan("mac"), F.lit(False))
     flagged = t.withColumn("_above", above).withColumn("_good", good)
     by = ["bis_threshold", "mac_threshold", "case_id"]
     numbered = scan(

@@ -63,7 +63,7 @@ def group_by_case(epochs: DataFrame) -> DataFrame:
 def epochs_of_type(sources: dict[str, DataFrame], epoch_type: str) -> DataFrame:
     """I4: epochs of one class; an unknown class is an error."""
     if epoch_type not in sources:
-        raise ValueError(f'Epoch type "{epoch_type}" not recognized. Valid options: {sorted(sources)}')
+        raise ValueError(f'{epoch_type!r} not recognized, only {sorted(sources)}')
     return sources[epoch_type]
 
 
@@ -120,7 +120,7 @@ def epoch_samples(
     the track come out short; ``complete=True`` drops them (C8).
     """
     if channel not in (1, 2):
-        raise ValueError(f"Channel value is: {channel} but must be 1 or 2")
+        raise ValueError(f"there are channels 1 and 2, not {channel}")
     keys, size = epochs.columns, block_len
     e = (
         epochs.withColumn("_a", (F.col("start") * fs).cast("long"))

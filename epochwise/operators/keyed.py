@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -74,16 +75,27 @@ def tag_and_round(first: DataFrame, second: DataFrame, tags: tuple[str, str], co
     return both.select(*[F.round(c, decimals).alias(c) if c in columns else F.col(c) for c in both.columns])
 
 
-def combine_features(tables: Mapping[str, DataFrame | None], keys: Sequence[str] = KEYS) -> DataFrame:
-    """Inner join of feature tables on the epoch key, incomplete rows dropped.
+def combine_features(tables: Mapping[str, DataFrame | None], keys: Sequence[str] = KEYS, normalize: bool = False, check: bool = True) -> DataFrame:
+    """Inner join of feature tables on the epoch key, incomplete rows dropped, in the order of the key.
 
-    Tables given as ``None`` are missing and skipped; no table at all is an error. All tables are
-    hash-partitioned on the same key, so each is exchanged once.
+    Tables given as ``None`` are missing: they are skipped with a warning; no table at all is an error, and so
+    is a join without rows if ``check`` (costs one row of work). ``normalize`` turns the features into
+    z-scores. All tables are hash-partitioned on the same key, so each is exchanged once.
     """
+    absent = [n for n, t in tables.items() if t is None]
+    if absent:
+        warnings.warn(f"feature tables left out because they are missing: {', '.join(absent)}", stacklevel=2)
     present = [t for t in tables.values() if t is not None]
     if not present:
-        raise ValueError("No features were combined: no feature tables given.")
-    return functools.reduce(lambda a, b: a.join(b, list(keys)), present).na.drop()
+        raise ValueError("there is no feature table to join")
+    out = functools.reduce(lambda a, b: a.join(b, list(keys)), present).na.drop()
+    if check and out.isEmpty():
+        raise ValueError("the feature tables have no complete row in common")
+    if normalize:
+        from epochwise.operators.signal import zscore_columns
+
+        out = zscore_columns(out, [c for c in numeric_columns(out) if c not in keys])
+    return out.orderBy(*keys)
 
 
 def remove_epochs(df: DataFrame, bad: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -163,7 +175,7 @@ def ordered_output(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def check_same_columns(a: DataFrame, b: DataFrame) -> None:
     """The two feature sets must have the same column list."""
     if a.columns != b.columns:
-        raise ValueError("Feature tables do not have the same columns.")
+        raise ValueError("the two feature sets differ in their columns")
 
 
 def labelled_union(
@@ -186,8 +198,15 @@ def labelled_union(
     return both.withColumn("orig_index", F.md5(F.concat_ws(":", "label", *KEYS)))
 
 
-def compare_keys(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """H2: one row with ``a_in_b``, ``b_in_a`` and the number of keys missing on each side."""
+def _both_tables(a: DataFrame | None, b: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    if a is None and b is None:
+        raise ValueError("both tables are missing")
+    return (a if a is not None else b.limit(0)), (b if b is not None else a.limit(0))
+
+
+def compare_keys(a: DataFrame | None, b: DataFrame | None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """H2: one row with ``a_in_b``, ``b_in_a`` and the number of keys missing on each side; no table is no keys."""
+    a, b = _both_tables(a, b)
     side = [d.select(*keys, F.lit(i).alias("a"), F.lit(1 - i).alias("b")) for d, i in ((a, 1), (b, 0))]
     both = side[0].unionByName(side[1]).groupBy(*keys).agg(F.max("a").alias("a"), F.max("b").alias("b"))
     counts = both.agg(
@@ -199,8 +218,9 @@ def compare_keys(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> Data
     )
 
 
-def missing_keys(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """H2: keys present on one side only, with the side they are missing from."""
+def missing_keys(a: DataFrame | None, b: DataFrame | None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """H2: keys present on one side only, with the side they are missing from; no table is no keys."""
+    a, b = _both_tables(a, b)
     only_a = a.select(*keys).distinct().join(b.select(*keys), list(keys), "left_anti")
     only_b = b.select(*keys).distinct().join(a.select(*keys), list(keys), "left_anti")
     return only_a.withColumn("missing_from", F.lit("b")).unionByName(only_b.withColumn("missing_from", F.lit("a")))

@@ -135,36 +135,19 @@ def bounded_chunks(df: DataFrame, by: Sequence[str], value: str, rows_per_chunk:
             return df, levels
 
 
-# Chunks per doubling of the value, and a shift that keeps all positive doubles above zero.
-_PER_OCTAVE, _SHIFT = 4096, 4096 * 1100
-
-
-def magnitude_chunk(value: Column) -> Column:
-    """Order-preserving bucket of a number from its magnitude alone, without looking at the data.
-
-    4096 buckets per doubling: a bucket spans 0.017 % of its value, so a group's distinct values
-    spread over as many buckets as they spread in relative size.
-    """
-    v = value.cast("double")
-    size = F.floor(F.log2(F.abs(v)) * _PER_OCTAVE) + _SHIFT
-    return F.when(v > 0, size + 1).when(v < 0, -(size + 1)).otherwise(F.lit(0).cast("long"))
-
-
-def cumulative(df: DataFrame, by: Sequence[str], value: str, measures: Exprs, balanced: int | None = None) -> DataFrame:
+def cumulative(df: DataFrame, by: Sequence[str], value: str, measures: Exprs, rows_per_chunk: int = 100_000) -> DataFrame:
     """One row per distinct ``(by, value)``: each measure, what lies strictly below it, and its total.
 
     Equal values are counted together before the exchange, so a value that holds a third of all
     rows costs one row. Output columns per measure ``m``: ``m``, ``m_below``, ``m_total``.
 
-    ``balanced``: number of quantile ranges to use in place of magnitude buckets, for values that
-    all lie within a hair of each other; costs one more pass.
+    Distinct values are cut into ranges of about ``rows_per_chunk`` rows by quantile sketches, however
+    close to each other they lie; one count of the groups tells how many ranges there are.
     """
     by = list(by)
     grouped = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*[e.alias(n) for n, e in measures.items()])
-    if balanced:
-        chunked = value_chunks(grouped, by, value, balanced)
-    else:
-        chunked = grouped.withColumn("_chunk", magnitude_chunk(F.col(value)))
+    ranged, levels = bounded_chunks(grouped, by, value, rows_per_chunk)
+    chunked = ranged.withColumn("_chunk", F.struct(*levels)).drop(*levels)
     out = scan(
         chunked, by, "_chunk", [value],
         sums={f"{n}_below": F.col(n) for n in measures},
@@ -192,14 +175,6 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[str,
     return c.groupBy(*by).agg(*aggs)
 
 
-def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str = "rank") -> DataFrame:
-    """Attach the tie-averaged rank (1-based) of ``value`` within each group."""
-    by = list(by)
-    c = cumulative(df, by, value, {"n": F.count(F.lit(1))})
-    ranks = c.select(*by, value, (F.col("n_below") + (F.col("n") + 1) / 2).alias(name))
-    return df.join(ranks, [*by, value], "left")
-
-
 def stable_hash(seed: int | str, *keys: str) -> Column:
     """Order for seeded random choices; depends on key values only, never on partitioning."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))

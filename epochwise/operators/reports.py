@@ -182,7 +182,7 @@ def outlier_groups(
     elif isinstance(threshold, float):
         marked = errors.withColumn("error_threshold", F.lit(threshold))
     else:
-        raise ValueError("threshold must be a float or 'iqr'.")
+        raise ValueError("a threshold is a number or iqr")
     return marked.filter((F.col(rate) >= F.col("error_threshold")) & (F.col(wrong) >= min_errors))
 
 

@@ -83,7 +83,7 @@ def filter_waveform(
     long as the slowest pole needs to decay to 1e-10.
     """
     if method != "butterworth":
-        raise ValueError(f"Unrecognized filter method: {method}")
+        raise ValueError(f"no filter is called {method!r}")
     b, a = design_butterworth(fs, low, high, order)
     halo = settle_samples(a) if halo is None else halo
 
@@ -129,7 +129,7 @@ def normalize_waveform(blocks: DataFrame, method: str, block_len: int | None = N
         # Clipping range per feature type.
         limits = {"skewness": (-2.0, 2.0), "kurtosis": (0.0, 10.0)}
         if feature_type not in limits:
-            raise ValueError(f"Clipping not defined for feature type '{feature_type}'.")
+            raise ValueError(f"there are no clip limits for {feature_type!r}")
         lo, hi = limits[feature_type]
         return _map_channels(blocks, lambda x, c: F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
     if method == "log":
@@ -140,7 +140,7 @@ def normalize_waveform(blocks: DataFrame, method: str, block_len: int | None = N
             raise ValueError("quantile normalisation needs block_len")
         return _quantile(blocks, block_len)
     if method not in ("zscore", "tanh_zscore", "minmax"):
-        raise ValueError(f"Unsupported normalization method '{method}'.")
+        raise ValueError(f"{method!r} is no way to normalise a waveform")
     v = blocks.select("case_id", F.explode(F.concat("ch1", "ch2")).alias("v"))
     stats = v.groupBy("case_id").agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"), F.min("v").alias("_lo"), F.max("v").alias("_hi"))
     joined = blocks.join(stats, "case_id")
@@ -231,7 +231,7 @@ def welch(eeg: Column | str, fs: float, seconds: float = 2) -> Column:
 def epoch_spectra(epochs: DataFrame, fs: float, seconds: float = 2, method: str = "welch") -> DataFrame:
     """Spectrum column ``psd`` for epochs with samples ``eeg``."""
     if method != "welch":
-        raise ValueError(f"Unrecognized transform method: {method}")
+        raise ValueError(f"no spectrum method is called {method!r}")
     return epochs.withColumn("psd", welch(F.col("eeg"), fs, seconds))
 
 
@@ -243,7 +243,7 @@ def long_spectra(spectra: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def track_spectrum(blocks: DataFrame, fs: int, block_len: int, channel: int = 1, seconds: float = 2, by: Sequence[str] = ()) -> DataFrame:
     """Welch spectrum of whole tracks: segments are handled block by block and summed per frequency."""
     if channel not in (1, 2):
-        raise ValueError(f"Channel value is: {channel} but must be 1 or 2")
+        raise ValueError(f"there are channels 1 and 2, not {channel}")
     n = int(seconds * fs)
     step = n - n // 2
     if block_len % step:

@@ -87,7 +87,7 @@ def find_case_split(
     available = total if used is None else free.agg(F.sum("n")).first()[0] or 0
     target = int(test_size * total)
     if target < 1 or available < target:
-        raise ValueError(f"Not enough remaining samples to satisfy test_size. Required: {target}, available: {available}")
+        raise ValueError(f"the cases left hold {available} rows, a test set takes {target}")
     best = None
     at, width = 0, 1
     while at < max_iter:

@@ -20,7 +20,9 @@ def mean_spectrum(spectra: DataFrame, by: Sequence[str] = ("set",), metric: str
     if metric == "sem":
         spread = spread / F.sqrt(F.count("psd"))
     elif metric != "std":
-        raise ValueError("metric must be 'std' or 'sem'")
+        raise ValueError("the spread is std or sem")
+    if spectra.isEmpty():
+        raise ValueError("there are no spectra to average")
     return spectra.groupBy(*by, "freq_hz").agg(F.avg("psd").alias("mean"), spread.alias(metric), F.count("psd").alias("n"))
 
 
@@ -197,7 +199,7 @@ def feature_differences(df: DataFrame, columns: Sequence[str], test: str = "t-te
     ``label`` is 1 for the first and 0 for the second set.
     """
     if test not in ("t-test", "mannwhitney"):
-        raise ValueError("test must be 't-test' or 'mannwhitney'")
+        raise ValueError("the test is t-test or mannwhitney")
     g = _two_groups(df, columns, "feature")
     c = {n: F.col(n) for n in ("m1", "v1", "n1", "m0", "v0", "n0")}
     t, dof = _welch(**{k: c[k] for k in ("m1", "v1", "n1", "m0", "v0", "n0")})

@@ -104,7 +104,7 @@ def interpolate_extrapolate(
     with their number of known points and do not appear in ``filled``.
     """
     order = order or ["row_idx"]
-    has = F.col(value).isNotNull()
+    has = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     kt = F.when(has, F.col(time))
     known = tracks.filter(has).select(case, *order, F.col(time).alias("_t"), F.col(value).cast("double").alias("_v"))
 
@@ -119,7 +119,7 @@ def interpolate_extrapolate(
     head = nearest_two("_h", *[F.col(c).asc() for c in order])
     tail = nearest_two("_e", *[F.col(c).desc() for c in order])
     near = scan(
-        tracks, [case], chunk, order, ffill={"_p_t": kt, "_p_v": F.col(value)}, bfill={"_n_t": kt, "_n_v": F.col(value)},
+        tracks, [case], chunk, order, ffill={"_p_t": kt, "_p_v": F.when(has, F.col(value))}, bfill={"_n_t": kt, "_n_v": F.when(has, F.col(value))},
         attach=head.join(tail, case),
     )
     t = F.col(time)

@@ -12,7 +12,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, PolynomialExpansion, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import PCA, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
@@ -44,22 +44,39 @@ def _fourier_statement(features: Sequence[str], gamma: float, n: int, seed: int)
     return f"SELECT *, {cols} FROM __THIS__"
 
 
+def _degree_statement(features: Sequence[str], gamma: float, degree: int) -> str:
+    """The kernel ``(gamma x.y) ** degree`` as features: all products of that degree with the root of their multinomial weight."""
+    terms = []
+    for k, picks in enumerate(itertools.combinations_with_replacement(range(len(features)), degree)):
+        weight = math.factorial(degree)
+        for i in set(picks):
+            weight //= math.factorial(picks.count(i))
+        product = " * ".join(f"`{features[i]}`" for i in picks)
+        terms.append(f"{math.sqrt(weight * gamma**degree)!r}D * {product} AS _z{k}")
+    return f"SELECT *, {', '.join(terms)} FROM __THIS__"
+
+
+def _kernel_statement(kernel: str, features: Sequence[str], gamma: float, degree: int, n_components: int, seed: int) -> str:
+    if kernel == "rbf":
+        return _fourier_statement(features, gamma, n_components, seed)
+    return _degree_statement(features, gamma, degree)
+
+
 def margin_pipeline(
     features: Sequence[str], reg: float, kernel: str = "rbf", gamma: float = 1.0, degree: int = 3,
     n_components: int = 64, max_iter: int = 50, seed: int = 42, probability: bool = True,
 ) -> Pipeline:
     """M1: kernel map, linear SVM, and a logistic fit on the margin for probabilities."""
     names = list(features)
-    if kernel == "rbf":
-        stages = [SQLTransformer(statement=_fourier_statement(names, gamma, n_components, seed)),
-                  VectorAssembler(inputCols=[f"_z{i}" for i in range(n_components)], outputCol="_x")]
+    if kernel in ("rbf", "poly"):
+        mapped = n_components if kernel == "rbf" else math.comb(len(names) + degree - 1, degree)
+        stages = [SQLTransformer(statement=_kernel_statement(kernel, names, gamma, degree, n_components, seed)),
+                  VectorAssembler(inputCols=[f"_z{i}" for i in range(mapped)], outputCol="_x")]
     elif kernel == "linear":
         stages = [VectorAssembler(inputCols=names, outputCol="_x")]
-    elif kernel == "poly":
-        stages = [VectorAssembler(inputCols=names, outputCol="_v"), PolynomialExpansion(degree=degree, inputCol="_v", outputCol="_x")]
     else:
         raise ValueError(f"unknown kernel {kernel!r}")
-    stages.append(LinearSVC(featuresCol="_x", labelCol="label", regParam=reg, maxIter=max_iter, rawPredictionCol="_margin", predictionCol="prediction"))
+    stages.append(LinearSVC(featuresCol="_x", labelCol="label", regParam=reg, maxIter=max_iter, standardization=False, rawPredictionCol="_margin", predictionCol="prediction"))
     if probability:
         stages += [VectorAssembler(inputCols=["_margin"], outputCol="_m"), LogisticRegression(
             featuresCol="_m", labelCol="label", maxIter=max_iter, rawPredictionCol="_lr_raw", predictionCol="_lr_prediction", probabilityCol="_proba")]
@@ -69,7 +86,7 @@ def margin_pipeline(
 def train(df: DataFrame, features: Sequence[str], c: float = 1.0, kernel: str = "rbf", gamma: float | None = None, **options) -> PipelineModel:
     """M1: fit on feature columns and ``label``; ``c`` is the usual SVM cost."""
     n = df.count()
-    if kernel == "rbf" and gamma is None:
+    if kernel != "linear" and gamma is None:
         gamma = scale_gamma(df, features)
     return margin_pipeline(features, 1.0 / (c * n), kernel, gamma or 1.0, **options).fit(df)
 
@@ -106,7 +123,7 @@ def grid_search(
 ) -> list[dict]:
     """M2: mean score of every combination over the given folds, best first.
 
-    Kernels that ignore gamma are fitted once and reported for every gamma.
+    The linear kernel has no gamma: it is fitted once and its rows have none.
     """
     n = df.count()
     evaluator = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName=metric)
@@ -115,40 +132,52 @@ def grid_search(
         pipe = margin_pipeline(features, 1.0, kernel, 1.0, n_components=n_components, max_iter=max_iter, seed=seed, probability=False)
         svm = pipe.getStages()[-1]
         builder = ParamGridBuilder().addGrid(svm.regParam, [1.0 / (c * n) for c in grid["C"]])
-        gammas = list(grid["gamma"])
-        if kernel == "rbf":
-            mapper = pipe.getStages()[0]
-            builder.addGrid(mapper.statement, [_fourier_statement(list(features), g, n_components, seed) for g in gammas])
+        gammas = list(grid["gamma"]) if kernel != "linear" else [None]
+        statements = {_kernel_statement(kernel, list(features), g, 3, n_components, seed): g for g in gammas if g is not None}
+        if statements:
+            builder.addGrid(pipe.getStages()[0].statement, list(statements))
         maps = builder.build()
         cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=evaluator, numFolds=n_folds, foldCol=fold_col, parallelism=parallelism)
         scores = cv.fit(df).avgMetrics
-        by_map = {}
-        for m, s in zip(maps, scores):
-            statement = next((v for p, v in m.items() if p.name == "statement"), None)
-            by_map[(m[svm.regParam], statement)] = s
-        for c, g in itertools.product(grid["C"], gammas):
-            statement = _fourier_statement(list(features), g, n_components, seed) if kernel == "rbf" else None
-            results.append({"kernel": kernel, "C": float(c), "gamma": float(g), "score": by_map[(1.0 / (c * n), statement)]})
-    return sorted(results, key=lambda r: (-r["score"], r["kernel"], r["C"], r["gamma"]))
+        for m, score in zip(maps, scores):
+            gamma = next((statements[v] for p, v in m.items() if p.name == "statement"), None)
+            results.append({"kernel": kernel, "C": 1.0 / (m[svm.regParam] * n), "gamma": gamma, "score": score})
+    return sorted(results, key=lambda r: (-r["score"], r["kernel"], r["C"], r["gamma"] or 0.0))
+
+
+def best_of_grid(df: DataFrame, features: Sequence[str], results: Sequence[Mapping], **options) -> PipelineModel:
+    """M2: the best combination of :func:`grid_search`, fitted on all rows."""
+    top = results[0]
+    return train(df, features, c=top["C"], kernel=top["kernel"], gamma=top["gamma"], **options)
 
 
 # Short names of features in run names.
 SHORT_NAMES = {"bandpower": "band", "spectral_skewness": "skew", "spectral_kurtosis": "kurt", "shannon_entropy": "shan", "permutation_entropy": "perm"}
 
 
+def _run_name(features: Sequence[str], bands: Sequence[str], prefix: str) -> str:
+    """Fixed format: short names in alphabetical order; band power carries its bands' first letters, sorted."""
+    letters = "".join(sorted(band[0].upper() for band in bands))
+    return prefix + "_".join(sorted(SHORT_NAMES[f] + letters if f == "bandpower" else SHORT_NAMES[f] for f in features))
+
+
 def feature_combinations(features: Sequence[str] = tuple(SHORT_NAMES), bands: Sequence[str] = ("Alpha", "Beta", "Theta", "Delta"), prefix: str = "zscorenorm2_") -> list[dict]:
-    """M7: all non-empty feature subsets, with band power for every non-empty band subset."""
-    def subsets(xs: Sequence[str]):
-        return itertools.chain.from_iterable(itertools.combinations(xs, n) for n in range(1, len(xs) + 1))
+    """M7: all non-empty feature subsets, with band power for every non-empty band subset.
 
+    A run is a number whose bits switch the columns: the bands, each a column of band power, and the other features.
+    Every number above 0 names one run, so nothing is listed twice.
+    """
+    others = [f for f in features if f != "bandpower"]
+    kept_bands = list(bands) if "bandpower" in features else []
+    switches = [*kept_bands, *others]
     runs = []
-    for chosen in subsets(features):
-        for kept in subsets(bands) if "bandpower" in chosen else [()]:
-            initials = "".join(sorted(b[0].upper() for b in kept))
-            parts = sorted(f"band{initials}" if f == "bandpower" else SHORT_NAMES[f] for f in chosen)
-            columns = [c for f in chosen for c in (kept if f == "bandpower" else (f,))]
-            runs.append({"run": prefix + "_".join(parts), "features": list(chosen), "bands": list(kept), "columns": columns})
-    return runs
+    for number in range(1, 1 << len(switches)):
+        on = {c for k, c in enumerate(switches) if number >> k & 1}
+        in_bands = [b for b in kept_bands if b in on]
+        chosen = [f for f in features if f in on or (f == "bandpower" and in_bands)]
+        columns = [c for f in chosen for c in (in_bands if f == "bandpower" else [f])]
+        runs.append({"run": _run_name(chosen, in_bands, prefix), "features": chosen, "bands": in_bands, "columns": columns})
+    return sorted(runs, key=lambda r: (len(r["features"]), [list(features).index(f) for f in r["features"]], len(r["bands"]), [list(bands).index(b) for b in r["bands"]]))
 
 
 def sweep(splits: DataFrame, combinations: Sequence[dict], **options) -> DataFrame:

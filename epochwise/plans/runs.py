@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -14,12 +13,15 @@ from pyspark.sql import functions as F
 from epochwise.operators.ordered import join_small
 from epochwise.params import EPOCH_TYPES
 
-RUN_SCHEMA = "run_name string, created string, epoch_types array<string>, model string, params string, metrics string, param_hash string"
+RUN_SCHEMA = (
+    "run_name string, created string, epoch_types array<string>, model string, params string, metrics string, param_hash string, "
+    "normalise string, feature_params string, final_cases array<bigint>"
+)
 
 
 @dataclass(frozen=True)
 class RunSettings:
-    """Everything that identifies a run."""
+    """Everything that identifies a run; what is chosen for a table of features belongs to the record alone."""
 
     epoch_types: Sequence[str]
     model: Mapping[str, Mapping]
@@ -28,23 +30,29 @@ class RunSettings:
     filtering: Mapping = field(default_factory=dict)
     transform: Mapping = field(default_factory=dict)
     classification: Mapping = field(default_factory=dict)
+    normalise: str | None = None
+    feature_params: Mapping = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for t in self.epoch_types:
             if t not in EPOCH_TYPES:
-                raise ValueError(f"Invalid epoch_type: {t}")
-
-    def fingerprint(self) -> str:
-        """JSON with sorted keys and without blanks."""
-        content = {
-            "epoch_type": sorted(self.epoch_types), "model": self.model, "initial_patient_ids": sorted(self.initial_cases),
-            "hyperparameters": self.hyperparameters, "filtering_params": self.filtering, "transform_params": self.transform,
-            "classification_params": self.classification,
-        }
-        return json.dumps(content, sort_keys=True, separators=(",", ":"))
+                raise ValueError(f"{t!r} is no kind of epoch")
+
+    def as_row(self, spark: SparkSession) -> DataFrame:
+        """One row: ``epoch_types, model, params`` and ``param_hash``, the SHA-256 of ``params``.
 
-    def param_hash(self) -> str:
-        return hashlib.sha256(self.fingerprint().encode("utf-8")).hexdigest()
+        ``params`` is Spark's JSON of a struct of named parts; lists are sorted, maps by key.
+        """
+        parts = {
+            "model": self.model, "tuning": self.hyperparameters, "filter": self.filtering, "spectrum": self.transform,
+            "classes": self.classification, "features": self.feature_params,
+        }
+        texts = [json.dumps(v, sort_keys=True) for v in parts.values()]
+        row = (list(self.epoch_types), next(iter(self.model)), [int(c) for c in self.initial_cases], self.normalise, *texts)
+        schema = "epoch_types array<string>, name string, cases array<bigint>, normalise string, " + ", ".join(f"{p} string" for p in parts)
+        params = F.to_json(F.struct(F.sort_array("epoch_types").alias("epochs"), F.sort_array("cases").alias("cases"), "normalise", *parts))
+        one = spark.createDataFrame([row], schema)
+        return one.select("epoch_types", F.col("name").alias("model"), params.alias("params"), F.sha2(params, 256).alias("param_hash"), "normalise", F.col("features").alias("feature_params"))
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -62,25 +70,27 @@ def register_run(
 ) -> str:
     """Store the record of a run and return its name.
 
-    A run with the same parameters is refused unless forced; a taken name gets a timestamp. The epoch
-    keys of the folds go to their own table ``split_keys``, since they grow with the data.
+    A run with the same parameters is refused unless forced. Of the wished name and the same name with the time
+    behind it, the first that is free is taken. The epoch keys of the folds go to their own table
+    ``split_keys``, since they grow with the data; the record lists the cases they end with.
     """
     now = now or datetime.now()
-    stamp = now.strftime("%Y_%m_%dT%H_%M_%S")
-    known = read_runs(spark, path)
-    same = known.filter(F.col("param_hash") == settings.param_hash()).select("run_name").first()
-    if same and not force:
-        raise ValueError(f"A run with the same parameters already exists: {same['run_name']}")
-    name = run_name or f"Run_{stamp}"
-    if not known.filter(F.col("run_name") == name).isEmpty():
-        name = f"{name}_{stamp}"
-    record = spark.createDataFrame(
-        [(name, now.strftime("%Y-%m-%d %H:%M:%S"), list(settings.epoch_types), next(iter(settings.model)), settings.fingerprint(), settings.param_hash())],
-        "run_name string, created string, epoch_types array<string>, model string, params string, param_hash string",
-    )
-    # One row per fold: few, so the metrics fit into one JSON field of the record.
+    second = now.strftime("%Y_%m_%dT%H_%M_%S")
+    known, row = read_runs(spark, path), settings.as_row(spark)
+    twin = known.join(row, "param_hash", "left_semi").select("run_name").first()
+    if twin and not force:
+        raise ValueError(f"run {twin['run_name']!r} is stored with these parameters")
+    wished = [run_name, f"{run_name}_{second}"] if run_name else [f"Run_{second}", f"Run_{second}_{second}"]
+    names = spark.createDataFrame(list(enumerate(wished)), "place int, run_name string")
+    name = names.join(known, "run_name", "left_anti").orderBy("place").first()["run_name"]
+    # One row per fold: few, so the metrics fit into one JSON field of the record. Cases are ids, far fewer than epochs.
     summary = metrics.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*metrics.columns)))).alias("metrics"))
-    join_small(record, summary, []).select("run_name", "created", "epoch_types", "model", "params", "metrics", "param_hash").write.mode("append").parquet(f"{path}/runs")
+    cases = splits.agg(F.sort_array(F.collect_set(F.col("case_id").cast("long"))).alias("final_cases"))
+    record = join_small(join_small(row, summary, []), cases, []).select(
+        F.lit(name).alias("run_name"), F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).alias("created"), "epoch_types", "model", "params", "metrics", "param_hash",
+        "normalise", "feature_params", "final_cases",
+    )
+    record.write.mode("append").parquet(f"{path}/runs")
     splits.select(F.lit(name).alias("run"), "fold", "role", "case_id", "start", "end").write.mode("append").partitionBy("run").parquet(f"{path}/split_keys")
     return name
 
@@ -95,7 +105,7 @@ def run_steps(steps: Mapping[str, Callable[[dict], None]], selected: Sequence[st
     """
     unknown = [s for s in (selected or []) if s not in STEPS]
     if unknown:
-        raise ValueError(f"Invalid subworkflow keys: {unknown}. Valid keys are: {list(STEPS)}")
+        raise ValueError(f"no such steps: {unknown}; there are {list(STEPS)}")
     state = {} if state is None else state
     for name in STEPS:
         if (selected is None or name in selected) and name in steps:

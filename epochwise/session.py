@@ -35,11 +35,15 @@ def get_session(app_name: str = "epochwise", master: str | None = None, shuffle_
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one named in ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a laptop) a temporary folder is used instead.
+    Where the setting is absent and Spark runs in one process (tests, a laptop), a temporary folder is used
+    instead. On a cluster a folder of one machine would not do, so its absence is an error there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
     own = tempfile.mkdtemp(prefix="epochwise-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own

@@ -51,10 +51,10 @@ def test_rows_are_never_windowed_by_group_alone(series):
     assert row_windows and all("c#" in x for x in row_windows)
 
 
-@pytest.mark.parametrize("balanced", [None, 4])
-def test_cumulative(series, balanced):
+@pytest.mark.parametrize("size", [100_000, 7])
+def test_cumulative(series, size):
     rows, df = series
-    out = O.cumulative(df, ["g"], "v", {"n": F.count(F.lit(1))}, balanced).collect()
+    out = O.cumulative(df, ["g"], "v", {"n": F.count(F.lit(1))}, size).collect()
     for r in out:
         vals = [x for g, _, x in rows if g == r["g"] and x is not None]
         assert r["n"] == vals.count(r["v"])
@@ -70,11 +70,13 @@ def test_percentiles_are_exact(series):
         assert np.allclose([r["q1"], r["m"], r["hi"]], np.percentile(vals, [25, 50, 97]))
 
 
-def test_magnitude_chunk_keeps_order(spark):
-    vals = sorted([0.0, -1e-300, 1e-300, -5.0, -4.999999, 3.0, 3.0000001, 1e18, -1e18, 0.1])
-    df = spark.createDataFrame([(v,) for v in vals], "v double").select("v", O.magnitude_chunk(F.col("v")).alias("c"))
-    chunks = [r["c"] for r in df.orderBy("v").collect()]
-    assert chunks == sorted(chunks)
+@pytest.mark.parametrize("value", ["1.0 - id / 1e9", "1.7e9 + id"])
+def test_close_values_are_cut_into_bounded_ranges(spark, value):
+    df = spark.range(30_000).select(F.expr(value).alias("v"))
+    ranged, levels = O.bounded_chunks(df, [], "v", 1000)
+    assert ranged.groupBy(*levels).count().agg(F.max("count")).first()[0] <= 2000
+    out = O.cumulative(df, [], "v", {"n": F.count(F.lit(1))}, rows_per_chunk=1000)
+    assert out.agg(F.sum("n_below")).first()[0] == 30_000 * 29_999 // 2
 
 
 def test_take_random_is_the_hash_order(spark):

@@ -104,7 +104,7 @@ def test_feature_pair_needs_equal_columns(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.0, 1.0, 5.0)], "case_id long, start double, end double, x double")
     B.write_feature_set(df, str(tmp_path), "awake")
     B.write_feature_set(df.withColumnRenamed("x", "y"), str(tmp_path), "faw")
-    with pytest.raises(ValueError, match="same columns"):
+    with pytest.raises(ValueError, match="differ in their columns"):
         A.read_feature_pair(spark, str(tmp_path), "awake", "faw")
 
 
@@ -114,14 +114,15 @@ def test_run_registry(spark, tmp_path):
     splits = spark.createDataFrame([(0, "test", 1, 0.0, 2.0)], "fold int, role string, case_id long, start double, end double")
     m = spark.createDataFrame([(0, 0.9)], "fold int, accuracy double")
     assert register_run(spark, path, s, splits, m, "a") == "a"
-    with pytest.raises(ValueError, match="already exists"):
+    with pytest.raises(ValueError, match="is stored with these"):
         register_run(spark, path, RunSettings(["awake", "faw"], {"svm": {"C": 1}}, [1, 3]), splits, m, "b")
     assert register_run(spark, path, s, splits, m, "a", force=True).startswith("a_")
     assert register_run(spark, path, RunSettings(["faw", "awake"], {"svm": {"C": 2}}), splits, m, "c") == "c"
     assert A.read_run(read_runs(spark, path), "c").count() == 1
+    assert A.read_run(read_runs(spark, path), "c").first()["final_cases"] == [1]
     with pytest.raises(ValueError, match="no run named"):
         A.read_run(read_runs(spark, path), "zzz")
-    with pytest.raises(ValueError, match="Invalid epoch_type"):
+    with pytest.raises(ValueError, match="no kind of epoch"):
         RunSettings(["sleep"], {"svm": {}})
 
 
