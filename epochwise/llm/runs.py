@@ -201,7 +201,8 @@ def _slice_runs(plan: Plan, units: list[np.ndarray], first: np.ndarray, level: i
     prefix = _prefix(units[0], plan.powers[0], 0xA0761D6478BD642F)
     for above, open_set in zip(plan.grams[:level], open_sets):
         grams, anchor = _anchors(prefix, plan.inverse[0], size, above)
-        wanted &= open_set.has(grams)[anchor]
+        begin = np.concatenate(([0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1))
+        wanted &= np.repeat(open_set.has(grams[anchor[begin]]), np.diff(np.append(begin, n)))
         if not wanted.any():
             return None
     grams, anchor = _anchors(prefix, plan.inverse[0], size, plan.grams[level])
