@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +27,7 @@ class Settings:
     width: int = 4
     shortest: int = 3
     longest: int = 5
-    per_class: int = 4096
+    per_class: int = 3072
     most_chars: int = 100_000
     least_docs: int = 5  # subwords of fewer documents of the sample are not learnt
     chosen: int = 256  # subwords that the second round keeps
@@ -41,24 +42,56 @@ class Settings:
 def subwords(word: bytes, s: Settings) -> list[int]:
     """Buckets of a word's character n-grams, with marks at both ends, and of the word itself."""
     marked = "<" + word.decode("utf-8", "replace").lower() + ">"
-    found = [zlib.crc32(marked.encode()) % s.buckets]
-    for n in range(s.shortest, s.longest + 1):
-        found += [zlib.crc32(marked[i : i + n].encode()) % s.buckets for i in range(len(marked) - n + 1)]
-    return found
+    if marked.isascii():  # bytes are characters
+        flat = marked.encode()
+        parts = [flat[i : i + n] for n in range(s.shortest, s.longest + 1) for i in range(len(flat) - n + 1)]
+        parts.append(flat)
+    else:
+        parts = [marked[i : i + n].encode() for n in range(s.shortest, s.longest + 1) for i in range(len(marked) - n + 1)]
+        parts.append(marked.encode())
+    return [zlib.crc32(p) % s.buckets for p in parts]
 
 
-def features(text: str | None, s: Settings) -> tuple[list[int], list[float]]:
-    """Weight of every bucket in a text's mean over words of the mean over a word's subwords."""
+def features(text: str | None, s: Settings, known: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Weight of every bucket in a text's mean over words of the mean over a word's subwords.
+
+    ``known`` keeps the buckets of words met before.
+    """
     words = Counter((text or "").encode().split())
-    total, out = sum(words.values()), Counter()
-    for word, n in words.items():
-        found = subwords(word, s)
-        for b in found:
-            out[b] += n / (total * len(found))
-    return list(out), list(out.values())
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    lists = []
+    for word in words:
+        found = known.get(word)
+        if found is None:
+            if len(known) >= 200_000:
+                known.clear()
+            found = known[word] = np.array(subwords(word, s), np.int32)
+        lists.append(found)
+    sizes = np.array([len(x) for x in lists])
+    share = np.fromiter(words.values(), np.float64, len(words)) / (sum(words.values()) * sizes)
+    bucket, place = np.unique(np.concatenate(lists), return_inverse=True)
+    return bucket.astype(np.int32), np.bincount(place, np.repeat(share, sizes)).astype(np.float32)
+
+
+@dataclass
+class Bags:
+    """Features of several texts, one after another: text ``i`` has entries ``at[i]`` to ``at[i + 1]``."""
+
+    at: np.ndarray
+    bucket: np.ndarray
+    share: np.ndarray
+
+    def only(self, kept: np.ndarray, buckets: int) -> Bags:
+        """The entries of some buckets, numbered by their place in ``kept``."""
+        place = np.full(buckets, -1, np.int32)
+        place[kept] = np.arange(len(kept), dtype=np.int32)
+        new = place[self.bucket]
+        taken = new >= 0
+        return Bags(np.concatenate(([0], np.cumsum(taken)))[self.at], new[taken], self.share[taken])
 
 
-def _fit_once(sparse: list[tuple[np.ndarray, np.ndarray]], buckets: int, labels: np.ndarray, weights: np.ndarray, epochs: int, decay: float, s: Settings) -> tuple[np.ndarray, float]:
+def _fit_once(bags: Bags, buckets: int, labels: np.ndarray, weights: np.ndarray, epochs: int, decay: float, s: Settings) -> tuple[np.ndarray, float]:
     """Embeddings and softmax trained together by Adam on weighted cross-entropy.
 
     Returns the difference of the two classes' logits for each bucket, and the bias.
@@ -71,12 +104,12 @@ def _fit_once(sparse: list[tuple[np.ndarray, np.ndarray]], buckets: int, labels:
     first, second = ([np.zeros_like(p) for p in params] for _ in range(2))
     step = 0
     for _ in range(epochs):
-        order = rng.permutation(len(sparse))
-        for a in range(0, len(sparse), s.batch):
+        order = rng.permutation(len(labels))
+        for a in range(0, len(labels), s.batch):
             part = order[a : a + s.batch]
-            n = np.array([len(sparse[i][0]) for i in part])
-            index = np.concatenate([sparse[i][0] for i in part])
-            share = np.concatenate([sparse[i][1] for i in part]) * np.float32(s.gain)
+            n = bags.at[part + 1] - bags.at[part]
+            index = np.concatenate([bags.bucket[bags.at[i] : bags.at[i + 1]] for i in part])
+            share = np.concatenate([bags.share[bags.at[i] : bags.at[i + 1]] for i in part]) * np.float32(s.gain)
             doc = np.repeat(np.arange(len(part)), n)
             mean = np.stack([np.bincount(doc, share * embed[index, d], len(part)) for d in range(s.width)], 1).astype(np.float32)
             logits = mean @ soft + bias
@@ -96,23 +129,23 @@ def _fit_once(sparse: list[tuple[np.ndarray, np.ndarray]], buckets: int, labels:
     return slope.astype(np.float32), float(bias[1] - bias[0])
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
+def fit(bags: Bags, labels: np.ndarray, weights: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
     """Two joint rounds: over all subwords of enough documents, then over those that speak most for label 1.
 
     The first round alone learns by heart what happens to stand in few toxic texts; the second starts anew
     on the ``chosen`` subwords. Returns a slope for each bucket (zero if it takes no part), and the bias.
     """
     slope = np.zeros(s.buckets, np.float32)
-    docs = np.bincount(np.concatenate([b for b, _ in rows]), minlength=s.buckets)
+    docs = np.bincount(bags.bucket, minlength=s.buckets)
     taking, bias = np.flatnonzero(docs >= s.least_docs), 0.0
+    inside, wide = taking, s.buckets
     for epochs, decay in zip(s.epochs, s.decay):
-        place = np.full(s.buckets, -1)
-        place[taking] = np.arange(len(taking))
-        sparse = [(place[b][place[b] >= 0], w[place[b] >= 0]) for b, w in rows]
-        found, bias = _fit_once(sparse, max(1, len(taking)), labels, weights, epochs, decay, s)
+        bags = bags.only(inside, wide)
+        found, bias = _fit_once(bags, max(1, len(taking)), labels, weights, epochs, decay, s)
         slope[:] = 0
         slope[taking] = found[: len(taking)]
-        taking = np.sort(taking[np.argsort(-found[: len(taking)], kind="stable")[: s.chosen]])
+        inside, wide = np.sort(np.argsort(-found[: len(taking)], kind="stable")[: s.chosen]), max(1, len(taking))
+        taking = taking[inside]
     return slope, bias
 
 
@@ -134,8 +167,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     @F.arrow_udf(FEATURES)
     def of_text(text: pa.Array) -> pa.Array:
-        found = [features(t.as_py(), s) for t in text]
-        return pa.StructArray.from_arrays([pa.array([b for b, _ in found], pa.list_(pa.int32())), pa.array([w for _, w in found], pa.list_(pa.float32()))], ["bucket", "share"])
+        known: dict[bytes, np.ndarray] = {}
+        found = [features(t.as_py(), s, known) for t in text]
+        ends = pa.array(np.concatenate(([0], np.cumsum([len(b) for b, _ in found]))), pa.int32())
+        flat = [pa.array(np.concatenate([x[k] for x in found]) if found else []) for k in (0, 1)]
+        lists = [pa.ListArray.from_arrays(ends, x.cast(kind)) for x, kind in zip(flat, (pa.int32(), pa.float32()))]
+        return pa.StructArray.from_arrays(lists, ["bucket", "share"])
 
     # At most 2 * per_class rows.
     chosen = docs.filter(F.coalesce(F.length(text_col), F.lit(0)) <= s.most_chars).select(F.col(id_col).alias("own"), text_col).join(F.broadcast(sample), "own")
@@ -144,8 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(np.unique(y)) < 2:
         return np.zeros(s.buckets, np.float32), float(np.log(counts[1] / counts[0]))
     weights = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
-    rows = [(b.values.to_numpy().astype(np.int64), w.values.to_numpy()) for b, w in zip(got["bucket"], got["share"])]
-    return fit(rows, y, weights, s)
+    sizes = pc.list_value_length(got["bucket"]).to_numpy()
+    bags = Bags(np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), pc.list_flatten(got["bucket"]).to_numpy(), pc.list_flatten(got["share"]).to_numpy())
+    del got
+    return fit(bags, y, weights, s)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", settings: Settings | None = None) -> Column:
