@@ -17,7 +17,6 @@ from epochwise.operators.ordered import hash_order, join_small, scan, stable_has
 from epochwise.session import materialize
 
 KEYS = ["case_id", "start", "end"]
-GROUP_LIMIT = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
 
 
 def case_counts(df: DataFrame) -> DataFrame:
@@ -198,18 +197,18 @@ def stratified_samples(rows: DataFrame, sizes: Sequence[int], iterations: int, k
     """For each size and iteration half of the size from each class, without replacement.
 
     An iteration has one random order per class and a size takes its beginning, so rows are repeated
-    per iteration only. Up to Spark's window group limit, tasks keep the first ``max(sizes) / 2`` rows
-    per class before the exchange; beyond it the order is worked out in hash chunks.
+    per iteration only. A row can be among the wanted first ones only if its hash lies below their share of the
+    class; ten standard deviations are added to that share (a miss has odds below 1e-20), so what is exchanged and ordered is
+    about ``max(sizes) / 2`` rows per iteration and class, however many rows there are.
     """
-    each = rows.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    each = each.withColumn("_h", F.md5(F.concat_ws(":", "iteration", *[F.col(k).cast("string") for k in keys])))
     bound = max(sizes) // 2
-    if bound <= GROUP_LIMIT:
-        order = W.partitionBy("iteration", "label").orderBy("_h", *keys)
-        ranked = each.withColumn("_rn", F.row_number().over(order))
-    else:
-        chunked = each.withColumn("_hc", F.substring("_h", 1, 3))
-        ranked = scan(chunked, ["iteration", "label"], "_hc", ["_h", *keys], sums={"_rn": F.lit(1)}).drop("_hc")
-    first = ranked.filter(F.col("_rn") <= bound)
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    share = F.lit(float(bound + 10 * bound**0.5 + 50)) / F.col("_n")
+    each = rows.join(counts, "label").withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    each = each.withColumn("_h", F.md5(F.concat_ws(":", "iteration", *[F.col(k).cast("string") for k in keys])))
+    near = each.filter(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / 2.0**32 <= share).drop("_n")
+    order = W.partitionBy("iteration", "label").orderBy("_h", *keys)
+    first = near.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= bound)
     sized = first.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes])))
-    return sized.filter(F.col("_rn") <= F.floor(F.col("size") / 2)).drop("_rn", "_h")
+    picked = sized.filter(F.col("_rn") <= F.floor(F.col("size") / 2))
+    return picked.select(*rows.columns, "iteration", "size")
