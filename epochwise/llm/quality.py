@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochwise.llm.words import positions, row_key, split_lines, split_words
+from epochwise.session import materialize
 
 BUCKETS = 1 << 16
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -48,6 +49,7 @@ def gram_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     marked = docs.select(F.col(id_col).alias("id"), text_col).join(ids.hint("shuffle_hash"), "id", "left")
     grams = _word_hashes(marked, text_col, F.coalesce("good", F.lit(False)).alias("good")).select("good", _grams().alias("g"))
     counts = grams.select("good", F.explode_outer("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("raw"), F.count_if("good").alias("target"))
+    counts = materialize(counts, "gram-counts")  # BUCKETS rows at most, read three times
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("gram")).join(counts.filter("gram IS NOT NULL"), "gram", "left").fillna(0)
     full = counts.filter("gram IS NOT NULL")
     total = {c: full.agg((F.coalesce(F.sum(c), F.lit(0)) + BUCKETS).alias("n")).scalar() for c in ("raw", "target")}
