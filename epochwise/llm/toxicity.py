@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +28,8 @@ class Settings:
     width: int = 4
     shortest: int = 3
     longest: int = 5
-    per_class: int = 3072
-    most_chars: int = 100_000
+    per_class: int = 2048
+    most_chars: int = 50_000
     least_docs: int = 5  # subwords of fewer documents of the sample are not learnt
     chosen: int = 256  # subwords that the second round keeps
     epochs: tuple[int, int] = (4, 15)
@@ -176,15 +177,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # At most 2 * per_class rows.
     chosen = docs.filter(F.coalesce(F.length(text_col), F.lit(0)) <= s.most_chars).select(F.col(id_col).alias("own"), text_col).join(F.broadcast(sample), "own")
-    got = chosen.select("own", "y", of_text(text_col).alias("x")).select("own", "y", "x.bucket", "x.share").toArrow().sort_by("own")
-    y = got["y"].to_numpy().astype(np.int64)
-    if len(np.unique(y)) < 2:
-        return np.zeros(s.buckets, np.float32), float(np.log(counts[1] / counts[0]))
-    weights = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
-    sizes = pc.list_value_length(got["bucket"]).to_numpy()
-    bags = Bags(np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), pc.list_flatten(got["bucket"]).to_numpy(), pc.list_flatten(got["share"]).to_numpy())
-    del got
-    return fit(bags, y, weights, s)
+    rows = chosen.select("own", "y", of_text(text_col).alias("x")).select("own", "y", "x.bucket", "x.share")
+
+    def fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if not got:
+            return
+        table = pa.Table.from_batches(got).sort_by("own")
+        del got
+        y = table["y"].to_numpy().astype(np.int64)
+        slope, bias = np.zeros(s.buckets, np.float32), float(np.log(counts[1] / counts[0]))
+        if len(np.unique(y)) == 2:
+            sizes = pc.list_value_length(table["bucket"]).to_numpy()
+            bags = Bags(np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), pc.list_flatten(table["bucket"]).to_numpy(), pc.list_flatten(table["share"]).to_numpy())
+            slope, bias = fit(bags, y, np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum()), s)
+        told = np.flatnonzero(slope)
+        yield pa.record_batch([pa.array([told.astype(np.int32)]), pa.array([slope[told]]), pa.array([bias])], ["bucket", "slope", "bias"])
+
+    # The sample is bounded, so one task can fit it, and the driver sees the few slopes alone.
+    found = rows.repartition(1).mapInArrow(fit_rows, "bucket array<int>, slope array<float>, bias double").first()
+    slope = np.zeros(s.buckets, np.float32)
+    if found is None:
+        return slope, float(np.log(counts[1] / counts[0]))
+    slope[found["bucket"]] = found["slope"]
+    return slope, found["bias"]
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", settings: Settings | None = None) -> Column:
