@@ -198,17 +198,24 @@ def stratified_samples(rows: DataFrame, sizes: Sequence[int], iterations: int, k
 
     An iteration has one random order per class and a size takes its beginning, so rows are repeated
     per iteration only. A row can be among the wanted first ones only if its hash lies below their share of the
-    class; ten standard deviations are added to that share (a miss has odds below 1e-20), so what is exchanged and ordered is
-    about ``max(sizes) / 2`` rows per iteration and class, however many rows there are.
+    class; ten standard deviations are added to that share, so what is exchanged and ordered is about ``max(sizes) / 2``
+    rows per iteration and class, however many rows there are. Rows with equal keys have one hash; where a class comes out
+    short because of them, the share is widened until every class and iteration has its rows.
     """
     bound = max(sizes) // 2
-    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
-    share = F.lit(float(bound + 10 * bound**0.5 + 50)) / F.col("_n")
+    counts = rows.filter("label IS NOT NULL").groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.max("_n"), F.sum(F.least("_n", F.lit(bound)))).first()
+    most, wanted = total[0] or 0, (total[1] or 0) * iterations
     each = rows.join(counts, "label").withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     each = each.withColumn("_h", F.md5(F.concat_ws(":", "iteration", *[F.col(k).cast("string") for k in keys])))
-    near = each.filter(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / 2.0**32 <= share).drop("_n")
     order = W.partitionBy("iteration", "label").orderBy("_h", *keys)
-    first = near.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= bound)
+    near = float(bound + 10 * bound**0.5 + 50)
+    while True:
+        low = each.filter(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / 2.0**32 <= F.lit(near) / F.col("_n")).drop("_n")
+        first = materialize(low.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= bound), "first")
+        if near >= most or first.count() == wanted:
+            break
+        near *= 4
     sized = first.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes])))
     picked = sized.filter(F.col("_rn") <= F.floor(F.col("size") / 2))
     return picked.select(*rows.columns, "iteration", "size")
