@@ -14,6 +14,7 @@ from epochwise.session import materialize
 # substituted, or 2 of 13, some seed of these two stays whole (a test goes through all placements).
 MASKS = ((0, 1, 2, 4, 5), (0, 2, 3, 4, 5))
 CELLS = 1 << 21  # bound of the broadcast set of seed cells
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’„‚«»‹›…–—¡¿。、，！？：；"  # stripped from the ends of words if asked for
 
 
 def _seeds(rows: DataFrame, keep: Sequence[str], masks: Sequence[Sequence[int]]) -> DataFrame:
@@ -25,15 +26,23 @@ def _seeds(rows: DataFrame, keep: Sequence[str], masks: Sequence[Sequence[int]])
     return rows.select(*keep, F.explode_outer(F.concat(*(of(m, n) for n, m in enumerate(masks)))).alias("s")).filter("s IS NOT NULL").select(*keep, "s.pos", "s.seed")
 
 
-def _hashed(table: DataFrame, id_col: str, text_col: str, names: tuple[str, str]) -> DataFrame:
+def _bare(word: Column) -> Column:
+    """A word without marks at its ends; one of marks alone stays, so equal words stay equal."""
+    inner = F.btrim(word, F.lit(MARKS))
+    return F.when(inner == "", word).otherwise(inner)
+
+
+def _hashed(table: DataFrame, id_col: str, text_col: str, names: tuple[str, str], folded: bool) -> DataFrame:
     ident, tag = row_key(id_col, text_col)
-    words = table.select(ident.alias(names[0]), tag.alias(names[1]), split_words(F.col(text_col)).alias("w"))
-    return words.select(*names, F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    text = F.lower(text_col) if folded else F.col(text_col)
+    words = table.select(ident.alias(names[0]), tag.alias(names[1]), split_words(text).alias("w"))
+    return words.select(*names, F.transform("w", lambda x: F.xxhash64(_bare(x) if folded else x)).alias("h"))
 
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     window: int = 16, share: float = 0.8, masks: Sequence[Sequence[int]] = MASKS,
+    folded: bool = False,
 ) -> DataFrame:
     """Pairs ``(id_col, item_col, n_matched, n_compared, start)`` of documents and the items they leak.
 
@@ -46,20 +55,21 @@ def find_leaks(
     tables, joined. Documents' seeds first pass a set of at most ``CELLS`` cells, broadcast because of that bound;
     what is left meets the items' seeds in an ordinary join. Items shorter than a mask have no seed and are not found.
 
-    Words are separated by bytes 0x20 and 0x09-0x0D and compared as they stand. Null texts have no words. Null ids stay
+    Words are separated by bytes 0x20 and 0x09-0x0D and compared as they stand, or with ``folded`` in lower case and
+    without the ``MARKS`` at their ends. Null texts have no words. Null ids stay
     null. Rows that are equal in id and text give one row per item. Clean documents do not appear.
     """
-    items = _hashed(benchmark, item_col, item_text_col, ("item", "item_tag"))
+    items = _hashed(benchmark, item_col, item_text_col, ("item", "item_tag"), folded)
     item_seeds = materialize(_seeds(items, ["item", "item_tag"], masks).withColumnRenamed("pos", "item_pos"), "item-seeds")
     cell = F.col("seed").bitwiseAND(F.lit(CELLS - 1).cast("long"))
     cells = item_seeds.select(cell.alias("cell")).distinct()
-    doc_seeds = _seeds(_hashed(docs, id_col, text_col, ("id", "tag")), ["id", "tag"], masks).withColumn("cell", cell)
+    doc_seeds = _seeds(_hashed(docs, id_col, text_col, ("id", "tag"), folded), ["id", "tag"], masks).withColumn("cell", cell)
     met = doc_seeds.join(F.broadcast(cells), "cell", "left_semi").drop("cell")
     offsets = met.join(item_seeds, "seed").select("id", "tag", "item", "item_tag", (F.col("pos") - F.col("item_pos")).alias("offset")).distinct()
     offsets = materialize(offsets, "offsets")
 
     with_items = offsets.join(items.withColumnRenamed("h", "ih"), ["item", "item_tag"])
-    texts = _hashed(docs, id_col, text_col, ("id", "tag")).join(offsets.select("id", "tag").distinct().hint("shuffle_hash"), ["id", "tag"], "left_semi")
+    texts = _hashed(docs, id_col, text_col, ("id", "tag"), folded).join(offsets.select("id", "tag").distinct().hint("shuffle_hash"), ["id", "tag"], "left_semi")
     laid = texts.dropDuplicates(["id", "tag"]).join(with_items, ["id", "tag"])
     equal = F.transform("ih", lambda x, q: F.coalesce(F.when(F.col("offset") + q >= 0, F.get(F.col("h"), F.col("offset") + q)) == x, F.lit(False)).cast("int"))
     size = F.least(F.lit(window), F.size("ih"))
