@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochwise.llm import decontaminate, lines, packing, quality, simhash, substrings, suffixes, tokenfiles, toxicity, warc
+from epochwise.llm import alignment, decontaminate, lines, packing, quality, simhash, substrings, suffixes, tokenfiles, toxicity, warc
 from epochwise.session import load, materialize, new_path
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -143,6 +143,11 @@ OP10_SQL = """WITH c AS (SELECT page_id AS id, 'WARC/1.0' || E'\r\n' || 'WARC-Ty
   FROM a FULL JOIN b USING (archive, o) WHERE a.h IS DISTINCT FROM b.h OR a.n IS DISTINCT FROM b.n"""
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    out = alignment.align(load(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return out.drop("groups")
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_best_fit_packing": (op2_best_fit_packing, None),
@@ -154,4 +159,5 @@ QUERIES = {
     "op8_suffix_array_dedup": (op8_suffix_array_dedup, OP8_SQL),
     "op9_token_files": (op9_token_files, None),
     "op10_warc_fixity_audit": (op10_warc_fixity_audit, OP10_SQL),
+    "op13_tokenizer_alignment": (op13_tokenizer_alignment, None),
 }
