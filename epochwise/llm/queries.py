@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochwise.llm import alignment, decontaminate, lines, packing, quality, simhash, substrings, suffixes, tokenfiles, toxicity, warc
+from epochwise.llm import alignment, decontaminate, dialogues, lines, packing, quality, simhash, substrings, suffixes, tokenfiles, toxicity, warc
 from epochwise.session import load, materialize, new_path
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -143,6 +143,18 @@ OP10_SQL = """WITH c AS (SELECT page_id AS id, 'WARC/1.0' || E'\r\n' || 'WARC-Ty
   FROM a FULL JOIN b USING (archive, o) WHERE a.h IS DISTINCT FROM b.h OR a.n IS DISTINCT FROM b.n"""
 
 
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Repair of conversations that are damaged by a rule on conversation and turn: rows lost, emptied, unfinished, doubled, or the user's."""
+    turns = load(spark, sf, "conversations")
+    name = F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit(" ")) if c else F.lit(":") for c in ("conv_id", None, "turn")])
+    rule = F.crc32(name) % 20
+    text = F.coalesce("text", F.lit(" "))
+    hurt = turns.select(
+        "conv_id", "turn", F.when(rule == 4, "user").otherwise(F.col("role")).alias("role"), F.when(rule == 1, "").when(rule == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.when(rule == 0, 0).when(rule == 3, 2).otherwise(1).alias("copies"))
+    return dialogues.repair(hurt, copies=F.col("copies"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
     out = alignment.align(load(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
     return out.drop("groups")
@@ -159,5 +171,6 @@ QUERIES = {
     "op8_suffix_array_dedup": (op8_suffix_array_dedup, OP8_SQL),
     "op9_token_files": (op9_token_files, None),
     "op10_warc_fixity_audit": (op10_warc_fixity_audit, OP10_SQL),
+    "op12_conversation_repair": (op12_conversation_repair, None),
     "op13_tokenizer_alignment": (op13_tokenizer_alignment, None),
 }
