@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochwise.llm import alignment, decontaminate, dialogues, lines, packing, quality, simhash, substrings, suffixes, tokenfiles, toxicity, warc
+from epochwise.llm import alignment, decontaminate, dialogues, lines, packing, quality, rules, simhash, substrings, suffixes, tokenfiles, toxicity, warc
 from epochwise.session import load, materialize, new_path
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -143,6 +143,10 @@ OP10_SQL = """WITH c AS (SELECT page_id AS id, 'WARC/1.0' || E'\r\n' || 'WARC-Ty
   FROM a FULL JOIN b USING (archive, o) WHERE a.h IS DISTINCT FROM b.h OR a.n IS DISTINCT FROM b.n"""
 
 
+def op11_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.rate(load(spark, sf, "documents"), load(spark, sf, "labels")).drop("statistics")
+
+
 def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     """Repair of conversations that are damaged by a rule on conversation and turn: rows lost, emptied, unfinished, doubled, or the user's."""
     turns = load(spark, sf, "conversations")
@@ -171,6 +175,7 @@ QUERIES = {
     "op8_suffix_array_dedup": (op8_suffix_array_dedup, OP8_SQL),
     "op9_token_files": (op9_token_files, None),
     "op10_warc_fixity_audit": (op10_warc_fixity_audit, OP10_SQL),
+    "op11_quality_classifier": (op11_quality_classifier, None),
     "op12_conversation_repair": (op12_conversation_repair, None),
     "op13_tokenizer_alignment": (op13_tokenizer_alignment, None),
 }
