@@ -9,8 +9,9 @@ from epochwise.operators import splits as S
 from epochwise.plans import models as M
 from epochwise.session import load, materialize, new_path
 
-NAMES = ["x0", "x1", "x2", "x3", "x4", "x5"]
-OPT = {"n_components": 24, "max_iter": 10}
+NAMES = [f"x{k}" for k in range(64)]
+SWEEP = ["Alpha", "Beta", "Theta", "Delta", "spectral_skewness", "spectral_kurtosis", "shannon_entropy", "permutation_entropy"]
+SIZES = [50, 100, 150, 200, 400, 600, 800, 1000, 1200, 1400, 1600, 1800]
 
 
 def table(s, d):
@@ -19,49 +20,47 @@ def table(s, d):
 
 
 def folds(s, d):
-    t = table(s, d)
-    return materialize(S.cross_validation_splits(t, 3, None), "folds")
+    return materialize(S.cross_validation_splits(table(s, d), 3, None), "folds", ["fold", "role"])
 
 
 def single(s, d):
     t = table(s, d)
     roles = S.find_case_split(S.case_counts(t), 0.2)
-    return materialize(S.balanced_split(t.join(roles, "case_id"), 0.2), "single")
+    return materialize(S.balanced_split(t.join(roles, "case_id"), 0.2), "single", ["role"])
 
 
 def classifier(s, d):
     rows = single(s, d)
-    model = M.train(rows.filter("role = 'train'"), NAMES, **OPT)
+    model = M.train(rows.filter("role = 'train'"), NAMES)
     return M.predict(model, rows.filter("role = 'test'")).select("case_id", "start", "end", "label", "prediction", "score", "error")
 
 
 def stored_model(s, d):
     rows = single(s, d)
-    model = M.train(rows.filter("role = 'train'"), NAMES, kernel="linear", **OPT)
     path = new_path(s, "model")
-    M.save_model(model, path)
+    M.save_model(M.train(rows.filter("role = 'train'"), NAMES, kernel="linear"), path)
     return M.predict(M.load_model(path), rows.filter("role = 'test'")).select("case_id", "start", "end", "label", "prediction", "score", "error")
 
 
 def grid(s, d):
     t = materialize(table(s, d).join(S.case_folds(S.case_counts(table(s, d)), 2), "case_id"), "grid")
-    res = M.grid_search(t, NAMES, "fold", 2, M.GRID, max_iter=5)
-    return s.createDataFrame([(r["kernel"], r["C"], r["gamma"], float(r["score"])) for r in res], "kernel string, C double, gamma double, score double")
+    res = M.grid_search(t, NAMES, "fold", 2, M.GRID)
+    return s.createDataFrame([(r["kernel"], r["C"], r["gamma"], float(r["score"]), r["kernel_error"]) for r in res], "kernel string, C double, gamma double, score double, kernel_error double")
 
 
 def combos(s, d):
-    """Sweep over two features, one of them with two bands: seven runs over all folds."""
-    f = folds(s, d).withColumnsRenamed({"x0": "Alpha", "x1": "Beta", "x2": "spectral_skewness"})
-    runs = M.feature_combinations(("bandpower", "spectral_skewness"), ("Alpha", "Beta"))
-    return M.sweep(f, runs, kernel="linear", max_iter=5)
+    """The whole sweep: 255 runs over all folds."""
+    f = folds(s, d).withColumnsRenamed(dict(zip(NAMES, SWEEP)))
+    return M.sweep(f, M.feature_combinations(), kernel="linear")
 
 
 def experiment(s, d):
+    """All 12 sizes and 50 iterations, the sample as scale and as training set."""
     rows = single(s, d)
     tr, te = rows.filter("role = 'train'"), rows.filter("role = 'test'")
-    picked = materialize(S.stratified_samples(tr, [40, 100], 1), "picked")
-    a = M.sampling_experiment(tr, te, picked, NAMES, kernel="linear", max_iter=5).withColumn("kind", F.lit("normalise"))
-    return a.unionByName(M.sampling_experiment(tr, te, picked, NAMES, True, kernel="linear", max_iter=5).withColumn("kind", F.lit("train")))
+    picked = materialize(S.stratified_samples(tr, SIZES, 50), "picked")
+    a = M.sampling_experiment(tr, te, picked, NAMES).withColumn("kind", F.lit("normalise"))
+    return a.unionByName(M.sampling_experiment(tr, te, picked, NAMES, True).withColumn("kind", F.lit("train")))
 
 
 def features2(s, d):
@@ -98,7 +97,7 @@ def clusters(s, d):
 QUERIES = {
     "m1_margin_classifier": (classifier, None),
     "m2_parameter_grid": (grid, None),
-    "m3_fold_evaluation": (lambda s, d: M.evaluate_folds(folds(s, d), NAMES, **OPT)[1], None),
+    "m3_fold_evaluation": (lambda s, d: M.evaluate_folds(folds(s, d), NAMES)[1], None),
     "m4_pca_variance_ratio": (
         pca_ratio, """WITH c AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem)
         SELECT 1 AS component, round((1 + r) / 2, 6) AS ratio FROM c UNION ALL SELECT 2, round((1 - r) / 2, 6) FROM c"""),

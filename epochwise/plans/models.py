@@ -1,115 +1,48 @@
-"""Classifiers, grids, PCA, robust regions and k-means on Spark ML."""
+"""Classifiers, grids and sweeps of them, PCA, robust regions and k-means."""
 
 from __future__ import annotations
 
-import functools
-import itertools
 import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochwise.operators.ordered import percentiles
 from epochwise.operators.reports import fold_metrics, with_error
 from epochwise.operators.signal import zscore_columns
+from epochwise.plans import margins
+from epochwise.plans.margins import MarginModel, Wanted
 from epochwise.session import materialize
 
 
-def scale_gamma(df: DataFrame, features: Sequence[str]) -> float:
-    """``1 / (n_features * variance of all entries)``."""
-    pooled = df.select(F.explode(F.array(*[F.col(c).cast("double") for c in features])).alias("v"))
-    var = pooled.agg(F.var_pop("v")).first()[0]
-    return 1.0 / (len(features) * var) if var else 1.0 / len(features)
-
-
-def _fourier_statement(features: Sequence[str], gamma: float, n: int, seed: int) -> str:
-    """Random Fourier features of an RBF kernel (Rahimi and Recht 2007) as SQL, so the model can be saved."""
-    rng = np.random.default_rng(seed)
-    w = rng.normal(scale=math.sqrt(2 * gamma), size=(n, len(features)))
-    phase = rng.uniform(0, 2 * math.pi, size=n)
-    scale = math.sqrt(2.0 / n)
-    cols = ", ".join(
-        f"{scale!r}D * cos({' + '.join(f'{float(x)!r}D * `{f}`' for x, f in zip(row, features))} + {float(p)!r}D) AS _z{i}"
-        for i, (row, p) in enumerate(zip(w, phase))
-    )
-    return f"SELECT *, {cols} FROM __THIS__"
-
-
-def _degree_statement(features: Sequence[str], gamma: float, degree: int) -> str:
-    """The kernel ``(gamma x.y) ** degree`` as features: all products of that degree with the root of their multinomial weight."""
-    terms = []
-    for k, picks in enumerate(itertools.combinations_with_replacement(range(len(features)), degree)):
-        weight = math.factorial(degree)
-        for i in set(picks):
-            weight //= math.factorial(picks.count(i))
-        product = " * ".join(f"`{features[i]}`" for i in picks)
-        terms.append(f"{math.sqrt(weight * gamma**degree)!r}D * {product} AS _z{k}")
-    return f"SELECT *, {', '.join(terms)} FROM __THIS__"
-
-
-def _kernel_statement(kernel: str, features: Sequence[str], gamma: float, degree: int, n_components: int, seed: int) -> str:
-    if kernel == "rbf":
-        return _fourier_statement(features, gamma, n_components, seed)
-    return _degree_statement(features, gamma, degree)
-
-
-def margin_pipeline(
-    features: Sequence[str], reg: float, kernel: str = "rbf", gamma: float = 1.0, degree: int = 3,
-    n_components: int = 64, max_iter: int = 50, seed: int = 42, probability: bool = True,
-) -> Pipeline:
-    """M1: kernel map, linear SVM, and a logistic fit on the margin for probabilities."""
-    names = list(features)
-    if kernel in ("rbf", "poly"):
-        mapped = n_components if kernel == "rbf" else math.comb(len(names) + degree - 1, degree)
-        stages = [SQLTransformer(statement=_kernel_statement(kernel, names, gamma, degree, n_components, seed)),
-                  VectorAssembler(inputCols=[f"_z{i}" for i in range(mapped)], outputCol="_x")]
-    elif kernel == "linear":
-        stages = [VectorAssembler(inputCols=names, outputCol="_x")]
-    else:
-        raise ValueError(f"unknown kernel {kernel!r}")
-    stages.append(LinearSVC(featuresCol="_x", labelCol="label", regParam=reg, maxIter=max_iter, standardization=False, rawPredictionCol="_margin", predictionCol="prediction"))
-    if probability:
-        stages += [VectorAssembler(inputCols=["_margin"], outputCol="_m"), LogisticRegression(
-            featuresCol="_m", labelCol="label", maxIter=max_iter, rawPredictionCol="_lr_raw", predictionCol="_lr_prediction", probabilityCol="_proba")]
-    return Pipeline(stages=stages)
-
+def train(df: DataFrame, features: Sequence[str], c: float = 1.0, kernel: str = "rbf", gamma: float | None = None, degree: int = 3, probability: bool = True, **options) -> MarginModel:
+    """M1: fit on feature columns and ``label``; ``c`` is the usual SVM cost, ``gamma`` defaults to 1 / (columns * variance).
 
-def train(df: DataFrame, features: Sequence[str], c: float = 1.0, kernel: str = "rbf", gamma: float | None = None, **options) -> PipelineModel:
-    """M1: fit on feature columns and ``label``; ``c`` is the usual SVM cost."""
-    n = df.count()
-    if kernel != "linear" and gamma is None:
-        gamma = scale_gamma(df, features)
-    return margin_pipeline(features, 1.0 / (c * n), kernel, gamma or 1.0, **options).fit(df)
+    The probability's sigmoid is fitted on margins from models that have not seen the row. ``kernel_error`` of the result
+    tells how far the features of the kernel are from it.
+    """
+    rows = margins.prepare(df, features)
+    return margins.fit_many(rows, features, [Wanted("one", features, c, kernel, gamma, degree)], probability, **options)["one"]
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+def predict(model: MarginModel, df: DataFrame) -> DataFrame:
     """M1: test rows with ``prediction``, ``score`` (probability of class 1) and ``error``."""
-    out = model.transform(df)
-    score = vector_to_array("_proba")[1] if "_proba" in out.columns else F.lit(None).cast("double")
-    return with_error(out.select(*df.columns, F.col("prediction").cast("int").alias("prediction"), score.alias("score")))
-
+    return with_error(margins.rated(df, {None: model}))
 
-def evaluate_folds(splits: DataFrame, features: Sequence[str], **options) -> tuple[DataFrame, DataFrame]:
-    """M3: train and predict per fold; returns all predictions and the metrics per fold.
 
-    The loop runs over folds, at most a few dozen; each fit and each prediction is distributed.
-    """
-    folds = [r["fold"] for r in splits.select("fold").distinct().orderBy("fold").collect()]
-    parts = []
-    for fold in folds:
-        rows = splits.filter(F.col("fold") == fold)
-        model = train(rows.filter("role = 'train'"), features, **options)
-        parts.append(predict(model, rows.filter("role = 'test'")))
-    predictions = materialize(functools.reduce(DataFrame.unionByName, parts), "predictions")
+def evaluate_folds(
+    splits: DataFrame, features: Sequence[str], c: float = 1.0, kernel: str = "rbf", gamma: float | None = None, degree: int = 3, probability: bool = True, **options
+) -> tuple[DataFrame, DataFrame]:
+    """M3: train and predict per fold; returns all predictions and the metrics per fold. All folds are fitted in the same passes."""
+    rows = margins.prepare(splits.filter("role = 'train'"), features, "fold")
+    folds = list(margins.counts_of(rows))
+    models = margins.fit_many(rows, features, [Wanted(f, features, c, kernel, gamma, degree, f) for f in folds], probability, **options)
+    predictions = materialize(with_error(margins.rated(splits.filter("role = 'test'"), models, "fold")), "predictions")
     return predictions, fold_metrics(predictions, ["fold"], "score")
 
 
@@ -118,34 +51,33 @@ GRID = {"C": (0.1, 1.0, 10.0), "gamma": (0.01, 0.1, 1.0), "kernel": ("linear", "
 
 
 def grid_search(
-    df: DataFrame, features: Sequence[str], fold_col: str, n_folds: int, grid: Mapping[str, Sequence] = GRID,
-    metric: str = "accuracy", parallelism: int = 4, n_components: int = 64, max_iter: int = 50, seed: int = 42,
+    df: DataFrame, features: Sequence[str], fold_col: str, n_folds: int, grid: Mapping[str, Sequence] = GRID, metric: str = "accuracy", **options
 ) -> list[dict]:
-    """M2: mean score of every combination over the given folds, best first.
+    """M2: mean score of every combination over the given folds (0 to ``n_folds - 1``), best first; all are fitted in the same passes.
 
-    The linear kernel has no gamma: it is fitted once and its rows have none.
+    The linear kernel has no gamma: it is fitted once and its rows have none. ``metric`` is one of accuracy,
+    precision, recall and f1 of class 1. ``kernel_error`` is the largest error of the kernel's features.
     """
-    n = df.count()
-    evaluator = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName=metric)
-    results = []
-    for kernel in grid["kernel"]:
-        pipe = margin_pipeline(features, 1.0, kernel, 1.0, n_components=n_components, max_iter=max_iter, seed=seed, probability=False)
-        svm = pipe.getStages()[-1]
-        builder = ParamGridBuilder().addGrid(svm.regParam, [1.0 / (c * n) for c in grid["C"]])
-        gammas = list(grid["gamma"]) if kernel != "linear" else [None]
-        statements = {_kernel_statement(kernel, list(features), g, 3, n_components, seed): g for g in gammas if g is not None}
-        if statements:
-            builder.addGrid(pipe.getStages()[0].statement, list(statements))
-        maps = builder.build()
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=evaluator, numFolds=n_folds, foldCol=fold_col, parallelism=parallelism)
-        scores = cv.fit(df).avgMetrics
-        for m, score in zip(maps, scores):
-            gamma = next((statements[v] for p, v in m.items() if p.name == "statement"), None)
-            results.append({"kernel": kernel, "C": 1.0 / (m[svm.regParam] * n), "gamma": gamma, "score": score})
+    if metric not in ("accuracy", "precision", "recall", "f1"):
+        raise ValueError(f"unknown metric {metric!r}")
+    rows = margins.prepare(df, features, part=fold_col)
+    cells = [(k, c, g) for k in grid["kernel"] for c in grid["C"] for g in (grid["gamma"] if k != "linear" else [None])]
+    wanted = [Wanted((cell, f), features, cell[1], cell[0], cell[2], leave=f) for cell in cells for f in range(n_folds)]
+    models = margins.fit_many(rows, features, wanted, probability=False, **options)
+    found = margins.count_cells(rows, {name: (None, name[1], m) for name, m in models.items()}).collect()
+    scores: dict = {}
+    for r in found:
+        cell, f = wanted[r["model"]].name
+        tn, fp, fn, tp = r["tn"], r["fp"], r["fn"], r["tp"]
+        share = {"accuracy": (tp + tn, tn + fp + fn + tp), "precision": (tp, tp + fp), "recall": (tp, tp + fn), "f1": (2 * tp, 2 * tp + fp + fn)}[metric]
+        scores.setdefault(cell, []).append(share[0] / share[1] if share[1] else 0.0)
+    results = [{
+        "kernel": k, "C": c, "gamma": g, "score": sum(scores[k, c, g]) / len(scores[k, c, g]), "kernel_error": max(models[(k, c, g), f].kernel_error for f in range(n_folds)),
+    } for k, c, g in cells]
     return sorted(results, key=lambda r: (-r["score"], r["kernel"], r["C"], r["gamma"] or 0.0))
 
 
-def best_of_grid(df: DataFrame, features: Sequence[str], results: Sequence[Mapping], **options) -> PipelineModel:
+def best_of_grid(df: DataFrame, features: Sequence[str], results: Sequence[Mapping], **options) -> MarginModel:
     """M2: the best combination of :func:`grid_search`, fitted on all rows."""
     top = results[0]
     return train(df, features, c=top["C"], kernel=top["kernel"], gamma=top["gamma"], **options)
@@ -180,35 +112,72 @@ def feature_combinations(features: Sequence[str] = tuple(SHORT_NAMES), bands: Se
     return sorted(runs, key=lambda r: (len(r["features"]), [list(features).index(f) for f in r["features"]], len(r["bands"]), [list(bands).index(b) for b in r["bands"]]))
 
 
-def sweep(splits: DataFrame, combinations: Sequence[dict], **options) -> DataFrame:
-    """M7: metrics per run and fold for each column subset."""
-    parts = [evaluate_folds(splits, c["columns"], **options)[1].withColumn("run", F.lit(c["run"])) for c in combinations]
-    return functools.reduce(DataFrame.unionByName, parts)
+def sweep(splits: DataFrame, combinations: Sequence[dict], c: float = 1.0, kernel: str = "rbf", gamma: float | None = None, degree: int = 3, probability: bool = True, **options) -> DataFrame:
+    """M7: metrics per run and fold for each column subset.
+
+    All runs of all folds are fitted in the same passes over one table of rows. Test rows are rated by all
+    runs of their fold at once.
+    """
+    features = list(dict.fromkeys(c for run in combinations for c in run["columns"]))
+    rows = margins.prepare(splits.filter("role = 'train'"), features, "fold")
+    folds = list(margins.counts_of(rows))
+    wanted = [Wanted((r["run"], f), r["columns"], c, kernel, gamma, degree, f) for r in combinations for f in folds]
+    models = margins.fit_many(rows, features, wanted, probability, **options)
+    tests = margins.prepare(splits.filter("role = 'test'"), features, "fold")
+    each = margins.rate_by_all(tests, features, [((run, f), f, m) for (run, f), m in models.items()])
+    names = splits.sparkSession.createDataFrame([(k, run) for k, (run, _) in enumerate(models)], "model int, run string")
+    # One row for each model.
+    named = each.join(F.broadcast(names), "model").select("run", F.col("fold").cast(splits.schema["fold"].dataType).alias("fold"), F.col("y").cast("int").alias("label"), "prediction", "score")
+    stored = materialize(named, "sweep")
+    return fold_metrics(stored, ["run", "fold"], "score" if probability else None)
 
 
 def sampling_experiment(
-    train_rows: DataFrame, test_rows: DataFrame, samples: DataFrame, features: Sequence[str], train_on_sample: bool = False, **options
+    train_rows: DataFrame, test_rows: DataFrame, samples: DataFrame, features: Sequence[str], train_on_sample: bool = False, c: float = 1.0, kernel: str = "linear",
+    gamma: float | None = None, degree: int = 3, n_components: int = 256, error_bound: float = 0.05, max_iter: int = 60, seed: int = 42,
 ) -> DataFrame:
     """Metrics per sample size and iteration.
 
     (a) the sample only gives the z-score statistics, (b) the sample is also the training set.
-    ``samples`` comes from ``splits.stratified_samples``. One model per experiment; the loop runs over
-    experiments, whose statistics are one row each.
+    ``samples`` comes from ``splits.stratified_samples``. Experiments of (a) are models of one table, fitted in the same
+    passes; those of (b) are groups of at most ``max(sizes)`` rows, each fitted in a task. Test rows are read once
+    for all of them. A column without spread in a sample is zero. ``gamma`` defaults to 1 / columns, as columns have unit variance.
     """
-    stats = samples.groupBy("size", "iteration").agg(
-        *[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features]
-    ).orderBy("size", "iteration").collect()
-    parts = []
-    for st in stats:
-        def scaled(df: DataFrame, st=st) -> DataFrame:
-            return df.select(*[c for c in df.columns if c not in features], *[
-                F.try_divide(F.col(c) - st[f"m_{c}"], F.lit(st[f"s_{c}"])).alias(c) for c in features])
-
-        base = samples.filter((F.col("size") == st["size"]) & (F.col("iteration") == st["iteration"])) if train_on_sample else train_rows
-        model = train(scaled(base), features, **options)
-        m = fold_metrics(predict(model, scaled(test_rows)), [])
-        parts.append(m.select(F.lit(st["size"]).alias("size"), F.lit(st["iteration"]).alias("iteration"), "accuracy", "f1", "precision", "recall"))
-    return functools.reduce(DataFrame.unionByName, parts)
+    gamma = gamma or 1.0 / len(features)
+    every = np.arange(len(features))
+    if train_on_sample:
+        def fit(group: pa.Table) -> pa.Table:
+            x = np.stack([group[f].to_numpy().astype(float) for f in features], 1)
+            order = np.lexsort(x.T)
+            x, y = x[order], group["label"].to_numpy()[order]
+            mean, scale = x.mean(0), x.std(0)
+            shuffled = x[np.random.default_rng(seed).permutation(len(x))]
+            m = margins.kernel_map(kernel, every, gamma, degree, shuffled, n_components, error_bound, mean, scale)
+            model = MarginModel(list(features), m, margins.fit_here(m(x), y, c, max_iter))
+            return pa.table({"size": group["size"][:1], "iteration": group["iteration"][:1], "model": pa.array([margins.dumps(model)], pa.binary())})
+
+        kinds = f"size {samples.schema['size'].dataType.simpleString()}, iteration {samples.schema['iteration'].dataType.simpleString()}, model binary"
+        wanted = samples.select("size", "iteration", F.col("label").cast("int").alias("label"), *[F.col(f).cast("double").alias(f) for f in features])
+        found = wanted.groupBy("size", "iteration").applyInArrow(fit, kinds).collect()
+        models = {(r["size"], r["iteration"]): margins.loads(bytes(r["model"])) for r in found}
+    else:
+        stats = samples.groupBy("size", "iteration").agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).collect()
+        rows = margins.prepare(train_rows, features)
+        margins.counts_of(rows)
+        marks = margins.sample_rows(rows, 2 * n_components, seed)[None] if kernel != "linear" else np.zeros((0, len(features)))
+        jobs = []
+        for r in stats:
+            mean, scale = (np.array([r[f"{a}_{f}"] for f in features], float) for a in "ms")
+            jobs.append(margins.Job((r["size"], r["iteration"]), margins.kernel_map(kernel, every, gamma, degree, marks, n_components, error_bound, mean, scale), c))
+        margins.minimise(rows, jobs, max_iter)
+        models = {j.name: MarginModel(list(features), j.map, j.params) for j in jobs}
+    tests = margins.prepare(test_rows, features)
+    cells = margins.count_cells(tests, {name: (None, None, m) for name, m in models.items()})
+    names = samples.sparkSession.createDataFrame([(k, size, i) for k, (size, i) in enumerate(models)], "model int, size int, iteration int")
+    tn, fp, fn, tp = (F.col(x).cast("double") for x in ("tn", "fp", "fn", "tp"))
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 4)
+    return cells.join(F.broadcast(names), "model").select(
+        "size", "iteration", share(tp + tn, tn + fp + fn + tp).alias("accuracy"), share(2 * tp, 2 * tp + fp + fn).alias("f1"), share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"))
 
 
 def pca(df: DataFrame, features: Sequence[str], k: int = 2) -> tuple[DataFrame, np.ndarray, np.ndarray]:
@@ -311,11 +280,12 @@ def kmeans(df: DataFrame, features: Sequence[str], k: int = 3, max_iter: int = 3
     return model.transform(x).drop("_v"), df.sparkSession.createDataFrame(centres, schema), float(model.summary.trainingCost)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """B6"""
-    model.write().overwrite().save(path)
+def save_model(model: MarginModel, path: str) -> None:
+    """One row with the model, as Parquet in any store Spark writes to."""
+    spark = SparkSession.active()
+    spark.createDataFrame([(",".join(model.features), model.map.kernel, model.kernel_error, margins.dumps(model))], "features string, kernel string, kernel_error double, model binary").coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    """B6"""
-    return PipelineModel.load(path)
+def load_model(path: str) -> MarginModel:
+    """Models are pickled NumPy arrays; load only files that you have written."""
+    return margins.loads(bytes(SparkSession.active().read.parquet(path).first()["model"]))
