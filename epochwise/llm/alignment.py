@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,12 @@ from pyspark.sql import functions as F
 from epochwise.llm.runs import small_batches, worker_slot
 from epochwise.session import materialize
 
-BLOCK_CHARS = 8_000_000  # text of a block, which shares one list of id pairs
+BLOCK_CHARS = 8_000_000  # text of a block, whose texts share lists of pieces and of id pairs
 BATCH_CHARS = 400_000  # text that is encoded and aligned at once
+KNOWN_PIECES = 500_000  # pieces that a worker remembers from block to block
 
-BLOCKS = """block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, digest array<string>,
-  groups array<string>, pair array<long>, pair_links array<long>, places binary"""
+BLOCKS = """block long, doc_id array<long>, n_pieces array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, digest array<string>,
+  groups array<string>, pair array<long>, pair_links array<long>, piece_links binary, piece_places binary, pieces binary"""
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string"
 
 
@@ -33,6 +35,9 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
 class Both:
     """The two tokenizers with the bytes of each id, and the decimal of each id behind each separator."""
 
@@ -55,26 +60,20 @@ class Both:
         self.n_b = len(b_bytes)
         self.n_ids = max(len(a_bytes), len(b_bytes))
         self.names = pa.array([mark + str(i) for mark in ("", ";", "|", ",") for i in range(self.n_ids)])
-        # No token runs on over a single space between two words, so long texts may be cut there.
+        # No token runs on over a single space between two words, so texts fall apart there.
         inner = any(re.search(r"[^\s] ", t.decode("utf-8", "replace")) for x in (a_bytes, b_bytes) for t in x)
-        self.may_cut = not inner and json.loads(a_json).get("normalizer") is None
-
-    def parts(self, text: str, most: int) -> Iterator[str]:
-        """``text`` cut at single spaces into stretches of about ``most`` characters; the space goes to no stretch, as each gets one in front."""
-        at = 0
-        while self.may_cut and len(text) - at > most:
-            cut = text.find(" ", at + most)
-            while cut >= 0 and (cut + 1 == len(text) or text[cut - 1].isspace() or text[cut + 1].isspace()):
-                cut = text.find(" ", cut + 1)
-            if cut < 0:
-                break
-            yield text[at:cut]
-            at = cut + 1
-        yield text[at:] if at else text
-
-    def encode(self, texts: list[str]) -> list[list[np.ndarray]]:
-        a = [np.array(e.ids, np.int64) for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-        return [a, [np.array(x, np.int64) for x in self.b.encode(texts, num_threads=1)]]
+        probe = "".join(pieces[i] for i in self.b.encode("a  b  ")).replace("▁", " ")
+        self.may_cut = not inner and json.loads(a_json).get("normalizer") is None and probe == " a  b  "
+
+    def parts(self, text: str) -> list[str]:
+        """``text`` cut at single spaces between words; the space goes to no part, as each gets one in front."""
+        return CUT.split(text) if self.may_cut else [text]
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and B: ids of all texts one after another, and how many each text has."""
+        lists = [[e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)]
+        sizes = [np.array([len(x) for x in own], np.int64) for own in lists]
+        return [(np.fromiter(itertools.chain.from_iterable(own), np.int64, n.sum()), n) for own, n in zip(lists, sizes)]
 
 
 @dataclass
@@ -132,88 +131,137 @@ def coalesce(both: Both, ids: list[np.ndarray], text_bytes: np.ndarray) -> Align
     return Aligned(group_before, a, b, together, pair_start, data.to_pybytes() if data is not None else b"", offsets[tokens_before])
 
 
-@dataclass
-class Document:
-    """What has been found of a text so far; its stretches come one after another."""
+class Places(dict):
+    """Numbers of strings in the order in which they are met; new ones wait in ``fresh``."""
 
-    doc_id: int | None
-    whole: bool = True  # the tokens' bytes are the text's
-    n: list[int] = field(default_factory=lambda: [0, 0, 0])
-    codes: list[np.ndarray] = field(default_factory=list)
-    digest: object = field(default_factory=hashlib.sha256)
-    spelled: list[bytes] = field(default_factory=list)
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
 
+    def __missing__(self, key: str) -> int:
+        self.fresh.append(key)
+        out = self[key] = len(self)
+        return out
 
-class Block:
-    """Aligns texts in batches of bounded size, and keeps what a block's row needs."""
 
-    def __init__(self, both: Both, batch_chars: int, with_groups: bool) -> None:
-        self.both, self.most, self.with_groups = both, batch_chars, with_groups
-        self.docs: list[Document] = []
-        self.waiting: list[tuple[int, str]] = []
-        self.chars = self.waiting_chars = 0
+class Store:
+    """Alignments of different pieces, by number: columns of counts, links one after another, and groups in writing (None if not spelled)."""
 
-    def add(self, doc_id: int | None, text: str | None) -> None:
-        self.docs.append(Document(doc_id, bool(text)))
-        if not text:
-            return
-        self.chars += len(text)
-        for part in self.both.parts(text, self.most):
-            self.waiting.append((len(self.docs) - 1, part))
-            self.waiting_chars += len(part)
-            if self.waiting_chars >= self.most:
-                self._align()
-
-    def _align(self) -> None:
-        both, waiting = self.both, self.waiting
-        self.waiting, self.waiting_chars = [], 0
-        if not waiting:
-            return
-        encoded = both.encode([t for _, t in waiting])
-        raw = [(" " + t).encode() for _, t in waiting]
-        good = []
-        for k, (d, _) in enumerate(waiting):
-            same = all(both.size[x][encoded[x][k]].sum() == len(raw[k]) and joined(both.bytes[x], encoded[x][k]) == raw[k] for x in (0, 1))
-            self.docs[d].whole &= same
-            if self.docs[d].whole:
-                good.append(k)
-        if not good:
+    def __init__(self) -> None:
+        self.places, self.spelled = Places(), []
+        self.columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+
+    def column(self, k: int) -> np.ndarray:
+        """0 to 2: tokens of A, of B, groups; 3: links; 4: codes of all links."""
+        if len(self.columns[k]) > 1:
+            self.columns[k] = [np.concatenate(self.columns[k])]
+        return self.columns[k][0]
+
+    def align(self, both: Both, most: int) -> None:
+        fresh, self.places.fresh = self.places.fresh, []
+        part, size = [], 0
+        for p in fresh:
+            part.append(p)
+            size += len(p)
+            if size >= most:
+                self._add(both, part)
+                part, size = [], 0
+        self._add(both, part)
+
+    def _add(self, both: Both, parts: list[str]) -> None:
+        if not parts:
             return
-        ids = [np.concatenate([x[k] for k in good]) for x in encoded]
-        found = coalesce(both, ids, np.array([len(raw[k]) for k in good]))
+        encoded = both.encode(parts)
+        raw = [(" " + t).encode() for t in parts]
+        long = np.array([len(r) for r in raw])
+        fits = np.ones(len(parts), bool)
+        for (ids, n), size in zip(encoded, both.size):
+            fits &= _stretches(size[ids], np.concatenate(([0], np.cumsum(n)))) == long
+        chosen = [(ids[np.repeat(fits, n)], n * fits) for ids, n in encoded]
+        spelled = [joined(table, ids) for table, (ids, _) in zip(both.bytes, chosen)]
+        whole = b"".join(r for r, ok in zip(raw, fits.tolist()) if ok)
+        if any(x != whole for x in spelled):
+            at = np.concatenate(([0], np.cumsum(long * fits))).tolist()
+            fits &= [all(x[a:b] == r for x in spelled) for a, b, r in zip(at, at[1:], raw)]
+            chosen = [(ids[np.repeat(fits, n)], n * fits) for ids, n in encoded]
+        found = coalesce(both, [ids for ids, _ in chosen], (long * fits)[fits])
         kept = found.ends_together
-        code = ids[0][found.a[kept]] * both.n_b + ids[1][found.b[kept]]
         links_at = np.concatenate(([0], np.cumsum(kept)))[found.start_of_pairs]
-        for i, k in enumerate(good):
-            doc = self.docs[waiting[k][0]]
-            spelled = memoryview(found.spelled)[found.spelled_at[i] : found.spelled_at[i + 1]]
-            if doc.n[2]:
-                doc.digest.update(b";")
-            doc.digest.update(spelled)
-            if self.with_groups:
-                doc.spelled.append(bytes(spelled))
-            doc.n = [x + y for x, y in zip(doc.n, (len(encoded[0][k]), len(encoded[1][k]), int(found.group[i + 1] - found.group[i])))]
-            doc.codes.append(code[links_at[i] : links_at[i + 1]])
+        groups, links = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        groups[fits], links[fits] = np.diff(found.group), np.diff(links_at)
+        code = chosen[0][0][found.a[kept]] * both.n_b + chosen[1][0][found.b[kept]]
+        for own, new in zip(self.columns, (chosen[0][1], chosen[1][1], groups, links, code)):
+            own.append(new)
+        at = iter(found.spelled_at.tolist())
+        end = next(at)
+        for ok in fits.tolist():
+            if ok:
+                start, end = end, next(at)
+                self.spelled.append(found.spelled[start:end])
+            else:
+                self.spelled.append(None)
+
+
+class Block:
+    """Texts as rows of pieces; every different piece is aligned once, in batches of bounded size."""
+
+    def __init__(self, both: Both, batch_chars: int, with_groups: bool, store: Store | None = None) -> None:
+        self.both, self.most, self.with_groups, self.store = both, batch_chars, with_groups, store or Store()
+        self.ids: list[int | None] = []
+        self.texts: list[np.ndarray] = []
+        self.chars = 0
+
+    def add(self, doc_id: int | None, text: str | None) -> None:
+        self.ids.append(doc_id)
+        places = self.store.places
+        self.texts.append(np.array([places[p] for p in self.both.parts(text)] if text else [], np.int64))
+        self.chars += len(text or "")
+        if len(places.fresh) >= 50_000 or len(text or "") >= self.most:
+            self.store.align(self.both, self.most)
 
     def row(self, number: int) -> pa.RecordBatch:
-        self._align()
-        codes = [np.concatenate(d.codes) if d.whole and d.codes else np.zeros(0, np.int64) for d in self.docs]
-        every = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        pair, place, links = np.unique(every, return_inverse=True, return_counts=True)
-        # The most frequent pairs get the smallest numbers, so that their high bytes are zero and pack well.
-        order = np.argsort(-links, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        places = rank[place].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-        n = [[d.n[x] if d.whole else 0 for d in self.docs] for x in range(3)]
+        store = self.store
+        store.align(self.both, self.most)
+        links, writing = store.column(3), store.spelled
+        bad = np.array([x is None for x in writing], bool)
+        rows = [x[:0] if bad[x].any() else x for x in self.texts]
+        sizes = np.array([len(x) for x in rows], np.int64)
+        every = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        counts = [_stretches(store.column(c)[every], at) for c in range(4)]
+        texts = [b";".join([writing[i] for i in x.tolist()]) for x in rows]
+        # Pieces of this block alone, the most frequent first, so that their numbers are small and pack well.
+        times = np.bincount(every, minlength=len(writing))
+        own = np.argsort(-times, kind="stable")[: int((times > 0).sum())]
+        rank = np.zeros(len(writing), np.int64)
+        rank[own] = np.arange(len(own))
+        n = links[own]
+        begin = (np.cumsum(links) - links)[own]
+        codes = store.column(4)[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        pair, place = np.unique(codes, return_inverse=True)
+        pair_links = np.bincount(place, np.repeat(times[own], n), len(pair)).astype(np.int64)
         values = [
-            number, [d.doc_id for d in self.docs], *n, [len(c) for c in codes], [d.digest.hexdigest() if d.whole else "" for d in self.docs],
-            [b";".join(d.spelled).decode() if d.whole else "" for d in self.docs] if self.with_groups else None, pair[order], links[order], zlib.compress(places, 1),
+            number, self.ids, sizes, *counts, [hashlib.sha256(t).hexdigest() if len(x) else "" for t, x in zip(texts, rows)],
+            [t.decode() for t in texts] if self.with_groups else None, pair, pair_links, packed(n), packed(place), packed(rank[every]),
         ]
-        kinds = [pa.int64(), *[pa.list_(pa.int64())] * 5, *[pa.list_(pa.string())] * 2, *[pa.list_(pa.int64())] * 2, pa.binary()]
+        kinds = [pa.int64(), *[pa.list_(pa.int64())] * 6, *[pa.list_(pa.string())] * 2, *[pa.list_(pa.int64())] * 2, *[pa.binary()] * 3]
         return pa.record_batch([pa.array([v], k) for v, k in zip(values, kinds)], [c.split()[0] for c in BLOCKS.split(",")])
 
 
+def _stretches(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` over ``at[i]`` to ``at[i + 1]``."""
+    return np.diff(np.concatenate(([0], np.cumsum(values)))[at])
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers below 2^32, byte by byte, so that the zeros of small ones stand together."""
+    return zlib.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def joined(table: pa.Array, ids: np.ndarray) -> bytes:
     """The bytes of tokens, one after another."""
     _, offsets, data = table.take(pa.array(ids)).buffers()
@@ -223,24 +271,30 @@ def joined(table: pa.Array, ids: np.ndarray) -> bytes:
 def encode_blocks(
     docs: DataFrame, a_json: str, b_model: bytes, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, batch_chars: int = BATCH_CHARS, with_groups: bool = False
 ) -> DataFrame:
-    """Texts in blocks, a row each: counts and groups of every text, the block's distinct linked id pairs, and each link's place among them.
+    """Texts in blocks, a row each: counts and groups of every text, its pieces, the pieces' links, and the block's distinct linked id pairs.
 
-    A block holds texts of one task up to ``block_chars`` characters, a longer text alone. Stored, as the places refer to the block's own list.
+    A block holds texts of one task up to ``block_chars`` characters, a longer text alone. Stored, as pieces and links are numbered within a block.
     """
     sent = docs.sparkSession.sparkContext.broadcast((a_json, b_model))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = tuple(zlib.crc32(x if isinstance(x, bytes) else x.encode()) for x in sent.value)
-        both = worker_slot("both_tokenizers", key, lambda: Both(*sent.value))
+        both, held = worker_slot("both_tokenizers", key, lambda: (Both(*sent.value), [Store()]))
         number = TaskContext.get().partitionId() << 32
-        block = Block(both, batch_chars, with_groups)
+
+        def opened() -> Block:
+            if len(held[0].places) > KNOWN_PIECES:
+                held[0] = Store()
+            return Block(both, batch_chars, with_groups, held[0])
+
+        block = opened()
         for batch in small_batches(batches, "text"):
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 block.add(i, text)
                 if block.chars >= block_chars:
                     yield block.row(number)
-                    number, block = number + 1, Block(both, batch_chars, with_groups)
-        if block.docs:
+                    number, block = number + 1, opened()
+        if block.ids:
             yield block.row(number)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -273,7 +327,8 @@ def align(
 
     Null and empty texts, and texts that the tokens of A or B do not spell (a normaliser changed them), have zeros and
     an empty string. Rows with null or repeated ids, and equal rows, are each a text of their own. Other columns are
-    not carried and may have any name. Texts of more than ``batch_chars`` characters are cut at single spaces, where both have a token boundary.
+    not carried and may have any name. Both tokenizers have a boundary at a single space between words (the vocabularies
+    are searched for exceptions), so texts are cut there and equal pieces are encoded and aligned once.
 
     Plan: one pass writes the blocks; pairs are counted from one row per block and pair; counts go back to the
     blocks by a join on the pair, and blocks meet their counts by block number. No text is read twice.
@@ -299,12 +354,11 @@ def measured(spark: SparkSession, blocks: DataFrame, b_model: bytes) -> DataFram
         count, best = np.zeros(right.num_rows, np.int64), np.zeros(right.num_rows, np.int64)
         at = right["place"].to_numpy()
         count[at], best[at] = right["count"].to_numpy(), right["best"].to_numpy().astype(np.int64)
-        raw = np.frombuffer(zlib.decompress(block["places"]), np.uint8)
-        place = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
-        ends = np.cumsum(block["n_links"])
-        sums = [np.concatenate(([0], np.cumsum(x[place])))[np.concatenate(([0], ends))] for x in (best, count)]
-        groups = block["groups"] or [None] * len(ends)
-        columns = [block["doc_id"], block["n_a"], block["n_b"], block["n_groups"], block["n_links"], *[np.diff(x) for x in sums], block["digest"], groups]
+        place, at = unpacked(block["piece_places"]), np.concatenate(([0], np.cumsum(unpacked(block["piece_links"]))))
+        pieces, ends = unpacked(block["pieces"]), np.concatenate(([0], np.cumsum(block["n_pieces"], dtype=np.int64)))
+        sums = [_stretches(_stretches(x[place], at)[pieces], ends) for x in (best, count)]
+        groups = block["groups"] or [None] * len(block["doc_id"])
+        columns = [block["doc_id"], block["n_a"], block["n_b"], block["n_groups"], block["n_links"], *sums, block["digest"], groups]
         kinds = [pa.int64()] * 7 + [pa.string()] * 2
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in RESULT.split(",")])
 
