@@ -80,13 +80,13 @@ QUERIES = {
         f"""WITH {PAIRS}, au AS (SELECT pair, freq_hz, (w - n1 * (n1 + 1) / 2) / (n1 * n0) AS a FROM ws)
         SELECT pair, freq_hz, round(a, 6) AS auroc, a >= 0.7 OR a <= 0.3 AS strong FROM au"""),
     "e25_auroc_bootstrap": (
-        lambda s, d: S.auroc_bootstrap(equal_pairs(s, d), ["pair", "freq_hz"], "psd", 200, rows_per_chunk=200), None),
+        lambda s, d: S.auroc_bootstrap(equal_pairs(s, d), ["pair", "freq_hz"], "psd", 10_000, rows_per_chunk=200), None),
     "e26_rank_sum": (
         lambda s, d: _r(S.rank_sum(equal_pairs(s, d), ["pair", "freq_hz"], "psd").drop("p_value"), "z"),
         f"""WITH {PAIRS} SELECT pair, freq_hz, n1, n0, w AS rank_sum,
         round((w - n1 * (n1 + n0 + 1) / 2 - 0.5 * sign(w - n1 * (n1 + n0 + 1) / 2)) / sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1)))), 6) AS z FROM ws"""),
     "e27_pairwise_comparison": (
-        lambda s, d: S.compare_sets(three_sets(s, d), NAMES, ["case_id", "start", "end"], 100), None),
+        lambda s, d: S.compare_sets(three_sets(s, d), NAMES, ["case_id", "start", "end"]), None),
     "e27_equal_sized_pairs": (
         lambda s, d: equal_pairs(s, d).groupBy("pair", "label").agg(F.countDistinct("start").alias("n_epochs"), F.round(F.sum("psd"), 4).alias("psd_sum")),
         f"""WITH {PAIRS} SELECT pair, label, count(DISTINCT start) AS n_epochs, round(sum(psd), 4) AS psd_sum FROM eq GROUP BY ALL"""),

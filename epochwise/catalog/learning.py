@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from epochwise.catalog import inputs as I
 from epochwise.operators import splits as S
+from epochwise.plans import clusters as C
 from epochwise.plans import models as M
 from epochwise.session import load, materialize, new_path
 
@@ -90,10 +91,18 @@ def region(s, d):
 
 
 def clusters(s, d):
-    rows, _, _ = M.kmeans(table(s, d), NAMES, 3, 50, 1e-4, 42)
+    rows, _, _ = M.kmeans(table(s, d), NAMES, 3, 300, 1e-4, 42)
     return rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in NAMES])
 
 
+def subset_clusters(s, d):
+    """All epochs, those of either class, and the second class split by an outlier rule on the id."""
+    awake, wrong = F.col("label") == 1, F.col("start") % 7 == 0
+    subsets = {"all": F.lit(True), "faw": ~awake, "awake": awake, "correct_awake": awake & ~wrong, "wrong_awake": awake & wrong}
+    rows, _, _ = C.kmeans_by(table(s, d), NAMES, subsets, 3)
+    return rows.groupBy("subset", "cluster").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in NAMES])
+
+
 QUERIES = {
     "m1_margin_classifier": (classifier, None),
     "m2_parameter_grid": (grid, None),
@@ -109,6 +118,7 @@ QUERIES = {
         contributions, """SELECT feature, 50.0::DOUBLE AS contribution FROM (SELECT 'l_quantity' AS feature UNION ALL SELECT 'l_extendedprice') WHERE (SELECT count(*) FROM lineitem) > 1"""),
     "m5_confidence_region": (region, None),
     "m6_kmeans": (clusters, None),
+    "m6_kmeans_by_subset": (subset_clusters, None),
     "m7_feature_subset_sweep": (combos, None),
     "l8_sampling_experiment": (experiment, None),
     "b6_stored_model": (stored_model, None),

@@ -6,7 +6,9 @@ Counts, means and rank sums are computed by Spark; only the final number of each
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,6 +84,39 @@ def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
     return min(total, 1.0)
 
 
+def rank_sum_two_sided(n1: float, n0: float, rank_sum: float, sizes: Sequence[float] = ()) -> float:
+    """Twice the smaller tail of the exact distribution of the first set's rank sum, at most 1.
+
+    ``sizes``: how many values are equal, from the lowest value on; the distribution is the one of all choices of ``n1`` of
+    these ranks. Without sizes all values differ.
+    """
+    n1, n0 = int(n1), int(n0)
+    if not len(sizes):
+        # The sum over the least possible one is that of a partition into at most ``few`` parts of at most ``many``.
+        few, many = min(n1, n0), max(n1, n0)
+        over = int(round(rank_sum - n1 * (n1 + 1) / 2))
+        over = min(over, n1 * n0 - over)
+        ways = np.zeros(n1 * n0 + 1)
+        ways[0] = 1.0
+        for i in range(1, few + 1):
+            for r in range(i):  # times 1 / (1 - q^i)
+                ways[r::i] = np.cumsum(ways[r::i])
+            ways[many + i:] -= ways[:-(many + i)].copy() if many + i < len(ways) else 0.0  # times 1 - q^(many + i)
+        return min(1.0, 2.0 * float(ways[:over + 1].sum() / math.comb(n1 + n0, n1)))
+    doubled, below = [], 0
+    for t in (int(x) for x in sizes):
+        doubled += [2 * below + t + 1] * t
+        below += t
+    ways: list[dict[int, int]] = [{0: 1}] + [{} for _ in range(n1)]
+    for r in doubled:
+        for k in range(n1, 0, -1):
+            for total, count in ways[k - 1].items():
+                ways[k][total + r] = ways[k].get(total + r, 0) + count
+    seen = round(2 * rank_sum)
+    low, high = (sum(c for t, c in ways[n1].items() if ok(t)) for ok in (lambda t: t <= seen, lambda t: t >= seen))
+    return min(1.0, 2.0 * min(low, high) / math.comb(len(doubled), n1))
+
+
 def _per_row(fn):
     """Arrow UDF that applies ``fn`` to each of a few result rows; a missing argument gives null."""
 
@@ -96,6 +131,13 @@ def normal_p(z: str) -> Column:
     return _per_row(normal_two_sided)(z)
 
 
+def rank_sum_p(n1: str, n0: str, rank_sum: str, sizes: str) -> Column:
+    def run(n1: pd.Series, n0: pd.Series, w: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else rank_sum_two_sided(a, b, c, x) for a, b, c, x in zip(n1, n0, w, sizes)], dtype="float64")
+
+    return F.pandas_udf(run, "double")(n1, n0, rank_sum, sizes)
+
+
 def student_p(t: str, dof: str) -> Column:
     return _per_row(student_two_sided)(t, dof)
 

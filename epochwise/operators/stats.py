@@ -7,9 +7,10 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from epochwise.functions.pvalues import fisher_p, normal_p, student_p
+from epochwise.functions.pvalues import fisher_p, normal_p, rank_sum_p, student_p
 from epochwise.operators.ordered import bounded_chunks, cumulative, percentiles, take_random
 from epochwise.session import materialize, spread
 
@@ -60,26 +61,41 @@ def equal_sized_sets(epochs: DataFrame, by: Sequence[str], keys: Sequence[str],
     return take_random(once.join(sizes, list(by)), [*by, "label"], seed, list(keys), F.col("_k")).drop("_k")
 
 
-def poisson_weights(seeds: np.ndarray, counts: np.ndarray, replicates: int, salt: int) -> np.ndarray:
-    """Observed count, then one Poisson(count) weight per replicate, from a counter-based generator.
+LEAF = 64  # positions whose draws are told apart one by one
 
-    The draws of a row depend on its seed only, not on its task or its neighbours.
+
+def draws_between(n: int, cuts: np.ndarray, replicates: int, seed: int, salt: int) -> np.ndarray:
+    """How often each replicate of ``n`` draws from positions ``0 .. n - 1`` hits each stretch ``cuts[i]`` to ``cuts[i + 1]``.
+
+    All positions halve down a tree; at a node the draws of every replicate are split between the halves by a
+    binomial, seeded by the node. So a replicate has ``n`` draws exactly, and stretches drawn in different tasks, however
+    the positions are dealt to them, belong to one and the same multinomial draw. Only nodes that a cut goes through are split.
     """
-    # Increment and mixing constants of the public-domain splitmix64 generator.
-    golden, mix1, mix2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-    steps = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(golden)
-    start = seeds.astype(np.int64).view(np.uint64) * np.uint64(2 * salt + 1)
-    z = start[:, None] + steps[None, :]
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(mix1)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(mix2)
-    uniform = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
-    terms = np.cumprod(np.concatenate(([np.exp(-1.0)], 1.0 / np.arange(1, 25))))
-    draws = np.searchsorted(np.cumsum(terms), uniform).astype(float)
-    draws[counts == 0] = 0.0
-    for i in np.flatnonzero(counts > 1):
-        rng = np.random.Generator(np.random.Philox(key=int(start[i])))
-        draws[i] = rng.poisson(counts[i], replicates)
-    return np.concatenate((counts[:, None].astype(float), draws), axis=1)
+    out = np.zeros((len(cuts) - 1, replicates))
+    key = [seed % (1 << 64), salt]
+
+    def node(a: int, b: int, drawn: np.ndarray) -> None:
+        low, high = np.searchsorted(cuts, a, "right"), np.searchsorted(cuts, b, "left")
+        if low == high:  # no cut inside: all draws are of one stretch
+            if 0 < low < len(cuts):
+                out[low - 1] += drawn
+            return
+        rng = np.random.Generator(np.random.Philox(counter=[0, 0, a, b], key=key))
+        if b - a <= LEAF:
+            replicate = np.repeat(np.arange(replicates), drawn)
+            at = np.searchsorted(cuts, a + rng.integers(0, b - a, len(replicate)), "right") - low  # 0 is the stretch before the first cut inside
+            hits = np.bincount(at * replicates + replicate, minlength=(high - low + 1) * replicates).reshape(-1, replicates)
+            first, last = max(low - 1, 0), min(high, len(cuts) - 1)
+            out[first:last] += hits[first - low + 1 : last - low + 1]
+            return
+        middle = (a + b) // 2
+        left = rng.binomial(drawn, (middle - a) / (b - a))
+        node(a, middle, left)
+        node(middle, b, drawn - left)
+
+    if n:
+        node(0, n, np.full(replicates, n))
+    return out
 
 
 def auroc_bootstrap(
@@ -87,17 +103,21 @@ def auroc_bootstrap(
 ) -> DataFrame:
     """AUROC (first set above second, ties half) per group with a percentile bootstrap interval.
 
-    A bootstrap draws each row a Poisson(1) number of times; ``n`` equal values of a set together are
-    drawn Poisson(n) times, so equal values are counted before any exchange. Value ranges of bounded
-    size are worked off on their own, for all replicates at once. Neighbouring ranges are then chained,
-    level by level with a bounded number of ranges per step.
+    Every replicate draws as many rows from each set as the set has, with replacement (:func:`draws_between`); equal
+    values are counted before any exchange. Value ranges of bounded size are worked off on their own, for all
+    replicates at once. Neighbouring ranges are then chained, level by level with a bounded number of ranges per step.
     """
     by = list(by)
     counted = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(
         F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0")
     )
     chunked, levels = bounded_chunks(materialize(counted, "values"), by, "v", rows_per_chunk)
-    chunked = chunked.withColumn("_seed", F.xxhash64(F.lit(seed), *by, "v"))
+    # One row a range: how many rows of each set lie in lower ranges, and in all.
+    sizes = chunked.groupBy(*by, *levels).agg(F.sum("n1").alias("_s1"), F.sum("n0").alias("_s0"))
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    before = group.orderBy(*levels).rowsBetween(W.unboundedPreceding, -1)
+    places = sizes.select(*by, *levels, *[F.coalesce(F.sum(f"_s{k}").over(before), F.lit(0)).alias(f"_off{k}") for k in (1, 0)], *[F.sum(f"_s{k}").over(group).alias(f"_all{k}") for k in (1, 0)])
+    chunked = chunked.join(places, [*by, *levels]).withColumn("_seed", F.xxhash64(F.lit(seed), *by))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chunked.schema.fields if f.name in by)
 
     def part_schema(inner: list[str]) -> str:
@@ -108,11 +128,13 @@ def auroc_bootstrap(
         p, n, u = (np.zeros(replicates + 1) for _ in range(3))
         pdf = pdf.sort_values("v")
         slab = max(1, 4_000_000 // replicates)
+        head = pdf.iloc[0]
+        starts = {k: int(head[f"_off{k}"]) + np.concatenate(([0], np.cumsum(pdf[f"n{k}"].to_numpy()))) for k in (1, 0)}
         for at in range(0, len(pdf), slab):
             rows = pdf.iloc[at:at + slab]
             w1, w0 = (
-                poisson_weights(rows["_seed"].to_numpy(), rows[c].to_numpy(), replicates, salt)
-                for salt, c in ((1, "n1"), (2, "n0"))
+                np.hstack((rows[f"n{k}"].to_numpy(float)[:, None], draws_between(int(head[f"_all{k}"]), starts[k][at:at + len(rows) + 1], replicates, int(head["_seed"]), k)))
+                for k in (1, 0)
             )
             below = n + np.cumsum(w0, axis=0) - w0
             u += (w1 * (below + 0.5 * w0)).sum(axis=0)
@@ -151,20 +173,35 @@ def auroc_bootstrap(
     return res.withColumn("strong", strong).withColumn("significant", sided)
 
 
-def rank_sum(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Rank sum of the first set, its standardised value (tie and continuity corrected) and two-sided p."""
+def rank_sum(rows: DataFrame, by: Sequence[str], value: str, exact: str = "small") -> DataFrame:
+    """Rank sum of the first set, its standardised value (tie and continuity corrected) and two-sided p.
+
+    Small sets have the exact p, twice the smaller tail: ``small``, where the smaller set has less than 10 and both less than
+    20 values, given the ties as they are; ``untied``, where a set has at most 8 values and none are equal (as long as the product
+    of both sizes is at most 4,000,000); ``never``. All others take the normal approximation.
+    """
+    if exact not in ("small", "untied", "never"):
+        raise ValueError(f"unknown choice of exact tests {exact!r}")
     c = cumulative(rows, by, value, {"n": F.count(F.lit(1)), "p": F.sum(F.col("label").cast("long"))})
     n = F.col("n").cast("double")
+    # At most 19 entries: larger groups list nothing.
+    sizes = F.transform(F.array_sort(F.collect_list(F.when(F.col("n_total") < 20, F.struct("n_below", "n")))), lambda x: x.n.cast("double"))
     agg = c.groupBy(*by).agg(
         F.max("p_total").cast("double").alias("n1"), (F.max("n_total") - F.max("p_total")).cast("double").alias("n0"),
-        F.sum(F.col("p") * (F.col("n_below") + (n + 1) / 2)).alias("w"), F.sum(n * n * n - n).alias("_ties"),
+        F.sum(F.col("p") * (F.col("n_below") + (n + 1) / 2)).alias("w"), F.sum(n * n * n - n).alias("_ties"), sizes.alias("_sizes"),
     )
     total = F.col("n1") + F.col("n0")
     mean = F.col("n1") * (total + 1) / 2
     var = F.col("n1") * F.col("n0") / 12 * (total + 1 - F.try_divide(F.col("_ties"), total * (total - 1)))
     off = F.col("w") - mean
     z = F.try_divide(off - 0.5 * F.signum(off), F.sqrt(F.greatest(var, F.lit(0.0))))
-    return agg.select(*by, "n1", "n0", F.col("w").alias("rank_sum"), z.alias("z")).withColumn("p_value", normal_p("z"))
+    least = F.least("n1", "n0")
+    counted = {
+        "small": (least < 10) & (total < 20), "untied": (least <= 8) & (F.col("_ties") == 0) & (F.col("n1") * F.col("n0") <= 4_000_000), "never": F.lit(False),
+    }[exact] & (least > 0)
+    out = agg.select(*by, "n1", "n0", F.col("w").alias("rank_sum"), z.alias("z"), F.when(counted, F.col("_sizes") if exact == "small" else F.array().cast("array<double>")).alias("_sizes"))
+    p = F.when(F.col("_sizes").isNotNull(), rank_sum_p("n1", "n0", "rank_sum", "_sizes")).otherwise(normal_p("z"))
+    return out.withColumn("p_value", p).drop("_sizes")
 
 
 def _long(df: DataFrame, keep: Sequence[str], columns: Sequence[str], name: str) -> DataFrame:
@@ -211,7 +248,7 @@ def feature_differences(df: DataFrame, columns: Sequence[str], test: str = "t-te
     if test == "t-test":
         out = out.withColumn("statistic", F.col("_t")).withColumn("p_value", student_p("_t", "_dof"))
     else:
-        r = rank_sum(_long(df, ["label"], columns, "feature"), ["feature"], "value").select("feature", F.col("rank_sum").alias("statistic"), "p_value")
+        r = rank_sum(_long(df, ["label"], columns, "feature"), ["feature"], "value", "untied").select("feature", F.col("rank_sum").alias("statistic"), "p_value")
         out = out.join(r, "feature").withColumn("cohen_d", F.lit(None).cast("double"))
     cols = ["feature", "mean_1", "mean_0", "mean_diff", "statistic", "p_value", "cohen_d"]
     return out.select(*cols).orderBy(F.col("p_value").asc_nulls_last(), "feature")

@@ -282,7 +282,8 @@ def _task_sums(jobs: list[tuple[int, Job | Sigmoid, np.ndarray, float]]) -> Call
     return task
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of rows ``job, sums`` by job; ``sums`` are doubles."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for job, sums in zip(batch.column("job").to_pylist(), batch.column("sums").to_pylist()):
@@ -313,7 +314,7 @@ def minimise(rows: DataFrame, jobs: Sequence[Job | Sigmoid], max_iter: int = 60)
             if not todo:
                 break
             parts = rows.mapInArrow(_task_sums([(k, jobs[k], steps[k].trial, steps[k].corner) for k in todo]), "job long, sums binary")
-            found = parts.repartition(min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(todo)), "job").mapInArrow(_add_up, "job long, sums binary").collect()
+            found = parts.repartition(min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(todo)), "job").mapInArrow(add_up, "job long, sums binary").collect()
             passes += 1
             got = {r["job"]: np.frombuffer(r["sums"]) for r in found}
             for k in todo:

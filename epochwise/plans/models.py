@@ -12,7 +12,7 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochwise.operators.ordered import percentiles
+from epochwise.operators.ordered import percentiles, take_random
 from epochwise.operators.reports import fold_metrics, with_error
 from epochwise.operators.signal import zscore_columns
 from epochwise.plans import margins
@@ -231,12 +231,64 @@ def _centre_and_cov(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.
     return np.array(row[:len(cols)], dtype=float), cov
 
 
-def points_in_region(scores: DataFrame, dims: int = 2, confidence: float = 0.95, max_steps: int = 20) -> DataFrame:
+SEARCH_POINTS = 1500  # points of the sample in which starts are compared
+
+
+def _concentrated(x: np.ndarray, centre: np.ndarray, cov: np.ndarray, share: float, steps: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean and covariance of the closest ``share`` of the points, some times over; the determinant first."""
+    n = max(x.shape[1] + 1, math.ceil(share * len(x)))
+    for _ in range(steps):
+        off = x - centre
+        near = x[np.argsort(np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off), kind="stable")[:n]]
+        centre, cov = near.mean(0), np.cov(near.T, bias=True)
+        if not np.linalg.det(cov) > 0:
+            return math.inf, centre, cov
+    return float(np.linalg.det(cov)), centre, cov
+
+
+def region_starts(sample: np.ndarray, share: float, starts: int, kept: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The ``kept`` best of many random starts in a sample: mean and covariance of a few points each, concentrated twice."""
+    rng, dims, found = np.random.default_rng(seed), sample.shape[1], {}
+    for _ in range(starts):
+        order = rng.permutation(len(sample))
+        n = dims + 1
+        while n <= len(sample) and not np.linalg.det(np.cov(sample[order[:n]].T, bias=True)) > 0:
+            n += 1
+        if n > len(sample):
+            break
+        few = sample[order[:n]]
+        det, centre, cov = _concentrated(sample, few.mean(0), np.cov(few.T, bias=True), share, 2)
+        if math.isfinite(det):
+            found[round(math.log(det), 9), *np.round(centre, 9)] = (det, centre, cov)
+    return [(c, v) for _, c, v in sorted(found.values(), key=lambda f: f[0])[:kept]]
+
+
+def _concentrate_all(pts: DataFrame, cols: Sequence[str], states: list[tuple[np.ndarray, np.ndarray]], share: float) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """One concentration step of several states over all points: distances of all states side by side, one exact selection, one aggregate."""
+    each = F.posexplode(F.array(*[_distance(cols, c, v) for c, v in states])).alias("_state", "_d")
+    d = materialize(pts.select(*cols, each), "distances")
+    cuts = percentiles(d, ["_state"], "_d", {"_cut": share})
+    # One row a state.
+    near = d.join(F.broadcast(cuts), "_state").filter(F.col("_d") <= F.col("_cut") * (1 + 1e-12))
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    out = []
+    for row in near.groupBy("_state").agg(*[F.avg(c) for c in cols], *[F.covar_pop(cols[i], cols[j]) for i, j in pairs]).orderBy("_state").collect():
+        cov = np.empty((len(cols), len(cols)))
+        for (i, j), v in zip(pairs, row[1 + len(cols):]):
+            cov[i, j] = cov[j, i] = v
+        out.append((float(np.linalg.det(cov)), np.array(row[1:1 + len(cols)], dtype=float), cov))
+    return out
+
+
+def points_in_region(
+    scores: DataFrame, dims: int = 2, confidence: float = 0.95, max_steps: int = 20, starts: int = 500, refined: int = 10, seed: int = 42
+) -> DataFrame:
     """M5: points whose robust squared Mahalanobis distance is within the chi-square quantile.
 
-    Centre and spread follow the minimum covariance determinant by concentration steps: from medians
-    and MADs, repeatedly take mean and covariance of the closest half until they settle, then correct
-    for consistency and reweight. A step is one exact selection and one aggregate over the points.
+    Centre and spread follow the minimum covariance determinant (Rousseeuw and Van Driessen 1999). Random starts are compared in a
+    hash sample of ``SEARCH_POINTS`` points; the ``refined`` best and one from medians and MADs then take two concentration
+    steps over all points together, and the best of them goes on until it settles. A step takes mean and
+    covariance of the closest half: one exact selection and one aggregate. Then follow the correction for consistency and the reweighting.
     """
     cols = [f"pc{i + 1}" for i in range(dims)]
     pts = materialize(scores, "points")
@@ -244,22 +296,27 @@ def points_in_region(scores: DataFrame, dims: int = 2, confidence: float = 0.95,
     if n <= dims:
         raise ValueError("too few points for a robust region")
     half = (n + dims + 1) // 2
+    share = (half - 1) / (n - 1)
     centre, spread = [], []
     for c in cols:
         med = percentiles(pts, [], c, {"m": 0.5}).first()["m"]
         mad = percentiles(pts.select(F.abs(F.col(c) - med).alias("d")), [], "d", {"m": 0.5}).first()["m"]
         centre.append(med)
         spread.append((1.4826 * mad) ** 2 or 1e-12)
-    centre, cov = np.array(centre), np.diag(spread)
+    keyed = pts.select(*cols).withColumn("_key", F.xxhash64(*cols))
+    sample = np.array(sorted(tuple(r)[:dims] for r in take_random(keyed, [], seed, ["_key"], F.lit(SEARCH_POINTS)).collect()), dtype=float)
+    states = [*region_starts(sample, half / n, starts, refined, seed), (np.array(centre), np.diag(spread))]
+    for _ in range(2):
+        states = [(c, v) for det, c, v in sorted(_concentrate_all(pts, cols, states, share), key=lambda s: s[0] if s[0] > 0 else math.inf) if det > 0]
+        if not states:
+            raise ValueError("more than half of the points lie on a line")
+    centre, cov = states[0]
     last = math.inf
     for _ in range(max_steps):
-        d = pts.withColumn("_d", _distance(cols, centre, cov))
-        cut = percentiles(d, [], "_d", {"m": (half - 1) / (n - 1)}).first()["m"]
-        centre, cov = _centre_and_cov(d.filter(F.col("_d") <= cut * (1 + 1e-12)), cols)
-        det = float(np.linalg.det(cov))
+        (det, new_centre, new_cov), = _concentrate_all(pts, cols, [(centre, cov)], share)
         if not det > 0 or last - det <= 1e-12 * abs(det):
             break
-        last = det
+        centre, cov, last = new_centre, new_cov, det
     d = pts.withColumn("_d", _distance(cols, centre, cov))
     cov = cov * (percentiles(d, [], "_d", {"m": 0.5}).first()["m"] / chi2_quantile(0.5, dims))
     near = pts.filter(_distance(cols, centre, cov) < chi2_quantile(0.975, dims))
