@@ -64,6 +64,23 @@ def sample_results(s, d):
 
 
 
+GROUPS = ["case_id", "l_linestatus", "l_quantity"]
+TALL = L + ", tall AS (" + " UNION ALL ".join(f"SELECT '{c}' AS variable, CAST({c if c != 'l_quantity' else 'CAST(l_quantity AS DOUBLE)'} AS VARCHAR) AS value, fold, start, label, prediction, error FROM labelled" for c in GROUPS) + ")"
+_CELLS = ", ".join(f"count(*) FILTER (label = {t} AND prediction = {p}) AS true_{t}_pred_{p}" for t in (0, 1) for p in (0, 1))
+_MET = f"""met AS (SELECT fold, round((t1 + t0) / n, 4) AS accuracy, round(coalesce(t1 / nullif(t1 + f1, 0), 0), 4) AS precision, round(coalesce(t1 / nullif(t1 + f0, 0), 0), 4) AS recall,
+  round(coalesce(2 * t1 / nullif(2 * t1 + f1 + f0, 0), 0), 4) AS f1, t0 AS true_0_pred_0, c.f1 AS true_0_pred_1, f0 AS true_1_pred_0, t1 AS true_1_pred_1 FROM
+  (SELECT fold, count(*) AS n, count(*) FILTER (label = 0 AND prediction = 0) AS t0, count(*) FILTER (label = 0 AND prediction = 1) AS f1,
+    count(*) FILTER (label = 1 AND prediction = 0) AS f0, count(*) FILTER (label = 1 AND prediction = 1) AS t1 FROM labelled GROUP BY fold) c)"""
+
+
+def bundle(report: str, *rounded: str):
+    """One report of the bundle over several columns."""
+    def run(s, d):
+        rows = I.labelled(s, d).withColumn("l_quantity", F.col("l_quantity").cast("double"))
+        return _r(R.result_bundles(rows, GROUPS, numeric=["l_quantity", "l_extendedprice", "score", "label"], k=0.3)[report], *rounded)
+
+    return run
+
 
 QUERIES = {
     "e4_error_by_group": (
@@ -160,4 +177,30 @@ QUERIES = {
     "n2_error_bundle_label": (
         lambda s, d: _r(R.result_bundle(I.labelled(s, d), "case_id")["error_label"], "error_rate_label"),
         f"WITH {L} SELECT fold, case_id, {_ERR.format(t='_label')} FROM labelled WHERE label = 1 GROUP BY ALL"),
+    "n2_error": (bundle("error", "error_rate"), f"WITH {TALL} SELECT variable, value, {_ERR.format(t='')} FROM tall GROUP BY ALL"),
+    "n2_error_label": (bundle("error_label", "error_rate_label"), f"WITH {TALL} SELECT variable, value, {_ERR.format(t='_label')} FROM tall WHERE label = 1 GROUP BY ALL"),
+    "n2_error_by_fold": (bundle("error_by_fold", "error_rate"), f"WITH {TALL} SELECT variable, value, fold, {_ERR.format(t='')} FROM tall GROUP BY ALL"),
+    "n2_class_distribution": (
+        bundle("class_distribution", "rel_0", "rel_1"), f"""WITH {TALL} SELECT variable, value, fold, count(*) FILTER (label = 0) AS abs_0, count(*) FILTER (label = 1) AS abs_1,
+        round(count(*) FILTER (label = 0) / count(*), 6) AS rel_0, round(count(*) FILTER (label = 1) / count(*), 6) AS rel_1 FROM tall GROUP BY ALL"""),
+    "n2_confusion": (bundle("confusion"), f"WITH {TALL} SELECT variable, value, {_CELLS} FROM tall GROUP BY ALL"),
+    "n2_imperfect_groups": (bundle("imperfect", "error_rate"), f"WITH {TALL} SELECT variable, value, {_ERR.format(t='')} FROM tall GROUP BY ALL HAVING sum(error) > 0"),
+    "n2_outlier_groups": (
+        bundle("outlier_groups", "error_rate", "error_threshold"), f"""WITH {TALL}, e AS (SELECT variable, value, fold, count(*) AS total_samples, CAST(sum(error) AS BIGINT) AS incorrect_predictions,
+          sum(error) / count(*) AS error_rate FROM tall GROUP BY ALL),
+        q AS (SELECT variable, least(quantile_cont(error_rate, 0.75) + 0.3 * (quantile_cont(error_rate, 0.75) - quantile_cont(error_rate, 0.25)), 1.0) AS t FROM e GROUP BY 1)
+        SELECT variable, value, fold, total_samples, incorrect_predictions, round(error_rate, 6) AS error_rate, round(t, 6) AS error_threshold FROM e JOIN q USING (variable)
+        WHERE error_rate >= t AND incorrect_predictions >= 5"""),
+    "n2_fold_metrics": (bundle("metrics"), f"WITH {L}, {_MET} SELECT * FROM met"),
+    "n2_imbalance_vs_metrics": (
+        bundle("imbalance", "rel_0", "rel_1"), f"""WITH {TALL}, {_MET}, sh AS (SELECT variable, value, fold, count(*) FILTER (label = 0) / count(*) AS r0, count(*) FILTER (label = 1) / count(*) AS r1
+          FROM tall GROUP BY ALL)
+        SELECT variable, fold, round(avg(r0), 6) AS rel_0, round(avg(r1), 6) AS rel_1, max(accuracy) AS accuracy, max(precision) AS precision, max(recall) AS recall FROM sh JOIN met USING (fold) GROUP BY ALL"""),
+    "n2_correlation": (
+        bundle("correlation", "correlation"),
+        f"WITH {L} " + " UNION ALL ".join(f"SELECT '{c}' AS variable, round(corr({c}, error), 6) AS correlation FROM labelled" for c in ("l_quantity", "l_extendedprice", "score", "label"))),
+    "n2_temporal_error": (
+        bundle("temporal_error"), f"""WITH {TALL}, r AS (SELECT variable, value, sum(error) / count(*) AS rate FROM tall GROUP BY 1, 2),
+        e AS (SELECT variable, value, row_number() OVER (PARTITION BY variable ORDER BY rate DESC, value) AS rn FROM r)
+        SELECT variable, value, start, error FROM tall JOIN e USING (variable, value) WHERE rn <= 10"""),
 }

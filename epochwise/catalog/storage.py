@@ -14,6 +14,7 @@ from epochwise.catalog.inputs import BLOCK, FS
 from epochwise.operators import reports as R
 from epochwise.operators import signal as G
 from epochwise.plans import runs as N
+from epochwise.functions.features import FEATURES
 from epochwise.plans.staged import staged_run
 from epochwise.sources import readers as A
 from epochwise.sources import writers as B
@@ -243,14 +244,13 @@ def codes(s, d):
 
 
 def staged(s, d):
-    """All seven steps on the embedding waveforms; epochs of two seconds, class by time."""
+    """All seven steps on the embedding waveforms with all features; epochs of two seconds, class by label; scaled by the training rows."""
     b = SG.blocks(s, d)
     e = load(s, d, "embeddings").select((F.col("vec_id") % 40).alias("case_id"), (F.floor(F.col("vec_id") / 40) * 2.0).alias("start"), (F.col("label") >= 5).alias("up"))
     e = e.withColumn("end", F.col("start") + 2.0)
     kinds = {"awake": e.filter("up").drop("up"), "faw": e.filter("not up").drop("up")}
-    t = staged_run(b, kinds, ["spectral_skewness", "shannon_entropy", "permutation_entropy", "variance"], fs=FS, block_len=BLOCK, low=2.0, high=12.0,
-                   segment_seconds=SG.SEG, test_size=0.4, model={"kernel": "linear", "max_iter": 5})
-    return t["reports"]["error_label"]
+    t = staged_run(b, kinds, list(FEATURES), fs=FS, block_len=BLOCK, low=2.0, high=12.0, segment_seconds=SG.SEG, test_size=0.4, model={"kernel": "linear"}, fit_on="train")
+    return t["reports"]["error_label_by_fold"]
 
 
 _INTER = I.SAMPLES + """, g AS (SELECT case_id, idx, CASE WHEN idx % 10 <> 3 THEN ch1 END AS ch1, ch2 FROM samples), a AS (SELECT *,

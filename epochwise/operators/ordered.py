@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from epochwise.session import materialize
+
 UP, UF = W.unboundedPreceding, W.unboundedFollowing
 Exprs = dict[str, Column]
 
@@ -141,11 +143,12 @@ def cumulative(df: DataFrame, by: Sequence[str], value: str, measures: Exprs, ro
     Equal values are counted together before the exchange, so a value that holds a third of all
     rows costs one row. Output columns per measure ``m``: ``m``, ``m_below``, ``m_total``.
 
-    Distinct values are cut into ranges of about ``rows_per_chunk`` rows by quantile sketches, however
+    The counts are stored. Distinct values are cut into ranges of about ``rows_per_chunk`` rows by quantile sketches, however
     close to each other they lie; one count of the groups tells how many ranges there are.
     """
     by = list(by)
-    grouped = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*[e.alias(n) for n, e in measures.items()])
+    # Read four times below: for the size of the groups, the sketches, the ranges' sums and the rows.
+    grouped = materialize(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*[e.alias(n) for n, e in measures.items()]), "counted")
     ranged, levels = bounded_chunks(grouped, by, value, rows_per_chunk)
     chunked = ranged.withColumn("_chunk", F.struct(*levels)).drop(*levels)
     out = scan(

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from epochwise.operators.keyed import numeric_columns
 from epochwise.operators.ordered import cumulative, join_small, percentiles
+from epochwise.session import materialize
 
 METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc"]
 
@@ -47,22 +48,18 @@ def correlation_with_error(df: DataFrame, method: str = "pearson", columns: Sequ
     if method not in ("pearson", "spearman"):
         raise ValueError(f"unknown correlation method {method!r}")
     if method == "spearman":
-        ids = df.select(*[F.col(c).cast("double") for c in columns], F.col("error").alias("_err"))
-        parts = []
-        for c in columns:
-            # Ranks per distinct pair of values: equal rows are counted, not repeated.
-            pairs = ids.groupBy(F.col(c).alias("_x"), F.col("_err").alias("_y")).agg(F.count(F.lit(1)).alias("w"))
-            x = cumulative(pairs, [], "_x", {"n": F.sum("w")}).select("_x", (F.col("n_below") + (F.col("n") + 1) / 2).alias("rx"))
-            y = cumulative(pairs, [], "_y", {"n": F.sum("w")}).select("_y", (F.col("n_below") + (F.col("n") + 1) / 2).alias("ry"))
-            r = pairs.join(x, "_x").join(y, "_y")
-            w = F.sum("w")
-            mx, my = F.sum(F.col("w") * F.col("rx")) / w, F.sum(F.col("w") * F.col("ry")) / w
-            cov = F.sum(F.col("w") * F.col("rx") * F.col("ry")) / w - mx * my
-            vx = F.sum(F.col("w") * F.col("rx") * F.col("rx")) / w - mx * mx
-            vy = F.sum(F.col("w") * F.col("ry") * F.col("ry")) / w - my * my
-            ok = (vx > 1e-12) & (vy > 1e-12)
-            parts.append(r.agg(F.when(ok, F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy))).alias("correlation")).withColumn("variable", F.lit(c)))
-        return functools.reduce(DataFrame.unionByName, parts).select("variable", "correlation")
+        # Ranks per distinct pair of values: equal rows are counted, not repeated; all columns go the same way at once.
+        long = df.select(*[F.col(c).cast("double").alias(c) for c in columns], F.col("error").alias("_y")).unpivot(["_y"], columns, "variable", "_x")
+        pairs = long.groupBy("variable", "_x", "_y").agg(F.count(F.lit(1)).alias("w"))
+        x, y = (cumulative(pairs, ["variable"], v, {"n": F.sum("w")}).select("variable", v, (F.col("n_below") + (F.col("n") + 1) / 2).alias(r)) for v, r in (("_x", "rx"), ("_y", "ry")))
+        r = pairs.join(x, ["variable", "_x"]).join(y, ["variable", "_y"])
+        w = F.sum("w")
+        mx, my = F.sum(F.col("w") * F.col("rx")) / w, F.sum(F.col("w") * F.col("ry")) / w
+        cov = F.sum(F.col("w") * F.col("rx") * F.col("ry")) / w - mx * my
+        vx = F.sum(F.col("w") * F.col("rx") * F.col("rx")) / w - mx * mx
+        vy = F.sum(F.col("w") * F.col("ry") * F.col("ry")) / w - my * my
+        ok = (vx > 1e-12) & (vy > 1e-12)
+        return r.groupBy("variable").agg(F.when(ok, F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy))).alias("correlation"))
     e = F.col("error").cast("double")
     one = df.agg(*[_moments(F.col(c).cast("double"), e).alias(c) for c in columns])
     rows = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("m")) for c in columns])).alias("r"))
@@ -245,3 +242,76 @@ def result_bundle(predictions: DataFrame, group: str, label: int = 1) -> dict[st
     }
 
 
+def _rates(cells: DataFrame, by: list[str], tail: str = "") -> DataFrame:
+    total, wrong = F.sum("n"), F.sum(F.when(F.col("label") != F.col("prediction"), F.col("n")).otherwise(0))
+    return cells.groupBy(*by).agg(total.alias(f"total_samples{tail}"), wrong.alias(f"incorrect_predictions{tail}"), (wrong / total).alias(f"error_rate{tail}"))
+
+
+def result_bundles(
+    predictions: DataFrame, groups: Sequence[str], label: int = 1, numeric: Sequence[str] | None = None, worst: int = 10, time: str = "start", min_errors: int = 5, k: float = 1.5,
+    splits: DataFrame | None = None, names: dict[int, str] | None = None,
+) -> dict[str, DataFrame]:
+    """All reports for all metadata columns ``groups`` at once; they are told apart by ``variable``, their groups by ``value`` (as text).
+
+    The predictions are read twice. In the first pass every row counts once for each column, towards the number of rows of a
+    ``(variable, value, fold, label, prediction)``; numeric columns bring mean and spread. That table is stored and gives
+
+    ``error`` (E4), ``error_label`` (E5), ``error_by_fold`` (E16, the long form of E17), ``error_label_by_fold``, ``class_distribution`` (E6), ``confusion`` (E8),
+    ``imperfect`` (E9), ``outlier_groups`` (E18, E19, per variable), ``metrics`` (E11 per fold), ``imbalance`` (D11), ``correlation`` (E7).
+
+    The second pass fetches the error series of the ``worst`` groups of each column: ``temporal_error`` (E10). With ``splits`` there is
+    ``epoch_distribution`` (E20). Rows without a value in a column are a group of their own.
+    """
+    groups = list(groups)
+    numeric = [c for c in (numeric if numeric is not None else numeric_columns(predictions, ["error"])) if c != "error"]
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    entries = [F.struct(F.lit(c).alias("variable"), F.lit(True).alias("grouped"), F.col(c).cast("string").alias("value"), none.alias("x")) for c in groups]
+    entries += [F.struct(F.lit(c).alias("variable"), F.lit(False).alias("grouped"), text.alias("value"), F.col(c).cast("double").alias("x")) for c in numeric]
+    each = predictions.select("fold", "label", "prediction", F.explode(F.array(*entries)).alias("_e")).select("fold", "label", "prediction", "_e.*")
+    cells = each.groupBy("variable", "grouped", "value", "fold", "label", "prediction").agg(
+        F.count(F.lit(1)).alias("n"), F.count("x").alias("nx"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
+    cells = materialize(cells, "cells")
+    g = cells.filter("grouped").drop("grouped", "nx", "m", "v")
+    key, by_fold = ["variable", "value"], ["variable", "value", "fold"]
+    n0, n1 = (F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)) for c in (0, 1))
+    n = F.sum("n")
+    shares = g.groupBy(*by_fold).agg(n0.alias("abs_0"), n1.alias("abs_1"), (n0 / n).alias("rel_0"), (n1 / n).alias("rel_1"))
+    four = [F.sum(F.when((F.col("label") == t) & (F.col("prediction") == p), F.col("n")).otherwise(0)).alias(f"true_{t}_pred_{p}") for t in (0, 1) for p in (0, 1)]
+    errors, errors_by_fold = _rates(g, key), _rates(g, by_fold)
+    # Every column counts every row, so one of them gives the folds' cells.
+    folds = g.filter(F.col("variable") == groups[0]).groupBy("fold").agg(*four)
+    tn, fp, fn, tp = (F.col(c).cast("double") for c in ("true_0_pred_0", "true_0_pred_1", "true_1_pred_0", "true_1_pred_1"))
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 4)
+    metrics = folds.select(
+        "fold", share(tp + tn, tp + tn + fp + fn).alias("accuracy"), share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"),
+        "true_0_pred_0", "true_0_pred_1", "true_1_pred_0", "true_1_pred_1")
+    imbalance = shares.groupBy("variable", "fold").agg(F.avg("rel_0").alias("rel_0"), F.avg("rel_1").alias("rel_1")).join(metrics.select("fold", "accuracy", "precision", "recall"), "fold")
+    quartiles = percentiles(errors_by_fold, ["variable"], "error_rate", {"q1": 0.25, "q3": 0.75})
+    limit = quartiles.select("variable", F.least(F.col("q3") + k * (F.col("q3") - F.col("q1")), F.lit(1.0)).alias("error_threshold"))
+    outliers = errors_by_fold.join(limit, "variable").filter((F.col("error_rate") >= F.col("error_threshold")) & (F.col("incorrect_predictions") >= min_errors))
+    # Moments of the numeric columns: a few rows a column, one for each fold, label and prediction.
+    e = (F.col("label") != F.col("prediction")).cast("double")
+    whole = W.partitionBy("variable")
+    parts = cells.filter("NOT grouped AND nx > 0").withColumns({"e": e, "all": F.sum("nx").over(whole)})
+    parts = parts.withColumns({"mx": F.sum(F.col("m") * F.col("nx")).over(whole) / F.col("all"), "me": F.sum(F.col("e") * F.col("nx")).over(whole) / F.col("all")})
+    dx, de = F.col("m") - F.col("mx"), F.col("e") - F.col("me")
+    sums = parts.groupBy("variable").agg(F.sum(F.col("nx") * (F.col("v") + dx * dx)).alias("xx"), F.sum(F.col("nx") * de * de).alias("ee"), F.sum(F.col("nx") * dx * de).alias("xe"), F.max("all").alias("all"))
+    spread = F.sqrt("xx") * F.sqrt("ee")
+    correlation = sums.select("variable", F.when(spread / F.col("all") > 1e-12, F.col("xe") / spread).alias("correlation"))
+    out = {
+        "error": errors, "error_label": _rates(g.filter(F.col("label") == label), key, "_label"), "error_by_fold": errors_by_fold,
+        "error_label_by_fold": _rates(g.filter(F.col("label") == label), by_fold, "_label"), "class_distribution": shares, "confusion": g.groupBy(*key).agg(*four),
+        "imperfect": errors.filter("error_rate > 0"), "outlier_groups": outliers, "metrics": metrics, "imbalance": imbalance, "correlation": correlation,
+    }
+    if time in predictions.columns:
+        # At most ``worst`` rows for each column.
+        top = None
+        for c in groups:
+            own = errors.filter(F.col("variable") == c).orderBy(F.col("error_rate").desc(), F.col("value")).limit(worst).select("variable", "value")
+            top = own if top is None else top.unionByName(own)
+        series = predictions.select(F.col(time), "error", F.explode(F.array(*entries[: len(groups)])).alias("_e")).select("_e.variable", "_e.value", time, "error")
+        top = top.select(F.col("variable").alias("_v"), F.col("value").alias("_w"))
+        out["temporal_error"] = series.join(F.broadcast(top), (F.col("variable") == F.col("_v")) & F.col("value").eqNullSafe(F.col("_w")), "left_semi")
+    if splits is not None:
+        out["epoch_distribution"] = epoch_distribution(splits, names or {0: "class_0", 1: "class_1"})
+    return out

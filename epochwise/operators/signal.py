@@ -10,12 +10,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochwise.functions.features import FEATURES, Registry, total
 from epochwise.functions.filters import design_butterworth, settle_samples, zero_phase_exact, zero_phase_spectral
 from epochwise.operators.ordered import cumulative, join_small
+from epochwise.session import materialize
 
 KEYS = ["case_id", "start", "end"]
 
@@ -121,8 +123,11 @@ def centre_waveform(blocks: DataFrame) -> DataFrame:
     return _map_channels(blocks.join(means, "case_id"), lambda x, c: x - F.col(f"_m{c[-1]}"))
 
 
-def normalize_waveform(blocks: DataFrame, method: str, block_len: int | None = None, feature_type: str | None = None) -> DataFrame:
-    """Zscore, tanh_zscore, minmax, quantile (both channels of a case together), tanh, log, clip."""
+def normalize_waveform(blocks: DataFrame, method: str, block_len: int | None = None, feature_type: str | None = None, per_channel: bool = False) -> DataFrame:
+    """Zscore, tanh_zscore, minmax, quantile, tanh, log, clip.
+
+    The first four take both channels of a case together, or each for itself with ``per_channel``.
+    """
     if method == "tanh":
         return _map_channels(blocks, lambda x, c: F.tanh(x))
     if method == "clip":
@@ -133,37 +138,76 @@ def normalize_waveform(blocks: DataFrame, method: str, block_len: int | None = N
         lo, hi = limits[feature_type]
         return _map_channels(blocks, lambda x, c: F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
     if method == "log":
-        error = F.raise_error(F.lit("Log normalization requires all values to be non-negative.")).cast("double")
+        error = F.raise_error(F.lit("the logarithm is for signals that are non-negative throughout")).cast("double")
         return _map_channels(blocks, lambda x, c: F.when(x < 0, error).otherwise(F.log1p(x)))
     if method == "quantile":
         if block_len is None:
             raise ValueError("quantile normalisation needs block_len")
-        return _quantile(blocks, block_len)
+        return _quantile(blocks, block_len, per_channel)
     if method not in ("zscore", "tanh_zscore", "minmax"):
         raise ValueError(f"{method!r} is no way to normalise a waveform")
-    v = blocks.select("case_id", F.explode(F.concat("ch1", "ch2")).alias("v"))
-    stats = v.groupBy("case_id").agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"), F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+    sources = {c: [c] if per_channel else ["ch1", "ch2"] for c in ("ch1", "ch2")}
+    stats = None
+    for c, own in sources.items() if per_channel else [("ch1", sources["ch1"])]:
+        v = blocks.select("case_id", F.explode(F.concat(*own)).alias("v"))
+        one = v.groupBy("case_id").agg(F.avg("v").alias(f"_m_{c}"), F.stddev_pop("v").alias(f"_s_{c}"), F.min("v").alias(f"_lo_{c}"), F.max("v").alias(f"_hi_{c}"))
+        stats = one if stats is None else stats.join(one, "case_id")
     joined = blocks.join(stats, "case_id")
 
     def scale(x: Column, c: str) -> Column:
+        m, sd, lo, hi = (F.col(f"_{k}_{c if per_channel else 'ch1'}") for k in ("m", "s", "lo", "hi"))
         if method == "minmax":
-            return F.try_divide(x - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-        z = F.try_divide(x - F.col("_m"), F.col("_s"))
+            return F.try_divide(x - lo, hi - lo)
+        z = F.try_divide(x - m, sd)
         return F.tanh(z) if method == "tanh_zscore" else z
 
     return _map_channels(joined, scale)
 
 
-def _quantile(blocks: DataFrame, block_len: int) -> DataFrame:
-    """Mean of the lowest and highest 0-based rank of a value, over n - 1."""
-    long = to_samples(blocks, block_len).unpivot(["case_id", "idx"], ["ch1", "ch2"], "ch", "v")
-    c = cumulative(long, ["case_id"], "v", {"n": F.count(F.lit(1))})
-    q = c.select("case_id", "v", F.try_divide(F.col("n_below") + (F.col("n") - 1) / 2, F.col("n_total") - 1.0).alias("q"))
-    back = long.join(q, ["case_id", "v"]).groupBy("case_id", "idx").agg(
-        F.max(F.when(F.col("ch") == "ch1", F.col("q"))).alias("ch1"), F.max(F.when(F.col("ch") == "ch2", F.col("q"))).alias("ch2")
-    )
-    rates = blocks.select("case_id", "block", "fs")
-    return to_blocks(back, 0, block_len).drop("fs").join(rates, ["case_id", "block"]).select("case_id", "block", "fs", "ch1", "ch2")
+RANGE = 500_000  # samples of a stretch of blocks, and distinct values of a range, that meet in one group
+
+
+def _quantile(blocks: DataFrame, block_len: int, per_channel: bool) -> DataFrame:
+    """Mean of the lowest and highest 0-based rank of a value, over n - 1.
+
+    Ranks are counted per distinct value and kept in ranges of bounded size. Blocks stay whole: a stretch of blocks meets each range
+    of its case and looks its samples up; the arrays that come back, one a range, are laid over each other. So a value
+    that fills a third of a case is one entry of a range, and no sample is moved on its own.
+    """
+    tall = blocks.select("case_id", "block", "fs", F.explode(F.array(*[F.struct(F.lit(c).alias("ch"), F.col(c).alias("x")) for c in ("ch1", "ch2")])).alias("_c"))
+    own = F.col("_c.ch") if per_channel else F.lit("both")
+    tall = tall.select("case_id", "block", "fs", own.alias("_k"), F.col("_c.ch").alias("ch"), F.col("_c.x").alias("x"), F.floor(F.col("block") * block_len / RANGE).alias("_part"))
+    keys = ["case_id", "_k"]
+    c = cumulative(tall.select(*keys, F.explode("x").alias("v")), keys, "v", {"n": F.count(F.lit(1))})
+    q = F.try_divide(F.col("n_below") + (F.col("n") - 1) / 2, F.col("n_total") - 1.0)
+    values = materialize(c.select(*keys, F.floor(F.col("n_below") / RANGE).alias("_range"), "v", q.alias("q")), "ranks")
+    ranges = values.select(*keys, "_range").distinct()
+    parts = tall.select(*keys, "_part").distinct()
+    left = tall.join(ranges, keys, "left").fillna(0, ["_range"])
+    right = values.join(parts, keys).select(*[F.col(k).alias(f"{k}_") for k in (*keys, "_range", "_part")], "v", "q")
+
+    def look_up(blocks: pa.Table, table: pa.Table) -> pa.Table:
+        v, q = (table[c].to_numpy(zero_copy_only=False) for c in ("v", "q"))
+        order = np.argsort(v, kind="stable")
+        v, q = v[order], q[order]
+        x = blocks["x"].combine_chunks()
+        flat = x.flatten()
+        got = flat.to_numpy(zero_copy_only=False).astype(float)
+        at = np.minimum(np.searchsorted(v, got), max(len(v) - 1, 0))
+        hit = ((v[at] == got) | (np.isnan(v[at]) & np.isnan(got))) if len(v) else np.zeros(len(got), bool)
+        hit &= flat.is_valid().to_numpy(zero_copy_only=False)
+        found = pa.array(np.where(hit, q[at] if len(v) else np.nan, np.nan), from_pandas=True)
+        sizes = np.concatenate(([0], np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int32)
+        return pa.table({c: blocks[c] for c in ("case_id", "block", "fs", "ch")} | {"y": pa.ListArray.from_arrays(pa.array(sizes), found)})
+
+    kinds = ", ".join(f"{c} {t}" for c, t in tall.dtypes if c in ("case_id", "block", "fs", "ch")) + ", y array<double>"
+    found = left.groupBy(*keys, "_range", "_part").cogroup(right.groupBy(*[f"{k}_" for k in (*keys, "_range", "_part")])).applyInArrow(look_up, kinds)
+
+    def laid_over(c: str) -> Column:
+        none = F.array().cast("array<double>")
+        return F.aggregate(F.collect_list(F.when(F.col("ch") == c, F.col("y"))), none, lambda a, y: F.when(F.size(a) == 0, y).otherwise(F.zip_with(a, y, lambda p, r: F.coalesce(p, r)))).alias(c)
+
+    return found.groupBy("case_id", "block", "fs").agg(laid_over("ch1"), laid_over("ch2"))
 
 
 def zscore_columns(df: DataFrame, columns: Sequence[str], sample: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:

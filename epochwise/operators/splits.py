@@ -158,11 +158,95 @@ def case_folds(counts: DataFrame, k: int, seed: int = 42) -> DataFrame:
 
 
 def cross_validation_splits(rows: DataFrame, k: int = 5, test_size: float | None = 0.2, seed: int = 42) -> DataFrame:
-    """Each row once per fold, test in its own fold and train in the others, every fold balanced."""
+    """Each row once per fold, test in its own fold and train in the others, every fold balanced.
+
+    Same rows as :func:`balanced_split` takes fold by fold. Rows are stored once, not once a fold: counts by own fold, class
+    and hash chunk, at most ``k * 2 * 4096``, tell for every fold, role and class the one chunk that its number of rows cuts through,
+    and likewise for the ratio. Only rows of those chunks are exchanged and ranked; all others are repeated or dropped as they are read.
+    """
     folds = case_folds(case_counts(rows), k, seed).withColumnRenamed("fold", "_own")
-    each = rows.join(folds, "case_id").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    each = each.withColumn("role", F.when(F.col("fold") == F.col("_own"), "test").otherwise("train")).drop("_own")
-    return balanced_split(each, test_size, seed, ["fold"])
+    marked = rows.join(folds, "case_id").withColumn("_h", stable_hash(seed, *KEYS)).withColumn("_hc", F.substring("_h", 1, 3))
+    marked = materialize(marked, "own-folds")
+
+    def each(df: DataFrame) -> DataFrame:
+        out = df.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+        return out.withColumn("role", F.when(F.col("fold") == F.col("_own"), "test").otherwise("train")).drop("_own")
+
+    def cut(counts: DataFrame, by: list[str], wanted: Column) -> DataFrame:
+        """The chunk in which a group's first ``wanted`` rows end (one past all if it has no more), and how many are in it."""
+        below = W.partitionBy(*by).orderBy("_hc").rowsBetween(W.unboundedPreceding, -1)
+        placed = counts.withColumn("_below", F.coalesce(F.sum("_in").over(below), F.lit(0))).withColumn("_want", wanted)
+        over = placed.filter(F.col("_below") + F.col("_in") > F.col("_want")).groupBy(*by).agg(F.min_by(F.struct("_hc", (F.col("_want") - F.col("_below")).alias("need")), "_hc").alias("_c"))
+        every = placed.select(*by).distinct()
+        return every.join(over, by, "left").select(*by, F.coalesce("_c._hc", F.lit("zzz")).alias("_cut"), F.coalesce("_c.need", F.lit(0)).alias("_need"))
+
+    counts = each(marked.groupBy("_own", "label", "_hc").agg(F.count(F.lit(1)).alias("_n"))).groupBy("fold", "role", "label", "_hc").agg(F.sum("_n").alias("_in"))
+    counts = materialize(counts, "chunk-counts")
+    sizes = counts.groupBy("fold", "role").agg(F.least(*[F.coalesce(F.sum(F.when(F.col("label") == c, F.col("_in"))), F.lit(0)) for c in (0, 1)]).alias("_k"))
+    one = materialize(cut(counts.join(F.broadcast(sizes), ["fold", "role"]), ["fold", "role", "label"], F.col("_k")), "class-cuts")
+    table = one.withColumnsRenamed({"_cut": "_cut1", "_need": "_need1"})
+    if test_size is None:
+        table = table.withColumns({"_cut2": F.lit("zzz"), "_need2": F.lit(0)})
+    else:
+        left = F.when(F.col("_hc") < F.col("_cut"), F.col("_in")).when(F.col("_hc") == F.col("_cut"), F.col("_need")).otherwise(0)
+        kept = counts.join(F.broadcast(one), ["fold", "role", "label"]).groupBy("fold", "role", "_hc").agg(F.sum(left).alias("_in"))
+        kept = materialize(kept, "balanced-counts")
+        a, b = (F.coalesce(F.sum(F.when(F.col("role") == r, F.col("_in"))), F.lit(0)) for r in ("train", "test"))
+        n = kept.groupBy("fold").agg(a.alias("_a"), b.alias("_b"))
+        share = F.try_divide(F.col("_b").cast("double"), (F.col("_a") + F.col("_b")).cast("double"))
+        keep_test = F.when(share > test_size, F.floor(F.col("_a") * test_size / (1 - test_size))).otherwise(F.col("_b"))
+        keep_train = F.when(share < test_size, F.floor(F.col("_b") * (1 - test_size) / test_size)).otherwise(F.col("_a"))
+        n = n.select("fold", F.explode(F.array(F.struct(F.lit("test").alias("role"), keep_test.alias("n")), F.struct(F.lit("train").alias("role"), keep_train.alias("n")))).alias("_r"))
+        n = n.select("fold", "_r.role", F.col("_r.n").alias("_keep"))
+        two = cut(kept.join(F.broadcast(n), ["fold", "role"]), ["fold", "role"], F.col("_keep"))
+        table = table.join(two.withColumnsRenamed({"_cut": "_cut2", "_need": "_need2"}), ["fold", "role"])
+    # One row for each fold, role and class.
+    placed = each(marked).join(F.broadcast(materialize(table, "cuts")), ["fold", "role", "label"]).filter((F.col("_hc") <= F.col("_cut1")) & (F.col("_hc") <= F.col("_cut2")))
+    at_edge = (F.col("_hc") == F.col("_cut1")) | (F.col("_hc") == F.col("_cut2"))
+    order = ["_h", *KEYS]
+    edge = placed.filter(at_edge).withColumn("_r1", F.row_number().over(W.partitionBy("fold", "role", "label", "_hc").orderBy(*order)))
+    edge = edge.filter((F.col("_hc") < F.col("_cut1")) | (F.col("_r1") <= F.col("_need1")))
+    edge = edge.withColumn("_r2", F.row_number().over(W.partitionBy("fold", "role", "_hc").orderBy(*order)))
+    edge = edge.filter((F.col("_hc") < F.col("_cut2")) | (F.col("_r2") <= F.col("_need2")))
+    columns = [*rows.columns, "fold", "role"]
+    return placed.filter(~at_edge).select(*columns).unionByName(edge.select(*columns))
+
+
+def training_statistics(rows: DataFrame, folds: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """J4 fitted on training rows: ``fold, m_<column>, s_<column>``, mean and population spread over the fold's training cases.
+
+    ``folds``: ``fold, case_id, role``. One pass over ``rows``, however many folds there are: rows are summed by the set of folds whose
+    test cases they belong to, and a fold's training rows are the union of all such sums that do not name it. Count, mean
+    and spread of sums are merged, never subtracted, so nothing cancels.
+    """
+    tests = folds.filter("role = 'test'").groupBy("case_id").agg(F.array_sort(F.collect_set("fold")).alias("_tests"))
+    none = F.array().cast(tests.schema["_tests"].dataType)
+    known = folds.select("case_id").distinct().join(tests, "case_id", "left").select("case_id", F.coalesce("_tests", none).alias("_tests"))
+    x = {c: F.col(c).cast("double") for c in columns}
+    sums = rows.join(known, "case_id").groupBy("_tests").agg(*[f(x[c]).alias(f"{name}_{c}") for c in columns for name, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop))]).collect()
+    names = sorted(r["fold"] for r in folds.select("fold").distinct().collect())
+    out = []
+    for fold in names:
+        row = [fold]
+        for c in columns:
+            n = m = q = 0.0
+            for r in sums:
+                if fold not in r["_tests"] and r[f"n_{c}"]:
+                    k, off = r[f"n_{c}"], r[f"m_{c}"] - m
+                    q += r[f"v_{c}"] * k + off * off * n * k / (n + k)
+                    m += off * k / (n + k)
+                    n += k
+            row += [m if n else None, (q / n) ** 0.5 if n else None]
+        out.append(tuple(row))
+    schema = f"fold {folds.schema['fold'].dataType.simpleString()}, " + ", ".join(f"`m_{c}` double, `s_{c}` double" for c in columns)
+    return rows.sparkSession.createDataFrame(out, schema)
+
+
+def scale_by_training(splits: DataFrame, statistics: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of each fold, training and test, as z-scores by :func:`training_statistics`; a column without spread is null."""
+    # One row a fold.
+    joined = splits.join(F.broadcast(statistics), "fold")
+    return joined.select(*[F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"s_{c}")).alias(c) if c in columns else F.col(c) for c in splits.columns])
 
 
 def disjoint_folds(counts: DataFrame, test_size: float, min_iterations: int | None = None, seed: int = 42) -> DataFrame:

@@ -63,6 +63,30 @@ def trim_zero_rows(samples: DataFrame, channels: list[str], case: str = "case_id
     )
 
 
+def trim_zero_blocks(blocks: DataFrame, block_len: int) -> DataFrame:
+    """C3 on waveform blocks: samples from the first to the last in which a channel is not zero, numbered and blocked anew.
+
+    A block is cut where the new blocks begin, into two pieces at most; pieces, not samples, are exchanged.
+    """
+    channels = ["ch1", "ch2"]
+    nonzero = F.transform(F.arrays_zip(*channels), lambda s: (s.ch1 != 0) | (s.ch2 != 0))
+    size = F.size("ch1").cast("long")
+    first, last = F.array_position(nonzero, True), F.array_position(F.reverse(nonzero), True)
+    base = F.col("block").cast("long") * block_len
+    ends = blocks.select("case_id", F.when(first > 0, base + first - 1).alias("a"), F.when(last > 0, base + size - last).alias("b"))
+    bounds = ends.groupBy("case_id").agg(F.min("a").alias("_a"), F.max("b").alias("_b")).filter("_a IS NOT NULL")
+    lo, hi = F.greatest(base, F.col("_a")), F.least(base + size - 1, F.col("_b"))
+    kept = blocks.join(bounds, "case_id").withColumns({"_lo": lo, "_hi": hi}).filter("_lo <= _hi")
+    new = lambda i: F.floor((i - F.col("_a")) / block_len)
+    pieces = kept.withColumn("_new", F.explode(F.sequence(new(F.col("_lo")), new(F.col("_hi")))))
+    start = F.greatest(F.col("_lo"), F.col("_a") + F.col("_new") * block_len)
+    stop = F.least(F.col("_hi"), F.col("_a") + (F.col("_new") + 1) * block_len - 1)
+    cut = [F.slice(c, (start - base + 1).cast("int"), (stop - start + 1).cast("int")).alias(c) for c in channels]
+    parts = pieces.select("case_id", "fs", "_new", F.struct(start.alias("at"), *cut).alias("_p"))
+    joined = parts.groupBy("case_id", "fs", "_new").agg(F.array_sort(F.collect_list("_p")).alias("_s"))
+    return joined.select("case_id", F.col("_new").alias("block"), "fs", F.flatten(F.transform("_s", lambda p: p.ch1)).alias("ch1"), F.flatten(F.transform("_s", lambda p: p.ch2)).alias("ch2"))
+
+
 def valid_times(tracks: DataFrame) -> DataFrame:
     """C4: time of the first and last row whose BIS is present and not zero."""
     at = F.when((F.col("bis") != 0) & ~F.isnan("bis"), F.col("row_idx"))

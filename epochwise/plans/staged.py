@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from epochwise.operators import signal as G
 from epochwise.operators import splits as S
 from epochwise.operators.epochs import epoch_samples
 from epochwise.operators.keyed import labelled_union, still_to_do
-from epochwise.operators.reports import result_bundle
+from epochwise.operators.reports import result_bundles
 from epochwise.plans.models import evaluate_folds
 from epochwise.plans.runs import run_steps
 from epochwise.session import materialize
@@ -21,12 +22,18 @@ def staged_run(
     class_1: str = "awake", class_0: str = "faw", low: float = 0.5, high: float = 30.0, order: int = 4, channel: int = 1,
     segment_seconds: float = 2, normalize: str = "zscore", test_size: float = 0.15, seed: int = 42, model: dict | None = None,
     done: dict[str, DataFrame] | None = None, steps: Sequence[str] | None = None, state: dict | None = None,
+    fit_on: str = "all", metadata: DataFrame | None = None, groups: Sequence[str] = ("case_id",),
 ) -> dict:
     """Filter, normalize, transform, extract, combine, classify, analyze.
 
     ``done`` holds feature tables of earlier runs: their epochs are not computed again (H3). Every
     stage is a stored table, so a lost executor costs at most the running stage.
+
+    ``fit_on``: features are z-scored by all rows (``all``), or in each fold by its training rows (``train``). Columns without
+    spread take no part. ``metadata`` (one row a case) and ``groups``: columns by which the reports are made.
     """
+    if fit_on not in ("all", "train"):
+        raise ValueError("features are fitted on all or on train")
     done = done or {}
 
     def filter_step(t: dict) -> None:
@@ -49,16 +56,24 @@ def staged_run(
 
     def combine_step(t: dict) -> None:
         rows = labelled_union(t[f"features_{class_1}"].na.drop(), t[f"features_{class_0}"].na.drop())
-        t["columns"] = [c for c in rows.columns if c not in ("case_id", "start", "end", "label", "orig_index")]
-        t["rows"] = materialize(G.zscore_columns(rows, t["columns"]), "rows")
+        columns = [c for c in rows.columns if c not in ("case_id", "start", "end", "label", "orig_index")]
+        rows = materialize(rows, "combined")
+        spread = rows.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in columns]).first()
+        t["columns"] = [c for c in columns if spread[c]]
+        rows = rows.drop(*[c for c in columns if not spread[c]])
+        t["rows"] = rows if fit_on == "train" else materialize(G.zscore_columns(rows, t["columns"]), "rows")
 
     def classify_step(t: dict) -> None:
         folds = S.disjoint_folds(S.case_counts(t["rows"]), test_size, int(1 // test_size) * 2, seed)
-        t["splits"] = materialize(S.balanced_split(t["rows"].join(folds, "case_id"), test_size, seed, ["fold"]), "splits")
+        splits = S.balanced_split(t["rows"].join(folds, "case_id"), test_size, seed, ["fold"])
+        if fit_on == "train":
+            splits = S.scale_by_training(splits, S.training_statistics(t["rows"], folds, t["columns"]), t["columns"])
+        t["splits"] = materialize(splits, "splits")
         t["predictions"], t["metrics"] = evaluate_folds(t["splits"], t["columns"], **(model or {}))
 
     def analyze_step(t: dict) -> None:
-        t["reports"] = result_bundle(t["predictions"], "case_id")
+        rows = t["predictions"] if metadata is None else t["predictions"].join(metadata, "case_id", "left")
+        t["reports"] = result_bundles(rows, groups, splits=t["splits"], names={0: class_0, 1: class_1})
 
     return run_steps({
         "filter": filter_step, "normalize": normalize_step, "transform": transform_step, "extract": extract_step,

@@ -21,14 +21,15 @@ def _replace(df: DataFrame, path: str, *parts: str) -> None:
 def write_waveform(blocks: DataFrame, path: str, stage: str, decimals: int | None = 4, float32: bool = False) -> None:
     """B1: waveform blocks of one stage, rounded or as float32; the sampling rate is a column.
 
-    All stages of one table have the same sample type: keep float32 waveforms in their own table.
+    All stages of one table have the same sample type: keep float32 waveforms in their own table. Files hold ranges of
+    case and block, so a reader that asks for a few cases opens few files.
     """
     def out(c: str) -> Column:
         if float32:
             return F.col(c).cast("array<float>").alias(c)
         return (F.transform(c, lambda x: F.round(x, decimals)) if decimals is not None else F.col(c)).alias(c)
 
-    sorted_blocks = blocks.withColumns({"ch1": out("ch1"), "ch2": out("ch2"), "stage": F.lit(stage)}).sortWithinPartitions("case_id", "block")
+    sorted_blocks = blocks.withColumns({"ch1": out("ch1"), "ch2": out("ch2"), "stage": F.lit(stage)}).repartitionByRange("case_id", "block").sortWithinPartitions("case_id", "block")
     _replace(sorted_blocks, path, "stage")
 
 
@@ -86,6 +87,24 @@ def append_unique(df: DataFrame, path: str) -> tuple[DataFrame, int]:
     return new, new.count()
 
 
+# The kinds of outliers that are kept.
+OUTLIER_KINDS = ("epoch", "patient_id")
+
+
+def append_outliers(outliers: DataFrame, path: str, kind: str) -> tuple[DataFrame, int]:
+    """Append new outliers of a kind to its own table; returns those that were new and their number."""
+    if kind not in OUTLIER_KINDS:
+        raise ValueError(f"outliers are of a kind in {OUTLIER_KINDS}, not {kind!r}")
+    return append_unique(outliers, f"{path}/outliers-{kind}")
+
+
+def read_outliers(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """All outliers of a kind; none stored yet is an error of Spark's."""
+    if kind not in OUTLIER_KINDS:
+        raise ValueError(f"outliers are of a kind in {OUTLIER_KINDS}, not {kind!r}")
+    return spark.read.parquet(f"{path}/outliers-{kind}")
+
+
 def write_segments(segments: DataFrame, path: str, n: int, column: str = "eeg") -> None:
     """Wide segment matrix ``eeg_0 .. eeg_<n-1>`` with case, bounds and label."""
     keep = [c for c in segments.columns if c != column]
