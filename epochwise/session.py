@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -69,6 +70,15 @@ def materialize(df: DataFrame, name: str = "stage", partition_by: list[str] | No
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of results that nothing refers to any more.
+
+    Spark does so whenever the driver collects its garbage, which may be long after; an operator of many passes asks for it in between.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
 
