@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,16 @@ CELLS = 1 << 21  # bound of the broadcast set of seed cells
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’„‚«»‹›…–—¡¿。、，！？：；"  # stripped from the ends of words if asked for
 
 
+SHORT = 12  # items up to this length may need more seeds than the masks
+
+
+def blocks_of(n: int, share: float = 0.8) -> list[tuple[int, int]]:
+    """``n`` words cut into one block more than there may be substitutions, so that one block stays whole."""
+    parts = n - math.ceil(n * share - 1e-9) + 1
+    cuts = [n * k // parts for k in range(parts + 1)]
+    return list(zip(cuts, cuts[1:]))
+
+
 def _seeds(rows: DataFrame, keep: Sequence[str], masks: Sequence[Sequence[int]]) -> DataFrame:
     """``keep``, ``pos`` and ``seed`` for every mask at every word position; ``rows`` has word hashes ``h``."""
 
@@ -39,12 +50,11 @@ def _hashed(table: DataFrame, id_col: str, text_col: str, names: tuple[str, str]
     return words.select(*names, F.transform("w", lambda x: F.xxhash64(_bare(x) if folded else x)).alias("h"))
 
 
-def find_leaks(
+def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    window: int = 16, share: float = 0.8, masks: Sequence[Sequence[int]] = MASKS,
-    folded: bool = False,
+    window: int = 16, share: float = 0.8, masks: Sequence[Sequence[int]] = MASKS, folded: bool = True,
 ) -> DataFrame:
-    """Pairs ``(id_col, item_col, n_matched, n_compared, start)`` of documents and the items they leak.
+    """Rows ``(id, tag, item, n_matched, n_compared, start)`` of documents, by row key, and the items they leak.
 
     A document leaks an item if, laid over each other at some offset, ``window`` consecutive words of the
     item (all of a shorter item) lie inside the document and at least ``share`` of them are equal, the others being
@@ -53,17 +63,29 @@ def find_leaks(
 
     Offsets come from spaced seeds: hashes of the words at the positions of each mask, at every word of both
     tables, joined. Documents' seeds first pass a set of at most ``CELLS`` cells, broadcast because of that bound;
-    what is left meets the items' seeds in an ordinary join. Items shorter than a mask have no seed and are not found.
+    what is left meets the items' seeds in an ordinary join. Items of lengths for which the masks would miss an allowed
+    placement of substitutions are cut into as many blocks as leave one whole (``blocks_of``), and those are seeds too.
 
-    Words are separated by bytes 0x20 and 0x09-0x0D and compared as they stand, or with ``folded`` in lower case and
-    without the ``MARKS`` at their ends. Null texts have no words. Null ids stay
-    null. Rows that are equal in id and text give one row per item. Clean documents do not appear.
+    Words are separated by bytes 0x20 and 0x09-0x0D and compared in lower case and without the ``MARKS`` at their ends, or as
+    they stand without ``folded``. Null texts have no words; items without words are never found.
     """
     items = _hashed(benchmark, item_col, item_text_col, ("item", "item_tag"), folded)
-    item_seeds = materialize(_seeds(items, ["item", "item_tag"], masks).withColumnRenamed("pos", "item_pos"), "item-seeds")
+    # Lengths of short items: a few numbers, which say how long the seeds of their blocks are.
+    short = sorted(r["n"] for r in items.select(F.size("h").alias("n")).filter(F.col("n").between(1, SHORT)).distinct().collect())
+    blocks = {n: blocks_of(n, share) for n in short}
+    lengths = sorted({b - a for cuts in blocks.values() for a, b in cuts})
+    contiguous = [tuple(range(k)) for k in lengths]
+    numbers = {k: len(masks) + i for i, k in enumerate(lengths)}
+    item_seeds = _seeds(items, ["item", "item_tag"], masks).withColumnRenamed("pos", "item_pos")
+    for n, cuts in blocks.items():
+        parts = F.array(*[F.struct(F.lit(a).alias("item_pos"), F.xxhash64(F.lit(numbers[b - a]), *(F.col("h")[k] for k in range(a, b))).alias("seed")) for a, b in cuts])
+        own = items.filter(F.size("h") == n).select("item", "item_tag", F.explode(parts).alias("s")).select("item", "item_tag", "s.item_pos", "s.seed")
+        item_seeds = item_seeds.unionByName(own)
+    item_seeds = materialize(item_seeds, "item-seeds")
+    every = [*masks, *contiguous]
     cell = F.col("seed").bitwiseAND(F.lit(CELLS - 1).cast("long"))
     cells = item_seeds.select(cell.alias("cell")).distinct()
-    doc_seeds = _seeds(_hashed(docs, id_col, text_col, ("id", "tag"), folded), ["id", "tag"], masks).withColumn("cell", cell)
+    doc_seeds = _seeds(_hashed(docs, id_col, text_col, ("id", "tag"), folded), ["id", "tag"], every).withColumn("cell", cell)
     met = doc_seeds.join(F.broadcast(cells), "cell", "left_semi").drop("cell")
     offsets = met.join(item_seeds, "seed").select("id", "tag", "item", "item_tag", (F.col("pos") - F.col("item_pos")).alias("offset")).distinct()
     offsets = materialize(offsets, "offsets")
@@ -80,14 +102,21 @@ def find_leaks(
     )
     best = compared.select("id", "tag", "item", "item_tag", "offset", "n", F.array_max(sums).alias("m")).filter(F.col("m") >= F.ceil(F.col("n") * F.lit(share)))
     found = best.groupBy("id", "tag", "item", "item_tag").agg(F.max(F.struct("m", "n", (-F.col("offset")).alias("o"))).alias("b"))
+    return found.select("id", "tag", "item", F.col("b.m").cast("long").alias("n_matched"), F.col("b.n").cast("long").alias("n_compared"), (-F.col("b.o")).cast("long").alias("start"))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", **options) -> DataFrame:
+    """Pairs ``(id_col, item_col, n_matched, n_compared, start)`` of documents and the items they leak, by :func:`leaks`.
+
+    Null ids stay null. Rows that are equal in id and text give one row per item. Clean documents do not appear.
+    """
     none = F.lit((1 << 63) - 1)
-    return found.select(
-        F.nullif("id", none).alias(id_col), F.nullif("item", none).alias(item_col), F.col("b.m").cast("long").alias("n_matched"), F.col("b.n").cast("long").alias("n_compared"),
-        (-F.col("b.o")).cast("long").alias("start"),
-    )
+    found = leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, **options)
+    return found.select(F.nullif("id", none).alias(id_col), F.nullif("item", none).alias(item_col), "n_matched", "n_compared", "start")
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that leak no item. Rows with a null id stay unless a row with a null id leaks."""
-    leaking = find_leaks(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("leaking")).distinct()
-    return docs.join(leaking.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("leaking")), "left_anti")
+    """The documents that leak no item, with all their columns. Rows are told apart by id and text, so one that shares its id with a leaking one stays."""
+    leaking = leaks(docs, benchmark, id_col, text_col, **options).select("id", "tag").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *row_key(id_col, text_col))
+    return rows.join(leaking.hint("shuffle_hash"), ["id", "tag"], "left_anti").select("row.*")

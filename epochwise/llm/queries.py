@@ -81,8 +81,16 @@ def _seed_sql(words: str, keys: str) -> str:
     return " UNION ALL ".join(rows)
 
 
-OP5_SQL = f"""WITH d AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM documents), b AS MATERIALIZED (SELECT item_id, {WORDS} AS w FROM benchmark),
-  sd AS ({_seed_sql("d", "doc_id")}), sb AS ({_seed_sql("b", "item_id")}),
+# Words in lower case without marks at their ends; a word of marks alone stays.
+_MARKS = decontaminate.MARKS.replace("'", "''")
+FOLDED = f"list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''), lambda w: CASE WHEN trim(w, '{_MARKS}') = '' THEN w ELSE trim(w, '{_MARKS}') END)"
+# Blocks of short items: one more than there may be substitutions.
+_PARTS = "(n - CAST(ceil(n * 0.8 - 1e-9) AS BIGINT) + 1)"
+
+OP5_SQL = f"""WITH d AS MATERIALIZED (SELECT doc_id, {FOLDED} AS w FROM documents), b AS MATERIALIZED (SELECT item_id, {FOLDED} AS w FROM benchmark),
+  bl AS (SELECT item_id, w, n * q // {_PARTS} AS i, n * (q + 1) // {_PARTS} AS e FROM (SELECT item_id, w, len(w) AS n FROM b), range(0, 4) AS t(q) WHERE n BETWEEN 1 AND {decontaminate.SHORT} AND q < {_PARTS}),
+  sb AS ({_seed_sql("b", "item_id")} UNION ALL SELECT item_id, i, 100 + e - i, w[i + 1 : e] FROM bl),
+  sd AS ({_seed_sql("d", "doc_id")} UNION ALL SELECT doc_id, i, 100 + k, w[i + 1 : i + k] FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM d, (SELECT DISTINCT e - i AS k FROM bl))),
   o AS (SELECT DISTINCT doc_id, item_id, sd.i - sb.i AS o FROM sd JOIN sb USING (k, s)),
   e AS (SELECT doc_id, item_id, o, least(16, len(b.w)) AS n, q, len(d.w) AS nd, len(b.w) AS nb, CASE WHEN o + q >= 0 AND d.w[o + q + 1] = b.w[q + 1] THEN 1 ELSE 0 END AS e
     FROM o JOIN d USING (doc_id) JOIN b USING (item_id), range(0, 100000) AS t(q) WHERE q < len(b.w)),

@@ -24,7 +24,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epochwise.session import materialize
+from epochwise.llm.words import content_tag, row_key
+from epochwise.session import materialize, release
 
 U = np.uint64
 SLICE = 1 << 16  # units worked on at once
@@ -378,19 +379,26 @@ def merge_sketches(parts: DataFrame, rows: int, bits: int, hot: int | None = Non
 # Passes over the runs of a table of texts.
 
 ROWS = 1 << 18  # runs of a task that are compared with each other before they leave it
-FOUND = "gram long, key long, id long, tag int, start int, n int, many boolean, done boolean"
+KINDS = {"gram": "long", "key": "long", "id": "long", "tag": "long", "more": "long", "start": "int", "n": "int", "many": "boolean", "done": "boolean"}
+TAG = "struct<a:bigint,b:bigint>"
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
-    """``(id, tag, text)``: null ids sort last; the tag tells rows apart that share an id but not the text."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.hash(text_col).alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text")]
+    """``(id, tag, text)``: the key of a row (``words.row_key``) and its text, empty instead of null."""
+    return [*row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")]
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
-    """``identified``, with the same tag for all rows where no id is repeated: four bytes less in every run."""
-    ident, tag, text = identified(docs, id_col, text_col)
+    """``(id, text)`` where no id is repeated, ``(id, tag, more, text)`` with two hashes of the text else: the key travels with every run."""
+    ident = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id")
+    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     shared = docs.select(ident).groupBy("id").count().filter("count > 1").limit(1).count()
-    return [ident, tag if shared else F.lit(0).alias("tag"), text]
+    return [ident, *([c.alias(n) for c, n in zip(content_tag(text_col), ("tag", "more"))] if shared else []), text]
+
+
+def names_of(rows: DataFrame) -> list[str]:
+    """The columns of :func:`keyed` that make the key."""
+    return [c for c in ("id", "tag", "more") if c in rows.columns]
 
 
 def count_grams(rows: DataFrame, plan: Plan, level: int, open_sets: Sequence, sketch_rows: int, bits: int, hot: int) -> tuple[HashSet, HashSet]:
@@ -413,40 +421,42 @@ def count_grams(rows: DataFrame, plan: Plan, level: int, open_sets: Sequence, sk
     return sets
 
 
-def _settle(held: list[tuple[np.ndarray, ...]], earlier: bool) -> pa.RecordBatch:
+def _settle(held: list[list[np.ndarray]], names: list[str], earlier: bool) -> pa.RecordBatch:
     """Compare the runs of a task with each other; most copies of a hot run end here.
 
     ``earlier``: of equal runs only those of the smallest id leave as candidates, the others are done.
     Otherwise equal runs are all done, and one leaves as a candidate that counts as several.
     """
-    gram, key, ident, tag, start, n = (np.concatenate(x) for x in zip(*held))
-    order = np.lexsort((start, tag, ident, key, gram))
-    gram, key, ident, tag, start, n = (x[order] for x in (gram, key, ident, tag, start, n))
+    gram, key, *own, start, n = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((start, *own[::-1], key, gram))
+    gram, key, *own, start, n = (x[order] for x in (gram, key, *own, start, n))
     new = np.ones(len(gram), bool)
     new[1:] = (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])
     begin = np.flatnonzero(new)
     size = np.diff(np.append(begin, len(gram)))
-    done = ident > np.repeat(ident[begin], size) if earlier else np.repeat(size > 1, size)
+    done = own[0] > np.repeat(own[0][begin], size) if earlier else np.repeat(size > 1, size)
     candidate = ~done if earlier else new
     many = np.repeat(size > 1, size)
     # Done runs that follow each other in a text leave as one row.
     at = np.flatnonzero(done)
-    at = at[np.lexsort((start[at], tag[at], ident[at]))]
-    i, t, a, e = ident[at], tag[at], start[at], (start + n)[at]
+    at = at[np.lexsort((start[at], *(x[at] for x in own[::-1])))]
+    mine, a, e = [x[at] for x in own], start[at], (start + n)[at]
     head = np.ones(len(at), bool)
-    head[1:] = (i[1:] != i[:-1]) | (t[1:] != t[:-1]) | (a[1:] != e[:-1])
+    head[1:] = a[1:] != e[:-1]
+    for x in mine:
+        head[1:] |= x[1:] != x[:-1]
     tail = np.append(head[1:], True) if len(at) else head
-    c, spread = np.flatnonzero(candidate), mix((i[head] ^ a[head]).astype(U)).view(np.int64)
-    parts = [
-        (gram.view(np.int64)[c], spread), (key.view(np.int64)[c], spread), (ident[c], i[head]), (tag[c], t[head]), (start[c], a[head]),
-        (n[c], e[tail] - a[head]), (many[c], np.ones(head.sum(), bool)), (np.zeros(len(c), bool), np.ones(head.sum(), bool)),
-    ]
-    kinds = [np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, bool, bool]
-    return pa.record_batch([pa.array(np.concatenate(x).astype(k)) for x, k in zip(parts, kinds)], ["gram", "key", "id", "tag", "start", "n", "many", "done"])
+    c, spread = np.flatnonzero(candidate), mix((mine[0][head] ^ a[head]).astype(U)).view(np.int64)
+    parts = {
+        "gram": (gram.view(np.int64)[c], spread), "key": (key.view(np.int64)[c], spread), **{k: (x[c], y[head]) for k, x, y in zip(names, own, mine)}, "start": (start[c], a[head]),
+        "n": (n[c], e[tail] - a[head]), "many": (many[c], np.ones(head.sum(), bool)), "done": (np.zeros(len(c), bool), np.ones(head.sum(), bool)),
+    }
+    kinds = {"long": np.int64, "int": np.int32, "boolean": bool}
+    return pa.record_batch([pa.array(np.concatenate(x).astype(kinds[KINDS[k]])) for k, x in parts.items()], list(parts))
 
 
 def group_runs(rows: DataFrame, plan: Plan, level: int, sets: Broadcast, earlier: bool) -> DataFrame:
-    """One pass of exact grouping: ``(id, tag, start, n, removed, gram)``.
+    """One pass of exact grouping: the key of ``rows``, ``start, n, removed, gram``.
 
     ``sets``: the open sets of the passes before, the anchors counted twice or more, and the hot ones.
     Runs of anchors that the sketch counts once have no equal and stay out. ``removed``: the windows of the
@@ -454,24 +464,26 @@ def group_runs(rows: DataFrame, plan: Plan, level: int, sets: Broadcast, earlier
     in the next pass. An anchor that the sketch counts as hot is dealt out by content and always goes on.
     """
 
+    names = names_of(rows)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         *above, counted = map(HashSet.unpacked, sets.value[:-1])
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[list[np.ndarray]] = []
         n = 0
         for batch in small_batches(batches, "text"):
-            ident, tag = batch.column("id").to_numpy(), batch.column("tag").to_numpy()
+            own = [batch.column(c).to_numpy() for c in names]
             for found in find_runs(plan, *texts(batch.column("text")), level, above):
                 at = np.flatnonzero(counted.has(found.gram))
                 if len(at):
                     d = found.doc[at]
-                    held.append((found.gram[at], found.key[at], ident[d], tag[d], found.start[at], found.count[at]))
+                    held.append([found.gram[at], found.key[at], *(x[d] for x in own), found.start[at], found.count[at]])
                     n += len(at)
                 if n >= ROWS:
-                    yield _settle(held, earlier)
+                    yield _settle(held, names, earlier)
                     held, n = [], 0
         if n:
-            yield _settle(held, earlier)
+            yield _settle(held, names, earlier)
 
     last = level == len(plan.grams) - 1
 
@@ -483,7 +495,8 @@ def group_runs(rows: DataFrame, plan: Plan, level: int, sets: Broadcast, earlier
             salt = np.where(hot.has(gram), place.astype(np.int32) + 1, 0).astype(np.int32)
             yield pa.record_batch([*batch.columns, pa.array(salt)], [*batch.schema.names, "salt"])
 
-    found = rows.mapInArrow(lambda batches: is_hot(task(batches)), FOUND + ", salt int").repartition("gram", "salt")
+    schema = ", ".join(f"{c} {KINDS[c]}" for c in ("gram", "key", *names, "start", "n", "many", "done")) + ", salt int"
+    found = rows.mapInArrow(lambda batches: is_hot(task(batches)), schema).repartition("gram", "salt")
     by_gram, by_run = Window.partitionBy("gram", "salt"), Window.partitionBy("gram", "salt", "key")
     if earlier:
         removed = F.col("done") | (F.col("id") > F.min("id").over(by_run))
@@ -492,11 +505,11 @@ def group_runs(rows: DataFrame, plan: Plan, level: int, sets: Broadcast, earlier
         removed = F.col("done") | (F.sum(F.when(F.col("many"), 2).otherwise(1)).over(by_run) >= 2)
         several = F.lit(True)
     if last:
-        return found.select("id", "tag", "start", "n", removed.alias("removed"), F.lit(None).cast("long").alias("gram")).filter("removed")
+        return found.select(*names, "start", "n", removed.alias("removed"), F.lit(None).cast("long").alias("gram")).filter("removed")
     mixed = ~F.col("done") & ((F.col("salt") > 0) | ((F.min("key").over(by_gram) != F.max("key").over(by_gram)) & several))
     # One row is enough to name a mixed anchor.
     first = F.row_number().over(by_gram.orderBy("key", "id")) == 1
-    return found.select("id", "tag", "start", "n", removed.alias("removed"), F.when(mixed & first, F.col("gram")).alias("gram")).filter("removed OR gram IS NOT NULL")
+    return found.select(*names, "start", "n", removed.alias("removed"), F.when(mixed & first, F.col("gram")).alias("gram")).filter("removed OR gram IS NOT NULL")
 
 
 def as_set(grams: DataFrame, bits: int) -> HashSet:
@@ -520,7 +533,7 @@ def sketch_bits(n: float, most: int) -> int:
 
 
 def repeated_spans(rows: DataFrame, plan: Plan, earlier: bool, sketch_rows: int, most_bits: int, hot: int = 4096) -> DataFrame:
-    """Windows that repeat, as ``(id, tag, start, n)``: ``n`` consecutive window starts from unit ``start``.
+    """Windows that repeat, as the key of ``rows`` and ``(start, n)``: ``n`` consecutive window starts from unit ``start``.
 
     Pass by pass the anchors get longer, up to the whole window. Each pass counts anchors in a sketch,
     groups the runs of those counted twice or more exactly, and leaves to the next only the windows of
@@ -538,16 +551,17 @@ def repeated_spans(rows: DataFrame, plan: Plan, earlier: bool, sketch_rows: int,
         sets = context.broadcast([*(x.packed() for x in (*open_sets, twice)), (hot_cells.cells, hot_cells.bits)])
         found = materialize(group_runs(rows, plan, level, sets, earlier), f"runs-{level}")
         sets.destroy()
-        spans = found.filter("removed").select("id", "tag", "start", "n")
+        spans = found.filter("removed").select(*names_of(rows), "start", "n")
         out = spans if out is None else out.unionByName(spans)
         if level + 1 < len(plan.grams):
             open_sets.append(as_set(found.filter("gram IS NOT NULL").select("gram"), min(26, bits)))
+        release(rows.sparkSession)  # shuffles of this pass
     return out
 
 
 def per_text(spans: DataFrame) -> DataFrame:
-    """All spans of a text in one row: ``(id, tag, spans)``; no more entries than the text has windows."""
-    return spans.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    """All spans of a text in one row: its key and ``spans``; no more entries than the text has windows."""
+    return spans.groupBy(*names_of(spans)).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
 def covered(spans: pa.Scalar | None, units: int, size: int) -> np.ndarray:
@@ -566,5 +580,5 @@ def rebuilt(docs: DataFrame, key: list[Column], spans: DataFrame, rebuild) -> Da
     names = rebuild.returnType.names
     kept = [c for c in docs.columns if c not in names]
     rows = docs.select(F.struct(*kept).alias("row"), *key)
-    joined = rows.join(spans.hint("shuffle_hash"), ["id", "tag"], "left")
+    joined = rows.join(spans.hint("shuffle_hash"), names_of(spans), "left")
     return joined.select("row", rebuild("text", "spans").alias("new")).select("row.*", "new.*")

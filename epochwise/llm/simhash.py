@@ -176,6 +176,22 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, shingle: int = 3) -> DataFrame:
+    """``id, tag, fp, root, component_id`` for every different row: its fingerprint and the component's, and the smallest id in it."""
+
+    @F.arrow_udf("long")
+    def fingerprint(text: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint_of(t.as_py(), shingle) for t in text], U).view(np.int64), pa.int64())
+
+    ident, tag, _ = runs.identified(docs, id_col, text_col)
+    prints = materialize(docs.select(F.col(id_col).alias("own"), ident, tag, fingerprint(text_col).alias("fp")), "prints")
+    nodes = prints.groupBy("fp").agg(F.min("own").alias("least"))
+    roots = components(links(nodes.select("fp"), threshold))
+    rooted = materialize(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.select("id", "tag", "fp").distinct().join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, shingle: int = 3) -> DataFrame:
     """``docs`` with ``fingerprint``, ``component_id`` and ``component_root``.
 
@@ -188,22 +204,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal fingerprints are one row before anything is compared, so exact copies cost nothing more.
     Rows that repeat an id are documents of their own. Input columns of the new names are replaced.
     """
-
-    @F.arrow_udf("long")
-    def fingerprint(text: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint_of(t.as_py(), shingle) for t in text], U).view(np.int64), pa.int64())
-
     kept = [c for c in docs.columns if c not in ("fingerprint", "component_id", "component_root")]
     ident, tag, _ = runs.identified(docs, id_col, text_col)
     rows = docs.select(F.struct(*kept).alias("row"), ident, tag)
-    prints = materialize(docs.select(F.col(id_col).alias("own"), ident, tag, fingerprint(text_col).alias("fp")), "prints")
-    nodes = prints.groupBy("fp").agg(F.min("own").alias("least"))
-    roots = components(links(nodes.select("fp"), threshold))
-    rooted = materialize(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "root", "component_id")
-    by_text = prints.select("id", "tag", "fp").distinct().join(classes, "fp")
-    new = by_text.select("id", "tag", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.lpad(F.lower(F.hex("root")), 16, "0").alias("component_root"))
+    found = classes(docs, id_col, text_col, threshold, shingle)
+    new = found.select("id", "tag", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.lpad(F.lower(F.hex("root")), 16, "0").alias("component_root"))
     return rows.join(new.hint("shuffle_hash"), ["id", "tag"], "left").select("row.*", "fingerprint", "component_id", "component_root")
 
 

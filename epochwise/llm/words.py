@@ -20,9 +20,15 @@ def split_lines(text: Column) -> Column:
     return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.split(text, "\n", -1))
 
 
+def content_tag(text_col: str) -> list[Column]:
+    """Two 64-bit hashes of a text; a null text differs from an empty one."""
+    return [F.xxhash64(F.col(text_col)), F.xxhash64(F.lit("second"), F.col(text_col))]
+
+
 def row_key(id_col: str, text_col: str) -> list[Column]:
-    """``(id, tag)``: null ids sort last; the tag tells rows apart that share an id but not the text."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.hash(text_col).alias("tag")]
+    """``(id, tag)``: null ids sort last; the tag, 128 bits of content, tells rows apart that share an id but not the text."""
+    first, second = content_tag(text_col)
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.struct(first.alias("a"), second.alias("b")).alias("tag")]
 
 
 def positions(n: Column) -> Column:

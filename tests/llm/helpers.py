@@ -42,6 +42,9 @@ def table(spark, rows):
 def edge_rows():
     rows = list(enumerate(texts()))
     rows += [rows[3], (None, texts()[6]), (None, None), (5, "another text under an id that is taken " * 3)]
+    # Two texts without id whose 32-bit hashes are equal, and a part of the second under an id.
+    part = " ".join(f"b{k}" for k in range(40))
+    rows += [(None, "only 351293 4a79608c5fca2f36ca5ccc257ee32752"), (None, part + " only 258860 00dacca56b3c036e2aa92de0a8803a40"), (990, part)]
     return rows
 
 

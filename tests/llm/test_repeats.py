@@ -64,7 +64,7 @@ def test_hot_anchors_take_the_same_way(spark):
     key = runs.keyed(docs, "doc_id", "text")
     plan = runs.Plan("word", 35, (8, 35))
     spans = [runs.per_text(runs.repeated_spans(docs.select(*key), plan, False, 2, 20, hot=h)) for h in (2, 4096)]
-    flat = [x.select("id", "tag", F.explode("spans").alias("s")).select("id", "tag", F.explode(F.expr("sequence(s.start, s.start + s.n - 1)"))).distinct() for x in spans]
+    flat = [x.select("id", "tag", "more", F.explode("spans").alias("s")).select("id", "tag", "more", F.explode(F.expr("sequence(s.start, s.start + s.n - 1)"))).distinct() for x in spans]
     assert counted(flat[0].collect()) == counted(flat[1].collect())
 
 

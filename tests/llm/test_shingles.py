@@ -67,5 +67,38 @@ def test_equality_counts(spark):
     assert kept_ids(spark, [(1, a), (2, b)]) == [1] and kept_ids(spark, [(5, a), (4, a.upper()), (6, c)]) == [4]
     x, y = np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)
     sets = spark.createDataFrame([(1, bytearray(x.tobytes())), (2, bytearray(y.tobytes()))], "node long, grams binary")
-    assert shingles._similar(spark.createDataFrame([(1, 2)], "a long, b long"), sets, 0.8).count() == 1
+    assert shingles._similar(spark.createDataFrame([(1, 2)], "a long, b long"), sets, 0.8).filter("same").count() == 1
     assert kept_ids(spark, []) == []
+
+
+def test_a_common_passage_proposes_nothing(spark):
+    """Documents with 200 words in common and 60 of their own (similarity 0.62): no growth with the square of their number."""
+    rng = random.Random(7)
+    common = passage(rng, 200)
+    for n in (200, 400):
+        rows = [(k, " ".join([*common, *(f"own{k}x{j}" for j in range(60))])) for k in range(n)]
+        counted = []
+        kept = shingles.one_of_each(table(spark, rows).repartition(3), counted=counted)
+        assert kept.count() == n and sum(counted) <= 2 * n, counted
+
+
+def test_pairs_compared_in_a_large_group_of_copies(spark):
+    rng = random.Random(11)
+    long = passage(rng, 150)
+    for n in (100, 200):
+        rows = [(k, " ".join([*long[: k % 140], f"new{k}", *long[k % 140 + 1 :]])) for k in range(n)]
+        counted = []
+        assert [r["doc_id"] for r in shingles.one_of_each(table(spark, rows), counted=counted).collect()] == [0]
+        assert sum(counted) <= 4 * n, counted
+
+
+def test_prefixes_share_a_key():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        a = set(rng.choice(200, n, replace=False).tolist())
+        b = set(list(a)[: int(rng.integers(0, n + 1))]) | set(rng.choice(200, int(rng.integers(0, 12)), replace=False).tolist())
+        if b and similarity(a, b) >= 0.8:
+            order = rng.permutation(200)
+            x, y = (sorted(v, key=lambda e: order[e])[: shingles.prefix_length(len(v), 0.8)] for v in (a, b))
+            assert set(x) & set(y)

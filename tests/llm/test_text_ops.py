@@ -102,6 +102,58 @@ def test_masks_reach_all_substitutions():
             assert any(all(o + p not in bad for p in m) for m in decontaminate.MASKS for o in range(n - m[-1])), (n, bad)
 
 
+def test_seeds_reach_every_length():
+    """Whatever substitutions are allowed in an item of 1 to 16 words, some seed of it stays whole."""
+    from itertools import combinations
+
+    for n in range(1, 17):
+        errors = n - math.ceil(0.8 * n - 1e-9)
+        blocks = decontaminate.blocks_of(n) if n <= decontaminate.SHORT else []
+        for bad in combinations(range(n), errors):
+            whole = any(all(o + p not in bad for p in m) for m in decontaminate.MASKS for o in range(n - m[-1]))
+            assert whole or any(not set(range(a, b)) & set(bad) for a, b in blocks), (n, bad)
+
+
+def test_short_items(spark):
+    rng = random.Random(12)
+    items = [(n, " ".join(f"it{n}w{k}" for k in range(n))) for n in range(1, 13)]
+    filler = passage(rng, 20)
+    rows = [(n, " ".join([*filler, *t.split(), *filler]).upper()) for n, t in items]
+    for n, t in items[4:]:  # one word replaced, at either end and inside
+        for p in (0, n // 2, n - 1):
+            rows.append((100 * n + p, " ".join([*filler, *(w if k != p else "other" for k, w in enumerate(t.split())), *filler])))
+    rows.append((9999, " ".join([*filler, "it4w0 it4w1 it4w2 other", *filler])))
+    got = decontaminate.find_leaks(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i if i < 100 else i // 100) for i, _ in rows if i != 9999}
+
+
+def test_leaks_by_row_not_by_id(spark):
+    rng = random.Random(13)
+    item = passage(rng, 20)
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    rows = [(1, " ".join(item)), (1, "clean"), (None, " ".join(item) + " more"), (None, "clean too"), (None, None)]
+    docs = table(spark, rows).withColumn("leaking", F.lit("theirs")).withColumn("item", F.lit("theirs"))
+    kept = decontaminate.drop_leaking(docs, items)
+    assert kept.columns == docs.columns
+    assert {(r["doc_id"], r["text"], r["leaking"]) for r in kept.collect()} == {(1, "clean", "theirs"), (None, "clean too", "theirs"), (None, None, "theirs")}
+
+
+def test_stages_keep_columns_and_rows(spark, tmp_path):
+    """Names that the operators give or use inside, repeated and null ids, a very long text."""
+    rng = random.Random(14)
+    names = ["score", "predicted", "held_out", "n_lines", "n_removed_lines", "kept_text", "row", "leaking", "item", "root", "node", "keys", "tag", "id", "h", "w"]
+    texts = [" ".join(passage(rng, 40)) for _ in range(12)] + [" ".join(passage(rng, 60_000))]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(3, " ".join(passage(rng, 30))), (None, " ".join(passage(rng, 30))), (None, " ".join(passage(rng, 30)))]
+    docs = spark.createDataFrame([(i, t, *[777] * len(names)) for i, t in rows], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    spark.createDataFrame([(k, 1, 0) for k in range(5)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(passage(rng, 20)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", *names], name
+        assert counted((r["doc_id"], r["text"]) for r in docs.collect()) == counted(rows), name
+        assert docs.filter(" OR ".join(f"`{n}` <> 777" for n in names)).isEmpty(), name
+
+
 def test_covering_code():
     np.seterr(over="ignore")
     cover = simhash.Cover(2)
