@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections import Counter
@@ -16,24 +17,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epochwise.llm.runs import worker_slot
+from epochwise.llm.words import content_tag
 
 FEATURES = T.StructType([T.StructField("bucket", T.ArrayType(T.IntegerType())), T.StructField("share", T.ArrayType(T.FloatType()))])
 
 
 @dataclass
 class Settings:
-    """Sizes and training. ``per_class`` and ``most_chars`` bound the sample that is fitted."""
+    """Sizes and training. ``per_class`` bounds the rows that are fitted; texts have any length."""
 
     buckets: int = 1 << 17
     width: int = 4
     shortest: int = 3
     longest: int = 5
-    per_class: int = 2048
-    most_chars: int = 50_000
-    least_docs: int = 5  # subwords of fewer documents of the sample are not learnt
-    chosen: int = 256  # subwords that the second round keeps
-    epochs: tuple[int, int] = (4, 15)
-    decay: tuple[float, float] = (1e-4, 1e-5)
+    per_class: int = 4096
+    least_docs: int = 5  # subwords of fewer documents of the sample are not tested
+    false_share: float = 0.01  # of the subwords that are learnt, so many may tell nothing
+    epochs: int = 15
+    decay: float = 1e-5
     batch: int = 64
     rate: float = 0.02
     gain: float = 100.0  # the mean over a whole text is small; its scale is fixed, not learnt
@@ -130,28 +131,38 @@ def _fit_once(bags: Bags, buckets: int, labels: np.ndarray, weights: np.ndarray,
     return slope.astype(np.float32), float(bias[1] - bias[0])
 
 
+def telling(bags: Bags, labels: np.ndarray, s: Settings) -> np.ndarray:
+    """Buckets whose odds of standing in a text differ between the labels, either way.
+
+    The difference of log odds is tested for every bucket of ``least_docs`` texts or more; of the tests those pass that keep the
+    expected share of false ones below ``false_share`` (Benjamini and Hochberg 1995), so their number follows the labels.
+    """
+    doc = np.repeat(np.arange(len(labels)), np.diff(bags.at))
+    n = [int((labels == y).sum()) for y in (0, 1)]
+    c = [np.bincount(bags.bucket[labels[doc] == y], minlength=s.buckets) + 0.5 for y in (0, 1)]
+    rest = [m + 1 - x for m, x in zip(n, c)]
+    z = np.abs(np.log(c[1] / rest[1]) - np.log(c[0] / rest[0])) / np.sqrt(sum(1 / x for x in (*c, *rest)))
+    tested = np.flatnonzero(c[0] + c[1] - 1 >= s.least_docs)
+    p = np.array([math.erfc(v / math.sqrt(2)) for v in z[tested].tolist()])
+    order = np.sort(p)
+    passing = np.flatnonzero(order <= s.false_share * np.arange(1, len(p) + 1) / max(len(p), 1))
+    return tested[p <= order[passing[-1]]] if len(passing) else tested[:0]
+
+
 def fit(bags: Bags, labels: np.ndarray, weights: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
-    """Two joint rounds: over all subwords of enough documents, then over those that speak most for label 1.
+    """Joint training over the :func:`telling` subwords; others would be learnt by heart.
 
-    The first round alone learns by heart what happens to stand in few toxic texts; the second starts anew
-    on the ``chosen`` subwords. Returns a slope for each bucket (zero if it takes no part), and the bias.
+    Returns a slope for each bucket (zero if it takes no part), and the bias.
     """
+    kept = telling(bags, labels, s)
     slope = np.zeros(s.buckets, np.float32)
-    docs = np.bincount(bags.bucket, minlength=s.buckets)
-    taking, bias = np.flatnonzero(docs >= s.least_docs), 0.0
-    inside, wide = taking, s.buckets
-    for epochs, decay in zip(s.epochs, s.decay):
-        bags = bags.only(inside, wide)
-        found, bias = _fit_once(bags, max(1, len(taking)), labels, weights, epochs, decay, s)
-        slope[:] = 0
-        slope[taking] = found[: len(taking)]
-        inside, wide = np.sort(np.argsort(-found[: len(taking)], kind="stable")[: s.chosen]), max(1, len(taking))
-        taking = taking[inside]
+    found, bias = _fit_once(bags.only(kept, s.buckets), max(1, len(kept)), labels, weights, s.epochs, s.decay, s)
+    slope[kept] = found[: len(kept)]
     return slope, bias
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", settings: Settings | None = None) -> tuple[np.ndarray, float]:
-    """Fit on a bounded sample of the labelled documents: ``per_class`` of each class, by a hash of the id.
+    """Fit on a bounded sample of the labelled documents: ``per_class`` ids of each class, by a hash of the id, and one text of each.
 
     Classes are weighted by their counts over all of ``labels``, so scores keep the true proportion. Labels
     that are neither 0 nor 1 are left out; an id with several labels counts as 1 if any is 1. With labels of
@@ -175,9 +186,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         lists = [pa.ListArray.from_arrays(ends, x.cast(kind)) for x, kind in zip(flat, (pa.int32(), pa.float32()))]
         return pa.StructArray.from_arrays(lists, ["bucket", "share"])
 
-    # At most 2 * per_class rows.
-    chosen = docs.filter(F.coalesce(F.length(text_col), F.lit(0)) <= s.most_chars).select(F.col(id_col).alias("own"), text_col).join(F.broadcast(sample), "own")
-    rows = chosen.select("own", "y", of_text(text_col).alias("x")).select("own", "y", "x.bucket", "x.share")
+    # An id may have many rows, some of them equal: of its texts the one with the least hash is taken, once.
+    own = docs.select(F.col(id_col).alias("own"), F.struct(*content_tag(text_col)).alias("tag"), F.col(text_col).cast("string").alias("text"))
+    one_text = own.select("own", "tag").join(F.broadcast(sample), "own").groupBy("own").agg(F.min("tag").alias("tag"), F.max("y").alias("y"))
+    chosen = own.join(F.broadcast(one_text), ["own", "tag"])  # 2 * per_class rows at most are broadcast
+    rows = chosen.select("own", "y", of_text("text").alias("x")).select("own", "y", "x.bucket", "x.share").dropDuplicates(["own"])
 
     def fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)

@@ -213,7 +213,7 @@ def test_toxicity(spark):
         labels.append((k, int(bad)))
     rows += [(1000, ""), (1001, None), (1002, "badwordqq " * 3), (None, "calm")]
     own = spark.createDataFrame([*labels, (5, None), (None, 1), (7, 0)], "doc_id long, toxic int")
-    small = toxicity.Settings(per_class=150, least_docs=3, chosen=64)
+    small = toxicity.Settings(per_class=150, least_docs=3)
     got = {r["doc_id"]: r for r in toxicity.classify(table(spark, rows), own, settings=small).select("doc_id", "held_out", "score", "predicted").collect()}
     assert all(r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
     held = [(got[k]["predicted"], y) for k, y in labels if got[k]["held_out"]]
@@ -225,6 +225,44 @@ def test_toxicity(spark):
     assert toxicity.classify(table(spark, []), own.limit(0), settings=small).count() == 0
 
 
+def test_many_toxic_words_and_calm_ones(spark):
+    """A thousand toxic stems, none of them frequent, share n-grams with misspellings; some words speak for the other label."""
+    rng = random.Random(21)
+    stems = ["vile" + "".join(rng.choice("aeiou") + rng.choice("bdfgk") for _ in range(2)) for _ in range(1000)]
+    rows, labels = [], []
+    for k in range(1200):
+        bad = k % 3 == 0
+        w = passage(rng, rng.randrange(20, 60))
+        for _ in range(3):
+            w[rng.randrange(len(w))] = rng.choice(stems) if bad else "gentle" + rng.choice("xyz")
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(bad)))
+    rows += [(5000, " ".join(passage(rng, 60) + [rng.choice(stems) + "qq" for _ in range(4)])), (5001, " ".join(passage(rng, 150_000))), (5002, "gentlex gentley " * 10)]
+    rows += [rows[0]] * 30 + [(3, "another text of a labelled id " + rows[3][1])] * 5
+    docs = table(spark, rows).withColumn("score", F.lit("theirs")).withColumn("y", F.lit("theirs"))
+    own = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.classify(docs, own).select("doc_id", "score", "predicted", "held_out").collect()
+    assert len(got) == len(rows)
+    truth = dict(labels)
+    held = [(r["predicted"], truth[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in truth]
+    assert sum(p == y for p, y in held) >= 0.97 * len(held)
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[5000]["predicted"] == 1 and by_id[5002]["predicted"] == 0
+    none = toxicity.classify(docs, own.limit(0)).select("predicted").distinct().collect()
+    assert [r[0] for r in none] == [0]
+
+
+def test_telling_subwords_follow_the_labels():
+    s = toxicity.Settings(buckets=1 << 10)
+    rng = np.random.default_rng(0)
+    labels = np.repeat([0, 1], 300)
+    texts = [np.unique(np.concatenate((rng.integers(0, 900, 40), [901] if y else [902], [903]))) for y in labels]
+    bags = toxicity.Bags(np.concatenate(([0], np.cumsum([len(t) for t in texts]))), np.concatenate(texts), np.ones(sum(map(len, texts)), np.float32))
+    kept = toxicity.telling(bags, labels, s)
+    assert {901, 902} <= set(kept.tolist()) and 903 not in kept and len(kept) <= 6
+    assert len(toxicity.telling(bags, rng.permutation(labels), s)) <= 2
+
+
 def test_best_fit():
     rng = random.Random(1)
     sizes = (64, 128, 256)
