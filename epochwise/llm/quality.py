@@ -57,7 +57,7 @@ def gram_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     return every.select("gram", (share["target"] - share["raw"]).alias("weight"))
 
 
-def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = -0.12) -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = None, trusted_share: float = 0.005) -> DataFrame:
     """Base counts, likelihood ratio and verdict per document.
 
     Columns: ``id_col``, ``n_words``, ``word_chars`` (code points in words), ``n_symbols`` (``#*$%&|<>``), ``n_dup_lines`` (lines with a
@@ -65,10 +65,12 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
 
     ``llr`` is the mean over a text's hashed words and word pairs of ``gram_weights``. A document is kept if it
     does not fail the base rules (fewer than 10 words, or over 20 % of words in repeated windows of 5) and
-    ``llr >= threshold``; nothing is drawn at random. A text without words has no ratio and fails the base rules.
+    ``llr >= threshold``; nothing is drawn at random. Unless it is given, the threshold is the ``trusted_share`` quantile of the
+    ratios of trusted documents that do not fail the base rules, so it moves with the corpus and the weights. A text without
+    words has no ratio and fails the base rules.
 
     Null text: no words, no lines. Null ids stay null and are never trusted. Rows that are equal in id and text
-    give one row. Without trusted ids all ratios compare the corpus with a flat distribution.
+    give one row. Without trusted ids all ratios compare the corpus with a flat distribution, and only a given threshold drops by them.
     """
     weights = gram_weights(docs, trusted, id_col, text_col)
     has_word = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
@@ -86,4 +88,12 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
         F.max("own").alias(id_col), *(F.max(c).alias(c) for c in BASE), F.avg("weight").alias("llr")
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return scored.select(id_col, *BASE, failed.alias("base_failed"), "llr", (~failed & F.coalesce(F.col("llr") >= threshold, F.lit(False))).alias("kept"))
+    rated = scored.select(id_col, *BASE, failed.alias("base_failed"), "llr")
+    if threshold is None:
+        rated = materialize(rated, "rated")  # read twice
+        known = rated.filter("NOT base_failed").join(trusted.select(F.col(id_col).alias("good")).distinct(), F.col(id_col) == F.col("good"), "left_semi")
+        cut = known.agg(F.percentile_approx("llr", trusted_share, 100_000)).scalar()
+        passes = cut.isNull() | (F.col("llr") >= cut)
+    else:
+        passes = F.col("llr") >= threshold
+    return rated.select("*", (~F.col("base_failed") & F.coalesce(passes, F.lit(False))).alias("kept"))

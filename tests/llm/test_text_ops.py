@@ -70,6 +70,20 @@ def test_quality(spark):
     assert quality.judge(table(spark, []), good).count() == 0
 
 
+def test_quality_cut_follows_the_trusted(spark):
+    rng = random.Random(3)
+    rows = [(k, " ".join(passage(rng, 60))) for k in range(200)] + [(1000 + k, " ".join(rng.choice("qwxz") + str(rng.randrange(9)) for _ in range(60))) for k in range(50)]
+    good = spark.createDataFrame([(k,) for k in range(100)], "doc_id long")
+    for share in (0.02, 0.3):
+        got = quality.judge(table(spark, rows), good, trusted_share=share).collect()
+        known = sorted(r["llr"] for r in got if r["doc_id"] < 100 and not r["base_failed"])
+        cut = known[math.ceil(share * len(known)) - 1]
+        assert all(r["kept"] == (not r["base_failed"] and r["llr"] >= cut) for r in got)
+        assert not any(r["kept"] for r in got if r["doc_id"] >= 1000)
+    none = quality.judge(table(spark, rows), good.limit(0)).collect()
+    assert all(r["kept"] == (not r["base_failed"]) for r in none)
+
+
 def test_leaks(spark):
     rng = random.Random(4)
     items = [(k, " ".join(passage(rng, n))) for k, n in enumerate((15, 16, 20, 45, 9))] + [(7, None), (8, ""), (None, " ".join(passage(rng, 30)))]
