@@ -92,6 +92,17 @@ def test_pairs_compared_in_a_large_group_of_copies(spark):
         assert sum(counted) <= 4 * n, counted
 
 
+def test_parity_bits_never_exclude_a_pair():
+    rng = np.random.default_rng(3)
+    for n in (3, 40, 900, 5000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for k in (0, 1, n // 9, n // 3):
+            b = np.concatenate((a[k:], rng.integers(0, 1 << 63, k, dtype=np.uint64)))
+            x, y = (shingles.parity_of(np.unique(v)).view(np.uint64) for v in (a, b))
+            differ = sum(int(p ^ q).bit_count() for p, q in zip(x, y))
+            assert differ <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 def test_prefixes_share_a_key():
     rng = np.random.default_rng(2)
     for _ in range(300):
