@@ -308,7 +308,7 @@ def cells_of(hashes: np.ndarray, rows: int, bits: int) -> list[np.ndarray]:
 SKETCH = "block int, cell binary, n binary"
 
 
-def sketch_batches(hashes: Iterator[np.ndarray], rows: int, bits: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def sketch_batches(hashes: Iterator[np.ndarray], rows: int, bits: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The sketch of one task, as its cells that are not zero: rows ``(block, cells, counts)``.
 
     Counts are summed for every ``most`` hashes, so a task's memory does not grow with its input.
