@@ -16,6 +16,7 @@ from epochwise.plans import margins
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
+whole_job = pytest.mark.skipif(not os.environ.get("EPOCHWISE_ALL"), reason="hundreds of models: set EPOCHWISE_ALL=1")
 N = LE.NAMES
 
 
@@ -89,6 +90,7 @@ def test_stored_model(spark):
     check_predictions(frame(spark, "b6_stored_model"), test, test[N].to_numpy() @ w[:-1] + w[-1])
 
 
+@whole_job
 def test_fold_evaluation_and_sweep(spark):
     folds = LE.folds(spark, SF).toPandas()
     three = frame(spark, "m3_fold_evaluation")
@@ -107,6 +109,7 @@ def test_fold_evaluation_and_sweep(spark):
             assert row.true_1_pred_1 == (called & (test.label == 1)).sum()
 
 
+@whole_job
 def test_parameter_grid(spark):
     got = frame(spark, "m2_parameter_grid")
     assert len(got) == 21 and (got.kernel_error[got.kernel == "linear"] == 0).all() and (got.score.diff().dropna() <= 0).all()
@@ -153,6 +156,7 @@ def test_confidence_region(spark):
     assert d[~inside].min() > 0.6 * d[inside].max()
 
 
+@whole_job
 def test_sampling_experiment(spark):
     got = frame(spark, "l8_sampling_experiment")
     assert len(got) == 2 * 12 * 50 and set(got.kind) == {"normalise", "train"}
@@ -162,6 +166,7 @@ def test_sampling_experiment(spark):
     assert whole.accuracy.nunique() == 1
 
 
+@whole_job
 def test_staged_run(spark):
     got = frame(spark, "n1_staged_run")
     assert set(got.variable) == {"case_id"} and (got.incorrect_predictions_label <= got.total_samples_label).all()
