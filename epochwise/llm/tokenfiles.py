@@ -27,6 +27,19 @@ PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ.,]+")
 PLAIN_PARTS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,]+")
 
 
+SPACE = re.compile(rb"\s")
+
+
+def stretches(raw: bytes, most: int = 1 << 18) -> Iterator[bytes]:
+    """A text in parts of about ``most`` bytes that end before white space, so that the pieces of a long one never are a list together."""
+    a = 0
+    while a < len(raw):
+        found = SPACE.search(raw, a + most)
+        b = found.start() if found else len(raw)
+        yield raw[a:b]
+        a = b
+
+
 class Parts(dict):
     """Ids of runs of plain letters or marks, by the tokenizer's model alone."""
 
@@ -191,7 +204,7 @@ def write_tokens(
                 texts, own = batch.column("text").to_pylist(), batch.column("own").to_pylist()
                 for text, i in zip(texts, own):
                     if by_piece:
-                        data = b"".join(map(pieces.__getitem__, text.encode().split())) + end
+                        data = b"".join(b"".join(map(pieces.__getitem__, part.split())) for part in stretches(text.encode())) + end
                     else:
                         data = np.array(pieces.tokenizer.encode(text, add_special_tokens=False).ids, dtype).tobytes() + end
                     n = len(data) // dtype.itemsize

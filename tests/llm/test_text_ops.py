@@ -344,6 +344,15 @@ def test_token_files(spark, tmp_path):
     assert tokenfiles.read_documents(spark, tokenfiles.write_tokens(table(spark, []), f"{folder}-none", VOCABULARY)).count() == 0
 
 
+def test_stretches_keep_every_piece():
+    rng = random.Random(1)
+    for n in (0, 1, 5, 50, 3000):
+        raw = bytes(rng.choice(b"ab  \n\t\x0b\x0c\r\xc3") for _ in range(n))
+        for most in (1, 2, 7, 100):
+            parts = list(tokenfiles.stretches(raw, most))
+            assert b"".join(parts) == raw and [p for s in parts for p in s.split()] == raw.split()
+
+
 def test_archives_and_audit(spark, tmp_path):
     pages = [(k, f"http://h{k % 3}/{k}", f"<p>page {k}</p>\r\n\r\n" * (k % 5)) for k in range(300)] + [(7, "http://h1/7", None), (None, None, None), (3, "http://h0/3", "<p>page 3</p>\r\n\r\n" * 3)]
     table_ = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("x"))
