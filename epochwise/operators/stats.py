@@ -61,41 +61,66 @@ def equal_sized_sets(epochs: DataFrame, by: Sequence[str], keys: Sequence[str],
     return take_random(once.join(sizes, list(by)), [*by, "label"], seed, list(keys), F.col("_k")).drop("_k")
 
 
-LEAF = 64  # positions whose draws are told apart one by one
+LEAF = 256  # positions whose draws are told apart one by one: a random byte is a position
 
 
 def draws_between(n: int, cuts: np.ndarray, replicates: int, seed: int, salt: int) -> np.ndarray:
     """How often each replicate of ``n`` draws from positions ``0 .. n - 1`` hits each stretch ``cuts[i]`` to ``cuts[i + 1]``.
 
-    All positions halve down a tree; at a node the draws of every replicate are split between the halves by a
-    binomial, seeded by the node. So a replicate has ``n`` draws exactly, and stretches drawn in different tasks, however
+    All positions halve down a tree, at multiples of ``LEAF``; at a node the draws of every replicate are split between the halves
+    by a binomial, seeded by the node. So a replicate has ``n`` draws exactly, and stretches drawn in different tasks, however
     the positions are dealt to them, belong to one and the same multinomial draw. Only nodes that a cut goes through are split.
     """
-    out = np.zeros((len(cuts) - 1, replicates))
+    edges, place = np.unique(cuts, return_inverse=True)
+    if len(edges) < len(cuts):  # stretches without positions are not drawn
+        drawn = draws_between(n, edges, replicates, seed, salt) if len(edges) > 1 else np.zeros((1, replicates))
+        return np.where(np.diff(cuts)[:, None] > 0, drawn[np.minimum(place[:-1], len(drawn) - 1)], 0)
+    out = np.zeros((replicates, len(cuts) - 1))
     key = [seed % (1 << 64), salt]
 
-    def node(a: int, b: int, drawn: np.ndarray) -> None:
+    # A list and no recursion: a function that names itself is a cycle, which would keep every call's arrays until Python looks for cycles.
+    nodes = [(0, n, np.full(replicates, n))] if n else []
+    while nodes:
+        a, b, drawn = nodes.pop()
         low, high = np.searchsorted(cuts, a, "right"), np.searchsorted(cuts, b, "left")
         if low == high:  # no cut inside: all draws are of one stretch
             if 0 < low < len(cuts):
-                out[low - 1] += drawn
-            return
-        rng = np.random.Generator(np.random.Philox(counter=[0, 0, a, b], key=key))
-        if b - a <= LEAF:
-            replicate = np.repeat(np.arange(replicates), drawn)
-            at = np.searchsorted(cuts, a + rng.integers(0, b - a, len(replicate)), "right") - low  # 0 is the stretch before the first cut inside
-            hits = np.bincount(at * replicates + replicate, minlength=(high - low + 1) * replicates).reshape(-1, replicates)
-            first, last = max(low - 1, 0), min(high, len(cuts) - 1)
-            out[first:last] += hits[first - low + 1 : last - low + 1]
-            return
-        middle = (a + b) // 2
-        left = rng.binomial(drawn, (middle - a) / (b - a))
-        node(a, middle, left)
-        node(middle, b, drawn - left)
-
-    if n:
-        node(0, n, np.full(replicates, n))
-    return out
+                out[:, low - 1] += drawn
+            continue
+        rng = np.random.Generator(np.random.SFC64(np.random.SeedSequence([*key, a, b])))
+        if b - a > LEAF:
+            middle = a + -(-(b - a) // (2 * LEAF)) * LEAF
+            left = rng.binomial(drawn, (middle - a) / (b - a))
+            nodes += [(middle, b, drawn - left), (a, middle, left)]
+            continue
+        width, first, last = high - low + 1, max(low - 1, 0), min(high, len(cuts) - 1)
+        ends = np.concatenate(([0], np.cumsum(drawn)))
+        bits = rng.bit_generator.random_raw(-(-int(ends[-1]) // 8)).tobytes() if b - a == LEAF else rng.integers(0, b - a, ends[-1], np.uint8).tobytes()
+        stretch = np.searchsorted(cuts, a + np.arange(LEAF), "right") - low  # 0 is the stretch before the first cut inside
+        hit = np.frombuffer(bits.translate(np.minimum(stretch, high - low).astype(np.uint8).tobytes()), np.uint8)
+        for at in range(0, replicates, 512):  # what is counted at once stays in the cache
+            some = drawn[at:at + 512]
+            where = np.repeat(np.arange(len(some)) * width, some)
+            where += hit[ends[at]:ends[at + len(some)]]
+            out[at:at + len(some), first:last] += np.bincount(where, minlength=width * len(some)).reshape(-1, width)[:, first - low + 1 : last - low + 1]
+    return out.T
+
+
+def win_stretches(n1: np.ndarray, n0: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of both sets by stretches of ascending values, and how much of a stretch's own second set does not lie below its first set.
+
+    In a stretch all values of the second set come before those of the first (0), or it is one value that both sets have (a half). Which
+    value of a stretch a draw hits makes no difference to the wins.
+    """
+    tied = (n1 > 0) & (n0 > 0)
+    opens = tied.copy()
+    opens[1:] |= tied[:-1] | ((n0[1:] > 0) & (n1[:-1] > 0))
+    opens[:1] = True
+    at = np.flatnonzero(opens)
+    return np.add.reduceat(n1, at), np.add.reduceat(n0, at), 0.5 * tied[at]
+
+
+RANGES = 1024  # value ranges in all, each with three numbers a replicate; a group has one at least
 
 
 def auroc_bootstrap(
@@ -104,14 +129,16 @@ def auroc_bootstrap(
     """AUROC (first set above second, ties half) per group with a percentile bootstrap interval.
 
     Every replicate draws as many rows from each set as the set has, with replacement (:func:`draws_between`); equal
-    values are counted before any exchange. Value ranges of bounded size are worked off on their own, for all
-    replicates at once. Neighbouring ranges are then chained, level by level with a bounded number of ranges per step.
+    values are counted before any exchange. Value ranges of at least ``rows_per_chunk`` rows, about ``RANGES`` at most, are worked off
+    on their own, a slab of values for all replicates at once. Neighbouring ranges are then chained, level by level with a bounded number
+    of ranges per step; what is chained grows with replicates, not with rows.
     """
     by = list(by)
     counted = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(
         F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0")
     )
-    chunked, levels = bounded_chunks(materialize(counted, "values"), by, "v", rows_per_chunk)
+    counted = materialize(counted, "values")
+    chunked, levels = bounded_chunks(counted, by, "v", max(rows_per_chunk, -(-counted.count() // RANGES)))
     # One row a range: how many rows of each set lie in lower ranges, and in all.
     sizes = chunked.groupBy(*by, *levels).agg(F.sum("n1").alias("_s1"), F.sum("n0").alias("_s0"))
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
@@ -126,20 +153,22 @@ def auroc_bootstrap(
     def one_range(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         # Column 0 holds the data as observed, the others the replicates.
         p, n, u = (np.zeros(replicates + 1) for _ in range(3))
+        head = pdf.iloc[0]
         pdf = pdf.sort_values("v")
+        n1, n0, own = win_stretches(pdf["n1"].to_numpy(), pdf["n0"].to_numpy())
+        p[0], n[0], u[0] = n1.sum(), n0.sum(), (n1 * (np.cumsum(n0) - own * n0)).sum()
+        cuts = {k: int(head[f"_off{k}"]) + np.concatenate(([0], np.cumsum(x))) for k, x in ((1, n1), (0, n0))}
         slab = max(1, 4_000_000 // replicates)
-        head = pdf.iloc[0]
-        starts = {k: int(head[f"_off{k}"]) + np.concatenate(([0], np.cumsum(pdf[f"n{k}"].to_numpy()))) for k in (1, 0)}
-        for at in range(0, len(pdf), slab):
-            rows = pdf.iloc[at:at + slab]
-            w1, w0 = (
-                np.hstack((rows[f"n{k}"].to_numpy(float)[:, None], draws_between(int(head[f"_all{k}"]), starts[k][at:at + len(rows) + 1], replicates, int(head["_seed"]), k)))
-                for k in (1, 0)
-            )
-            below = n + np.cumsum(w0, axis=0) - w0
-            u += (w1 * (below + 0.5 * w0)).sum(axis=0)
-            p += w1.sum(axis=0)
-            n += w0.sum(axis=0)
+        for at in range(0, len(own), slab):
+            part = own[at:at + slab]
+            w1, w0 = (draws_between(int(head[f"_all{k}"]), cuts[k][at:at + len(part) + 1], replicates, int(head["_seed"]), k).T for k in (1, 0))
+            below = np.cumsum(w0, axis=1)
+            won, lost = w1.sum(axis=1), below[:, -1].copy()
+            w0 *= part
+            below -= w0
+            u[1:] += np.einsum("rs,rs->r", w1, below) + won * n[1:]
+            p[1:] += won
+            n[1:] += lost
         return pd.DataFrame([{**dict(zip([*by, *levels], key)), "p": p, "n": n, "u": u}])
 
     def chained(pdf: pd.DataFrame, level: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

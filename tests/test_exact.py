@@ -120,3 +120,45 @@ def test_clusters_of_subsets_equal_separate_runs(spark):
             near.setdefault(members[name, r[0]], []).append(r[2:])
         for c, p in near.items():
             assert np.mean(p, 0) == pytest.approx(got[name, c], abs=1e-3)
+
+
+def test_wins_by_stretches_equal_wins_by_values():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 50):
+        n1, n0 = rng.integers(0, 3, n), rng.integers(0, 3, n)
+        n1[0] += n1[0] + n0[0] == 0
+        s1, s0, own = ST.win_stretches(n1, n0)
+        assert (s1 * (np.cumsum(s0) - own * s0)).sum() == (n1 * (np.cumsum(n0) - 0.5 * n0)).sum()
+        assert s1.sum() == n1.sum() and s0.sum() == n0.sum()
+    # All of the second set below all of the first is one stretch.
+    assert [x.tolist() for x in ST.win_stretches(np.array([0, 0, 2, 1]), np.array([1, 4, 0, 0]))] == [[3], [5], [0.0]]
+
+
+def test_bootstrap_chains_a_bounded_number_of_ranges(spark, monkeypatch):
+    """Not one row of 3 numbers a replicate for every few values: 1,000 of them failed by time and by memory at 1 GB."""
+    seen = []
+    bounded = ST.bounded_chunks
+    monkeypatch.setattr(ST, "bounded_chunks", lambda df, by, v, rows: seen.append(rows) or bounded(df, by, v, rows))
+    monkeypatch.setattr(ST, "RANGES", 8)
+    df = spark.range(4000).selectExpr("id % 2 AS g", "cast(id div 2 % 2 as int) AS label", "cast(hash(id) as double) AS v")
+    many = {r["g"]: r for r in ST.auroc_bootstrap(df, ["g"], "v", 100, rows_per_chunk=20).collect()}
+    monkeypatch.setattr(ST, "RANGES", 1)
+    one = {r["g"]: r for r in ST.auroc_bootstrap(df, ["g"], "v", 100, rows_per_chunk=20).collect()}
+    assert seen == [500, 4000] and many == one
+
+
+def test_draws_leave_no_memory_behind():
+    """Without the collector of cycles: their arrays added up to 3 GB a worker."""
+    import gc
+    import tracemalloc
+
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        for _ in range(5):
+            ST.draws_between(1000, np.arange(0, 1001, 10), 2000, 5, 1)
+        assert tracemalloc.get_traced_memory()[0] < 1_000_000
+    finally:
+        tracemalloc.stop()
+        gc.enable()
