@@ -8,7 +8,8 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,15 +184,16 @@ def sampling_experiment(
 def pca(df: DataFrame, features: Sequence[str], k: int = 2) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """M4: scores ``pc1..pck`` of the standardised features, loadings (features by k) and variance ratios.
 
-    The sign of a component is chosen so that its largest loading is positive.
+    The sign of a component is chosen so that its largest loading is positive. Components are those of the correlations, whose
+    diagonal is exactly 1: where columns hardly correlate, the last digits of a variance would turn the components.
     """
     z = zscore_columns(df.withColumns({f"_z_{c}": F.col(c).cast("double") for c in features}), [f"_z_{c}" for c in features])
     v = VectorAssembler(inputCols=[f"_z_{c}" for c in features], outputCol="_v").transform(z)
-    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(v)
-    load = model.pc.toArray()
+    values, vectors = np.linalg.eigh(Correlation.corr(v, "_v").first()[0].toArray())
+    load, ratio = vectors[:, ::-1][:, :k], values[::-1][:k] / values.sum()
     load = load * np.sign(load[np.abs(load).argmax(axis=0), np.arange(k)])
     scores = [sum((F.col(f"_z_{c}") * float(load[i, j]) for i, c in enumerate(features)), F.lit(0.0)).alias(f"pc{j + 1}") for j in range(k)]
-    return z.select(*df.columns, *scores), load, model.explainedVariance.toArray()
+    return z.select(*df.columns, *scores), load, ratio
 
 
 def feature_contributions(spark, features: Sequence[str], loadings: np.ndarray, component: int = 0, n: int = 10, decimals: int = 2) -> DataFrame:

@@ -162,3 +162,13 @@ def test_draws_leave_no_memory_behind():
     finally:
         tracemalloc.stop()
         gc.enable()
+
+
+def test_components_of_hardly_correlated_columns_stay_in_place(spark):
+    """A covariance whose diagonal is 1 only to the last digits turns them, here by more than 1e-9."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 2)) * [1, 1e4] + [25, 5e4]
+    x[:, 1] -= (x[:, 1] - x[:, 1].mean()) @ (x[:, 0] - x[:, 0].mean()) / ((x[:, 0] - x[:, 0].mean()) ** 2).sum() * (x[:, 0] - x[:, 0].mean())
+    x[:, 1] += 1e-5 * 1e4 * (x[:, 0] - x[:, 0].mean())
+    _, load, ratio = M.pca(spark.createDataFrame([(float(a), float(b)) for a, b in x], "a double, b double"), ["a", "b"], 2)
+    assert np.abs(load) == pytest.approx(np.full((2, 2), 0.5**0.5), abs=1e-15) and ratio.sum() == pytest.approx(1)
