@@ -18,7 +18,7 @@ from epochwise.functions.features import FEATURES
 from epochwise.plans.staged import staged_run
 from epochwise.sources import readers as A
 from epochwise.sources import writers as B
-from epochwise.session import load, materialize, new_path
+from epochwise.session import load, materialize, new_path, spread
 
 FOLDER = r"case_id=(\d+)/"
 K = 'case_id, start, "end"'
@@ -113,7 +113,8 @@ def spectra_files(s, d):
     path = new_path(s, "spectra_csv")
     name = F.concat_ws("_", F.lit("PSD"), "start", "end", "case_id").alias("_f")
     sp = G.long_spectra(SG.spectra(s, d)).select(F.col("freq_hz").alias("Frequency_Hz"), F.col("psd").alias("PSD_V2_per_Hz"), name)
-    sp.write.partitionBy("_f").csv(path, header=True)
+    # A folder an epoch costs far more than its bytes: dealt to all tasks, one file each.
+    spread(sp, "_f").write.partitionBy("_f").csv(path, header=True)
     return _r(A.read_spectra(s, path), "psd", n=8)
 
 

@@ -11,6 +11,7 @@ from epochwise.operators.keyed import check_same_columns
 from epochwise.operators.ordered import scan
 from epochwise.operators.tracks import HOUR, interpolate_hold_ends, nan_to_null, number_rows, with_time_chunk
 from epochwise.params import EpisodeParams
+from epochwise.session import materialize
 
 CASE_FILE = r"(\d+)\.csv$"
 TRACK_SCHEMA = "Time double, BIS_BIS double, BIS_SR double, Primus_MAC double"
@@ -20,6 +21,23 @@ COHORT_SCHEMA = (
 )
 
 
+OPEN_COST = 64 << 10  # bytes that opening a file counts for when files are dealt to tasks
+
+
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of many small files, read once and stored as one table.
+
+    Spark counts 4 MB for a file, so a task would get a few files of a kilobyte, and every later pass would open them all again.
+    """
+    spark, key = rows.sparkSession, "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(OPEN_COST))
+    try:
+        return materialize(rows, name)
+    finally:
+        spark.conf.set(key, before)
+
+
 def _case_id(pattern: str) -> Column:
     """Case id from the file path; null for files that are not named after a case."""
     return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).try_cast("long")
@@ -31,7 +49,7 @@ def read_tracks(spark: SparkSession, path: str, pattern: str = CASE_FILE, schema
     raw = spark.read.csv(path, schema=schema, header=True, enforceSchema=False).select(
         _case_id(pattern).alias("case_id"), *[F.col(c).alias(n) for c, n in zip(names, ("time", "bis", "bis_sr", "mac"))]
     )
-    clean = with_time_chunk(nan_to_null(raw.filter("case_id is not null"), "bis", "bis_sr", "mac"), chunk_seconds)
+    clean = with_time_chunk(nan_to_null(_stored(raw.filter("case_id is not null"), "track-rows"), "bis", "bis_sr", "mac"), chunk_seconds)
     return number_rows(clean, ["time"]).select("case_id", "row_idx", "time", "bis", "bis_sr", "mac", "chunk")
 
 
@@ -60,7 +78,7 @@ def read_waveform_csv(
     raw = spark.read.csv(path, schema=schema, header=True, enforceSchema=False).select(
         _case_id(pattern).alias("case_id"), F.col(f"`{columns[0]}`").alias("ch1"), F.col(f"`{columns[1]}`").alias("ch2"), *_position()
     )
-    numbered = _number_lines(nan_to_null(raw.filter("case_id is not null"), "ch1", "ch2"))
+    numbered = materialize(_number_lines(nan_to_null(_stored(raw.filter("case_id is not null"), "wave-rows"), "ch1", "ch2")), "wave-lines")
     filled = interpolate_hold_ends(numbered, ["ch1", "ch2"], "case_id", "idx", "_split")
     return filled.select("case_id", "idx", "ch1", "ch2", F.lit(fs).alias("fs"))
 
@@ -115,9 +133,8 @@ def read_spectra(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split("_name", "_")
     bad = F.raise_error(F.concat(F.lit("not a spectrum file name: "), F.col("_name")))
     checked = raw.withColumn("_k", F.when((F.size(parts) == 4) & (parts[0] == "PSD"), parts).otherwise(bad.cast("array<string>")))
-    return checked.select(
-        *[F.col("_k")[i].cast("double").cast("long").alias(n) for i, n in ((3, "case_id"), (1, "start"), (2, "end"))], "freq_hz", "psd"
-    )
+    keys = [F.col("_k")[i].cast("double").cast("long").alias(n) for i, n in ((3, "case_id"), (1, "start"), (2, "end"))]
+    return _stored(checked.select(*keys, "freq_hz", "psd"), "spectra-rows")
 
 
 def read_predictions(spark: SparkSession, path: str, run: str) -> DataFrame:
@@ -136,7 +153,7 @@ def list_cases(spark: SparkSession, path: str, pattern: str = CASE_FILE) -> Data
     """A10: distinct case ids from file names; only names are read, others are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     number = F.expr("try_cast(_id AS bigint)").alias("case_id")
-    return files.select(F.regexp_extract("path", pattern, 1).alias("_id")).select(number).filter("case_id is not null").distinct()
+    return _stored(files.select(F.regexp_extract("path", pattern, 1).alias("_id")).select(number).filter("case_id is not null"), "case-files").distinct()
 
 
 def read_run(runs: DataFrame, run: str) -> DataFrame:

@@ -133,3 +133,16 @@ def test_unknown_kinds(spark, tmp_path):
         B.write_table(spark, [1, 2], str(tmp_path / "x"))
     with pytest.raises(ValueError):
         A.read_waveform(spark, str(tmp_path), "other")
+
+
+def test_many_small_files_are_few_tasks_and_read_once(spark, tmp_path):
+    """A task for every few files, in every pass, took the scans at size beyond their limit."""
+    from epochwise.sources import readers
+
+    df = spark.range(300).selectExpr("id AS case_id", "cast(id as double) AS Time", "1.5D AS BIS_BIS", "2.5D AS BIS_SR", "3.5D AS Primus_MAC")
+    df.coalesce(1).write.partitionBy("case_id").csv(str(tmp_path / "t"), header=True)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    got = readers.read_tracks(spark, str(tmp_path / "t"), r"case_id=(\d+)/")
+    assert not [f for f in got.inputFiles() if f.endswith(".csv")]
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    assert got.count() == 300 and got.filter("time = case_id and row_idx = 0 and mac = 3.5").count() == 300
