@@ -74,6 +74,28 @@ def with_halo(blocks: DataFrame, block_len: int, before: int, after: int, channe
     )
 
 
+FILTERED = 1 << 18  # samples of both channels that are filtered at once
+
+
+def filter_pieces(b: np.ndarray, a: np.ndarray, ch1: pd.Series, ch2: pd.Series, off: pd.Series, n: pd.Series, first: pd.Series, last: pd.Series) -> pd.DataFrame:
+    """Own samples of each piece, filtered. Pieces of equal length go together, one column per piece and channel, ``FILTERED`` samples at a time."""
+    out: list = [None] * len(ch1)
+    groups: dict[tuple, list[int]] = {}
+    pieces, own = list(zip(ch1, ch2)), list(zip(off, n))
+    for i, ends in enumerate(zip(first, last)):
+        groups.setdefault((len(pieces[i][0]), *map(bool, ends)), []).append(i)
+    for (length, start, end), rows in groups.items():
+        step = max(1, FILTERED // (2 * max(length, 1)))
+        for at in range(0, len(rows), step):
+            part = rows[at:at + step]
+            x = np.stack([np.asarray(c, dtype=float) for i in part for c in pieces[i]], axis=1)
+            y = zero_phase_exact(b, a, x, start, end) if start or end else zero_phase_spectral(b, a, x)
+            for j, i in enumerate(part):
+                # Copies: a view would keep the halo of all pieces of the step.
+                out[i] = y[own[i][0]:own[i][0] + own[i][1], 2 * j:2 * j + 2].T.copy()
+    return pd.DataFrame({"ch1": [o[0] for o in out], "ch2": [o[1] for o in out]})
+
+
 def filter_waveform(
     blocks: DataFrame, fs: int, block_len: int, low: float = 0.5, high: float = 30.0, order: int = 4,
     method: str = "butterworth", halo: int | None = None,
@@ -90,18 +112,7 @@ def filter_waveform(
     halo = settle_samples(a) if halo is None else halo
 
     def run(ch1: pd.Series, ch2: pd.Series, off: pd.Series, n: pd.Series, first: pd.Series, last: pd.Series) -> pd.DataFrame:
-        out: list = [None] * len(ch1)
-        groups: dict[tuple, list[int]] = {}
-        for i, x in enumerate(ch1):
-            groups.setdefault((len(x), bool(first.iloc[i]), bool(last.iloc[i])), []).append(i)
-        # Pieces of equal length are filtered together, one column per piece and channel.
-        for (_, start, end), rows in groups.items():
-            x = np.stack([np.asarray(c.iloc[i], dtype=float) for i in rows for c in (ch1, ch2)], axis=1)
-            y = zero_phase_exact(b, a, x, start, end) if start or end else zero_phase_spectral(b, a, x)
-            for j, i in enumerate(rows):
-                own = slice(off.iloc[i], off.iloc[i] + n.iloc[i])
-                out[i] = (y[own, 2 * j], y[own, 2 * j + 1])
-        return pd.DataFrame({"ch1": [o[0] for o in out], "ch2": [o[1] for o in out]})
+        return filter_pieces(b, a, ch1, ch2, off, n, first, last)
 
     udf = F.pandas_udf(run, "ch1 array<double>, ch2 array<double>")
     h = with_halo(blocks, block_len, halo, halo)
