@@ -11,7 +11,7 @@ from __future__ import annotations
 import itertools
 import math
 import pickle
-from collections.abc import Callable, Hashable, Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,6 +27,8 @@ CORNER = 0.1  # d above
 PARTS = 5  # parts of the training rows whose margins come from models that have not seen them
 PASS_BYTES = 1 << 26  # sums of all models in a pass; more models take several passes
 CHUNK = 2048  # rows whose features are held at once
+WIDE = 96  # columns of models on plain columns up to which all of them share the products of columns
+CELLS = 1 << 17  # margins of rows by models that are held at once
 
 
 # ---------------------------------------------------------------------------------------------
@@ -137,6 +139,7 @@ class Job:
     fold: Hashable = None
     part: int | None = None
     params: np.ndarray | None = None  # weights and, last, the bias
+    start: np.ndarray | None = None  # where the fit starts: params of a model that is near
 
 
 @dataclass
@@ -215,7 +218,9 @@ def start_of(job: Job | Sigmoid) -> Newton:
     if isinstance(job, Sigmoid):
         return Newton(np.array([1.0, 0.0]), np.full(2, 1e-10), (CORNER,))
     n = job.map.width
-    return Newton(np.zeros(n + 1), np.concatenate((np.ones(n), [0.0])))
+    ridge = np.concatenate((np.ones(n), [0.0]))
+    # The optimum is the same from any start; from one nearby the narrow corner has curvature to go by.
+    return Newton(np.zeros(n + 1), ridge) if job.start is None else Newton(job.start, ridge, (CORNER,))
 
 
 def prepare(df: DataFrame, features: Sequence[str], fold: str | None = None, part: str | None = None) -> DataFrame:
@@ -252,13 +257,94 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, np.
                 yield fold, part[k], y[k], x[k]
 
 
-def _task_sums(jobs: list[tuple[int, Job | Sigmoid, np.ndarray, float]]) -> Callable:
+def _soft(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``log(1 + exp(z))``, its slope and its curvature, from one exponential."""
+    e = np.exp(-np.abs(z))
+    inverse = 1 / (1 + e)
+    return np.maximum(z, 0) + np.log1p(e), np.where(z >= 0, inverse, e * inverse), e * inverse * inverse
+
+
+@dataclass
+class Shared:
+    """Models of one fold on plain columns, side by side: their sums are taken over the same columns and products of columns.
+
+    Columns are centred and scaled by ``centre`` and ``spread``. ``turns[k]`` leads from them (and a last one of ones) to the
+    features of model ``k``, so a pass is a few matrix products for all models, whatever columns and scaling each of them has.
+    """
+
+    columns: np.ndarray
+    centre: np.ndarray
+    spread: np.ndarray
+    numbers: list[int]
+    turns: list[np.ndarray]
+
+    @staticmethod
+    def of(numbered: Sequence[tuple[int, Job]]) -> "Shared":
+        columns = np.unique(np.concatenate([j.map.columns for _, j in numbered]))
+        place = {c: k for k, c in enumerate(columns)}
+        first: dict = {}
+        for _, j in numbered:
+            if j.map.mean is not None:
+                for c, m, v in zip(j.map.columns, j.map.mean, j.map.scale):
+                    if v > 0:
+                        first.setdefault(c, (m, v))
+        centre, spread = (np.array([first.get(c, (0.0, 1.0))[k] for c in columns]) for k in (0, 1))
+        turns = []
+        for _, j in numbered:
+            turn, at, own = np.zeros((len(columns) + 1, j.map.width + 1)), [place[c] for c in j.map.columns], np.arange(j.map.width)
+            mean, scale = (np.zeros(j.map.width), np.ones(j.map.width)) if j.map.mean is None else (j.map.mean, j.map.scale)
+            ok = scale > 0  # the others are zero
+            turn[np.array(at)[ok], own[ok]] = spread[at][ok] / scale[ok]
+            turn[-1, own[ok]] = (centre[at] - mean)[ok] / scale[ok]
+            turn[-1, -1] = 1.0
+            turns.append(turn)
+        return Shared(columns, centre, spread, [k for k, _ in numbered], turns)
+
+    def wide(self, x: np.ndarray) -> np.ndarray:
+        return np.hstack(((x[:, self.columns] - self.centre) / self.spread, np.ones((len(x), 1))))
+
+    def own(self, k: int, sums: np.ndarray) -> np.ndarray:
+        """Sums of the shared columns as sums of the features of model ``k``."""
+        turn, n = self.turns[k], len(self.columns) + 1
+        curve = np.empty((n, n))
+        rows, cols = np.triu_indices(n)
+        curve[rows, cols] = curve[cols, rows] = sums[n + 1 :]
+        return np.concatenate((sums[:1], sums[1 : n + 1] @ turn, (turn.T @ curve @ turn).ravel()))
+
+
+def shared_sums(wide: np.ndarray, y: np.ndarray, params: np.ndarray, cost: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """:func:`margin_sums` of all models (columns of ``params``), one row each; of the curvature the upper triangle."""
+    a, b = np.triu_indices(wide.shape[1])
+    value, slopes, bends = 0.0, 0.0, 0.0
+    for at in range(0, len(y), step := max(64, min(CELLS // params.shape[1], 4 * CELLS // len(a)))):
+        x, sign = wide[at : at + step], y[at : at + step, None]
+        soft, slope, bend = _soft((1 - sign * (x @ params)) / corner)
+        value, slopes, bends = value + soft.sum(0), slopes + (slope * sign).T @ x, bends + bend.T @ (x[:, a] * x[:, b])
+    return np.hstack(((cost * corner * value)[:, None], -cost[:, None] * slopes, (cost / corner)[:, None] * bends))
+
+
+def shared_sigmoid_sums(wide: np.ndarray, y: np.ndarray, models: np.ndarray, targets: np.ndarray, params: np.ndarray) -> np.ndarray:
+    """:func:`sigmoid_sums` of many sigmoids (columns of ``models``, ``targets`` and ``params``), one row each."""
+    out = np.zeros((7, models.shape[1]))
+    for at in range(0, len(y), step := max(64, CELLS // models.shape[1])):
+        margin, one = wide[at : at + step] @ models, y[at : at + step, None] == 1
+        target = np.where(one, targets[1], targets[0])
+        u = params[0] * margin + params[1]
+        value, p, bend = _soft(u)
+        off, turned = p - target, bend * margin
+        out += [(value - target * u).sum(0), (off * margin).sum(0), off.sum(0), (turned * margin).sum(0), turned.sum(0), turned.sum(0), bend.sum(0)]
+    return out.T
+
+
+def _task_sums(jobs: list[tuple[int, Job | Sigmoid, np.ndarray, float]], shared: Mapping[Hashable, tuple] | None = None, sigmoids: Mapping[Hashable, tuple] | None = None) -> Callable:
     by_fold: dict = {}
     for each in jobs:
         by_fold.setdefault(each[1].fold, []).append(each)
+    shared, sigmoids = shared or {}, sigmoids or {}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
+        sums_of: dict = {}
         for fold, part, y, x in _chunks(batches):
             mapped: dict[int, np.ndarray] = {}
 
@@ -267,6 +353,19 @@ def _task_sums(jobs: list[tuple[int, Job | Sigmoid, np.ndarray, float]]) -> Call
                     mapped[id(m)] = m(x)
                 return mapped[id(m)]
 
+            for own in dict.fromkeys((fold, None)):
+                for where, numbers, leave, params, cost, corner in shared.get(own, []):
+                    kept = slice(None) if leave is None else part != leave
+                    found = shared_sums(where.wide(x[kept]), np.where(y[kept] == 1, 1.0, -1.0), params, cost, corner)
+                    key = own, leave
+                    sums_of[key] = (numbers, sums_of[key][1] + found if key in sums_of else found)
+                if own in sigmoids:
+                    where, numbers, models, targets, params = sigmoids[own]
+                    for p, weights in enumerate(models):
+                        kept = part == p
+                        found = shared_sigmoid_sums(where.wide(x[kept]), y[kept], weights, targets, params)
+                        key = own, "sigmoid"
+                        sums_of[key] = (numbers, sums_of[key][1] + found if key in sums_of else found)
             for number, job, params, corner in [*by_fold.get(fold, []), *(by_fold.get(None, []) if fold is not None else [])]:
                 if isinstance(job, Sigmoid):
                     margin = np.empty(len(y))
@@ -277,19 +376,26 @@ def _task_sums(jobs: list[tuple[int, Job | Sigmoid, np.ndarray, float]]) -> Call
                 else:
                     sums = margin_sums(features_of(job.map), np.where(y == 1, 1.0, -1.0), params, job.cost, corner, None if job.part is None else (part != job.part).astype(float))
                 total[number] = total[number] + sums if number in total else sums
-        yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array([s.tobytes() for s in total.values()], pa.binary())], ["job", "sums"])
+        for numbers, found in sums_of.values():
+            yield pa.record_batch([pa.array(numbers, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["job", "sums"])
+        for number in list(total):  # one at a time: wide models have sums of half a MB each
+            yield pa.record_batch([pa.array([number], pa.int64()), pa.array([total.pop(number).tobytes()], pa.binary())], ["job", "sums"])
 
     return task
 
 
 def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of rows ``job, sums`` by job; ``sums`` are doubles."""
+    """Sums of rows ``job, sums`` by job; ``sums`` are doubles. Beside the sums one batch is held, and no copy of it."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for job, sums in zip(batch.column("job").to_pylist(), batch.column("sums").to_pylist()):
-            x = np.frombuffer(sums)
-            total[job] = total[job] + x if job in total else x
-    yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array([s.tobytes() for s in total.values()], pa.binary())], ["job", "sums"])
+        for job, sums in zip(batch.column("job").to_pylist(), batch.column("sums")):
+            x = np.frombuffer(sums.as_buffer())
+            if job in total:
+                total[job] += x
+            else:
+                total[job] = x.copy()
+    for job in list(total):
+        yield pa.record_batch([pa.array([job], pa.int64()), pa.array([total.pop(job).tobytes()], pa.binary())], ["job", "sums"])
 
 
 def minimise(rows: DataFrame, jobs: Sequence[Job | Sigmoid], max_iter: int = 60) -> int:
@@ -300,9 +406,17 @@ def minimise(rows: DataFrame, jobs: Sequence[Job | Sigmoid], max_iter: int = 60)
     """
     passes, size = 0, lambda n: 8 * (1 + n + n * n)
     steps = [start_of(j) for j in jobs]
+    plain: dict = {}
+    for k, j in enumerate(jobs):
+        first = j if isinstance(j, Job) else j.models[0]
+        if first.map.kernel == "linear" and (first is j or all(m.map is first.map for m in j.models)):
+            plain.setdefault((j.fold, first is j), []).append((k, first))
+    together = {key: Shared.of(own) for key, own in plain.items()}
+    together = {key: t for key, t in together.items() if len(t.columns) <= WIDE}
+    place = {k: (t, at) for t in together.values() for at, k in enumerate(t.numbers)}
     waves, room = [[]], PASS_BYTES
     for k, s in enumerate(steps):
-        need = size(len(s.at))
+        need = size(len(s.at)) if k not in place or isinstance(jobs[k], Sigmoid) else size(len(place[k][0].columns) + 1)
         if waves[-1] and need > room:
             waves.append([])
             room = PASS_BYTES
@@ -313,14 +427,28 @@ def minimise(rows: DataFrame, jobs: Sequence[Job | Sigmoid], max_iter: int = 60)
             todo = [k for k in wave if not steps[k].done]
             if not todo:
                 break
-            parts = rows.mapInArrow(_task_sums([(k, jobs[k], steps[k].trial, steps[k].corner) for k in todo]), "job long, sums binary")
+            grouped: dict = {}
+            for k in todo:
+                if k in place:
+                    grouped.setdefault((jobs[k].fold, jobs[k].part if isinstance(jobs[k], Job) else "sigmoid"), []).append(k)
+            shared, sigmoids = {}, {}
+            for (fold, part), ks in grouped.items():
+                t = together[fold, part != "sigmoid"]
+                table = Shared(t.columns, t.centre, t.spread, [], [])
+                if part == "sigmoid":
+                    models = [np.stack([t.turns[place[k][1]] @ jobs[k].models[p].params for k in ks], 1) for p in range(len(jobs[ks[0]].models))]
+                    sigmoids[fold] = table, ks, models, np.array([jobs[k].targets for k in ks]).T, np.array([steps[k].trial for k in ks]).T
+                    continue
+                params = np.stack([t.turns[place[k][1]] @ steps[k].trial for k in ks], 1)
+                shared.setdefault(fold, []).append((table, ks, part, params, np.array([jobs[k].cost for k in ks]), np.array([steps[k].corner for k in ks])))
+            parts = rows.mapInArrow(_task_sums([(k, jobs[k], steps[k].trial, steps[k].corner) for k in todo if k not in place], shared, sigmoids), "job long, sums binary")
             found = parts.repartition(min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(todo)), "job").mapInArrow(add_up, "job long, sums binary").collect()
             passes += 1
             got = {r["job"]: np.frombuffer(r["sums"]) for r in found}
             for k in todo:
                 if k not in got:
                     raise ValueError(f"no training rows for {jobs[k].name!r}")
-                steps[k].take(got[k])
+                steps[k].take(got[k] if k not in place or isinstance(jobs[k], Sigmoid) else place[k][0].own(place[k][1], got[k]))
     for job, s in zip(jobs, steps):
         job.params = s.at
     return passes
@@ -430,8 +558,10 @@ def fit_many(
     if not probability:
         passes = minimise(rows, jobs, max_iter)
         return {w.name: MarginModel([features[k] for k in j.map.columns], _own_columns(j.map), j.params, None, passes) for w, j in zip(wanted, jobs)}
-    parts = [[Job((w.name, p), j.map, j.cost, j.fold, p) for p in range(PARTS)] for w, j in zip(wanted, jobs)]
-    passes = minimise(rows, [*jobs, *itertools.chain(*parts)], max_iter)
+    passes = minimise(rows, jobs, max_iter)
+    # A model without a part of the rows is near the one of all rows, and settles in a few passes from there.
+    parts = [[Job((w.name, p), j.map, j.cost, j.fold, p, start=j.params) for p in range(PARTS)] for w, j in zip(wanted, jobs)]
+    passes += minimise(rows, list(itertools.chain(*parts)), max_iter)
     sigmoids = []
     for w, without in zip(wanted, parts):
         n0, n1 = counts[w.fold] if w.fold in counts else tuple(map(sum, zip(*counts.values())))
@@ -492,7 +622,7 @@ def count_cells(rows: DataFrame, models: dict[Hashable, tuple[Hashable, int | No
 
 
 def rate_by_all(rows: DataFrame, features: Sequence[str], models: Sequence[tuple[Hashable, Hashable, MarginModel]]) -> DataFrame:
-    """``model, fold, y, prediction, score`` of every prepared row by every model of its fold."""
+    """``model, y, prediction, score`` of every prepared row by every model of its fold; ``model`` numbers them in order."""
     place = {f: k for k, f in enumerate(features)}
     by_fold: dict = {}
     for k, (_, fold, model) in enumerate(models):
@@ -504,9 +634,9 @@ def rate_by_all(rows: DataFrame, features: Sequence[str], models: Sequence[tuple
             for k, columns, model in sent.value.get(fold, []):
                 margin, score = model.rate(x[:, columns])
                 score = pa.nulls(len(y), pa.float64()) if score is None else pa.array(score)
-                yield pa.record_batch([pa.array(np.full(len(y), k), pa.int32()), pa.array([fold] * len(y), pa.string()), pa.array(y), pa.array((margin > 0).astype(np.int32)), score], ["model", "fold", "y", "prediction", "score"])
+                yield pa.record_batch([pa.array(np.full(len(y), k), pa.int32()), pa.array(y), pa.array((margin > 0).astype(np.int32)), score], ["model", "y", "prediction", "score"])
 
-    return rows.mapInArrow(task, "model int, fold string, y double, prediction int, score double")
+    return rows.mapInArrow(task, "model int, y double, prediction int, score double")
 
 
 def dumps(model: MarginModel) -> bytes:

@@ -126,11 +126,12 @@ def sweep(splits: DataFrame, combinations: Sequence[dict], c: float = 1.0, kerne
     models = margins.fit_many(rows, features, wanted, probability, **options)
     tests = margins.prepare(splits.filter("role = 'test'"), features, "fold")
     each = margins.rate_by_all(tests, features, [((run, f), f, m) for (run, f), m in models.items()])
-    names = splits.sparkSession.createDataFrame([(k, run) for k, (run, _) in enumerate(models)], "model int, run string")
-    # One row for each model.
-    named = each.join(F.broadcast(names), "model").select("run", F.col("fold").cast(splits.schema["fold"].dataType).alias("fold"), F.col("y").cast("int").alias("label"), "prediction", "score")
-    stored = materialize(named, "sweep")
-    return fold_metrics(stored, ["run", "fold"], "score" if probability else None)
+    stored = materialize(each.select("model", F.col("y").cast("int").alias("label"), "prediction", "score"), "sweep")
+    # One row for each model; rows are grouped by its number, not by names.
+    names = splits.sparkSession.createDataFrame([(k, run, str(f)) for k, (run, f) in enumerate(models)], "model int, run string, fold string")
+    names = names.withColumn("fold", F.col("fold").cast(splits.schema["fold"].dataType))
+    metrics = fold_metrics(stored, ["model"], "score" if probability else None)
+    return metrics.join(F.broadcast(names), "model").select("run", "fold", *[c for c in metrics.columns if c != "model"])
 
 
 def sampling_experiment(

@@ -150,3 +150,37 @@ def test_rbf_experiment_and_missing_values(spark):
     model = M.train(df, NAMES, kernel="linear")
     out = M.predict(model, df.withColumn("b", F.when(F.col("case_id") > 3, F.col("b")))).filter("case_id <= 3")
     assert out.count() == 4 and out.filter("prediction IS NOT NULL OR score IS NOT NULL").isEmpty()
+
+
+def test_models_on_plain_columns_share_their_sums():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 5)) * [1, 10, 0.1, 1, 1] + [0, 50, 3, 0, -2]
+    y, part = np.where(rng.random(500) < 0.5, 1.0, -1.0), rng.integers(0, margins.PARTS, 500)
+    scaled = [margins.FeatureMap("linear", np.array(c), mean=x[:50, c].mean(0), scale=s * x[:50, c].std(0)) for c, s in (([0, 1, 2], 1.0), ([4, 1], np.array([1.0, 0.0])), ([3], 2.0))]
+    maps = [*scaled, margins.FeatureMap("linear", np.array([2, 0]))]
+    jobs = [margins.Job(k, m, 0.5 + k) for k, m in enumerate(maps)]
+    shared = margins.Shared.of(list(enumerate(jobs)))
+    params = [rng.normal(size=m.width + 1) for m in maps]
+    corner = np.array([1.0, 0.3, 0.1, 0.1])
+    together = np.stack([t @ p for t, p in zip(shared.turns, params)], 1)
+    got = margins.shared_sums(shared.wide(x), y, together, np.array([j.cost for j in jobs]), corner)
+    for k, j in enumerate(jobs):
+        want = margins.margin_sums(j.map(x), y, params[k], j.cost, corner[k])
+        assert np.allclose(shared.own(k, got[k]), want, rtol=1e-9, atol=1e-9 * np.abs(want).max())
+    got = margins.shared_sigmoid_sums(x, np.maximum(y, 0), (w := rng.normal(size=(5, 2))), np.array([[0.1, 0.2], [0.9, 0.7]]), np.array([[1.0, 0.3], [0.2, -1.0]]))
+    for k, (low, high, a, b) in enumerate(((0.1, 0.9, 1.0, 0.2), (0.2, 0.7, 0.3, -1.0))):
+        assert np.allclose(got[k], margins.sigmoid_sums((x @ w)[:, k], np.where(y == 1, high, low), np.array([a, b])))
+
+
+def test_a_start_nearby_saves_passes_and_not_accuracy(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 4))
+    label = (x @ [1.0, -2.0, 0.5, 0.0] + rng.normal(size=600) > 0).astype(int)
+    df = spark.createDataFrame([(*map(float, r), int(c)) for r, c in zip(x, label)], "a double, b double, c double, d double, label int")
+    rows = margins.prepare(df, list("abcd"))
+    whole = margins.Job("whole", margins.FeatureMap("linear", np.arange(4)), 1.0)
+    first = margins.minimise(rows, [whole])
+    cold = [margins.Job(p, whole.map, 1.0, part=p) for p in range(margins.PARTS)]
+    warm = [margins.Job(p, whole.map, 1.0, part=p, start=whole.params) for p in range(margins.PARTS)]
+    assert margins.minimise(rows, warm) <= margins.minimise(rows, cold) // 2 and first > 4
+    assert all(np.allclose(a.params, b.params, atol=1e-6) for a, b in zip(cold, warm))
