@@ -184,3 +184,18 @@ def test_a_start_nearby_saves_passes_and_not_accuracy(spark):
     warm = [margins.Job(p, whole.map, 1.0, part=p, start=whole.params) for p in range(margins.PARTS)]
     assert margins.minimise(rows, warm) <= margins.minimise(rows, cold) // 2 and first > 4
     assert all(np.allclose(a.params, b.params, atol=1e-6) for a, b in zip(cold, warm))
+
+
+def test_experiments_start_at_the_first_ones_fit(spark, monkeypatch):
+    df = frame(spark, rows_of(600, 9))
+    samples = S.stratified_samples(df.select("case_id", "start", "end", "label", *NAMES), [40, 80], 4)
+    calls, plain = [], margins.minimise
+
+    def counted(rows, jobs, max_iter=60):
+        calls.append((len(jobs), plain(rows, jobs, max_iter)))
+        return calls[-1][1]
+
+    monkeypatch.setattr(margins, "minimise", counted)
+    assert M.sampling_experiment(df, df, samples, NAMES).count() == 8
+    assert sum(n for n, _ in calls) == 8
+    assert max(passes for n, passes in calls if n > 1) <= 5
