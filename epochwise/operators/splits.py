@@ -290,7 +290,8 @@ def stratified_samples(rows: DataFrame, sizes: Sequence[int], iterations: int, k
     counts = rows.filter("label IS NOT NULL").groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.max("_n"), F.sum(F.least("_n", F.lit(bound)))).first()
     most, wanted = total[0] or 0, (total[1] or 0) * iterations
-    each = rows.join(counts, "label").withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    # One row a class: a join that exchanges rows would send each class to one task.
+    each = rows.join(F.broadcast(counts), "label").withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     each = each.withColumn("_h", F.md5(F.concat_ws(":", "iteration", *[F.col(k).cast("string") for k in keys])))
     order = W.partitionBy("iteration", "label").orderBy("_h", *keys)
     near = float(bound + 10 * bound**0.5 + 50)

@@ -20,3 +20,17 @@ def test_samples_of_small_and_empty_classes(spark):
     got = S.stratified_samples(rows, [20], 2).groupBy("iteration", "label").count().collect()
     assert {tuple(r) for r in got} == {(i, y, k) for i in range(2) for y, k in ((0, 10), (1, 5))}
     assert S.stratified_samples(rows.limit(0), [20], 2).count() == 0
+
+
+def test_classes_are_not_exchanged(spark):
+    rows = spark.range(5000).selectExpr("id % 50 as case_id", "id as start", "id + 2 as end", "cast(id % 2 as int) as label")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plans, store = [], S.materialize
+    try:
+        S.materialize = lambda df, name="stage", by=None: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or store(df, name, by)
+        assert S.stratified_samples(rows, [20], 3).count() == 60
+    finally:
+        S.materialize = store
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plans and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
