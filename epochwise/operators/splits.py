@@ -166,11 +166,14 @@ def cross_validation_splits(rows: DataFrame, k: int = 5, test_size: float | None
     """
     folds = case_folds(case_counts(rows), k, seed).withColumnRenamed("fold", "_own")
     marked = rows.join(folds, "case_id").withColumn("_h", stable_hash(seed, *KEYS)).withColumn("_hc", F.substring("_h", 1, 3))
-    marked = materialize(marked, "own-folds")
+    return _balanced_folds(materialize(marked, "own-folds"), k, test_size).select(*rows.columns, "fold", "role")
 
+
+def _balanced_folds(marked: DataFrame, k: int, test_size: float | None) -> DataFrame:
+    """Rows with ``_own`` (the fold that tests them, null if none does), ``_h`` and ``_hc``, once for each of ``k`` folds, balanced and adjusted."""
     def each(df: DataFrame) -> DataFrame:
         out = df.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-        return out.withColumn("role", F.when(F.col("fold") == F.col("_own"), "test").otherwise("train")).drop("_own")
+        return out.withColumn("role", F.when(F.col("fold") == F.col("_own"), "test").otherwise("train"))
 
     def cut(counts: DataFrame, by: list[str], wanted: Column) -> DataFrame:
         """The chunk in which a group's first ``wanted`` rows end (one past all if it has no more), and how many are in it."""
@@ -208,7 +211,7 @@ def cross_validation_splits(rows: DataFrame, k: int = 5, test_size: float | None
     edge = edge.filter((F.col("_hc") < F.col("_cut1")) | (F.col("_r1") <= F.col("_need1")))
     edge = edge.withColumn("_r2", F.row_number().over(W.partitionBy("fold", "role", "_hc").orderBy(*order)))
     edge = edge.filter((F.col("_hc") < F.col("_cut2")) | (F.col("_r2") <= F.col("_need2")))
-    columns = [*rows.columns, "fold", "role"]
+    columns = [*marked.columns, "fold", "role"]
     return placed.filter(~at_edge).select(*columns).unionByName(edge.select(*columns))
 
 
@@ -271,10 +274,17 @@ def custom_splits(
     class_1: DataFrame, class_0: DataFrame, test_size: float, min_iterations: int | None = None, seed: int = 42,
     ignore_cases: DataFrame | None = None, ignore_epochs: DataFrame | None = None,
 ) -> DataFrame:
-    """Balanced rows of all non-overlapping folds."""
+    """Balanced rows of all non-overlapping folds.
+
+    Same rows as :func:`balanced_split` takes fold by fold. As a case is tested in one fold at most, counts by that fold, class and hash
+    chunk tell which rows stay, as in :func:`cross_validation_splits`; rows are not repeated per fold before that, and are not stored.
+    """
     rows = labelled_union(class_1, class_0, ignore_cases, ignore_epochs)
     folds = disjoint_folds(case_counts(rows), test_size, min_iterations, seed)
-    return balanced_split(rows.join(folds, "case_id"), test_size, seed, ["fold"])
+    k = folds.agg(F.max("fold")).first()[0] + 1
+    own = folds.filter("role = 'test'").select("case_id", F.col("fold").alias("_own"))
+    marked = rows.filter("case_id IS NOT NULL").join(own, "case_id", "left").withColumn("_h", stable_hash(seed, *KEYS)).withColumn("_hc", F.substring("_h", 1, 3))
+    return _balanced_folds(marked, k, test_size).select(*marked.drop("_own", "_h", "_hc").columns, "role", "fold")
 
 
 def stratified_samples(rows: DataFrame, sizes: Sequence[int], iterations: int, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -154,3 +154,24 @@ def test_waveform_files_hold_ranges_of_cases(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     files = spark.read.parquet(str(tmp_path / "w")).groupBy(F.input_file_name().alias("f")).agg(F.min("case_id").alias("a"), F.max("case_id").alias("b")).orderBy("a").collect()
     assert len(files) > 1 and all(x["b"] <= y["a"] for x, y in zip(files, files[1:]))
+
+
+def test_custom_splits_equal_the_splits_of_each_fold_and_store_no_rows(spark, monkeypatch):
+    rows = spark.range(900).selectExpr("nullif(id % 30, 29) as case_id", "id as start", "id + 1 as end", "if(id % 7 < 3, 1, 0) as label")
+    one, zero = (rows.filter(f"label = {k}").drop("label") for k in (1, 0))
+    stored, store = {}, S.materialize
+
+    def counted(df, name="stage", partition_by=None):
+        out = store(df, name, partition_by)
+        stored[name] = max(stored.get(name, 0), out.count() if "start" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(S, "materialize", counted)
+    got = S.custom_splits(one, zero, 0.25, seed=3)
+    columns = ["case_id", "start", "end", "label", "role", "fold"]
+    got = sorted(tuple(r) for r in got.select(*columns).collect())
+    assert not any(stored.values())
+    known = rows.select("case_id", "start", "end", "label")
+    folds = S.disjoint_folds(S.case_counts(known), 0.25, None, 3)
+    want = S.balanced_split(known.join(folds, "case_id"), 0.25, 3, ["fold"]).select(*columns)
+    assert got == sorted(tuple(r) for r in want.collect()) and {r[-1] for r in got} >= {0, 1}
