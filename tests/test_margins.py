@@ -199,3 +199,18 @@ def test_experiments_start_at_the_first_ones_fit(spark, monkeypatch):
     assert M.sampling_experiment(df, df, samples, NAMES).count() == 8
     assert sum(n for n, _ in calls) == 8
     assert max(passes for n, passes in calls if n > 1) <= 5
+
+
+def test_adding_up_holds_no_copy_of_a_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    sums = [np.full(8192, float(k)).tobytes() for k in range(100)]
+    batches = [pa.record_batch([pa.array([k % 2 for k in range(100)], pa.int64()), pa.array(sums, pa.binary())], ["job", "sums"]) for _ in range(3)]
+    tracemalloc.start()
+    got = {b.column("job")[0].as_py(): np.frombuffer(b.column("sums")[0].as_py())[0] for b in margins.add_up(iter(batches))}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == {0: 3.0 * sum(range(0, 100, 2)), 1: 3.0 * sum(range(1, 100, 2))}
+    assert peak < len(sums) * len(sums[0]) / 4
