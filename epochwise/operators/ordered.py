@@ -112,10 +112,19 @@ def join_small(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFram
     return left.withColumn("_one", one).select(*left.columns, *[F.col(f"_one.{c}").alias(c) for c in right.columns])
 
 
-def value_chunks(df: DataFrame, by: Sequence[str], value: str, buckets: int, name: str = "_chunk") -> DataFrame:
-    """Order-preserving value range number per group, from mergeable quantile sketches."""
+SENT_BYTES = 1 << 23  # limits of ranges that are broadcast
+
+
+def value_chunks(df: DataFrame, by: Sequence[str], value: str, buckets: int, name: str = "_chunk", groups: int | None = None) -> DataFrame:
+    """Order-preserving value range number per group, from mergeable quantile sketches.
+
+    ``groups``: how many there are at most. The limits of few groups are broadcast, since an exchange by group would send all rows of a
+    group to one task.
+    """
     points = [i / buckets for i in range(1, buckets)]
     splits = df.groupBy(*by).agg(F.percentile_approx(value, points, 10 * buckets).alias("_splits"))
+    if by and groups is not None and 8 * groups * buckets <= SENT_BYTES:
+        splits = F.broadcast(splits)
     chunk = F.size(F.filter("_splits", lambda s: s < F.col(value)))
     return join_small(df, splits, by).withColumn(name, F.coalesce(chunk, F.lit(0))).drop("_splits")
 
@@ -125,13 +134,14 @@ def bounded_chunks(df: DataFrame, by: Sequence[str], value: str, rows_per_chunk:
 
     The number of levels follows from the largest group, so no range grows with the data.
     """
-    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    need, levels = -(-largest // rows_per_chunk), []
+    largest, groups = df.groupBy(*by).count().agg(F.max("count"), F.count(F.lit(1))).first()
+    need, levels = -(-(largest or 0) // rows_per_chunk), []
     while True:
         parts = min(max(need, 1), fan_out)
         name = f"_c{len(levels)}"
-        df = value_chunks(df, [*by, *levels], value, parts, name) if parts > 1 else df.withColumn(name, F.lit(0))
+        df = value_chunks(df, [*by, *levels], value, parts, name, groups) if parts > 1 else df.withColumn(name, F.lit(0))
         levels.append(name)
+        groups *= parts
         need = -(-need // parts)
         if need <= 1:
             return df, levels

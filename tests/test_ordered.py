@@ -99,3 +99,18 @@ def test_nested_chunks_are_bounded_and_ordered(spark):
     for _, part in pdf.groupby("g"):
         keys = list(zip(*[part[c] for c in levels]))
         assert keys == sorted(keys)
+
+
+def test_ranges_of_a_large_group_are_not_dealt_by_group(spark):
+    rows = spark.range(4000).selectExpr("if(id < 3900, 'large', 'small') as g", "cast(id * 7 % 4001 as double) as v")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out, levels = O.bounded_chunks(rows, ["g"], "v", 100, 8)
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and len(levels) == 2
+        ranges = out.groupBy("g", *levels).agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("v").alias("n")).orderBy("g", *levels).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sum(r["n"] for r in ranges) == 4000 and max(r["n"] for r in ranges) <= 200
+    assert all(p["g"] != q["g"] or p["b"] < q["a"] for p, q in zip(ranges, ranges[1:]))
