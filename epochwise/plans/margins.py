@@ -4,6 +4,7 @@ The objective is that of a support vector machine, ``|w|^2 / 2 + C * sum(loss(y
 corner: ``loss(z) = d * log(1 + exp((1 - z) / d))``. It lies above the hinge by at most ``d * log 2`` a row, and is smooth, so
 Newton's method settles in a few passes. In a pass every task adds up value, gradient and curvature of all models
 over its rows; the sums of a model meet in one task; the driver, which holds nothing but models, takes their next steps.
+Tasks are as many as the cluster runs at once, or a few times that, so neither what a pass exchanges nor what a task holds grows with the rows.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ from epochwise.session import materialize
 CORNER = 0.1  # d above
 PARTS = 5  # parts of the training rows whose margins come from models that have not seen them
 PASS_BYTES = 1 << 26  # sums of all models in a pass; more models take several passes
-CHUNK = 2048  # rows whose features are held at once
+CHUNK = 2048  # rows that are taken from a batch at once
 WIDE = 96  # columns of models on plain columns up to which all of them share the products of columns
 CELLS = 1 << 17  # margins of rows by models that are held at once
+HELD = 1 << 18  # features of rows that are held at once
 
 
 # ---------------------------------------------------------------------------------------------
@@ -162,7 +164,8 @@ def margin_sums(phi: np.ndarray, y: np.ndarray, params: np.ndarray, cost: float,
     if weight is not None:
         value, slope, bend = value * weight, slope * weight, bend * weight
     wide = np.hstack((phi, np.ones((len(phi), 1))))
-    return np.concatenate(([value.sum()], slope @ wide, ((wide * bend[:, None]).T @ wide).ravel()))
+    half = wide * np.sqrt(bend)[:, None]  # a product with itself takes half the time of one of two matrices
+    return np.concatenate(([value.sum()], slope @ wide, (half.T @ half).ravel()))
 
 
 def sigmoid_sums(margin: np.ndarray, target: np.ndarray, params: np.ndarray) -> np.ndarray:
@@ -224,11 +227,15 @@ def start_of(job: Job | Sigmoid) -> Newton:
 
 
 def prepare(df: DataFrame, features: Sequence[str], fold: str | None = None, part: str | None = None) -> DataFrame:
-    """Stored training rows ``fold, part, y, x``; without a column for it, the part is a hash of the features."""
+    """Stored training rows ``fold, part, y, x``; without a column for it, the part is a hash of the features.
+
+    They are dealt out evenly to one file for each task that runs at once (``spark.default.parallelism``): a row costs far more
+    time than its bytes tell, and every task of a pass sends sums of all models, however few rows it has.
+    """
     x = F.array(*[F.col(c).cast("double") for c in features])
     own = F.pmod(F.xxhash64(x), F.lit(PARTS)).cast("long") if part is None else F.col(part).cast("long")
     rows = df.select(F.lit(None).cast("string").alias("fold") if fold is None else F.col(fold).cast("string").alias("fold"), own.alias("part"), F.col("label").cast("double").alias("y"), x.alias("x"))
-    return materialize(rows, "margin-rows")
+    return materialize(rows.repartition(df.sparkSession.sparkContext.defaultParallelism), "margin-rows")
 
 
 def counts_of(rows: DataFrame) -> dict[str | None, tuple[int, int]]:
@@ -336,23 +343,63 @@ def shared_sigmoid_sums(wide: np.ndarray, y: np.ndarray, models: np.ndarray, tar
     return out.T
 
 
+def upper(sums: np.ndarray) -> np.ndarray:
+    """:func:`margin_sums` without what their curvature repeats below its diagonal."""
+    n = math.isqrt(len(sums) - 1)  # of 1 + n + n * n
+    rows, cols = np.triu_indices(n)
+    return np.concatenate((sums[: n + 1], sums[n + 1 :][rows * n + cols]))
+
+
+def whole(sums: np.ndarray) -> np.ndarray:
+    """The opposite of :func:`upper`."""
+    n = (math.isqrt(8 * len(sums) + 1) - 3) // 2  # of 1 + n + n * (n + 1) / 2
+    rows, cols = np.triu_indices(n)
+    curve = np.empty((n, n))
+    curve[rows, cols] = curve[cols, rows] = sums[n + 1 :]
+    return np.concatenate((sums[: n + 1], curve.ravel()))
+
+
+def _map_of(job: Job | Sigmoid) -> FeatureMap:
+    return job.map if isinstance(job, Job) else job.models[0].map
+
+
 def _task_sums(jobs: list[tuple[int, Job | Sigmoid, np.ndarray, float]], shared: Mapping[Hashable, tuple] | None = None, sigmoids: Mapping[Hashable, tuple] | None = None) -> Callable:
     by_fold: dict = {}
+    turn: dict = {}
     for each in jobs:
+        turn.setdefault(id(_map_of(each[1])), len(turn))
         by_fold.setdefault(each[1].fold, []).append(each)
+    for each in by_fold.values():
+        each.sort(key=lambda e: turn[id(_map_of(e[1]))])  # those of one map follow each other, so only its features are held
     shared, sigmoids = shared or {}, sigmoids or {}
 
+    def add(wanted: list[tuple], part: np.ndarray, y: np.ndarray, x: np.ndarray, total: dict[int, np.ndarray]) -> None:
+        held: list = [None, None]  # a map and its features of these rows
+
+        def features_of(m: FeatureMap) -> np.ndarray:
+            if held[0] is not m:
+                held[:] = m, None  # the last ones go first
+                held[1] = m(x)
+            return held[1]
+
+        for number, job, params, corner in wanted:
+            if isinstance(job, Sigmoid):
+                margin = np.empty(len(y))
+                for p, model in enumerate(job.models):
+                    own = part == p
+                    margin[own] = features_of(model.map)[own] @ model.params[:-1] + model.params[-1]
+                sums = sigmoid_sums(margin, np.where(y == 1, job.targets[1], job.targets[0]), params)
+            else:
+                sums = margin_sums(features_of(job.map), np.where(y == 1, 1.0, -1.0), params, job.cost, corner, None if job.part is None else (part != job.part).astype(float))
+            if number in total:
+                total[number] += sums
+            else:
+                total[number] = sums
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         sums_of: dict = {}
         for fold, part, y, x in _chunks(batches):
-            mapped: dict[int, np.ndarray] = {}
-
-            def features_of(m: FeatureMap, mapped: dict = mapped, x: np.ndarray = x) -> np.ndarray:
-                if id(m) not in mapped:
-                    mapped[id(m)] = m(x)
-                return mapped[id(m)]
-
             for own in dict.fromkeys((fold, None)):
                 for where, numbers, leave, params, cost, corner in shared.get(own, []):
                     kept = slice(None) if leave is None else part != leave
@@ -366,20 +413,14 @@ def _task_sums(jobs: list[tuple[int, Job | Sigmoid, np.ndarray, float]], shared:
                         found = shared_sigmoid_sums(where.wide(x[kept]), y[kept], weights, targets, params)
                         key = own, "sigmoid"
                         sums_of[key] = (numbers, sums_of[key][1] + found if key in sums_of else found)
-            for number, job, params, corner in [*by_fold.get(fold, []), *(by_fold.get(None, []) if fold is not None else [])]:
-                if isinstance(job, Sigmoid):
-                    margin = np.empty(len(y))
-                    for p, model in enumerate(job.models):
-                        own = part == p
-                        margin[own] = features_of(model.map)[own] @ model.params[:-1] + model.params[-1]
-                    sums = sigmoid_sums(margin, np.where(y == 1, job.targets[1], job.targets[0]), params)
-                else:
-                    sums = margin_sums(features_of(job.map), np.where(y == 1, 1.0, -1.0), params, job.cost, corner, None if job.part is None else (part != job.part).astype(float))
-                total[number] = total[number] + sums if number in total else sums
+            wanted = [*by_fold.get(fold, []), *(by_fold.get(None, []) if fold is not None else [])]
+            step = max(64, HELD // max((_map_of(job).width + 1 for _, job, _, _ in wanted), default=1))
+            for at in range(0, len(y) if wanted else 0, step):
+                add(wanted, part[at : at + step], y[at : at + step], x[at : at + step], total)
         for numbers, found in sums_of.values():
             yield pa.record_batch([pa.array(numbers, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["job", "sums"])
-        for number in list(total):  # one at a time: wide models have sums of half a MB each
-            yield pa.record_batch([pa.array([number], pa.int64()), pa.array([total.pop(number).tobytes()], pa.binary())], ["job", "sums"])
+        for number in list(total):  # one at a time: wide models have sums of a quarter MB each
+            yield pa.record_batch([pa.array([number], pa.int64()), pa.array([upper(total.pop(number)).tobytes()], pa.binary())], ["job", "sums"])
 
     return task
 
@@ -402,8 +443,10 @@ def minimise(rows: DataFrame, jobs: Sequence[Job | Sigmoid], max_iter: int = 60)
     """Fit all ``jobs`` on the stored ``rows``; sets their ``params`` and returns the number of passes.
 
     All that have not settled share a pass, as long as their sums take ``PASS_BYTES`` at most; so passes do not
-    multiply with models until memory does.
+    multiply with models until memory does. However many splits the stored rows have, at most ``4 * spark.default.parallelism``
+    tasks send sums, so those of a model that meet in one task stay bounded.
     """
+    rows = rows.coalesce(4 * rows.sparkSession.sparkContext.defaultParallelism)
     passes, size = 0, lambda n: 8 * (1 + n + n * n)
     steps = [start_of(j) for j in jobs]
     plain: dict = {}
@@ -448,7 +491,7 @@ def minimise(rows: DataFrame, jobs: Sequence[Job | Sigmoid], max_iter: int = 60)
             for k in todo:
                 if k not in got:
                     raise ValueError(f"no training rows for {jobs[k].name!r}")
-                steps[k].take(got[k] if k not in place or isinstance(jobs[k], Sigmoid) else place[k][0].own(place[k][1], got[k]))
+                steps[k].take(whole(got[k]) if k not in place else got[k] if isinstance(jobs[k], Sigmoid) else place[k][0].own(place[k][1], got[k]))
     for job, s in zip(jobs, steps):
         job.params = s.at
     return passes

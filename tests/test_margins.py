@@ -214,3 +214,49 @@ def test_adding_up_holds_no_copy_of_a_batch():
     tracemalloc.stop()
     assert got == {0: 3.0 * sum(range(0, 100, 2)), 1: 3.0 * sum(range(1, 100, 2))}
     assert peak < len(sums) * len(sums[0]) / 4
+
+
+def test_a_task_holds_features_of_one_map_and_sends_half_of_the_curvature():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    x, y, part = rng.normal(size=(3000, 64)), rng.integers(0, 2, 3000), rng.integers(0, 2, 3000)
+    maps = [margins.kernel_map("rbf", np.arange(64), g, 3, x[:512], 256, 0.0) for g in (0.002, 0.005, 0.01, 0.02, 0.03, 0.05)]
+    jobs = [margins.Job((c, k, p), m, c, part=p) for c in (0.1, 1.0) for k, m in enumerate(maps) for p in (0, 1)]  # maps take turns
+    params = [rng.normal(size=j.map.width + 1) / 16 for j in jobs]
+    batch = pa.record_batch([pa.nulls(3000, pa.string()), pa.array(part, pa.int64()), pa.array(y.astype(float)), pa.array(list(x))], ["fold", "part", "y", "x"])
+    task = margins._task_sums([(k, j, params[k], 0.3) for k, j in enumerate(jobs)])
+    tracemalloc.start()
+    sent = {b.column("job")[0].as_py(): b.column("sums")[0].as_py() for b in task(iter([batch]))}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    held = sum(8 * (1 + len(p) + len(p) ** 2) for p in params)
+    assert peak < held + 8 * 2048 * 256 * 3  # the sums, and less than three of six maps' features of a chunk
+    for k in (0, 5, len(jobs) - 1):
+        assert len(sent[k]) < 8 * (1 + len(params[k]) + 0.51 * len(params[k]) ** 2)
+        want = margins.margin_sums(jobs[k].map(x), np.where(y == 1, 1.0, -1.0), params[k], jobs[k].cost, 0.3, (part != jobs[k].part).astype(float))
+        assert np.allclose(margins.whole(np.frombuffer(sent[k])), want, rtol=1e-9, atol=1e-9 * np.abs(want).max())
+
+
+def test_tasks_of_a_pass_do_not_grow_with_the_partitions_of_the_rows(spark):
+    df, n = frame(spark, rows_of(3000)), spark.sparkContext.defaultParallelism
+    for pieces in (1, 40):
+        rows = margins.prepare(df.repartition(pieces), NAMES)
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == n and max(sizes) < 2 * 3000 / n
+    files = margins.prepare(df, NAMES).repartition(10 * n)
+    taken = []
+    plain = type(files).mapInArrow
+
+    def counted(self, *a, **b):
+        taken.append(self.rdd.getNumPartitions())
+        return plain(self, *a, **b)
+
+    type(files).mapInArrow = counted
+    try:
+        margins.minimise(files, [margins.Job("one", margins.kernel_map("poly", np.arange(4), 0.3, 2, np.zeros((0, 4)), 64, 0.05), 1.0)], 1)
+    finally:
+        type(files).mapInArrow = plain
+    assert taken[0] <= 4 * n
