@@ -322,7 +322,8 @@ class Shared:
 def shared_sums(wide: np.ndarray, y: np.ndarray, params: np.ndarray, cost: np.ndarray, corner: np.ndarray) -> np.ndarray:
     """:func:`margin_sums` of all models (columns of ``params``), one row each; of the curvature the upper triangle."""
     a, b = np.triu_indices(wide.shape[1])
-    value, slopes, bends = 0.0, 0.0, 0.0
+    # Arrays from the start: a model that leaves out the part of all rows at hand has sums of zero, as long as any others.
+    value, slopes, bends = np.zeros(params.shape[1]), np.zeros(params.T.shape), np.zeros((params.shape[1], len(a)))
     for at in range(0, len(y), step := max(64, min(CELLS // params.shape[1], 4 * CELLS // len(a)))):
         x, sign = wide[at : at + step], y[at : at + step, None]
         soft, slope, bend = _soft((1 - sign * (x @ params)) / corner)

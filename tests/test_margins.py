@@ -172,6 +172,24 @@ def test_models_on_plain_columns_share_their_sums():
         assert np.allclose(got[k], margins.sigmoid_sums((x @ w)[:, k], np.where(y == 1, high, low), np.array([a, b])))
 
 
+def test_rows_at_hand_may_all_be_of_the_part_that_is_left_out(spark):
+    """The last rows of a fold in a batch are often few, and then of one part; a batch of two rows shows it at any size."""
+    rng = np.random.default_rng(8)
+    empty = margins.shared_sums(np.zeros((0, 5)), np.zeros(0), rng.normal(size=(5, 3)), np.ones(3), np.ones(3))
+    assert empty.shape == (3, 1 + 5 + 15) and not empty.any()
+    rows = margins.prepare(frame(spark, rows_of(90, 4)).filter("role = 'train'"), NAMES, "fold")
+    wanted = [margins.Wanted((tuple(c), f), c, 0.7, "linear", fold=f) for c in (["a"], ["b", "d"], NAMES) for f in ("0", "1", "2")]
+    whole = margins.fit_many(rows, NAMES, wanted)
+    key, old = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, "2")
+    try:
+        few = margins.fit_many(rows, NAMES, wanted)
+    finally:
+        spark.conf.set(key, old)
+    for name, model in whole.items():
+        assert np.allclose(few[name].params, model.params, atol=1e-6) and np.allclose(few[name].sigmoid, model.sigmoid, atol=1e-6)
+
+
 def test_a_start_nearby_saves_passes_and_not_accuracy(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(600, 4))
