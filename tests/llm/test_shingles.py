@@ -92,6 +92,31 @@ def test_pairs_compared_in_a_large_group_of_copies(spark):
         assert sum(counted) <= 4 * n, counted
 
 
+def test_rows_and_first_comparisons_come_from_the_simhash_operator(spark, monkeypatch):
+    """Copies of a group are compared with the document that ``component_id`` names; a row that the operator does not return is no row of the stage."""
+    rng, rows = random.Random(12), []
+    for g in range(8):
+        long = passage(rng, 300)
+        rows += [(100 * g + k, " ".join([*long, *["more"] * k])) for k in (7, 3, 5, 9)]  # repeats: other sets only by their last shingles
+    rows += [(5000, "a text of its own that is like no other one"), (None, None)]
+    name_of = {k: shingles.node_of(shingles.grams_of(t, 5, shingles.Hashes())) for k, t in rows}
+    first, compare = [], shingles.Groups.compare
+
+    def noted(self, pairs):
+        if not first:
+            first.append({(r["a"], r["b"]) for r in pairs.collect()})
+        return compare(self, pairs)
+
+    monkeypatch.setattr(shingles.Groups, "compare", noted)
+    assert kept_ids(spark, rows) == brute_force(rows)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(table(spark, rows), shingle=5).collect()}
+    want = {(name_of[c], name_of[k]) for k, c in found.items() if name_of[k] != name_of[c]}
+    assert len(want) > 4 and first[0] == want
+    whole = shingles.classes
+    monkeypatch.setattr(shingles, "classes", lambda *a: whole(*a).filter("id <> 5000"))
+    assert kept_ids(spark, rows) == [k for k in brute_force(rows) if k != 5000]
+
+
 def test_parity_bits_never_exclude_a_pair():
     rng = np.random.default_rng(3)
     for n in (3, 40, 900, 5000):
