@@ -306,25 +306,29 @@ def cells_of(hashes: np.ndarray, rows: int, bits: int) -> list[np.ndarray]:
 
 
 SKETCH = "block int, cell binary, n binary"
+FINE = 16  # bits by which values are told apart inside a cell of a sketch of one row
 
 
 def sketch_batches(hashes: Iterator[np.ndarray], rows: int, bits: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The sketch of one task, as its cells that are not zero: rows ``(block, cells, counts)``.
 
     Counts are summed for every ``most`` hashes, so a task's memory does not grow with its input.
+    A sketch of one row counts values of ``bits + FINE`` bits, so that values that only share a cell are not taken for one.
     """
+    fine = FINE if rows == 1 else 0
+    kind = np.uint32 if fine else np.uint16
     held: list[np.ndarray] = []
     n = 0
 
     def out() -> Iterator[pa.RecordBatch]:
         every = np.concatenate(held)
-        for r, cells in enumerate(cells_of(every, rows, bits)):
+        for r, cells in enumerate(cells_of(every, rows, bits + fine)):
             cell, count = np.unique(cells, return_counts=True)
             count = np.minimum(count, 0xFFFF).astype(np.uint16)
-            block = (cell >> U(16)).astype(np.int64) + (r << (bits - 16))
+            block = (cell >> U(16 + fine)).astype(np.int64) + (r << (bits - 16))
             cut = np.flatnonzero(np.diff(block, prepend=-1))
             ends = np.append(cut[1:], len(block))
-            low = cell.astype(np.uint16)
+            low = cell.astype(kind)
             yield pa.record_batch(
                 [pa.array(block[cut].astype(np.int32)), pa.array([low[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
                  pa.array([b"" if count[a:b].max() == 1 else count[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())],
@@ -345,9 +349,33 @@ def merge_sketches(parts: DataFrame, rows: int, bits: int, hot: int | None = Non
     """Cells of the merged sketch that count two or more, and those that count ``hot`` or more, as sets.
 
     The parts are summed block by block on the executors; each block comes back as at most 2 x 8 kB, so the
-    driver holds ``rows * 2 ** bits / 8`` bytes for each set whatever the input.
+    driver holds ``rows * 2 ** bits / 8`` bytes for each set whatever the input. In a sketch of one row a cell belongs to a set
+    if one of its values counts as much: with more values than cells the sets hold the cells of repeated values, not all cells.
     """
 
+    def merge_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            for block, cell, n in zip(*(batch.column(c).to_pylist() for c in ("block", "cell", "n"))):
+                value = np.frombuffer(cell, np.uint32)
+                held.setdefault(block, []).append((value, np.frombuffer(n, np.uint16) if n else np.ones(len(value), np.uint16)))
+        for block in list(held):
+            value, n = (np.concatenate(x) for x in zip(*held.pop(block)))
+            order = np.argsort(value)
+            value = value[order]
+            first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+            total = np.add.reduceat(n[order].astype(np.uint64), first)
+            cell, found = (value[first] >> np.uint32(FINE)).astype(np.int64), []
+            for least in (2, hot or 2):
+                mark = np.zeros(BLOCK, bool)
+                mark[cell[total >= least]] = True
+                found.append(mark)
+            if found[0].any():
+                twice, often = (np.packbits(mark, bitorder="little").tobytes() for mark in found)
+                yield pa.record_batch(
+                    [pa.array([block], pa.int32()), pa.array([twice], pa.binary()), pa.array([often if hot and found[1].any() else None], pa.binary())], ["block", "twice", "hot"]
+                )
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -365,7 +393,7 @@ def merge_sketches(parts: DataFrame, rows: int, bits: int, hot: int | None = Non
                     ["block", "twice", "hot"],
                 )
 
-    merged = parts.repartition("block").mapInArrow(merge, "block int, twice binary, hot binary")
+    merged = parts.repartition("block").mapInArrow(merge_values if rows == 1 else merge, "block int, twice binary, hot binary")
     sets = [[np.zeros(1 << (bits - 3), np.uint8) for _ in range(rows)] for _ in range(2 if hot else 1)]
     for row in merged.toLocalIterator(prefetchPartitions=True):
         r, place = divmod(row["block"], 1 << (bits - 16))
@@ -401,7 +429,27 @@ def names_of(rows: DataFrame) -> list[str]:
     return [c for c in ("id", "tag", "more") if c in rows.columns]
 
 
-def count_grams(rows: DataFrame, plan: Plan, level: int, open_sets: Sequence, sketch_rows: int, bits: int, hot: int) -> tuple[HashSet, HashSet]:
+def copies_of_texts(rows: DataFrame, size: int) -> DataFrame:
+    """The key of ``rows`` and ``(start, n)``, all windows of the text, of those whose whole text a smaller id holds as well. Stored.
+
+    Each of their windows starts at the smaller id too, and any other text that has one of them finds it there: they need not be cut into runs.
+    Texts are equal if their length and two hashes are.
+    """
+    first, second = content_tag("text")
+    long = rows.select(*names_of(rows), first.alias("_a"), second.alias("_b"), F.octet_length("text").alias("_n")).filter(F.col("_n") >= size)
+    least = long.groupBy("_a", "_b", "_n").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).filter("_low < _high").drop("_high")
+    found = long.join(least, ["_a", "_b", "_n"]).filter("id > _low")
+    return materialize(found.select(*names_of(rows), F.lit(0).alias("start"), (F.col("_n") - size + 1).cast("int").alias("n")), "text-copies")
+
+
+def _wanted(batches: Iterator[pa.RecordBatch], kept: Broadcast | None) -> Iterator[pa.RecordBatch]:
+    """Rows whose column ``own`` is in the set ``kept``, all where there is none."""
+    chosen = HashSet.unpacked(kept.value) if kept is not None else None
+    for batch in batches:
+        yield batch if chosen is None else batch.filter(pa.array(chosen.has(batch.column("own").to_numpy().view(U))))
+
+
+def count_grams(rows: DataFrame, plan: Plan, level: int, open_sets: Sequence, sketch_rows: int, bits: int, hot: int, kept: Broadcast | None = None) -> tuple[HashSet, HashSet]:
     """Sketch of the anchors of one pass: the sets counted twice or more, and ``hot`` times or more."""
     sent = rows.sparkSession.sparkContext.broadcast([x.packed() for x in open_sets])
 
@@ -410,14 +458,16 @@ def count_grams(rows: DataFrame, plan: Plan, level: int, open_sets: Sequence, sk
         above = [HashSet.unpacked(x) for x in sent.value]
 
         def grams() -> Iterator[np.ndarray]:
-            for batch in small_batches(batches, "text"):
+            for batch in small_batches(_wanted(batches, kept), "text"):
                 for found in find_runs(plan, *texts(batch.column("text")), level, above, keys=False):
                     yield found.gram
 
         yield from sketch_batches(grams(), sketch_rows, bits)
 
-    sets = merge_sketches(rows.select("text").mapInArrow(task, SKETCH), sketch_rows, bits, hot)
+    columns = ["text"] if kept is None else ["own", "text"]
+    sets = merge_sketches(rows.select(*columns).mapInArrow(task, SKETCH), sketch_rows, bits, hot)
     sent.destroy()
+    release(rows.sparkSession)  # the sketch's shuffle, before runs are exchanged
     return sets
 
 
@@ -455,7 +505,7 @@ def _settle(held: list[list[np.ndarray]], names: list[str], earlier: bool) -> pa
     return pa.record_batch([pa.array(np.concatenate(x).astype(kinds[KINDS[k]])) for k, x in parts.items()], list(parts))
 
 
-def group_runs(rows: DataFrame, plan: Plan, level: int, sets: Broadcast, earlier: bool) -> DataFrame:
+def group_runs(rows: DataFrame, plan: Plan, level: int, sets: Broadcast, earlier: bool, kept: Broadcast | None = None) -> DataFrame:
     """One pass of exact grouping: the key of ``rows``, ``start, n, removed, gram``.
 
     ``sets``: the open sets of the passes before, the anchors counted twice or more, and the hot ones.
@@ -471,7 +521,7 @@ def group_runs(rows: DataFrame, plan: Plan, level: int, sets: Broadcast, earlier
         *above, counted = map(HashSet.unpacked, sets.value[:-1])
         held: list[list[np.ndarray]] = []
         n = 0
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(_wanted(batches, kept), "text"):
             own = [batch.column(c).to_numpy() for c in names]
             for found in find_runs(plan, *texts(batch.column("text")), level, above):
                 at = np.flatnonzero(counted.has(found.gram))
@@ -537,7 +587,8 @@ def repeated_spans(rows: DataFrame, plan: Plan, earlier: bool, sketch_rows: int,
 
     Pass by pass the anchors get longer, up to the whole window. Each pass counts anchors in a sketch,
     groups the runs of those counted twice or more exactly, and leaves to the next only the windows of
-    anchors whose runs differ. The result of each pass is a table in the shared folder.
+    anchors whose runs differ. The result of each pass is a table in the shared folder. With ``earlier``, texts that are
+    copies of a smaller id's as a whole are settled before that, and the passes leave them out by a bounded set of the keys of all others.
     """
     context = rows.sparkSession.sparkContext
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -545,11 +596,17 @@ def repeated_spans(rows: DataFrame, plan: Plan, earlier: bool, sketch_rows: int,
     bits = sketch_bits(units * 2 / (plan.size - plan.grams[0] + 2), most_bits)
     open_sets: list[HashSet] = []
     out: DataFrame | None = None
+    kept: Broadcast | None = None
+    if earlier and not (copies := copies_of_texts(rows, plan.size)).isEmpty():
+        out, own = copies, F.xxhash64(*names_of(rows))
+        others = materialize(rows.select(*names_of(rows)).join(copies, names_of(rows), "left_anti").select(own.alias("gram")), "first-texts")
+        kept = context.broadcast(as_set(others, sketch_bits(8 * others.count(), 28)).packed())
+        rows = rows.withColumn("own", own)
     for level in range(len(plan.grams)):
-        twice, hot_set = count_grams(rows, plan, level, open_sets, sketch_rows, bits, hot)
+        twice, hot_set = count_grams(rows, plan, level, open_sets, sketch_rows, bits, hot, kept)
         hot_cells = CellList.of(hot_set)
         sets = context.broadcast([*(x.packed() for x in (*open_sets, twice)), (hot_cells.cells, hot_cells.bits)])
-        found = materialize(group_runs(rows, plan, level, sets, earlier), f"runs-{level}")
+        found = materialize(group_runs(rows, plan, level, sets, earlier, kept), f"runs-{level}")
         sets.destroy()
         spans = found.filter("removed").select(*names_of(rows), "start", "n")
         out = spans if out is None else out.unionByName(spans)

@@ -23,6 +23,7 @@ def drop_earlier_strings(
     A byte falls if a ``length``-byte string covers it that also starts in a document with a smaller id.
     Texts are UTF-8 bytes; strings lie within one text.
 
+    Texts that are copies of a smaller id's as a whole fall whole and are not ordered.
     Suffixes are ordered only as deep as ``length`` bytes, by passes over digits of growing significance.
     The first pass deals them out by the first digit, the ``digits[0]`` bytes at the anchor of each string; a
     histogram of up to ``2 ** most_bits`` buckets, summed over partitions, closes the buckets with one entry.

@@ -1,6 +1,7 @@
 """Repeated word windows, byte strings and line windows against plain versions."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -123,3 +124,48 @@ def test_word_hashes_follow_content():
     assert found == raw.tobytes().split() and first.tolist() == [0, 2, len(found)]
     assert len(set(h.tolist())) == len(set(found))
     assert hashlib.md5(h.tobytes()).hexdigest() == hashlib.md5(runs.words(raw, np.array([0, len(raw)]), (1,))[3][0].tobytes()).hexdigest()
+
+
+def test_a_full_sketch_still_tells_what_repeats():
+    """More values than cells: only the cells of repeated values are in the set, however they were split over batches."""
+    rng = np.random.default_rng(4)
+    once, again = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (400_000, 500))
+    with np.errstate(over="ignore"):
+        parts = [list(runs.sketch_batches(iter(np.array_split(np.concatenate((x, again)), 7)), 1, 16, most=30_000)) for x in np.array_split(once, 3)]
+
+        class Merged:  # the exchange and the driver's loop, without Spark
+            def repartition(self, _):
+                return self
+
+            def mapInArrow(self, f, _):
+                self.rows = [r for b in f(iter([b for p in parts for b in p])) for r in b.to_pylist()]
+                return self
+
+            def toLocalIterator(self, prefetchPartitions):
+                return iter(self.rows)
+
+        twice, often = runs.merge_sketches(Merged(), 1, 16, 3)
+        assert twice.has(again).all() and often.has(again).all()
+        assert twice.has(once).mean() < 0.02
+
+
+def test_copies_of_whole_texts_are_not_cut_into_runs(spark, monkeypatch):
+    """Six copies of every text cost as many runs as one; texts under one id, without id and shorter than a string included."""
+    rng = random.Random(13)
+    one = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60 + k)) for k in range(20)]
+    base = [*one, one[0][:200] + one[1][100:], "short", "x" * 49, "y" * 50]
+    once = [(10 * k, t) for k, t in enumerate(base)]
+    many = [(1000 * c + i, t) for c in range(6) for i, t in once] + [(None, one[2]), (None, one[2]), (None, one[3] + " more"), (10, one[4])]
+    stored, write = [], runs.materialize
+
+    def noted(df, name="stage", **more):
+        out = write(df, name, **more)
+        if name.startswith("runs-"):
+            stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(runs, "materialize", noted)
+    for rows in (once, many):
+        got = suffixes.drop_earlier_strings(table(spark, rows).repartition(3))
+        assert counted((r["doc_id"], bytes(r["kept_bytes"])) for r in got.collect()) == counted((r[0], r[4]) for r in kept_bytes(rows, 50)), stored
+    assert sum(stored[3:]) <= sum(stored[:3]) + 40, stored
