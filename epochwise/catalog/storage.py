@@ -112,9 +112,9 @@ def cohort_csv(s, d):
 def spectra_files(s, d):
     path = new_path(s, "spectra_csv")
     name = F.concat_ws("_", F.lit("PSD"), "start", "end", "case_id").alias("_f")
-    sp = G.long_spectra(SG.spectra(s, d)).select(F.col("freq_hz").alias("Frequency_Hz"), F.col("psd").alias("PSD_V2_per_Hz"), name)
-    # A folder an epoch costs far more than its bytes: dealt to all tasks, one file each.
-    spread(sp, "_f").write.partitionBy("_f").csv(path, header=True)
+    epochs = SG.spectra(s, d)
+    sp = G.long_spectra(epochs).select(F.col("freq_hz").alias("Frequency_Hz"), F.col("psd").alias("PSD_V2_per_Hz"), name)
+    B.write_spectrum_files(sp, path, "_f", epochs.count())
     return _r(A.read_spectra(s, path), "psd", n=8)
 
 

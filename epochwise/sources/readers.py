@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from epochwise.operators.keyed import check_same_columns
 from epochwise.operators.ordered import scan
 from epochwise.operators.tracks import HOUR, interpolate_hold_ends, nan_to_null, number_rows, with_time_chunk
 from epochwise.params import EpisodeParams
-from epochwise.session import materialize
+from epochwise.session import materialize, new_path, release
 
 CASE_FILE = r"(\d+)\.csv$"
 TRACK_SCHEMA = "Time double, BIS_BIS double, BIS_SR double, Primus_MAC double"
@@ -24,18 +25,53 @@ COHORT_SCHEMA = (
 OPEN_COST = 64 << 10  # bytes that opening a file counts for when files are dealt to tasks
 
 
+def _as_small_files(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
+    """``run()`` under settings for many small files: what opening one counts for, and how many tasks list folders (up to 10,000 else, one folder each)."""
+    own = {"spark.sql.files.openCostInBytes": OPEN_COST, "spark.sql.sources.parallelPartitionDiscovery.parallelism": 4 * spark.sparkContext.defaultParallelism}
+    before = {key: spark.conf.get(key) for key in own}
+    try:
+        for key, value in own.items():
+            spark.conf.set(key, str(value))
+        return run()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def _stored(rows: DataFrame, name: str) -> DataFrame:
     """Rows of many small files, read once and stored as one table.
 
     Spark counts 4 MB for a file, so a task would get a few files of a kilobyte, and every later pass would open them all again.
     """
-    spark, key = rows.sparkSession, "spark.sql.files.openCostInBytes"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(OPEN_COST))
-    try:
-        return materialize(rows, name)
-    finally:
-        spark.conf.set(key, before)
+    return _as_small_files(rows.sparkSession, lambda: materialize(rows, name))
+
+
+def _stored_in_turn(spark: SparkSession, parts: Iterable[DataFrame], schema: str, name: str) -> DataFrame:
+    """Rows of all ``parts`` as one table. A part is asked for when the one before is stored, so the driver holds the files of one part."""
+    path = new_path(spark, name)
+
+    def run() -> DataFrame:
+        for part in parts:
+            part.write.mode("append").parquet(path)
+            del part
+            release(spark)
+        return spark.read.schema(schema).parquet(path)
+
+    return _as_small_files(spark, run)
+
+
+def _groups(spark: SparkSession, path: str) -> list[str]:
+    """The folders ``group=...`` below ``path``; the path itself if there is none. Other names beside groups are an error."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = files.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.globStatus(files.Path(at, "group=*")):
+        return [path]
+    names = [f.getPath().getName() for f in store.listStatus(at)]
+    for name in names:
+        if not name.startswith(("group=", ".")) and (not name.startswith("_") or "=" in name):
+            raise ValueError(f"neither a group of spectra nor hidden: {name}")
+    return [f"{path}/{name}" for name in sorted(names) if name.startswith("group=")]
 
 
 def _case_id(pattern: str) -> Column:
@@ -124,8 +160,19 @@ def read_cohort(spark: SparkSession, path: str, schema: str = COHORT_SCHEMA) ->
     return spark.read.csv(path, schema=schema, header=True, enforceSchema=False).withColumnRenamed("caseid", "case_id")
 
 
+SPECTRUM = "case_id long, start long, end long, freq_hz double, psd double"
+
+
 def read_spectra(spark: SparkSession, path: str) -> DataFrame:
-    """Spectra with the epoch key in the file name ``PSD_<start>_<end>_<case>``; other names are an error."""
+    """Spectra with the epoch key in the file name ``PSD_<start>_<end>_<case>``; other names are an error.
+
+    The driver lists files before Spark reads them: where the path holds folders ``group=...``
+    (``writers.write_spectrum_files``), they are read one after another, and what the driver holds does not grow with their number.
+    """
+    return _stored_in_turn(spark, (_spectra_of(spark, g) for g in _groups(spark, path)), SPECTRUM, "spectra-rows")
+
+
+def _spectra_of(spark: SparkSession, path: str) -> DataFrame:
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+?)(?:\.csv)?(?:/part-[^/]*)?$", 1)
     raw = spark.read.csv(path, schema="Frequency_Hz double, PSD_V2_per_Hz double", header=True, enforceSchema=False).select(
         name.alias("_name"), F.col("Frequency_Hz").alias("freq_hz"), F.col("PSD_V2_per_Hz").alias("psd")
@@ -134,7 +181,7 @@ def read_spectra(spark: SparkSession, path: str) -> DataFrame:
     bad = F.raise_error(F.concat(F.lit("not a spectrum file name: "), F.col("_name")))
     checked = raw.withColumn("_k", F.when((F.size(parts) == 4) & (parts[0] == "PSD"), parts).otherwise(bad.cast("array<string>")))
     keys = [F.col("_k")[i].cast("double").cast("long").alias(n) for i, n in ((3, "case_id"), (1, "start"), (2, "end"))]
-    return _stored(checked.select(*keys, "freq_hz", "psd"), "spectra-rows")
+    return checked.select(*keys, "freq_hz", "psd")
 
 
 def read_predictions(spark: SparkSession, path: str, run: str) -> DataFrame:

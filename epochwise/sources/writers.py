@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from epochwise.operators.ordered import join_small
 from epochwise.operators.reports import with_error
 from epochwise.params import EpisodeParams
-from epochwise.session import materialize
+from epochwise.session import materialize, release, spread
 
 
 def _replace(df: DataFrame, path: str, *parts: str) -> None:
@@ -42,6 +42,22 @@ def write_spectra(spectra: DataFrame, path: str, tag: str = "epoch", keys: Seque
     _replace(checked.withColumn("tag", F.lit(tag)), path, "tag")
 
 
+FOLDERS = 10_000  # spectra that one job writes or reads, each in a folder of its own
+
+
+def write_spectrum_files(spectra: DataFrame, path: str, name: str, n: int) -> None:
+    """Long spectra as CSV in one folder for each value of the column ``name``, as ``group=<g>/<name>=<value>``; there are ``n`` values at most.
+
+    The driver holds names and states of all files that a job writes or reads; so a job takes a group of about ``FOLDERS`` values, dealt by a hash.
+    """
+    groups = max(1, -(-n // FOLDERS))
+    rows = materialize(spectra.withColumn("group", F.pmod(F.xxhash64(name), F.lit(groups)).cast("int")), "spectra-long", ["group"])
+    for g in range(groups):
+        # A folder a spectrum costs far more than its bytes: dealt to all tasks, one file each.
+        spread(rows.filter(F.col("group") == g).drop("group"), name).write.partitionBy(name).csv(f"{path}/group={g}", header=True)
+        release(rows.sparkSession)
+
+
 def write_feature(features: DataFrame, path: str, feature: str, epoch_type: str) -> None:
     """One table per feature, partitioned by epoch type."""
     _replace(features.withColumn("epoch_type", F.lit(epoch_type)), f"{path}/{feature}", "epoch_type")

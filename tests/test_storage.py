@@ -56,6 +56,41 @@ def test_spectrum_names(spark, tmp_path):
         A.read_spectra(spark, str(bad)).collect()
 
 
+def test_spectra_are_written_and_read_in_groups(spark, tmp_path, monkeypatch):
+    """The driver holds the files of one job: no job takes all folders, and the rows are those of all of them."""
+    from pyspark.sql.readwriter import DataFrameReader
+
+    from epochwise.catalog import signals, storage
+
+    vectors = [(k, [float((k * j) % 7 - 3) for j in range(64)], k % 10) for k in [*range(40), 39]]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(B, "FOLDERS", 10, raising=False)
+    read, csv = [], DataFrameReader.csv
+
+    def noted(self, path, *a, **k):
+        out = csv(self, path, *a, **k)
+        read.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(DataFrameReader, "csv", noted)
+    got = storage.spectra_files(spark, str(tmp_path))
+    assert sum(read) == 40 and max(read) < 30, read
+    long = storage.G.long_spectra(signals.spectra(spark, str(tmp_path)))
+    want = long.select("case_id", "start", "end", "freq_hz", F.round("psd", 8).alias("psd"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 41 * 9
+
+
+def test_a_name_beside_groups_is_an_error(spark, tmp_path):
+    (tmp_path / "group=0").mkdir()
+    text = "Frequency_Hz,PSD_V2_per_Hz\n0.5,2.0\n"
+    (tmp_path / "group=0" / "PSD_1_2_3.csv").write_text(text)
+    (tmp_path / "_SUCCESS").write_text("")
+    assert A.read_spectra(spark, str(tmp_path)).count() == 1
+    (tmp_path / "PSD_4_5_6.csv").write_text(text)
+    with pytest.raises(ValueError, match="PSD_4_5_6"):
+        A.read_spectra(spark, str(tmp_path))
+
+
 def test_epochs_by_parameters_prune_partitions(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.0, 20.0)], "case_id long, start double, end double")
     B.write_epochs(df, str(tmp_path), EpisodeParams())
