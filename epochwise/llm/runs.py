@@ -306,16 +306,16 @@ def cells_of(hashes: np.ndarray, rows: int, bits: int) -> list[np.ndarray]:
 
 
 SKETCH = "block int, cell binary, n binary"
-FINE = 16  # bits by which values are told apart inside a cell of a sketch of one row
+FINE = 16  # bits by which values are told apart inside a cell of a sketch
 
 
-def sketch_batches(hashes: Iterator[np.ndarray], rows: int, bits: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def sketch_batches(hashes: Iterator[np.ndarray], rows: int, bits: int, most: int = 1 << 21, by_value: bool = False) -> Iterator[pa.RecordBatch]:
     """The sketch of one task, as its cells that are not zero: rows ``(block, cells, counts)``.
 
     Counts are summed for every ``most`` hashes, so a task's memory does not grow with its input.
-    A sketch of one row counts values of ``bits + FINE`` bits, so that values that only share a cell are not taken for one.
+    ``by_value``: values of ``bits + FINE`` bits are counted, so that those that only share a cell are not taken for one.
     """
-    fine = FINE if rows == 1 else 0
+    fine = FINE if by_value else 0
     kind = np.uint32 if fine else np.uint16
     held: list[np.ndarray] = []
     n = 0
@@ -345,12 +345,12 @@ def sketch_batches(hashes: Iterator[np.ndarray], rows: int, bits: int, most: int
         yield from out()
 
 
-def merge_sketches(parts: DataFrame, rows: int, bits: int, hot: int | None = None) -> tuple[HashSet, HashSet | None]:
+def merge_sketches(parts: DataFrame, rows: int, bits: int, hot: int | None = None, by_value: bool = False) -> tuple[HashSet, HashSet | None]:
     """Cells of the merged sketch that count two or more, and those that count ``hot`` or more, as sets.
 
     The parts are summed block by block on the executors; each block comes back as at most 2 x 8 kB, so the
-    driver holds ``rows * 2 ** bits / 8`` bytes for each set whatever the input. In a sketch of one row a cell belongs to a set
-    if one of its values counts as much: with more values than cells the sets hold the cells of repeated values, not all cells.
+    driver holds ``rows * 2 ** bits / 8`` bytes for each set whatever the input. ``by_value``: a cell belongs to a set if
+    one of its values counts as much; with more values than cells the sets hold the cells of repeated values, not all cells.
     """
 
     def merge_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +393,7 @@ def merge_sketches(parts: DataFrame, rows: int, bits: int, hot: int | None = Non
                     ["block", "twice", "hot"],
                 )
 
-    merged = parts.repartition("block").mapInArrow(merge_values if rows == 1 else merge, "block int, twice binary, hot binary")
+    merged = parts.repartition("block").mapInArrow(merge_values if by_value else merge, "block int, twice binary, hot binary")
     sets = [[np.zeros(1 << (bits - 3), np.uint8) for _ in range(rows)] for _ in range(2 if hot else 1)]
     for row in merged.toLocalIterator(prefetchPartitions=True):
         r, place = divmod(row["block"], 1 << (bits - 16))
@@ -462,10 +462,10 @@ def count_grams(rows: DataFrame, plan: Plan, level: int, open_sets: Sequence, sk
                 for found in find_runs(plan, *texts(batch.column("text")), level, above, keys=False):
                     yield found.gram
 
-        yield from sketch_batches(grams(), sketch_rows, bits)
+        yield from sketch_batches(grams(), sketch_rows, bits, by_value=sketch_rows == 1)
 
     columns = ["text"] if kept is None else ["own", "text"]
-    sets = merge_sketches(rows.select(*columns).mapInArrow(task, SKETCH), sketch_rows, bits, hot)
+    sets = merge_sketches(rows.select(*columns).mapInArrow(task, SKETCH), sketch_rows, bits, hot, sketch_rows == 1)
     sent.destroy()
     release(rows.sparkSession)  # the sketch's shuffle, before runs are exchanged
     return sets

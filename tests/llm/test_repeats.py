@@ -131,7 +131,7 @@ def test_a_full_sketch_still_tells_what_repeats():
     rng = np.random.default_rng(4)
     once, again = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (400_000, 500))
     with np.errstate(over="ignore"):
-        parts = [list(runs.sketch_batches(iter(np.array_split(np.concatenate((x, again)), 7)), 1, 16, most=30_000)) for x in np.array_split(once, 3)]
+        parts = [list(runs.sketch_batches(iter(np.array_split(np.concatenate((x, again)), 7)), 1, 16, 30_000, True)) for x in np.array_split(once, 3)]
 
         class Merged:  # the exchange and the driver's loop, without Spark
             def repartition(self, _):
@@ -144,7 +144,7 @@ def test_a_full_sketch_still_tells_what_repeats():
             def toLocalIterator(self, prefetchPartitions):
                 return iter(self.rows)
 
-        twice, often = runs.merge_sketches(Merged(), 1, 16, 3)
+        twice, often = runs.merge_sketches(Merged(), 1, 16, 3, True)
         assert twice.has(again).all() and often.has(again).all()
         assert twice.has(once).mean() < 0.02
 
